@@ -47,8 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours, an aggregate that combines before the shuffle, so that no adjacency list is gathered.
     Self-loops and repeated edges do no harm; an empty table gives an empty one.
     """
-    pairs = local_forest(edges.filter("u is not null and v is not null"), "u", "v")
-    pairs = materialise(local_forest(pairs.repartition("v"), "u", "v").distinct(), "edges")
+    pairs = materialise(local_forest(edges.filter("u is not null and v is not null"), "u", "v").distinct(), "edges")
     last = None
     for _ in range(MOST_ROUNDS):
         # large star: every neighbour above a node is tied to the least of that node and its neighbours
