@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op8_packing
+from .quality import op10_quality
 from .simhash import op9_simhash
+from .spm import op2_sentencepiece
+from .toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentencepiece": op2_sentencepiece,
+    "op7_toxicity": op7_toxicity,
+    "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
