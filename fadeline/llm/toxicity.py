@@ -20,8 +20,10 @@ from .common import MEMO_WORDS, column, row_key, steps
 from .ftrl import Ftrl, sigmoid
 from .quality import SAMPLE, labelled_sample
 
-SIZE, FOLDS, EPOCHS, THRESHOLD = 1 << 20, 3, 2, 0.5
+SIZE, FOLDS, EPOCHS, THRESHOLD = 1 << 20, 3, 4, 0.5
 CATEGORIES = ("dense", "repeated", "toxic")
+#: Lengths of the beginnings of words that are features beside the words: inflected forms share them.
+BEGINNINGS = (3, 5, 7)
 #: A word marks toxicity if so many flagged training rows have it, at so many times the share of the others.
 MARK_ROWS, MARK_RATIO = 3, 8.0
 DENSE_WORDS, REPEATED_HITS = 2, 2
@@ -32,22 +34,32 @@ _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 class _Words(dict):
-    """word -> feature of the word in lower case without marks at its edges; 0 if nothing is left."""
+    """word -> its row in `table`: features of the bare word and of its beginnings; 0s if there are none."""
+
+    def __init__(self) -> None:
+        self.table = np.zeros((1 << 12, 1 + len(BEGINNINGS)), np.int32)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO_WORDS:
-            self.clear()
+        row = self[word] = len(self)
+        if row == len(self.table):
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
         bare = _EDGES.sub("", word.decode("utf-8", "replace").lower())
-        v = self[word] = FIRST_WORD + xxhash.xxh3_64_intdigest(bare) % (SIZE - FIRST_WORD) if bare else 0
-        return v
-
-
-def word_features(texts: list[bytes], memo: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Word features of all texts end to end, and the number of the text of each."""
+        if bare:
+            names = [bare, *(f"{n} {bare[:n]}" if len(bare) > n else "" for n in BEGINNINGS)]
+            self.table[row] = [n and FIRST_WORD + xxhash.xxh3_64_intdigest(n) % (SIZE - FIRST_WORD) for n in (x or 0 for x in names)]
+        else:
+            self.table[row] = 0
+        return row
+
+
+def word_features(texts: list[bytes], memo: _Words) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all words of all texts (a row each), and the number of the text of each."""
+    if len(memo) > MEMO_WORDS:  # between steps only: rows handed out in a step stay valid in it
+        memo.clear()
     words = [t.split() for t in texts]
     n = np.array([len(w) for w in words], np.int64)
-    index = np.fromiter(map(memo.__getitem__, itertools.chain.from_iterable(words)), np.int32, int(n.sum()))
-    return index, np.repeat(np.arange(len(texts)), n)
+    row = np.fromiter(map(memo.__getitem__, itertools.chain.from_iterable(words)), np.int32, int(n.sum()))
+    return memo.table[row], np.repeat(np.arange(len(texts)), n)
 
 
 def _present(index: np.ndarray) -> np.ndarray:
@@ -64,7 +76,7 @@ def marked_words(rows: list[np.ndarray], flags: np.ndarray) -> np.ndarray:
 
 
 def _fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, chosen: np.ndarray) -> Ftrl:
-    model = Ftrl(SIZE, alpha=0.5, l1=1.0, l2=0.1)
+    model = Ftrl(SIZE, alpha=2.0, l1=6.0, l2=0.01)
     earlier = np.arange(1, 1 + extra.shape[1])
     for epoch in range(EPOCHS):
         for k in chosen if epoch % 2 == 0 else chosen[::-1]:
@@ -83,7 +95,7 @@ def fit_chain(rows: list[np.ndarray], hits: np.ndarray, flags: np.ndarray, folds
     marks = np.zeros(SIZE, bool)
     marks[marked_words(rows, flags)] = True
     distinct = np.array([marks[r].sum() for r in rows])
-    repeats = np.array([marks[h].sum() for h in hits])
+    repeats = np.array([marks[h].any(axis=1).sum() for h in hits])
     targets = {"dense": flags * (distinct >= DENSE_WORDS), "repeated": flags * (repeats >= REPEATED_HITS), "toxic": flags}
     extra, weights, everyone = np.zeros((len(rows), 0)), [], np.arange(len(rows))
     for name in CATEGORIES:
@@ -112,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
                 cuts = np.searchsorted(doc, np.arange(len(part) + 1))
                 for k in range(len(part)):
                     own = index[cuts[k] : cuts[k + 1]]
-                    rows.append((xxhash.xxh3_64_intdigest(str(ids[at + k])), len(own), ys[at + k], _present(own), own[own > 0]))
+                    rows.append((xxhash.xxh3_64_intdigest(str(ids[at + k])), len(own), ys[at + k], _present(own), own))
         if rows:
             rows.sort(key=lambda r: r[:2])
             flags = np.array([r[2] for r in rows], float)
@@ -132,8 +144,8 @@ def probabilities(texts: list[bytes], weights: np.ndarray, memo: dict) -> np.nda
     index, doc = word_features(texts, memo)
     used = (weights != 0).any(axis=0)
     used[:FIRST_WORD] = False
-    hit = used[index]  # most words weigh nothing, and only the others are worth making distinct
-    pairs = np.unique(doc[hit].astype(np.int64) * SIZE + index[hit])
+    hit = used[index]  # most features weigh nothing, and only the others are worth making distinct
+    pairs = np.unique(np.repeat(doc, hit.sum(axis=1)) * SIZE + index[hit])
     doc, index = pairs // SIZE, pairs % SIZE
     out = np.zeros((len(texts), len(weights)))
     for k, w in enumerate(weights):
