@@ -10,10 +10,12 @@ from .packing import op8_packing
 from .quality import op10_quality
 from .simhash import op9_simhash
 from .spm import op2_sentencepiece
+from .substring import op5_substring
 from .toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op5_substring": op5_substring,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
