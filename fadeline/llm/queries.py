@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op8_packing
+from .pii import op6_pii
 from .quality import op10_quality
 from .simhash import op9_simhash
 from .spm import op2_sentencepiece
@@ -16,6 +17,7 @@ from .toxicity import op7_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op5_substring": op5_substring,
+    "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
