@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mih import op4_nearest
 from .packing import op8_packing
 from .pii import op6_pii
 from .quality import op10_quality
 from .simhash import op9_simhash
 from .spm import op2_sentencepiece
 from .substring import op5_substring
+from .topk import op3_topk
 from .toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_topk": op3_topk,
+    "op4_nearest": op4_nearest,
     "op5_substring": op5_substring,
     "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
