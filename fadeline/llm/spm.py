@@ -10,6 +10,7 @@ the two of them. Both give the ids of the model's own library.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 import zlib
@@ -29,6 +30,8 @@ UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 #: Chunks whose ids a worker remembers before it starts afresh.
 MEMO_CHUNKS = 300_000
+#: Pairs of pieces of which a worker remembers whether they stay apart.
+MOST_PAIRS = 1_500_000
 
 
 def _fields(data: bytes):
@@ -96,6 +99,11 @@ class Model:
     def ids(self) -> dict[str, int]:
         return {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, USER_DEFINED)}
 
+    @cached_property
+    def letters(self) -> set[str]:
+        """Characters that are pieces."""
+        return {p for p in self.ids if len(p) == 1}
+
     @cached_property
     def unknown(self) -> int:
         return self.kinds.index(UNKNOWN)
@@ -138,7 +146,10 @@ class Encoder:
     def __init__(self, model: Model) -> None:
         self.model = model
         self.memo: dict[str, tuple[bytes, int]] = {}
+        self.older: dict[str, tuple[bytes, int]] = {}
         self._apart: dict[tuple[str, str], bool] = {}
+        self._apart_ids: dict[int, bool] = {}
+        self._bytes = set(model.byte_ids)
         self.floor = min((s for s, k in zip(model.scores, model.kinds, strict=True) if k == NORMAL), default=0.0) - UNKNOWN_PENALTY
         self.top = max((s for s, k in zip(model.scores, model.kinds, strict=True) if k == NORMAL), default=0.0)
 
@@ -190,11 +201,29 @@ class Encoder:
                     last[end] = piece
                     break
 
+    def _bpe_ids(self, chunk: str) -> list[int]:
+        """_relax_bpe on ids, for chunks whose characters are all pieces."""
+        last: list[int | None] = [-1] + [None] * len(chunk)
+        apart, pieces = self._apart_ids, self.model.pieces
+        for at, (i, length) in self.model.automaton.iter(chunk):
+            if last[at + 1] is None and (before := last[at + 1 - length]) is not None:
+                key = before << 32 | i
+                good = apart.get(key)
+                if good is None:
+                    good = apart[key] = self.merged((pieces[before] if before >= 0 else "") + pieces[i]) == ([pieces[before]] if before >= 0 else []) + [pieces[i]]
+                if good:
+                    last[at + 1] = i
+        out, at = [], len(chunk)
+        while at:
+            out.append(last[at])
+            at -= len(pieces[last[at]])
+        return out[::-1]
+
     def stays_apart(self, a: str, b: str) -> bool:
         """Whether BPE on a + b ends with just these two (b alone, if a is empty)."""
         got = self._apart.get((a, b))
         if got is None:
-            if len(self._apart) > 2_000_000:
+            if len(self._apart) > MOST_PAIRS:
                 self._apart.clear()
             got = self._apart[a, b] = self.merged(a + b) == [x for x in (a, b) if x]
         return got
@@ -210,6 +239,8 @@ class Encoder:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
     def _ids_of(self, chunk: str) -> list[int]:
+        if self.model.kind == BPE and self.model.letters.issuperset(chunk):
+            return self._bpe_ids(chunk)
         out = []
         for piece in self.segment(chunk):
             i = self.model.ids.get(piece)
@@ -221,21 +252,26 @@ class Encoder:
                 out.append(self.model.unknown)
         return out
 
+    def _packed_chunk(self, chunk: str) -> tuple[bytes, int]:
+        got = self.older.get(chunk)
+        if got is None:
+            ids = self._ids_of(chunk)
+            got = (np.array(ids, "<u4").tobytes(), sum(map(self._bytes.__contains__, ids)))
+        if len(chunk) < 200:
+            if len(self.memo) > MEMO_CHUNKS:
+                self.memo, self.older = {}, self.memo
+            if len(self._apart_ids) > MOST_PAIRS:
+                self._apart_ids.clear()
+            self.memo[chunk] = got
+        return got
+
     def packed(self, text: str) -> tuple[bytes, int]:
         """The ids of a whole text as little-endian unsigned 32-bit, and how many of them are bytes."""
-        parts, n_bytes, memo = [], 0, self.memo
-        bytes_from = set(self.model.byte_ids)
+        parts, n_bytes = [], 0
         for chunk in self.model.chunks.findall(self.normalised(text)):
-            got = memo.get(chunk)
-            if got is None:
-                if len(memo) > MEMO_CHUNKS:
-                    memo.clear()
-                ids = self._ids_of(chunk)
-                got = (np.array(ids, "<u4").tobytes(), sum(i in bytes_from for i in ids))
-                if len(chunk) < 200:
-                    memo[chunk] = got
-            parts.append(got[0])
-            n_bytes += got[1]
+            ids, n = self.memo.get(chunk) or self._packed_chunk(chunk)
+            parts.append(ids)
+            n_bytes += n
         return b"".join(parts), n_bytes
 
     def encode(self, text: str) -> list[int]:
@@ -246,6 +282,17 @@ class Encoder:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
+_encoders: dict[bytes, Encoder] = {}
+
+
+def encoder_of(model: bytes) -> Encoder:
+    """This process's encoder for a model: tasks that follow each other share what it remembers."""
+    key = hashlib.sha256(model).digest()
+    if key not in _encoders:
+        _encoders[key] = Encoder(Model.load(model))
+    return _encoders[key]
+
+
 def encode_documents(docs: DataFrame, model: bytes, keep_ids: bool = False) -> DataFrame:
     """(doc_id, text_key, n_ids, n_bytes, ids_crc32, round_trip[, ids]) for every row of docs.
 
@@ -257,7 +304,7 @@ def encode_documents(docs: DataFrame, model: bytes, keep_ids: bool = False) -> D
     def run(batches):
         import pyarrow as pa
 
-        own = Encoder(Model.load(model))
+        own = encoder_of(model)
         for batch in batches:
             rows = []
             for text in column(batch, "text"):
