@@ -207,13 +207,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of rows that share that doc_id too, the one with the smallest text_key stays, and of wholly
     repeated rows one. Keeps the columns of docs.
     """
-    groups = near_duplicates(docs)
+    groups = materialise(near_duplicates(docs), "near-duplicates")
     best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))
     best = best.select(F.col("best.doc_id").alias("keep_id"), F.col("best.text_key").alias("keep_key")).distinct()
     key = row_key(F.col("doc_id"), F.col("text"))[1].alias("keep_key")
     cond = F.expr("doc_id <=> keep_id and own_key = keep_key")
     kept = docs.withColumn("own_key", key).join(best, cond, "left_semi")
-    return kept.dropDuplicates(["doc_id", "own_key"]).drop("own_key")
+    again = groups.groupBy("doc_id", "text_key").count().filter("count > 1")
+    return (kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "own_key"])).drop("own_key")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
