@@ -15,8 +15,10 @@ from .spm import op2_sentencepiece
 from .substring import op5_substring
 from .topk import op3_topk
 from .toxicity import op7_toxicity
+from .urls import op1_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_urls": op1_urls,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_topk": op3_topk,
     "op4_nearest": op4_nearest,
