@@ -47,12 +47,12 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
 def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(host, score): personalised PageRank from seeds (host, share) over edges (src, dst, n).
 
-    Mass that reaches hosts without edges is lost. The score is the walk's share times 1 / the mean
-    seed's, so that 1 is what one seed has by itself.
+    Mass that reaches hosts without edges is lost. Scores are in shares: a seed of share 1 has 1 by
+    itself, and more if the walk leads back to it.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     steps = materialise(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("w")), "steps")
-    base = seeds.select("host", (F.col("share") * (1 - DAMPING)).alias("score"))
+    base = seeds.select("host", F.col("share").alias("score"))
     now = base
     for k in range(ROUNDS):
         moved = steps.join(now, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("w") * F.col("score") * DAMPING).alias("score"))
