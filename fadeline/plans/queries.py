@@ -221,7 +221,7 @@ def split_report(read):
     return out.select("file", "total_samples", "status", "reason", "train_samples", "test_samples")
 
 
-@query(f"WITH {_segments_sql(GAP)} SELECT segment AS split, {HORIZON} AS horizon, count(*) AS n, count(DISTINCT file) AS n_files FROM segments WHERE segment IS NOT NULL GROUP BY 1")
+@query(f"WITH {_segments_sql(GAP)} SELECT segment AS split, {HORIZON}::BIGINT AS horizon, count(*) AS n, count(DISTINCT file) AS n_files FROM segments WHERE segment IS NOT NULL GROUP BY 1")
 def split_manifest(read):
     s = splits.chronological(_samples(read), gap=GAP).filter("segment is not null").select("file", F.col("segment").alias("split"), F.lit(HORIZON).alias("horizon"))
     return splits.manifest(s).select("split", "horizon", "n", F.size("keys").alias("n_files"))

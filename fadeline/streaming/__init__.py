@@ -1,0 +1 @@
+"""No operators: the analytics run over finite tables, and forward-looking windows (`lead`) have no streaming form."""
