@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fadeline.llm.common import materialise, row_key
+from fadeline.llm.common import carried, materialise, restored
 from fadeline.llm.packing import pack
 from fadeline.llm.pii import redact
 from fadeline.llm.quality import filter_quality
@@ -35,12 +35,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without words of repeated 35-word windows; texts that hold none stay as they are."""
     found = without_repeats(docs).select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), "n_removed", F.col("text").alias("kept"))
     found = found.filter("n_removed > 0").dropDuplicates(["own_id", "own_key"])
-    keyed = docs.withColumn("own_text_key", row_key(F.col("doc_id"), F.col("text"))[1])
-    met = keyed.join(found, F.expr("doc_id <=> own_id and own_text_key = own_key"), "left")
+    met = carried(docs).join(found, F.expr("id <=> own_id and key = own_key"), "left")
     changed = F.col("n_removed").isNotNull()
-    text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
-    n_chars = F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
-    return met.withColumn("text", text).withColumn("n_chars", n_chars).select(*docs.columns)
+    text = F.when(changed, F.col("kept")).otherwise(F.col("doc.text"))
+    return restored(met, docs, text=text, n_chars=F.when(changed, F.length("kept")).otherwise(F.col("doc.n_chars")).cast("long"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds at a time; a longer text is a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 #: Distinct words whose hashes a worker remembers before it starts afresh.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000
 #: Where scratch tables go if the session names no folder (tests on one machine).
 LOCAL_SCRATCH = "/tmp/fadeline-scratch"
 
@@ -40,6 +40,17 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [doc_id.cast("long").alias("doc_id"), F.xxhash64(doc_id.isNull(), F.coalesce(text, F.lit(""))).alias("text_key")]
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """(doc, id, key): each row as one struct beside its row_key, so that no column of docs clashes with others in a join."""
+    own_id, key = row_key(F.col("doc_id"), F.col("text"))
+    return docs.select(F.struct("*").alias("doc"), own_id.alias("id"), key.alias("key"))
+
+
+def restored(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs again out of carried rows, some of them changed."""
+    return rows.select(*(changed[c].alias(c) if c in changed else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
+
+
 def steps(texts: Iterable[bytes | None], most: int = STEP_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about `most` bytes with the index of their first; None counts as empty."""
     at, held, size, i = 0, [], 0, -1
@@ -87,3 +98,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def column(batch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+def texts_of(batch, name: str = "text", rows: int = 256) -> Iterator[bytes | None]:
+    """The texts of a batch, a few at a time, so that the batch is not held twice."""
+    import pyarrow as pa
+
+    whole = batch.column(batch.schema.get_field_index(name))
+    for at in range(0, batch.num_rows, rows):
+        yield from whole.slice(at, rows).cast(pa.binary()).to_pylist()

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialise
+from .common import column, materialise, texts_of
 
 CAPACITY, END_ID = 2048, 0
 #: Bins that a task of the first round holds open.
@@ -151,8 +151,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_bins: i
         base, encode, bins = TaskContext.get().partitionId() << 34, encoder(tokenizer), OpenBins(capacity, open_bins)
         rows: list[tuple] = []
         for batch in batches:
-            for doc, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
-                ids = np.array([*encode(text or ""), END_ID], "<u4")
+            for doc, text in zip(column(batch, "doc_id"), texts_of(batch), strict=True):
+                ids = np.array([*encode((text or b"").decode()), END_ID], "<u4")
                 for k, (start, length) in enumerate(pieces_of(len(ids), capacity)):
                     own = ids[start : start + length]
                     item = (doc, k, start, length, zlib.crc32(own.tobytes()), *([own.astype(np.int32)] if keep_ids else []))

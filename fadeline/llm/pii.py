@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_key
+from .common import carried, materialise, restored, row_key
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring; what a pattern needs to count: distinct known instances of one kind, and their share.
@@ -154,22 +154,23 @@ def _candidates() -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span of its texts replaced by <kind>, n_chars set anew; null texts stay null. Keeps all columns."""
+    """docs with every span of its texts replaced by <kind>, n_chars of those texts set anew. Keeps all columns."""
     found = find_pii(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), "spans")
     found = found.groupBy("own_id", "own_key").agg(F.first("spans").alias("spans"))  # repeated rows have equal spans
     place = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
+    text = F.col("doc.text")
 
     def step(state: Column, s: Column) -> Column:
-        piece = F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"])
+        piece = F.substring(text, state["at"] + 1, s["start"] - state["at"])
         put = F.struct(s["end"].alias("at"), F.concat(state["parts"], F.array(piece, F.concat(F.lit("<"), s["kind"], F.lit(">")))).alias("parts"))
         inside = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["parts"].alias("parts"))
         return F.when(s["start"] >= state["at"], put).otherwise(inside)
 
-    whole = F.aggregate("spans", place, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    keyed = docs.withColumn("own_text_key", row_key(F.col("doc_id"), F.col("text"))[1])
-    met = keyed.join(found, F.expr("doc_id <=> own_id and own_text_key = own_key"), "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(whole)
-    return met.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
+    whole = F.aggregate("spans", place, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    met = carried(docs).join(found, F.expr("id <=> own_id and key = own_key"), "left")
+    new = F.when(F.col("spans").isNull(), text).otherwise(whole)
+    changed = {"text": new} | ({"n_chars": F.when(F.col("spans").isNull(), F.col("doc.n_chars")).otherwise(F.length(new)).cast("long")} if "n_chars" in docs.columns else {})
+    return restored(met, docs, **changed)
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:

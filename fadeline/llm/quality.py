@@ -14,13 +14,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_WORDS, column, mix, row_key, steps
+from .common import MEMO_WORDS, column, mix, row_key, steps, texts_of
 from .ftrl import Ftrl, sigmoid
 
 #: Hash space of the features; feature 0 is the bias.
 SIZE = 1 << 18
 #: Most labelled rows that training reads, in a fixed pseudo-random order of doc_id.
-SAMPLE = 8192
+SAMPLE = 5000
 EPOCHS, SCALE, THRESHOLD = 3, 6.0, 0.3
 #: (stream, n) of the n-grams; streams: 0 words, 1 shapes.
 GRAMS = ((0, 1), (0, 2), (1, 1), (1, 2), (1, 3))
@@ -112,8 +112,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
         memo, rows = _Tokens(), []
         for batch in batches:
-            ids, ys, texts = (column(batch, c) for c in ("doc_id", "label", "text"))
-            for at, part in steps(texts):
+            ids, ys = column(batch, "doc_id"), column(batch, "label")
+            for at, part in steps(texts_of(batch)):
                 rows += [(xxhash.xxh3_64_intdigest(str(ids[at + k])), ys[at + k], *row) for k, row in enumerate(sparse_rows(part, memo))]
         rows.sort(key=lambda r: (r[0], len(r[2])))
         model = Ftrl(SIZE, alpha=0.3, l1=0.02, l2=0.1)
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([model.weights().tobytes()])], names=["weights"])
 
-    drawn = labelled_sample(docs, labels, label, most).coalesce(1)
+    drawn = labelled_sample(docs, labels, label, most)
     got = drawn.repartition(1).mapInArrow(learn, "weights binary").collect()
     return np.frombuffer(got[0][0], np.float32) if got else np.zeros(SIZE, np.float32)
 
@@ -137,7 +137,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
         memo = _Tokens()
         for batch in batches:
-            got = [scores(part, shared.value, memo) for _, part in steps(column(batch, "text"))]
+            got = [scores(part, shared.value, memo) for _, part in steps(texts_of(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(got or [np.zeros(0)]))], names=["doc_id", "text_key", "score"])
 
     own = docs.select(*row_key(F.col("doc_id"), F.col("text")), F.col("text").cast("binary").alias("text"))
@@ -153,8 +153,7 @@ def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
         memo = _Tokens()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
-            got = [scores(part, shared.value, memo) for _, part in steps(texts)]
+            got = [scores(part, shared.value, memo) for _, part in steps(texts_of(batch))]
             yield batch.filter(pa.array(np.concatenate(got or [np.zeros(0)]) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialise, row_key, session_partitions, steps
+from .common import carried, materialise, restored, row_key, session_partitions, steps, texts_of
 from .graph import components
 
 SEED, SHINGLE_WORDS, DISTANCE = 42, 4, 4
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import pyarrow as pa
 
         for batch in batches:
-            ids, keys, texts = batch.column(0), batch.column(1), column(batch, "text")
+            ids, keys, texts = batch.column(0), batch.column(1), texts_of(batch)
             fps = np.concatenate([fingerprints_of(part) for _, part in steps(texts)] or [np.zeros(0, np.uint64)])
             yield pa.RecordBatch.from_arrays([ids, keys, pa.array(fps.view(np.int64))], names=["doc_id", "text_key", "fp"])
 
@@ -210,11 +210,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     groups = materialise(near_duplicates(docs), "near-duplicates")
     best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))
     best = best.select(F.col("best.doc_id").alias("keep_id"), F.col("best.text_key").alias("keep_key")).distinct()
-    key = row_key(F.col("doc_id"), F.col("text"))[1].alias("keep_key")
-    cond = F.expr("doc_id <=> keep_id and own_key = keep_key")
-    kept = docs.withColumn("own_key", key).join(best, cond, "left_semi")
+    kept = carried(docs).join(best, F.expr("id <=> keep_id and key = keep_key"), "left_semi")
     again = groups.groupBy("doc_id", "text_key").count().filter("count > 1")
-    return (kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "own_key"])).drop("own_key")
+    return restored(kept if again.isEmpty() else kept.dropDuplicates(["id", "key"]), docs)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

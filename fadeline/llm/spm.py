@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, row_key
+from .common import row_key, texts_of
 
 SPACE = "▁"
 #: Fixed values of the public model format: kinds of pieces, kinds of models, penalty of an unknown character.
@@ -307,10 +307,11 @@ def encode_documents(docs: DataFrame, model: bytes, keep_ids: bool = False) -> D
         own = encoder_of(model)
         for batch in batches:
             rows = []
-            for text in column(batch, "text"):
-                packed, n_bytes = own.packed(text or "")
+            for data in texts_of(batch):
+                text = (data or b"").decode()
+                packed, n_bytes = own.packed(text)
                 ids = np.frombuffer(packed, "<u4")
-                rows.append((len(ids), n_bytes, zlib.crc32(packed), own.decode(ids.tolist()) == (text or ""), *[ids.astype(np.int32)] * keep_ids))
+                rows.append((len(ids), n_bytes, zlib.crc32(packed), own.decode(ids.tolist()) == text, *[ids.astype(np.int32)] * keep_ids))
             columns = list(zip(*rows, strict=True)) or [()] * (4 + keep_ids)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), *[pa.list_(pa.int32())] * keep_ids]
             arrays = [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))]

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, column, hashed_words, materialise, mix, row_key, steps
+from .common import WordHashes, column, hashed_words, materialise, mix, row_key, steps, texts_of
 
 WINDOW, GRAM = 35, 10
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -115,7 +115,7 @@ def _packed_texts(docs: DataFrame) -> DataFrame:
 
         tool = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([tool.compress(t or b"") for t in column(batch, "text")], pa.binary())], names=["doc_id", "text_key", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([tool.compress(t or b"") for t in texts_of(batch)], pa.binary())], names=["doc_id", "text_key", "packed"])
 
     return _own(docs).mapInArrow(run, "doc_id long, text_key long, packed binary")
 
@@ -129,7 +129,7 @@ def stretches(docs: DataFrame) -> DataFrame:
         memo = WordHashes()
         for batch in batches:
             ids, keys = batch.column(0), batch.column(1)
-            for at, part in steps(column(batch, "text")):
+            for at, part in steps(texts_of(batch)):
                 _, hashes, starts = hashed_words(part, memo)
                 s = Stretches(hashes, starts)
                 row = pa.array(s.text + at)

@@ -16,14 +16,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_WORDS, column, row_key, steps
+from .common import MEMO_WORDS, column, row_key, steps, texts_of
 from .ftrl import Ftrl, sigmoid
-from .quality import SAMPLE, labelled_sample
+from .quality import labelled_sample
 
 SIZE, FOLDS, EPOCHS, THRESHOLD = 1 << 20, 3, 4, 0.5
 CATEGORIES = ("dense", "repeated", "toxic")
 #: Lengths of the beginnings of words that are features beside the words: inflected forms share them.
 BEGINNINGS = (3, 5, 7)
+#: Most labelled rows that training reads, in a fixed pseudo-random order of doc_id.
+SAMPLE = 8192
 #: A word marks toxicity if so many flagged training rows have it, at so many times the share of the others.
 MARK_ROWS, MARK_RATIO = 3, 8.0
 DENSE_WORDS, REPEATED_HITS = 2, 2
@@ -119,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         memo, rows = _Words(), []
         for batch in batches:
             ids, ys = column(batch, "doc_id"), column(batch, "label")
-            for at, part in steps(column(batch, "text")):
+            for at, part in steps(texts_of(batch)):
                 index, doc = word_features(part, memo)
                 cuts = np.searchsorted(doc, np.arange(len(part) + 1))
                 for k in range(len(part)):
@@ -166,7 +168,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         memo = _Words()
         for batch in batches:
-            got = np.concatenate([probabilities(part, shared.value, memo) for _, part in steps(column(batch, "text"))] or [np.zeros((0, len(CATEGORIES)))])
+            got = np.concatenate([probabilities(part, shared.value, memo) for _, part in steps(texts_of(batch))] or [np.zeros((0, len(CATEGORIES)))])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, got.T.copy())], names=["doc_id", "text_key", *names])
 
     names = [f"p_{c}" for c in CATEGORIES]
