@@ -1,0 +1,440 @@
+"""Operators against plain versions of what they compute."""
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from fadeline.llm import graph, mih, packing, pii, quality, simhash, spm, substring, topk, toxicity, urls
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def words(rng, n, vocabulary=400):
+    return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
+
+
+# --- substring ---
+
+
+def removed(texts, window=substring.WINDOW):
+    split = [WORD.findall(t) for t in texts]
+    seen = collections.Counter(tuple(w[k : k + window]) for w in split for k in range(len(w) - window + 1))
+    out = []
+    for w in split:
+        gone = [False] * len(w)
+        for k in range(len(w) - window + 1):
+            if seen[tuple(w[k : k + window])] > 1:
+                gone[k : k + window] = [True] * window
+        out.append((len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
+    return out
+
+
+def test_substring_against_all_windows(spark):
+    rng = random.Random(1)
+    passages = [words(rng, n) for n in (34, 35, 36, 60, 90)]
+    texts = []
+    for k in range(120):
+        parts = [words(rng, rng.randrange(0, 50)), list(rng.choice(passages)), words(rng, rng.randrange(0, 50))]
+        if k % 3 == 0:  # near copies: one word of the passage differs
+            parts[1][rng.randrange(len(parts[1]))] = f"changed{k}"
+        texts.append(rng.choice((" ", "\n", "\t\x0b")).join(itertools.chain(*parts)))
+    texts += ["a b " * 40, "a " * 36, "a " * 35, "z\u00a0z " * 40, texts[0], texts[0]]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == removed(texts)
+
+
+@given(st.lists(st.integers(0, 3), min_size=0, max_size=120), st.integers(1, 6), st.integers(1, 9))
+@settings(max_examples=60, deadline=None)
+def test_every_window_belongs_to_one_stretch(values, gram, more):
+    window = gram + more
+    hashes = np.array(values, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    s = substring.Stretches(hashes, np.array([0, len(values)]), window, gram)
+    covered = [a + k for a, n in zip(s.start, s.n, strict=True) for k in range(n)]
+    assert covered == list(range(max(0, len(values) - window + 1)))
+    by_words = collections.defaultdict(set)
+    for k in range(len(s.n)):
+        for j, h in enumerate(s.windows(k)):
+            at = s.start[k] + j
+            by_words[tuple(values[at : at + window])].add((int(s.seed[k]), int(h)))
+    assert all(len(x) == 1 for x in by_words.values())
+
+
+# --- simhash ---
+
+
+def fingerprint(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    shingles = [" ".join(w[k : k + 4]) for k in range(len(w) - 3)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints():
+    rng = random.Random(2)
+    texts = ["", " ", "One", "A b C", "É Ç x y", "a b c d e", " ".join(words(rng, 700)), *(" ".join(words(rng, k)) for k in range(3, 30))]
+    assert simhash.fingerprints_of([t.encode() for t in texts]).tolist() == [fingerprint(t) for t in texts]
+
+
+def test_linking_loses_no_pair(spark):
+    rng = random.Random(3)
+    fps = set()
+    for _ in range(60):
+        centre = rng.getrandbits(64)
+        for _ in range(rng.choice((1, 2, 5, 40))):
+            own = centre
+            for b in rng.sample(range(64), rng.randrange(0, 6)):
+                own ^= 1 << b
+            fps.add(own)
+    centre = rng.getrandbits(64)  # a group that overflows a block
+    fps |= {centre ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(a + 1, 64)}
+    fps = sorted(fps)
+    signed = [int(np.uint64(f).view(np.int64)) for f in fps]
+    found = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()
+    parent = {f: f for f in signed}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    array = np.array(fps, np.uint64)
+    want = {}
+    for k in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(array[k] ^ array[k + 1 :]) <= 4):
+            want[signed[k], signed[k + 1 + j]] = 1
+    for a, b in want:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    classes = {f: root(f) for f in signed}
+    pairs = {(min(p), max(p)) for p in want}
+    for r in found:  # dense buckets give a spanning forest: ends of an edge are in one class
+        assert (min(r.u, r.v), max(r.u, r.v)) in pairs or classes[r.u] == classes[r.v]
+    parent = {f: f for f in signed}
+    for r in found:
+        parent[max(root(r.u), root(r.v))] = min(root(r.u), root(r.v))
+    assert {f: root(f) for f in signed} == classes
+
+
+def test_near_duplicates_groups(spark):
+    base = " ".join(words(random.Random(4), 300, 5000))
+    rows = [(7, base), (3, base.upper().lower()), (9, base + " more"), (5, " ".join(words(random.Random(5), 300, 5000)))]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {7: 3, 3: 3, 9: 3, 5: 5}
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1200)] + [(5, 5), (None, 3)]
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()}
+    assert {n: root(n) for n in parent if n != root(n)} == got
+
+
+# --- packing ---
+
+
+def test_bins_keep_to_best_fit():
+    bins = packing.OpenBins(10, 2)
+    assert bins.add(6, "a") == [] and bins.add(5, "b") == []
+    assert bins.add(4, "c") == [[0, (0, "a"), (6, "c")]]  # the fullest that takes it, full now
+    assert bins.add(7, "d") == []
+    assert bins.add(6, "e") == [[2, (0, "d")]]  # none takes it, and the fullest of the two closes
+    assert sorted(b[0] for b in bins.rest()) == [1, 3]
+
+
+def test_pieces():
+    assert packing.pieces_of(5, 4) == [(0, 1), (1, 4)] and packing.pieces_of(8, 4) == [(0, 4), (4, 4)] and packing.pieces_of(4, 4) == [(0, 4)]
+
+
+def test_packing_is_whole_and_tight(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(7)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [" ".join(words(rng, rng.choice((0, 1, 30, 60, 120, 250, 1500)))) for _ in range(300)] + [None, "", "é😀<|endoftext|>x"]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), path, keep_ids=True).collect()
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    pieces = collections.defaultdict(dict)
+    for r in rows:
+        pieces[r.doc_id][r.piece] = r
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length
+    for k, text in enumerate(texts):
+        ids = [*own.encode(text or "", add_special_tokens=False).ids, 0]
+        mine = [pieces[k][j] for j in range(len(pieces[k]))]
+        assert [(r.start, r.length) for r in mine] == packing.pieces_of(len(ids)) and [x for r in mine for x in r.ids] == ids
+    sequences = collections.defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for own_pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(own_pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(sequences) <= -(-sum(r.length for r in rows) // 2048) * 1.03 + 1
+
+
+@given(st.text(max_size=80))
+@settings(max_examples=150, deadline=None)
+def test_fast_and_general_encoders_agree(text):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert list(packing.encoder(path)(text)) == list(_general(path)(text))
+
+
+def _general(path, cache={}):  # noqa: B006
+    if path not in cache:
+        cache[path] = packing._general(path)
+    return cache[path]
+
+
+# --- SentencePiece ---
+
+
+def _unigram(model: bytes) -> bytes:
+    """The same pieces as a unigram model: the kind, 2, in the trainer's message becomes 1."""
+    at = model.rindex(b"\x06tok_v0\x18\x02") + len(b"\x06tok_v0\x18")
+    return model[:at] + b"\x01" + model[at + 1 :]
+
+
+@pytest.fixture(scope="module")
+def models():
+    data = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
+    both = {"bpe": data, "unigram": _unigram(data)}
+    return {k: (spm.Encoder(spm.Model.load(m)), sentencepiece.SentencePieceProcessor(model_proto=m)) for k, m in both.items()}
+
+
+TEXTS = ["", " ", "Hello world", "  two  spaces  ", "tabs\tand\nlines\n\n", "éàü ñ ß", "日本語のテキスト", "😀 emoji 👩‍👩‍👧", "a" * 300, "1234567890 3.14", "x\u2581y", "mixed日本x é", "\u0000\u0001"]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_bpe_ids_are_the_librarys(models, text):
+    mine, theirs = models["bpe"]
+    assert mine.encode(text) == theirs.encode(text)
+    if "\u2581" not in text:
+        assert mine.decode(mine.encode(text)) == text
+
+
+@given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_bpe_random_texts(text):
+    data = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
+    mine, theirs = spm.encoder_of(data), _library(data)
+    assert mine.encode(text) == theirs.encode(text)
+    if "\u2581" not in text:
+        assert mine.decode(mine.encode(text)) == text
+
+
+def _library(data, cache={}):  # noqa: B006
+    if not cache:
+        cache[0] = sentencepiece.SentencePieceProcessor(model_proto=data)
+    return cache[0]
+
+
+@pytest.mark.parametrize("text", ["Hello world", "the quick brown fox jumps", "internationalisation of things", "unaffable réticence", "zzz qqq xkcd"])
+def test_unigram_is_viterbi(models, text):
+    mine, theirs = models["unigram"]
+    score = lambda ids: sum(mine.model.scores[i] for i in ids)
+    assert score(mine.encode(text)) == pytest.approx(score(theirs.encode(text)))
+
+
+def test_unknown_characters_without_byte_pieces(models):
+    model = spm.Model(["<unk>", "\u2581a", "b"], [0.0, -1.0, -2.0], [spm.UNKNOWN, spm.NORMAL, spm.NORMAL], spm.UNIGRAM, True, False)
+    assert spm.Encoder(model).encode("ab?!b") == [1, 2, 0, 2]
+
+
+# --- search ---
+
+
+def test_exact_top_k_against_all_products(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 16)).astype(np.float32) / 4
+    x[500:1200] = x[500]  # a very common vector: ties
+    ids = rng.permutation(3000)
+    rows = topk.exact_top_k(spark.createDataFrame([(int(i), [float(y) for y in v]) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>"), lambda c: c % 20 == 0, 20).collect()
+    v, got = np.floor(64 * x.astype(float)), collections.defaultdict(list)
+    for r in sorted(rows):
+        got[r.query_id].append((r.vec_id, r.score))
+    for k in np.flatnonzero(ids % 20 == 0):
+        score = v @ v[k]
+        order = [j for j in np.lexsort((ids, -score)) if j != k][:20]
+        assert got[int(ids[k])] == [(int(ids[j]), int(score[j])) for j in order]
+
+
+def test_pivots_stop_early():
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((20, 8)) * 300
+    v = np.floor(np.repeat(centres, 200, axis=0) + rng.standard_normal((4000, 8)))
+    norm = np.sqrt((v * v).sum(axis=1)).max()
+    pivots = topk.spread_pivots(topk.lifted(v[::4], norm))
+    query = v[5]
+    least = np.abs(topk.distances(topk.lifted(v, norm), pivots) - topk.distances(np.append(query, 0)[None, :], pivots)).max(axis=1)
+    reach = query @ query + norm**2
+    bound = np.floor((reach - least**2) / 2 + 1e-6 * reach)
+    ids, scores, n = topk.pivot_search(query, 5, bound, np.arange(len(v)), v, 10)
+    products = v @ query
+    products[5] = -np.inf
+    assert scores.tolist() == np.sort(products)[::-1][:10].tolist() and n < len(v)
+
+
+def test_multi_index_hashing_recall(spark):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((6000, 64))
+    x[:1500] = rng.standard_normal(64) + 0.1 * rng.standard_normal((1500, 64))  # a dense group
+    rows = mih.nearest(spark.createDataFrame([(k, [float(y) for y in v]) for k, v in enumerate(x)], "vec_id long, embedding array<float>"), lambda c: c % 50 == 0, 5).collect()
+    x = x.astype(np.float32).astype(float)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    got, hits = collections.defaultdict(list), 0
+    for r in sorted(rows):
+        got[r.query_id].append(r.vec_id)
+        assert r.score == pytest.approx(u[r.query_id] @ u[r.vec_id], abs=1e-9)
+    for q in range(0, 6000, 50):
+        cosine = u @ u[q]
+        cosine[q] = -2
+        hits += len(set(np.argsort(-cosine)[:5].tolist()) & set(got[q]))
+    assert hits / (5 * 120) >= 0.9
+
+
+def test_probing_finds_every_code_within_the_radius():
+    rng = np.random.default_rng(11)
+    code = rng.integers(0, 2**63, 500, dtype=np.int64).view(np.uint64)
+    query, index = code[0], mih.Index(code)
+    for r in range(0, 6):
+        found = set(np.concatenate([index.probe(query, k) for k in range(r + 1)]).tolist())
+        radius = mih.SUBSTRINGS * r + mih.SUBSTRINGS - 1
+        assert set(np.flatnonzero(np.bitwise_count(code ^ query) <= radius).tolist()) <= found
+
+
+# --- PII ---
+
+
+def base_spans(t):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
+        out.append((m.start(), 0, m.end(), "email"))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append((m.start(), 1, m.end(), "ip"))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        worth = [int(c) if k % 2 == 0 else 2 * int(c) - 9 * (int(c) > 4) for k, c in enumerate(d[::-1])]
+        if 12 <= len(d) <= 19 and sum(worth) % 10 == 0:
+            out.append((m.start(), 2, m.end(), "card"))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t):
+        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append((m.start(), 3, m.end(), "phone"))
+    return [(a, b, k) for a, _, b, k in sorted(out)]
+
+
+PII_TEXTS = [
+    "a@b.c_d@e.f x", "mail me a.b+c@x-y.co.uk. or z@q", "1.2.3.4.5.6.7.8 999.1.1.1 0001.002.3.255", "4111 1111 1111 1111 and 4111-1111-1111-1112 4111  1111", "+1 (234) 555-0199 +12 +123456789012345678", "é€𝒳 a@b.cc 1.1.1.1",
+    "", "a" * 20_000 + "@b.c", "1 " * 30_000, "9" * 30_000, "a@b" + ".c" * 20_000 + " x", "+" + "1 " * 20_000, "4" * 16 + " 4111111111111111", "a@b.c..d@e.f", "1.2.3.4 4111111111111111.5", "0300.1.1.1 00000000000000000001.1.1.1",
+]
+
+
+def test_base_spans(spark):
+    rng = random.Random(12)
+    alphabet = ["a", "1", "4", "@", ".", "-", " ", "+", "(", ")", "é", "12", "255", "4111111111111111", "x@y.zz"]
+    texts = PII_TEXTS + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(400)]
+    found = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in found:
+        assert [(s.start, s.end, s.kind) for s in r.base] == base_spans(texts[r.doc_id]), texts[r.doc_id][:80]
+
+
+def test_contexts_discover_other_forms(spark):
+    rows = [(k, f"please dial helpline number +1 555 0{k * 7919 % 1_000_000:06d} today") for k in range(20)]
+    rows += [(100, "please dial helpline number 555-0123456 today"), (101, "the part 555-0123457 is mixed"), (102, "the part +1 555 0123999 is mixed"), (103, "the part a@b.cc is mixed")]
+    got = {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == [(28, 39, "phone")] and got[101] == []
+
+
+# --- classifiers ---
+
+
+def labelled(rng, n, make):
+    return [(k, make(k, rng)) for k in range(n)]
+
+
+def test_quality_learns_and_carries_over(spark):
+    rng = random.Random(13)
+    rows, marks = [], []
+    for k in range(400):
+        good = k % 4 != 0
+        w = [f"{'abcdefgh'[rng.randrange(8)]}{rng.randrange(10**6)}x" for _ in range(60)]
+        rows.append((k, " ".join(w if good else [x + rng.choice(("%%%", "***")) for x in w])))
+        marks.append((k, int(good)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    held = {k for k, _ in rows if zlib.crc32(str(k).encode()) % 5 == 0}
+    weights = quality.train(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score(docs, weights).collect()}
+    assert np.mean([(got[k] >= quality.THRESHOLD) == bool(y) for k, y in marks if k in held]) > 0.95
+    assert {r.doc_id for r in quality.filter_quality(docs, labels).select("doc_id").collect()} == {k for k in got if got[k] >= quality.THRESHOLD}
+    other = labels.replace({0: 1, 1: 0}, subset=["quality"]).filter(f"doc_id in ({','.join(map(str, held))})").union(labels.filter(f"doc_id not in ({','.join(map(str, held))})"))
+    assert np.array_equal(quality.train(docs, other), weights)  # labels of held-out rows are never learnt
+
+
+def test_batch_scores_equal_sparse_dot_products():
+    rng, weights = random.Random(14), np.random.default_rng(15).standard_normal(quality.SIZE).astype(np.float32)
+    texts = [" ".join(words(rng, n, 20)).encode() for n in (0, 1, 2, 3, 50)]
+    memo = quality._Tokens()
+    dots = [float(weights[i].astype(float) @ x) for i, x in quality.sparse_rows(texts, memo)]
+    assert quality.scores(texts, weights, memo) == pytest.approx(1 / (1 + np.exp(-np.array(dots))), abs=1e-4)
+
+
+def test_toxicity_chain(spark):
+    rng = random.Random(16)
+    rows, marks = [], []
+    for k in range(600):
+        flagged, w = k % 5 == 0, words(rng, 80, 3000)
+        for _ in range(rng.randrange(1, 4) if flagged else 0):
+            w[rng.randrange(80)] = rng.choice(("Foulword!", "badname", "vileling"))
+        rows.append((k, " ".join(w)))
+        marks.append((k, int(flagged)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    held = [(k, y) for k, y in marks if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert np.mean([got[k].toxic == bool(y) for k, y in held]) > 0.95
+    assert all(0 <= got[k].p_dense <= 1 for k in got)
+
+
+# --- URLs ---
+
+
+def test_propagation_against_power_iteration(spark):
+    rng = random.Random(17)
+    edges = sorted({(rng.randrange(12), rng.randrange(12)) for _ in range(40)} - {(k, k) for k in range(12)})
+    n = {e: rng.randrange(1, 4) for e in edges}
+    out = collections.Counter()
+    for (a, _), k in n.items():
+        out[a] += k
+    score = base = {0: 1.0, 5: 1.0}
+    for _ in range(urls.ROUNDS):
+        new = collections.Counter(base)
+        for (a, b), k in n.items():
+            new[b] += urls.DAMPING * score.get(a, 0) * k / out[a]
+        score = dict(new)
+    table = spark.createDataFrame([(f"h{a}", f"h{b}", k) for (a, b), k in n.items()], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("h0", 1.0), ("h5", 1.0)], "host string, share double")
+    got = {r.host: r.score for r in urls.propagate(table, seeds).collect()}
+    for k, v in score.items():
+        assert got.get(f"h{k}", 0) == pytest.approx(v)
