@@ -5,7 +5,7 @@ links) and relaxes the best segmentation up to there. For unigram models that is
 sum of scores. BPE models do not maximise a sum (their scores are merge ranks), so a sum would give
 other ids than the model's own; there the same pass keeps, of the pieces that end at a position, the
 one that BPE itself ends with: the piece that stays apart from its predecessor when BPE runs on just
-the two of them. Both give the ids of the model's own library.
+the two of them. That gives the ids of the format's own library.
 """
 
 from __future__ import annotations
