@@ -41,9 +41,9 @@ def tidy(df: DataFrame) -> DataFrame:
 
 def sequence(read) -> DataFrame:
     """(file, cell_id, ord, cycle_number, soh, kind): one row per event, numbered in its user's time order."""
-    e = read("events")
-    place = F.row_number().over(W.partitionBy("user_id").orderBy("ts"))
-    return e.select(F.col("user_id").alias("file"), F.col("user_id").alias("cell_id"), place.alias("ord"), place.alias("cycle_number"), F.col("value").alias("soh"), F.col("event_type").alias("kind"))
+    e = read("events").select(F.col("user_id").alias("file"), "ts", F.col("value").alias("soh"), F.col("event_type").alias("kind"))
+    e = e.withColumn("ord", F.row_number().over(W.partitionBy("file").orderBy("ts")))
+    return e.select("file", F.col("file").alias("cell_id"), "ord", F.col("ord").alias("cycle_number"), "soh", "kind")
 
 
 def predictions(read, horizon: int = HORIZON) -> DataFrame:
