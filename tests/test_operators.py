@@ -358,3 +358,11 @@ def test_texts_of_sinks(spark, tmp_path):
     assert sinks.write_union_csv([], str(tmp_path / "no")) is False
     sinks.write_union_csv([rows, spark.createDataFrame([("z",)], "s string")], str(tmp_path / "u"))
     assert spark.read.option("header", True).csv(str(tmp_path / "u")).columns == ["k", "x", "s"]
+
+
+def test_presets():
+    from fadeline.plans.presets import OWN, presets
+
+    assert [len(presets(m)) for m in OWN] == [29, 33, 36]
+    assert all(len({experiments.config_hash(c) for c in presets(m)}) == len(presets(m)) for m in OWN)
+    assert [len(presets(m, "smoke")) for m in OWN] == [1, 1, 1] and presets("cpmlp_cpdsconv_fusion", "quick")[2]["dropout"] == 0.15
