@@ -170,16 +170,15 @@ def repeated(docs: DataFrame, texts: DataFrame) -> DataFrame:
     again = seeds.groupBy("seed").agg(F.count("*").alias("times"), F.min("stretch").alias("a"), F.max("stretch").alias("b"))
     # tables of repeats are written before they are joined: an aggregate right below a join would tie the
     # join to its partitions, and the rows of a hot seed could then not be split over tasks
-    again = materialise(again.filter("times > 1").select(F.col("seed"), (F.col("a") != F.col("b")).alias("mixed")), "again")
-    hits = materialise(seeds.join(again, "seed"), "repeated-seeds")
-    whole = hits.filter("not mixed").select("doc_id", "text_key", "start", (F.expr("shiftleft(1L, n)") - 1).alias("mask"))
-    mixed = hits.filter("mixed")
+    again = materialise(again.filter("times > 1").select("seed", "a", (F.col("a") != F.col("b")).alias("mixed")), "again")
+    mixed = seeds.drop("n").join(again.filter("mixed").select("seed"), "seed")
     distinct = mixed.groupBy("seed", "stretch").agg(F.count("*").alias("times"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "start")).alias("at"))
     windows = materialise(_windows(texts, distinct.select("seed", "stretch", "times", "at.doc_id", "at.text_key", "at.start")), "windows")
     twice = windows.groupBy("seed", "window").agg(F.sum("times").alias("all")).filter("all > 1").select("seed", "window")
     masks = windows.join(materialise(twice, "twice"), ["seed", "window"]).groupBy("seed", "stretch").agg(F.bit_or(F.expr("shiftleft(1L, cast(k as int))")).alias("mask"))
-    masks = materialise(masks, "masks")
-    return whole.union(mixed.join(masks, ["seed", "stretch"]).select("doc_id", "text_key", "start", "mask"))
+    whole = again.filter("not mixed").select("seed", F.col("a").alias("stretch"), F.lit(None).cast("long").alias("mask"))  # all windows
+    found = seeds.join(materialise(whole.union(masks), "masks"), ["seed", "stretch"])
+    return found.select("doc_id", "text_key", "start", F.coalesce("mask", F.expr("shiftleft(1L, n)") - 1).alias("mask"))
 
 
 def without_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
