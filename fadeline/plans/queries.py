@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays, labels, numbers
-from ..operators import anomaly, audit, metrics, normalize, ranking, rollup, sets, splits, windows
+from ..operators import anomaly, audit, metrics, normalize, projections, ranking, rollup, selection, sets, splits, windows
 from . import experiments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -675,3 +675,72 @@ def json_metric_rows(read):
 @query("""SELECT p_partkey, left(sha1('{"brand": "' || p_brand || '", "size": ' || p_size || '}'), 10) AS hash FROM part""")
 def config_hash(read):
     return read("part").select("p_partkey", experiments.config_hash({"size": F.col("p_size"), "brand": F.col("p_brand")}).alias("hash"))
+
+
+# --- projections, filters, selection ----------------------------------------------------------------
+
+
+@query("SELECT 'run' AS name, 7::BIGINT AS seed, c_custkey, c_acctbal AS val_balance, c_mktsegment AS segment, coalesce(c_nationkey::VARCHAR, '') || '|' || c_mktsegment AS key, 'c_nationkey=' || c_nationkey || '|c_mktsegment=' || c_mktsegment AS named FROM customer")
+def projected_columns(read):
+    c = read("customer").select("c_custkey", F.col("c_acctbal").alias("balance"), "c_nationkey", "c_mktsegment")
+    out = projections.with_constants(projections.prefixed(c, "val_", ("balance",)), name="run", seed=7)
+    out = out.withColumn("key", projections.key_of("c_nationkey", "c_mktsegment")).withColumn("named", projections.key_of("c_nationkey", "c_mktsegment", named=True))
+    return projections.known_first(projections.without(out.withColumnRenamed("c_mktsegment", "segment"), "c_nationkey"), ("name", "seed"))
+
+
+@query("SELECT page_id, url FROM pages WHERE regexp_matches(regexp_extract(url, '([^/]*)$', 1), '[0-9]') AND NOT regexp_matches(regexp_extract(url, '([^/]*)$', 1), 'html|page') ORDER BY url, page_id LIMIT 25")
+def file_filter(read):
+    """Include and exclude by name, then the first 25 by path."""
+    name = labels.name_of(F.col("url"))
+    kept = read("pages").filter(name.rlike("[0-9]") & ~name.rlike("html|page"))
+    return kept.orderBy("url", "page_id").limit(25).select("page_id", "url")
+
+
+@query(f"WITH {SEQ}, c AS (SELECT file, count(*) AS n, min(soh) AS low, max(soh) AS high FROM seq GROUP BY file) SELECT file, concat_ws('; ', CASE WHEN n < 60 THEN 'needs 60 cycles, has ' || n END, CASE WHEN low > 2 THEN 'never low' END, CASE WHEN high < 200 THEN 'never high' END) AS reason, CASE WHEN n < 60 OR low > 2 OR high < 200 THEN 'skipped' ELSE 'used' END AS status FROM c")
+def status_reasons(read):
+    c = sequence(read).groupBy("file").agg(F.count("*").alias("n"), F.min("soh").alias("low"), F.max("soh").alias("high"))
+    reason = F.concat_ws("; ", F.when(F.col("n") < 60, F.concat(F.lit("needs 60 cycles, has "), F.col("n").cast("string"))), F.when(F.col("low") > 2, "never low"), F.when(F.col("high") < 200, "never high"))
+    return c.select("file", reason.alias("reason"), F.when(reason == "", "used").otherwise("skipped").alias("status"))
+
+
+def metric_files(read) -> DataFrame:
+    l = read("lineitem").filter("l_orderkey < 400")
+    path = F.concat(F.lit("runs/"), F.when(F.col("l_partkey") % 5 == 0, "Tuned_").otherwise(""), F.col("l_orderkey").cast("string"))
+    m = F.concat(F.lit("m"), (F.col("l_suppkey") % 4).cast("string"))
+    model = F.when(m == "m0", "persistence").otherwise(m)
+    rows = l.groupBy(model.alias("model"), path.alias("path")).agg(F.avg("l_tax").alias("RMSE"), F.avg("l_discount").alias("MAE"))
+    return rows.withColumn("policy_ok", F.lit(True)).withColumn("R2", F.lit(None).cast("double"))
+
+
+@query("WITH r AS (SELECT CASE WHEN l_suppkey % 4 = 0 THEN 'persistence' ELSE 'm' || (l_suppkey % 4) END AS model, 'runs/' || CASE WHEN l_partkey % 5 = 0 THEN 'Tuned_' ELSE '' END || l_orderkey AS path, avg(l_tax) AS RMSE, avg(l_discount) AS MAE FROM lineitem WHERE l_orderkey < 400 GROUP BY 1, 2), k AS (SELECT path, string_agg(model, ',' ORDER BY model) FILTER (model <> 'persistence') AS learned_models, count(*) FILTER (model <> 'persistence') AS n FROM r GROUP BY path) SELECT model, r.path, learned_models FROM r JOIN k ON r.path = k.path WHERE model <> 'persistence' AND n >= 2 AND NOT starts_with(r.path, 'runs/Tuned')")
+def selection_candidates(read):
+    return selection.candidates(metric_files(read), drop_tuned=True, drop_single=True).select("model", "path", "learned_models")
+
+
+@query("WITH r AS (SELECT CASE WHEN l_suppkey % 4 = 0 THEN 'persistence' ELSE 'm' || (l_suppkey % 4) END AS model, 'runs/' || CASE WHEN l_partkey % 5 = 0 THEN 'Tuned_' ELSE '' END || l_orderkey AS path, avg(l_tax) AS RMSE, avg(l_discount) AS MAE FROM lineitem WHERE l_orderkey < 400 GROUP BY 1, 2) SELECT model, path, row_number() OVER (ORDER BY round(RMSE, 9), round(MAE, 9), model, path) AS place FROM r WHERE model <> 'persistence'")
+def global_test_rank(read):
+    rows = selection.candidates(metric_files(read)).withColumns({c: F.round(c, 9) for c in ("RMSE", "MAE")})
+    return selection.by_test_metrics(rows, "path").select("model", "path", F.col("rank").alias("place"))
+
+
+VAL = f"{L2}, v AS (SELECT model, horizon, avg(mae_mean) AS mae, avg(rmse_mean) AS rmse, avg(mae_std) AS std FROM l2 GROUP BY ALL)"
+
+
+def validation_summary(read) -> DataFrame:
+    v = level2(read).groupBy("model", "horizon").agg(F.avg("mae_mean").alias("MAE_mean"), F.avg("rmse_mean").alias("RMSE_mean"), F.avg("mae_std").alias("MAE_std"))
+    return v.withColumn("MAPE_percent_mean", F.col("MAE_mean") * 100).withColumn("skill_mean", 1 - F.col("MAE_mean"))
+
+
+@query(f"WITH {VAL}, s AS (SELECT model, avg(mae) AS a, avg(rmse) AS r, coalesce(stddev_samp(mae), 0) AS s, max(mae) AS w, count(DISTINCT horizon) AS n FROM v GROUP BY model) SELECT model, round(a, 6) AS avg_MAE, round(s, 6) AS std_MAE, round(w, 6) AS worst_MAE, n AS n_horizons, row_number() OVER (ORDER BY a, r, model) = 1 AS selected FROM s")
+def validation_selection(read):
+    return selection.by_validation_metrics(validation_summary(read), 7).select("model", "avg_MAE", "std_MAE", "worst_MAE", "n_horizons", "selected")
+
+
+@query(f"WITH {VAL}, r AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY mae, rmse, model) AS place FROM v) SELECT horizon, model, round(mae, 6) AS mae FROM r WHERE place = 1")
+def best_per_horizon(read):
+    return selection.per_horizon(validation_summary(read)).select("horizon", "model", F.col("MAE_mean").alias("mae"))
+
+
+@query("SELECT dataset, n, status FROM (VALUES ('CALB', 1::BIGINT, 'allowed'), ('MATR', 1, 'allowed'), ('NA-ion', 1, 'excluded'), ('RWTH', 1, 'unexpected'), ('HUST', 1, 'unexpected'), ('unknown', 4, 'unexpected'), ('SNL', 1, 'allowed'), ('MICH', 1, 'unexpected'), ('MICH_EXP', 1, 'unexpected'), ('UL_PUR', 1, 'unexpected'), ('ISU_ILCC', 1, 'unexpected'), ('SDU', 1, 'unexpected'), ('Stanford', 1, 'unexpected'), ('Stanford_2', 1, 'unexpected'), ('Tongji', 1, 'unexpected'), ('XJTU', 1, 'unexpected'), ('ZN-coin', 1, 'excluded'), ('HNEI', 1, 'unexpected'), ('CALCE', 1, 'unexpected')) t(dataset, n, status)")
+def file_inventory(read):
+    return audit.inventory(_files(read), ["CALB", "MATR", "SNL"])

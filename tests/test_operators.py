@@ -366,3 +366,40 @@ def test_presets():
     assert [len(presets(m)) for m in OWN] == [29, 33, 36]
     assert all(len({experiments.config_hash(c) for c in presets(m)}) == len(presets(m)) for m in OWN)
     assert [len(presets(m, "smoke")) for m in OWN] == [1, 1, 1] and presets("cpmlp_cpdsconv_fusion", "quick")[2]["dropout"] == 0.15
+
+
+def test_search():
+    from fadeline.plans import search
+
+    space = {"size_preset": ["small", "large"], "lr": (1e-5, 1e-1), "dropout": [0.1, 0.2, 0.3]}
+    score = lambda c: abs(math.log10(c["lr"]) + 3) + c["dropout"] + (c["model_hidden"] == 128)
+    trials = search.study(space, score, 40, seed=1)
+    assert len(trials) == 40 and min(t[1] for t in trials) < 0.5
+    late, early = [t[1] for t in trials[20:]], [t[1] for t in trials[:10]]
+    assert sum(late) / len(late) < sum(early) / len(early)
+    assert len(search.study(space, score, 12, done=trials[:10])) == 12
+    assert search.should_stop([[1.0, 1.0]] * 3, [1.0, 2.0]) and not search.should_stop([[1.0]] * 3, [1.0, 2.0])
+
+
+def test_reports():
+    from fadeline.plans import reports
+
+    text = reports.selection_report([{"rank": 1, "model": "m", "RMSE": 0.5}], "test metrics")
+    assert "`m` is selected by test metrics" in text and "| 1 | m | 0.5 |" in text
+    text = reports.experiment_report("T", [{"k": 1}, {"k": 2}], [{"k": 1, "mae": 0.1, "status": "done"}, {"k": 2, "status": "failed", "reason": "no"}], ("mae",))
+    assert "2 planned, 1 done, 1 failed." in text and "| 2 | no |" in text
+    assert reports.command_file([["a", "b c"]]) == "a 'b c'\n"
+
+
+def test_projections(spark):
+    from fadeline.operators import projections, selection
+
+    rows = spark.createDataFrame([(1, None), (2, "x")], "k int, path string")
+    plan = spark.createDataFrame([(1, 0.1), (2, 0.2)], "k int, lr double")
+    assert sorted((r.k, r.lr) for r in projections.enriched(rows, plan, ["k"]).collect()) == [(1, 0.1), (2, 0.2)]
+    files = spark.createDataFrame([("f1",)], "path string")
+    got = projections.filled_path(rows, "path", files, F.concat(F.lit("f"), F.col("k").cast("string")))
+    assert sorted((r.k, r.path) for r in got.collect()) == [(1, "f1"), (2, "x")]
+    short = spark.createDataFrame([("m", 10, 1.0, 1.0, 1.0, 0.0, 0.0)], "model string, horizon int, MAE_mean double, RMSE_mean double, MAPE_percent_mean double, MAE_std double, skill_mean double")
+    with pytest.raises(Exception, match="a horizon is missing for m"):
+        selection.by_validation_metrics(short, 2).collect()
