@@ -44,7 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (columns u, v, long); component is its smallest node.
 
     Alternating large-star and small-star rounds: each node only ever meets the least of its
-    neighbours, an aggregate that combines before the shuffle, so that no adjacency list is gathered.
+    neighbours, an aggregate that combines before the shuffle, so that no adjacency list is gathered. It is
+    written before it is joined back, so that the edges of a node with very many can be split over tasks.
     Self-loops and repeated edges do no harm; an empty table gives an empty one.
     """
     pairs = materialise(local_forest(edges.filter("u is not null and v is not null"), "u", "v").distinct(), "edges")
@@ -52,12 +53,12 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         # large star: every neighbour above a node is tied to the least of that node and its neighbours
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         large = materialise(large.distinct(), "large-star")
         # small star: a node and its smaller neighbours are tied to the least of them
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(down.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = down.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         pairs = materialise(small.filter("u <> v").distinct(), "small-star")
         mark = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()

@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reached = components(links(distinct))
     member = distinct.join(reached.select(F.col("node").alias("fp"), "component"), "fp", "left")
     member = member.select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = member.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = materialise(member.groupBy("component").agg(F.min("least").alias("component_id")), "named")
     member = member.join(named, "component").select("fp", "component_id")
     return own.join(member, "fp").select("doc_id", "text_key", "fp", "component_id")
 
