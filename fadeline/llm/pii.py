@@ -110,8 +110,8 @@ def discovered(instances: DataFrame) -> DataFrame:
     A pattern's score for a kind is the sum of its distinct instances' scores for it, over one more
     than their number; an instance of unknown kind scores the noisy-or of its patterns that count.
     """
-    edges = instances.select("pattern", "value", "kind").distinct()
-    total = edges.groupBy("pattern").agg(F.countDistinct("value").alias("n"))
+    edges = materialise(instances.select("pattern", "value", "kind").distinct(), "pattern-instances")
+    total = edges.select("pattern", "value").distinct().groupBy("pattern").agg(F.count("*").alias("n"))
     seeds = edges.filter("kind is not null").select("pattern", "value", "kind", F.lit(1.0).alias("score"))
     unknown = edges.filter("kind is null").select("pattern", "value")
     known, patterns = seeds, None
@@ -119,10 +119,11 @@ def discovered(instances: DataFrame) -> DataFrame:
         scored = known.groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.sum((F.col("score") >= LEAST_SCORE).cast("int")).alias("seeds"))
         scored = scored.join(total, "pattern").withColumn("confidence", F.col("mass") / (F.col("n") + 1))
         patterns = scored.filter((F.col("seeds") >= LEAST_SEEDS) & (F.col("mass") >= LEAST_SCORE * F.col("n"))).select("pattern", "kind", "confidence")
+        patterns = materialise(patterns, "patterns")  # cuts lineage, and lets a frequent pattern's instances be split over tasks
         new = unknown.join(patterns, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
         new = unknown.join(new.filter(F.col("score") >= LEAST_SEEDS / (LEAST_SEEDS + 1)), "value").select("pattern", "value", "kind", "score")
         known = seeds.unionByName(new)
-    best = patterns.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
+    best = materialise(patterns.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind")), "best-patterns")
     return instances.filter("kind is null").drop("kind").join(best, "pattern").select("row", "start", "end", "kind")
 
 

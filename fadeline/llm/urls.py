@@ -16,7 +16,7 @@ from .common import materialise
 
 #: The rules of the filter, as host and path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
-DAMPING, ROUNDS, CUT_EVERY = 0.85, 10, 3
+DAMPING, ROUNDS = 0.85, 10
 #: A host is blocked if its distrust is at least so many seeds' shares and so many times its trust.
 LEAST_DISTRUST, MARGIN = 0.02, 1.0
 _LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/"'?#\s>]+)"""
@@ -54,11 +54,10 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     steps = materialise(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("w")), "steps")
     base = seeds.select("host", F.col("share").alias("score"))
     now = base
-    for k in range(ROUNDS):
+    for _ in range(ROUNDS):
         moved = steps.join(now, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("w") * F.col("score") * DAMPING).alias("score"))
         now = moved.unionByName(base).groupBy("host").agg(F.sum("score").alias("score"))
-        if (k + 1) % CUT_EVERY == 0:
-            now = materialise(now, "ranks")
+        now = materialise(now, "ranks")  # cuts lineage, and lets the next join split a host with very many links
     return now
 
 
