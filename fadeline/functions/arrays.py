@@ -11,6 +11,11 @@ LEAST_POINTS, REFERENCE_CYCLES = 5, 5
 LARGEST_SOH = 1.5
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: inside lambdas an expression is computed at each mention."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def finite_points(a: Column) -> Column:
     """The array without null, NaN and infinite points; a missing array is empty."""
     kept = F.filter(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -19,32 +24,43 @@ def finite_points(a: Column) -> Column:
 
 def gradient(a: Column) -> Column:
     """Central differences, one-sided at the ends; null under two points."""
-    n = F.size(a)
-    inner = lambda i: F.get(a, F.least(i + 1, n - 1)) - F.get(a, F.greatest(i - 1, F.lit(0)))
-    width = lambda i: F.when((i == 0) | (i == n - 1), 1.0).otherwise(2.0)
-    return F.when(n >= 2, F.transform(a, lambda _, i: inner(i) / width(i)))
+
+    def slopes(v: Column) -> Column:
+        n = F.size(v)
+        inner = lambda i: F.get(v, F.least(i + 1, n - 1)) - F.get(v, F.greatest(i - 1, F.lit(0)))
+        width = lambda i: F.when((i == 0) | (i == n - 1), 1.0).otherwise(2.0)
+        return F.when(n >= 2, F.transform(v, lambda _, i: inner(i) / width(i)))
+
+    return let(a, slopes)
 
 
 def resample_linear(a: Column, length: int) -> Column:
     """The curve at `length` even places from its first to its last point; null under two points."""
     if length < 1:
         raise ValueError("length is at least 1")
-    n = F.size(a)
 
-    def at(k: Column) -> Column:
-        place = k * (n - 1) / F.lit(float(max(1, length - 1)))
-        low = F.least(F.floor(place).cast("int"), n - 2)
-        a0 = F.get(a, low).cast("double")
-        return a0 + (F.get(a, low + 1).cast("double") - a0) * (place - low)
+    def curve(v: Column) -> Column:
+        n = F.size(v)
+
+        def at(k: Column) -> Column:
+            place = k * (n - 1) / F.lit(float(max(1, length - 1)))
+            low = F.least(F.floor(place).cast("int"), n - 2)
+            a0 = F.get(v, low).cast("double")
+            return a0 + (F.get(v, low + 1).cast("double") - a0) * (place - low)
+
+        return F.when(n >= 2, F.transform(F.sequence(F.lit(0), F.lit(length - 1)), at))
 
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(0), F.lit(length - 1)), at))
+    return let(a, curve)
 
 
 def capacity_soh(q: Column, reference: Column) -> Column:
     """State of health: the largest finite capacity over the reference; null if out of (0, 1.5) or under five points."""
-    points = finite_points(q)
-    soh = F.try_divide(F.array_max(points).cast("double"), reference.cast("double"))
-    return F.when((F.size(points) >= LEAST_POINTS) & (soh > 0) & (soh < LARGEST_SOH), soh)
+
+    def label(points: Column) -> Column:
+        soh = F.try_divide(F.array_max(points).cast("double"), reference.cast("double"))
+        return F.when((F.size(points) >= LEAST_POINTS) & (soh > 0) & (soh < LARGEST_SOH), soh)
+
+    return let(finite_points(q), label)
 
 
 def reference_capacity(nominal: Column, q: Column, position: Column, *by: str) -> Column:
@@ -66,13 +82,19 @@ def features(v: Column, i: Column, length: int, q: Column | None = None, order:
     """
     if order not in ("VI", "IV"):
         raise ValueError("order is VI or IV")
-    fv, fi = finite_points(v), finite_points(i)
-    third = None if q is None else finite_points(q)
-    n = F.least(F.size(fv), F.size(fi), *([] if third is None else [F.size(third)]))
-    cv, ci = F.slice(fv, 1, n), F.slice(fi, 1, n)
-    cx = gradient(cv) if third is None else F.slice(third, 1, n)
-    first = [resample_linear(cv, length).alias("v"), resample_linear(ci, length).alias("i")]
-    return F.when(n >= LEAST_POINTS, F.struct(*(first if order == "VI" else first[::-1]), resample_linear(cx, length).alias("x")))
+    curves = F.array(finite_points(v), finite_points(i), *([] if q is None else [finite_points(q)]))
+
+    def cut(c: Column) -> Column:
+        n = F.array_min(F.transform(c, lambda a: F.size(a)))
+        return F.transform(c, lambda a: F.slice(a, 1, n))
+
+    def built(c: Column) -> Column:
+        cv, ci = F.get(c, F.lit(0)), F.get(c, F.lit(1))
+        third = gradient(cv) if q is None else F.get(c, F.lit(2))
+        first = [resample_linear(cv, length).alias("v"), resample_linear(ci, length).alias("i")]
+        return F.when(F.size(cv) >= LEAST_POINTS, F.struct(*(first if order == "VI" else first[::-1]), resample_linear(third, length).alias("x")))
+
+    return let(let(curves, cut), built)
 
 
 def usable_cycles(cells: DataFrame, length: int) -> DataFrame:
