@@ -145,11 +145,12 @@ class Encoder:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.memo: dict[str, tuple[bytes, int]] = {}
-        self.older: dict[str, tuple[bytes, int]] = {}
+        self.memo: dict[str, tuple[bytes, int, bytes]] = {}
+        self.older: dict[str, tuple[bytes, int, bytes]] = {}
         self._apart: dict[tuple[str, str], bool] = {}
         self._apart_ids: dict[int, bool] = {}
         self._bytes = set(model.byte_ids)
+        self._ends, self._pieces, self._lengths = model.automaton.iter, model.pieces, [*map(len, model.pieces)]
         self.floor = min((s for s, k in zip(model.scores, model.kinds, strict=True) if k == NORMAL), default=0.0) - UNKNOWN_PENALTY
         self.top = max((s for s, k in zip(model.scores, model.kinds, strict=True) if k == NORMAL), default=0.0)
 
@@ -204,20 +205,22 @@ class Encoder:
     def _bpe_ids(self, chunk: str) -> list[int]:
         """_relax_bpe on ids, for chunks whose characters are all pieces."""
         last: list[int | None] = [-1] + [None] * len(chunk)
-        apart, pieces = self._apart_ids, self.model.pieces
-        for at, (i, length) in self.model.automaton.iter(chunk):
+        apart = self._apart_ids
+        for at, (i, length) in self._ends(chunk):
             if last[at + 1] is None and (before := last[at + 1 - length]) is not None:
-                key = before << 32 | i
-                good = apart.get(key)
+                good = apart.get(before << 32 | i)
                 if good is None:
-                    good = apart[key] = self.merged((pieces[before] if before >= 0 else "") + pieces[i]) == ([pieces[before]] if before >= 0 else []) + [pieces[i]]
+                    pair = [self._pieces[k] for k in (before, i) if k >= 0]
+                    good = apart[before << 32 | i] = self.merged("".join(pair)) == pair
                 if good:
                     last[at + 1] = i
-        out, at = [], len(chunk)
+        out, at, lengths = [], len(chunk), self._lengths
         while at:
-            out.append(last[at])
-            at -= len(pieces[last[at]])
-        return out[::-1]
+            i = last[at]
+            out.append(i)
+            at -= lengths[i]
+        out.reverse()
+        return out
 
     def stays_apart(self, a: str, b: str) -> bool:
         """Whether BPE on a + b ends with just these two (b alone, if a is empty)."""
@@ -252,11 +255,11 @@ class Encoder:
                 out.append(self.model.unknown)
         return out
 
-    def _packed_chunk(self, chunk: str) -> tuple[bytes, int]:
+    def _packed_chunk(self, chunk: str) -> tuple[bytes, int, bytes]:
         got = self.older.get(chunk)
         if got is None:
             ids = self._ids_of(chunk)
-            got = (np.array(ids, "<u4").tobytes(), sum(map(self._bytes.__contains__, ids)))
+            got = (np.array(ids, "<u4").tobytes(), sum(map(self._bytes.__contains__, ids)) if self._bytes else 0, self.surface(ids))
         if len(chunk) < 200:
             if len(self.memo) > MEMO_CHUNKS:
                 self.memo, self.older = {}, self.memo
@@ -265,22 +268,32 @@ class Encoder:
             self.memo[chunk] = got
         return got
 
-    def packed(self, text: str) -> tuple[bytes, int]:
-        """The ids of a whole text as little-endian unsigned 32-bit, and how many of them are bytes."""
-        parts, n_bytes = [], 0
+    def packed(self, text: str) -> tuple[bytes, int, str]:
+        """The ids of a whole text as little-endian unsigned 32-bit, how many of them are bytes, and the text decoded from them.
+
+        Ids decode one by one, so that a text's decoding is that of its chunks end to end.
+        """
+        parts, n_bytes, surfaces = [], 0, []
         for chunk in self.model.chunks.findall(self.normalised(text)):
-            ids, n = self.memo.get(chunk) or self._packed_chunk(chunk)
+            ids, n, surface = self.memo.get(chunk) or self._packed_chunk(chunk)
             parts.append(ids)
             n_bytes += n
-        return b"".join(parts), n_bytes
+            surfaces.append(surface)
+        return b"".join(parts), n_bytes, self._shown(b"".join(surfaces))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text)[0], "<u4").tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.model.surfaces.__getitem__, ids)).decode("utf-8", "replace")
+    def surface(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.model.surfaces.__getitem__, ids))
+
+    def _shown(self, surface: bytes) -> str:
+        text = surface.decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
+    def decode(self, ids: list[int]) -> str:
+        return self._shown(self.surface(ids))
+
 
 _encoders: dict[bytes, Encoder] = {}
 
@@ -309,9 +322,9 @@ def encode_documents(docs: DataFrame, model: bytes, keep_ids: bool = False) -> D
             rows = []
             for data in texts_of(batch):
                 text = (data or b"").decode()
-                packed, n_bytes = own.packed(text)
+                packed, n_bytes, shown = own.packed(text)
                 ids = np.frombuffer(packed, "<u4")
-                rows.append((len(ids), n_bytes, zlib.crc32(packed), own.decode(ids.tolist()) == text, *[ids.astype(np.int32)] * keep_ids))
+                rows.append((len(ids), n_bytes, zlib.crc32(packed), shown == text, *[ids.astype(np.int32)] * keep_ids))
             columns = list(zip(*rows, strict=True)) or [()] * (4 + keep_ids)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), *[pa.list_(pa.int32())] * keep_ids]
             arrays = [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))]
