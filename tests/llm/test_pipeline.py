@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
-from test_operators import base_spans, fingerprint, removed
+from test_llm_operators import base_spans, fingerprint, removed
 
 from fadeline.llm.common import materialise
 from fadeline.llm.queries import ORACLE_SQL, QUERIES
