@@ -106,10 +106,15 @@ def column(batch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def slices(batch, rows: int = 256) -> Iterator:
+    """The batch a few rows at a time: nested values take many times their room once they are Python objects."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def texts_of(batch, name: str = "text", rows: int = 256) -> Iterator[bytes | None]:
     """The texts of a batch, a few at a time, so that the batch is not held twice."""
     import pyarrow as pa
 
-    whole = batch.column(batch.schema.get_field_index(name))
-    for at in range(0, batch.num_rows, rows):
-        yield from whole.slice(at, rows).cast(pa.binary()).to_pylist()
+    for part in slices(batch, rows):
+        yield from part.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()

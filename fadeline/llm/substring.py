@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, column, hashed_words, materialise, mix, row_key, steps, texts_of
+from .common import WordHashes, column, hashed_words, materialise, mix, row_key, slices, steps, texts_of
 
 WINDOW, GRAM = 35, 10
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -120,6 +120,11 @@ def _packed_texts(docs: DataFrame) -> DataFrame:
     return _own(docs).mapInArrow(run, "doc_id long, text_key long, packed binary")
 
 
+def _pairs(batch):
+    for part in slices(batch):
+        yield from zip(column(part, "packed"), column(part, "own"), strict=True)
+
+
 def stretches(docs: DataFrame) -> DataFrame:
     """(seed, stretch, doc_id, text_key, start, n): every stretch of windows of every text."""
 
@@ -148,7 +153,7 @@ def _windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         memo, tool = WordHashes(), zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for packed, own in zip(column(batch, "packed"), column(batch, "own"), strict=True):
+            for packed, own in _pairs(batch):
                 _, hashes, starts = hashed_words([tool.decompress(packed)], memo)
                 s = Stretches(hashes, starts)
                 place = {int(a): k for k, a in enumerate(s.start)}
@@ -197,7 +202,7 @@ def without_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
         tool = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for packed, own in zip(column(batch, "packed"), column(batch, "own"), strict=True):
+            for packed, own in _pairs(batch):
                 words = tool.decompress(packed).split()
                 edge = np.zeros(len(words) + 1, np.int64)
                 for x in own or ():
