@@ -4,7 +4,8 @@ Two fingerprints of 64 bits within `distance` bits differ by at most `distance`
 SEGMENTS segments. By the pigeonring principle some start exists from which every chain of
 consecutive segments stays within its proportional budget, floor(length * distance / SEGMENTS).
 With distance < SEGMENTS the first segment is then equal and the second differs in one bit at
-most, so that one half of it is equal too: start, first segment and that half are the join key.
+most, so that one half of it is equal too: start, first segment and that half are the join key
+(for very many fingerprints, pieces of the third segment as well).
 Inside a bucket the longer chains are required in turn, then the full distance.
 """
 
@@ -23,6 +24,9 @@ SEED, SHINGLE_WORDS, DISTANCE = 42, 4, 4
 WIDTHS = (13, 13, 13, 13, 12)
 #: Fingerprints of a bucket that one task compares; larger buckets are dealt out as pairs of blocks.
 BLOCK = 512
+#: Beyond so many distinct fingerprints, join keys are those of chains of three segments (25 keys of 24 bits
+#: or more each) and not of two (10 keys of 18 or more): both are exact, what differs is the pairs compared.
+DEEPER = 1 << 24
 #: Runs of at least so many fingerprints are compared as a matrix and emit a spanning forest only.
 DENSE = 48
 _STARTS = tuple(int(x) for x in np.cumsum((0, *WIDTHS)))
@@ -77,16 +81,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return own.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
-def bucket_keys(fp: np.ndarray) -> np.ndarray:
-    """The join keys of each fingerprint (its columns): start, which half, first segment, that half of the second."""
+def bucket_keys(fp: np.ndarray, depth: int = 2) -> np.ndarray:
+    """The join keys of each fingerprint (its columns): start and case above bit 32, equal pieces of the chain below.
+
+    depth 2: the second segment differs in one bit at most, so one half of it is equal.
+    depth 3: either the second segment is equal, or it takes one of two differences, so that a half of
+    it and a half of the third are equal.
+    """
+
+    def cut(segment: int) -> list[tuple[np.ndarray, int]]:
+        width, low = WIDTHS[segment], WIDTHS[segment] // 2
+        whole = (fp >> np.uint64(_STARTS[segment])) & np.uint64((1 << width) - 1)
+        return [(whole, width), (whole & np.uint64((1 << low) - 1), low), (whole >> np.uint64(low), width - low)]
+
     out = []
-    for i, width in enumerate(WIDTHS):
-        j = (i + 1) % len(WIDTHS)
-        first = (fp >> np.uint64(_STARTS[i])) & np.uint64((1 << width) - 1)
-        second = (fp >> np.uint64(_STARTS[j])) & np.uint64((1 << WIDTHS[j]) - 1)
-        low = WIDTHS[j] // 2
-        for half, part in enumerate((second & np.uint64((1 << low) - 1), second >> np.uint64(low))):
-            out.append(np.uint64((2 * i + half) << 32) | first << np.uint64(16) | part)
+    for i in range(len(WIDTHS)):
+        first, second, third = (cut((i + k) % len(WIDTHS)) for k in range(3))
+        cases = [(second[1],), (second[2],)] if depth == 2 else [(second[0],), *((a, b) for a in second[1:] for b in third[1:])]
+        for case, parts in enumerate(cases):
+            key = first[0][0]
+            for value, width in parts:
+                key = key << np.uint64(width) | value
+            out.append(np.uint64((8 * i + case) << 32) | key)
     return np.stack(out, axis=1).view(np.int64)
 
 
@@ -115,7 +131,7 @@ def links_in_buckets(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
     """Linking pairs (rows of two fingerprints) among rows sorted by key; dense runs give a spanning forest."""
     cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     size = np.diff(np.append(cut, len(keys)))
-    start_of = (keys >> 32).astype(np.int64) % 16 // 2
+    start_of = (keys >> 32 & 63) >> 3
     found = []
     for c, n in zip(cut[size >= DENSE], size[size >= DENSE], strict=True):
         f = np.unique(fps[c : c + n])
@@ -141,8 +157,11 @@ def links_in_buckets(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
     return np.concatenate(found or [np.zeros((0, 2), np.uint64)])
 
 
-def links(distinct_fps: DataFrame) -> DataFrame:
-    """Pairs (u, v) of different fingerprints within DISTANCE bits; enough of them to keep every component whole."""
+def links(distinct_fps: DataFrame, depth: int = 2) -> DataFrame:
+    """Pairs (u, v) of different fingerprints within DISTANCE bits; enough of them to keep every component whole.
+
+    Either depth of the join key finds all; the deeper has more keys, and fewer fingerprints under each.
+    """
     spark = distinct_fps.sparkSession
 
     def keyed(batches):
@@ -150,7 +169,7 @@ def links(distinct_fps: DataFrame) -> DataFrame:
 
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            keys = bucket_keys(fp)
+            keys = bucket_keys(fp, depth)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(fp.view(np.int64), keys.shape[1]))], names=["key", "fp"])
 
     def run(batches):
@@ -169,9 +188,9 @@ def links(distinct_fps: DataFrame) -> DataFrame:
             yield out(_pairs(held))
 
     def _pairs(rows: np.ndarray) -> np.ndarray:
-        # runs of one (key, block pair): number them on in the bits above the key
+        # runs of one (key, block pair): number them in the bits above the key
         new = np.concatenate(([0], (rows[1:, :3] != rows[:-1, :3]).any(axis=1).cumsum()))
-        keys = (new.astype(np.int64) << 36) | (rows[:, 0] & ((1 << 36) - 1))
+        keys = (new.astype(np.int64) << 40) | rows[:, 0]
         return links_in_buckets(keys, np.ascontiguousarray(rows[:, 3]).view(np.uint64))
 
     rows = distinct_fps.select("fp").mapInArrow(keyed, "key long, fp long")
@@ -193,7 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    reached = components(links(distinct))
+    reached = components(links(distinct, 2 if distinct.count() <= DEEPER else 3))
     member = distinct.join(reached.select(F.col("node").alias("fp"), "component"), "fp", "left")
     member = member.select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = materialise(member.groupBy("component").agg(F.min("least").alias("component_id")), "named")

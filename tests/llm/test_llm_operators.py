@@ -86,7 +86,8 @@ def test_fingerprints():
     assert simhash.fingerprints_of([t.encode() for t in texts]).tolist() == [fingerprint(t) for t in texts]
 
 
-def test_linking_loses_no_pair(spark):
+@pytest.mark.parametrize("depth", [2, 3])
+def test_linking_loses_no_pair(spark, depth):
     rng = random.Random(3)
     fps = set()
     for _ in range(60):
@@ -100,7 +101,7 @@ def test_linking_loses_no_pair(spark):
     fps |= {centre ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(a + 1, 64)}
     fps = sorted(fps)
     signed = [int(np.uint64(f).view(np.int64)) for f in fps]
-    found = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()
+    found = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), depth).collect()
     parent = {f: f for f in signed}
 
     def root(x):
@@ -125,6 +126,19 @@ def test_linking_loses_no_pair(spark):
     assert {f: root(f) for f in signed} == classes
 
 
+@given(st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_linked_fingerprints_share_a_key_and_pass_its_chains(fp, flips):
+    other = fp
+    for b in flips:
+        other ^= 1 << b
+    pair = np.array([fp, other], np.uint64)
+    for depth in (2, 3):
+        keys = simhash.bucket_keys(pair, depth)
+        shared = keys[0][keys[0] == keys[1]]
+        assert any(simhash.linked(pair[:1], pair[1:], int((k >> 32 & 63) >> 3))[0] for k in shared)
+
+
 def test_near_duplicates_groups(spark):
     base = " ".join(words(random.Random(4), 300, 5000))
     rows = [(7, base), (3, base.upper().lower()), (9, base + " more"), (5, " ".join(words(random.Random(5), 300, 5000)))]
