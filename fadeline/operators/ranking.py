@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,12 +17,26 @@ def metric_order(*tie: str, rmse: str = "RMSE", mae: str = "MAE", r2: str = "R2"
 
 
 def rank_records(rows: DataFrame, by: tuple[str, ...], *tie: str, **names: str) -> DataFrame:
-    """rows with rank (1.. in each group, no ties) and is_best. Without groups all rows rank together: for small tables."""
+    """rows with rank (1.. in each group, no ties) and is_best. Without groups all rows rank together."""
     order = metric_order(*tie, **names)
-    out = rows.withColumn("rank", F.row_number().over(W.partitionBy(*(by or [F.lit(1)])).orderBy(*order)))
+    out = rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))) if by else ranked_together(rows, order, "rank")
     return out.withColumn("is_best", F.col("rank") == 1)
 
 
+def ranked_together(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their place among all rows, from 1: sorted by ranges, each of which counts on from those before it.
+
+    The sorted ranges are written once, to the checkpoint folder if the session has one, so that counts and
+    places come from the same ranges. The driver holds one count per range.
+    """
+    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    laid = laid.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else laid.localCheckpoint()
+    counts = dict(laid.groupBy(F.spark_partition_id()).count().collect())
+    before = list(accumulate((counts.get(k, 0) for k in range(max(counts, default=0))), initial=0))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the lower 33 bits count the rows of a partition
+    return laid.withColumn(name, F.get(F.lit(before), F.spark_partition_id()) + place + 1)
+
+
 def top_k(rows: DataFrame, by: tuple[str, ...], order: list, k: int) -> DataFrame:
     """The first k rows of each group in the order given, with their place from 1."""
     w = W.partitionBy(*by).orderBy(*order)

@@ -703,8 +703,7 @@ def status_reasons(read):
     return c.select("file", reason.alias("reason"), F.when(reason == "", "used").otherwise("skipped").alias("status"))
 
 
-def metric_files(read) -> DataFrame:
-    l = read("lineitem").filter("l_orderkey < 400")
+def metric_files(l: DataFrame) -> DataFrame:
     path = F.concat(F.lit("runs/"), F.when(F.col("l_partkey") % 5 == 0, "Tuned_").otherwise(""), F.col("l_orderkey").cast("string"))
     m = F.concat(F.lit("m"), (F.col("l_suppkey") % 4).cast("string"))
     model = F.when(m == "m0", "persistence").otherwise(m)
@@ -714,12 +713,25 @@ def metric_files(read) -> DataFrame:
 
 @query("WITH r AS (SELECT CASE WHEN l_suppkey % 4 = 0 THEN 'persistence' ELSE 'm' || (l_suppkey % 4) END AS model, 'runs/' || CASE WHEN l_partkey % 5 = 0 THEN 'Tuned_' ELSE '' END || l_orderkey AS path, avg(l_tax) AS RMSE, avg(l_discount) AS MAE FROM lineitem WHERE l_orderkey < 400 GROUP BY 1, 2), k AS (SELECT path, string_agg(model, ',' ORDER BY model) FILTER (model <> 'persistence') AS learned_models, count(*) FILTER (model <> 'persistence') AS n FROM r GROUP BY path) SELECT model, r.path, learned_models FROM r JOIN k ON r.path = k.path WHERE model <> 'persistence' AND n >= 2 AND NOT starts_with(r.path, 'runs/Tuned')")
 def selection_candidates(read):
-    return selection.candidates(metric_files(read), drop_tuned=True, drop_single=True).select("model", "path", "learned_models")
+    return selection.candidates(metric_files(read("lineitem").filter("l_orderkey < 400")), drop_tuned=True, drop_single=True).select("model", "path", "learned_models")
 
 
 @query("WITH r AS (SELECT CASE WHEN l_suppkey % 4 = 0 THEN 'persistence' ELSE 'm' || (l_suppkey % 4) END AS model, 'runs/' || CASE WHEN l_partkey % 5 = 0 THEN 'Tuned_' ELSE '' END || l_orderkey AS path, avg(l_tax) AS RMSE, avg(l_discount) AS MAE FROM lineitem WHERE l_orderkey < 400 GROUP BY 1, 2) SELECT model, path, row_number() OVER (ORDER BY round(RMSE, 9), round(MAE, 9), model, path) AS place FROM r WHERE model <> 'persistence'")
 def global_test_rank(read):
-    rows = selection.candidates(metric_files(read)).withColumns({c: F.round(c, 9) for c in ("RMSE", "MAE")})
+    rows = selection.candidates(metric_files(read("lineitem").filter("l_orderkey < 400"))).withColumns({c: F.round(c, 9) for c in ("RMSE", "MAE")})
+    return selection.by_test_metrics(rows, "path").select("model", "path", F.col("rank").alias("place"))
+
+
+@query("WITH r AS (SELECT CASE WHEN l_suppkey % 4 = 0 THEN 'persistence' ELSE 'm' || (l_suppkey % 4) END AS model, 'runs/' || CASE WHEN l_partkey % 5 = 0 THEN 'Tuned_' ELSE '' END || l_orderkey AS path, avg(l_tax) AS RMSE, avg(l_discount) AS MAE FROM lineitem GROUP BY 1, 2), k AS (SELECT path, string_agg(model, ',' ORDER BY model) FILTER (model <> 'persistence') AS learned_models, count(*) FILTER (model <> 'persistence') AS n FROM r GROUP BY path) SELECT model, r.path, learned_models FROM r JOIN k ON r.path = k.path WHERE model <> 'persistence' AND n >= 2 AND NOT starts_with(r.path, 'runs/Tuned')")
+def selection_candidates_whole(read):
+    """selection_candidates over every order."""
+    return selection.candidates(metric_files(read("lineitem")), drop_tuned=True, drop_single=True).select("model", "path", "learned_models")
+
+
+@query("WITH r AS (SELECT CASE WHEN l_suppkey % 4 = 0 THEN 'persistence' ELSE 'm' || (l_suppkey % 4) END AS model, 'runs/' || CASE WHEN l_partkey % 5 = 0 THEN 'Tuned_' ELSE '' END || l_orderkey AS path, avg(l_tax) AS RMSE, avg(l_discount) AS MAE FROM lineitem GROUP BY 1, 2) SELECT model, path, row_number() OVER (ORDER BY round(RMSE, 9), round(MAE, 9), model, path) AS place FROM r WHERE model <> 'persistence'")
+def global_test_rank_whole(read):
+    """global_test_rank over every order."""
+    rows = selection.candidates(metric_files(read("lineitem"))).withColumns({c: F.round(c, 9) for c in ("RMSE", "MAE")})
     return selection.by_test_metrics(rows, "path").select("model", "path", F.col("rank").alias("place"))
 
 

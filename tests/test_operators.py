@@ -269,6 +269,23 @@ def test_ranks_and_dedup(spark):
     assert one(ranking.duplicates(rows, "key")).n == 4
 
 
+def test_ranks_of_all_rows_come_from_many_tasks(spark):
+    rng = random.Random(5)
+    rows = [(f"m{k}", rng.choice([0.1, 0.2, NAN]), rng.choice([1.0, None]), rng.choice([0.5, NAN])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "model string, RMSE double, MAE double, R2 double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = ranking.rank_records(df, (), "model")
+        shares = [r["count"] for r in ranked.groupBy(F.spark_partition_id()).count().collect()]
+        got = {r.model: r["rank"] for r in ranked.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    low = lambda v: math.inf if v is None or v != v else v
+    want = sorted(rows, key=lambda r: (low(r[1]), low(r[2]), low(-r[3]), r[0]))
+    assert got == {r[0]: k + 1 for k, r in enumerate(want)} and max(shares) < len(rows) / 2
+    assert ranking.rank_records(df.filter("false"), (), "model").count() == 0
+
+
 def test_sets(spark):
     a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, s string"), spark.createDataFrame([(2, 5.0)], "k int, d double")
     assert sorted((r.k, r.s, r.d) for r in sets.union_all(a, b).collect() if r.s) == [(1, "x", None), (2, "y", None)] and sets.union_all(a, b).columns == ["k", "s", "d"]
