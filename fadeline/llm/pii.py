@@ -1,10 +1,10 @@
 """Personal data, by DataFrame expressions only: regular expressions, then bootstrapped contextual extraction.
 
 The base expressions find e-mail and IP addresses, card and phone numbers. Their finds are the seeds:
-the words before them are lexical patterns, and patterns and instances form a bipartite graph. Round by
-round a pattern is scored by the share of its instances that are known to be of one kind, and an
-instance by the patterns that it occurs with. Identifiers that no base expression matches, but that
-follow high-confidence patterns, are added.
+the words around them are lexical patterns, and patterns and instances form a bipartite graph. Round by
+round a pattern is scored by the share of its known instances that are of one kind, and an instance by
+the patterns that it occurs with. Identifiers that no base expression matches, but that stand with
+high-confidence patterns, are added.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from .common import carried, materialise, restored, row_key
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring; what a pattern needs to count: distinct known instances of one kind, and their share.
+#: Marks of the contexts: two words before, one before, one after.
+CONTEXTS = ("2<", "1<", "1>")
+#: Rounds of scoring; what a pattern needs to count: distinct known instances of one kind, and their share of the known.
 ROUNDS, LEAST_SEEDS, LEAST_SCORE = 3, 5, 0.9
 
 # Matches of the same language as the plain expressions, written so that neither runs of one character
@@ -87,11 +89,15 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _context(text: Column, start: Column) -> Column:
-    """The last two words before a span, folded: lower case, digits as 0."""
-    before = F.substring(text, F.greatest(start - 60, F.lit(0)) + 1, F.least(start, F.lit(60)))
-    words = F.regexp_extract(F.lower(F.regexp_replace(before, "[0-9]", "0")), r"(\S+\s+\S+)\s*$", 1)
-    return F.regexp_replace(words, r"\s+", " ")
+def _contexts(text: Column, start: Column, end: Column) -> Column:
+    """The two words before a span, the one before and the one after, as far as there are any; folded: lower case, digits as 0."""
+    fold = lambda c: F.lower(F.regexp_replace(c, "[0-9]", "0"))
+    before = fold(F.substring(text, F.greatest(start - 60, F.lit(0)) + 1, F.least(start, F.lit(60))))
+    after = fold(F.substring(text, end + 1, F.lit(60)))
+    two = F.regexp_replace(F.regexp_extract(before, r"(\S+\s+\S+)\s*$", 1), r"\s+", " ")
+    found = F.array(two, F.regexp_extract(before, r"(\S+)\s*$", 1), F.regexp_extract(after, r"^\s*(\S+)", 1))
+    marked = F.transform(found, lambda words, k: F.when(words != "", F.concat(F.element_at(F.array(*map(F.lit, CONTEXTS)), k + 1), words)))
+    return F.filter(marked, lambda p: p.isNotNull())
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -107,24 +113,27 @@ def spans(docs: DataFrame) -> DataFrame:
 def discovered(instances: DataFrame) -> DataFrame:
     """(row, start, end, kind) of the identifiers that high-confidence patterns add.
 
-    A pattern's score for a kind is the sum of its distinct instances' scores for it, over one more
-    than their number; an instance of unknown kind scores the noisy-or of its patterns that count.
+    instances has row, start, end, value, kind (null if unknown) and patterns. A pattern's score for a kind
+    is the sum of its distinct instances' scores for it, over one more than the sum for all kinds: what is
+    unknown of an instance speaks neither for nor against its pattern. An instance of unknown kind scores
+    the noisy-or of its patterns that count. An identifier takes the kind of its best pattern.
     """
-    edges = materialise(instances.select("pattern", "value", "kind").distinct(), "pattern-instances")
-    total = edges.select("pattern", "value").distinct().groupBy("pattern").agg(F.count("*").alias("n"))
+    edges = materialise(instances.select(F.explode("patterns").alias("pattern"), "value", "kind").distinct(), "pattern-instances")
     seeds = edges.filter("kind is not null").select("pattern", "value", "kind", F.lit(1.0).alias("score"))
     unknown = edges.filter("kind is null").select("pattern", "value")
     known, patterns = seeds, None
     for _ in range(ROUNDS):
         scored = known.groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.sum((F.col("score") >= LEAST_SCORE).cast("int")).alias("seeds"))
-        scored = scored.join(total, "pattern").withColumn("confidence", F.col("mass") / (F.col("n") + 1))
+        kinds = F.collect_list(F.struct("kind", "mass", "seeds")).alias("kinds")  # at most one entry a kind
+        scored = scored.groupBy("pattern").agg(F.sum("mass").alias("n"), kinds)
+        scored = scored.select("pattern", "n", F.inline("kinds")).withColumn("confidence", F.col("mass") / (F.col("n") + 1))
         patterns = scored.filter((F.col("seeds") >= LEAST_SEEDS) & (F.col("mass") >= LEAST_SCORE * F.col("n"))).select("pattern", "kind", "confidence")
         patterns = materialise(patterns, "patterns")  # cuts lineage, and lets a frequent pattern's instances be split over tasks
         new = unknown.join(patterns, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
         new = unknown.join(new.filter(F.col("score") >= LEAST_SEEDS / (LEAST_SEEDS + 1)), "value").select("pattern", "value", "kind", "score")
         known = seeds.unionByName(new)
-    best = materialise(patterns.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind")), "best-patterns")
-    return instances.filter("kind is null").drop("kind").join(best, "pattern").select("row", "start", "end", "kind")
+    found = instances.filter("kind is null").select("row", "start", "end", F.explode("patterns").alias("pattern")).join(patterns, "pattern")
+    return found.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -147,11 +156,11 @@ def _candidates() -> Column:
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def slim(column: Column, kind) -> Column:
-        one = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind(s).alias("kind"), F.lower(s["value"]).alias("value"), _context(text, s["start"]).alias("pattern"))
+        one = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind(s).alias("kind"), F.lower(s["value"]).alias("value"), _contexts(text, s["start"], s["end"]).alias("patterns"))
         return F.transform(column, one)
 
     own = F.concat(slim(F.col("base"), lambda s: s["kind"]), slim(F.col("others"), lambda s: F.lit(None).cast("string")))
-    return F.filter(own, lambda s: s["pattern"] != "").alias("candidates")
+    return F.filter(own, lambda s: F.size(s["patterns"]) > 0).alias("candidates")
 
 
 def redact(docs: DataFrame) -> DataFrame:

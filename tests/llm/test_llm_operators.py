@@ -391,6 +391,18 @@ def test_contexts_discover_other_forms(spark):
     assert got[100] == [(28, 39, "phone")] and got[101] == []
 
 
+def test_unseen_identifiers_do_not_count_against_a_cue(spark):
+    """80 known to 60 unseen; text that starts with one word of cue or with the identifier; a cue of other kinds and a bare one add nothing."""
+    rows = [(k, f"ticket{k} mine{k} hotline desk +1 555 0{k * 7919 % 1_000_000:06d} ring{k}") for k in range(80)]
+    rows += [(100 + k, f"then{k} hotline desk 555-1{k:06d} end{k}") for k in range(60)]
+    rows += [(200, "desk 555-2000000"), (201, "555-2000001 today"), (202, "batch 555-2000002 mixed")]
+    rows += [(300 + k, f"+1 555 3{k:06d} today") for k in range(6)]
+    rows += [(400 + k, f"batch {v} x{k}") for k, v in enumerate(["+1 555 4000000", "+1 555 4000001", "a@b.cc", "c@d.ee", "e@f.gg", "+1 555 4000002", "+1 555 4000003", "+1 555 4000004"])]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[100 + k] == ["phone"] for k in range(60))
+    assert got[200] == ["phone"] and got[201] == ["phone"] and got[202] == []
+
+
 # --- classifiers ---
 
 
