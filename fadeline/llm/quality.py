@@ -20,7 +20,7 @@ from .ftrl import Ftrl, sigmoid
 #: Hash space of the features; feature 0 is the bias.
 SIZE = 1 << 18
 #: Most labelled rows that training reads, in a fixed pseudo-random order of doc_id.
-SAMPLE = 5000
+SAMPLE = 8192
 EPOCHS, SCALE, THRESHOLD = 3, 6.0, 0.3
 #: (stream, n) of the n-grams; streams: 0 words, 1 shapes.
 GRAMS = ((0, 1), (0, 2), (1, 1), (1, 2), (1, 3))

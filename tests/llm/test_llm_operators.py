@@ -14,6 +14,7 @@ import sentencepiece
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from fadeline.llm import graph, mih, packing, pii, quality, simhash, spm, substring, topk, toxicity, urls
 
@@ -428,6 +429,11 @@ def test_quality_learns_and_carries_over(spark):
     assert np.array_equal(quality.train(docs, other), weights)  # labels of held-out rows are never learnt
 
 
+def test_quality_sample_is_8192_rows(spark):
+    docs = spark.range(12000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    assert quality.labelled_sample(docs, docs.select("doc_id", F.lit(1).alias("quality")), "quality").count() == 8192
+
+
 def test_batch_scores_equal_sparse_dot_products():
     rng, weights = random.Random(14), np.random.default_rng(15).standard_normal(quality.SIZE).astype(np.float32)
     texts = [" ".join(words(rng, n, 20)).encode() for n in (0, 1, 2, 3, 50)]
