@@ -95,13 +95,16 @@ def scores(texts: list[bytes], weights: np.ndarray, memo: dict) -> np.ndarray:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -> DataFrame:
     """(doc_id, text, label) of at most `most` labelled training rows: crc32(doc_id as text) mod 5 is not 0.
 
-    Rows without a label, or with a null one, are not drawn; of conflicting labels the larger counts.
+    Rows without a label, or with a null one, are not drawn; of conflicting labels the larger counts, and of
+    rows that share a doc_id the one whose text has the least hash.
     """
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
     chosen = chosen.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return own.join(F.broadcast(chosen), "doc_id")  # at most `most` pairs of numbers
+    met = own.join(F.broadcast(chosen), "doc_id")  # at most `most` pairs of numbers
+    one = met.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    return one.select("doc_id", "least.text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> np.ndarray:

@@ -434,6 +434,13 @@ def test_quality_sample_is_8192_rows(spark):
     assert quality.labelled_sample(docs, docs.select("doc_id", F.lit(1).alias("quality")), "quality").count() == 8192
 
 
+def test_labelled_sample_holds_its_bound_for_repeated_ids(spark):
+    docs = spark.createDataFrame([(k % 40, f"text {k % 120}") for k in range(1200)], "doc_id long, text string")
+    labels = spark.range(40).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    drawn = [sorted((r.doc_id, bytes(r.text)) for r in quality.labelled_sample(d, labels, "quality", 10).collect()) for d in (docs, docs.orderBy(F.desc("text")))]
+    assert len(drawn[0]) == 10 and drawn[0] == drawn[1] and len({k for k, _ in drawn[0]}) == 10
+
+
 def test_batch_scores_equal_sparse_dot_products():
     rng, weights = random.Random(14), np.random.default_rng(15).standard_normal(quality.SIZE).astype(np.float32)
     texts = [" ".join(words(rng, n, 20)).encode() for n in (0, 1, 2, 3, 50)]
