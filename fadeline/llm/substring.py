@@ -186,6 +186,11 @@ def repeated(docs: DataFrame, texts: DataFrame) -> DataFrame:
     return found.select("doc_id", "text_key", "start", F.coalesce("mask", F.expr("shiftleft(1L, n)") - 1).alias("mask"))
 
 
+def _gathered(found: DataFrame) -> DataFrame:
+    """(doc_id, text_key, own): the distinct stretches of each text, so that copies of a row add nothing to its list."""
+    return found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "mask")).alias("own"))
+
+
 def without_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """(doc_id, text_key, n_words, n_removed, kept_sha256[, text]) for every row of docs.
 
@@ -217,8 +222,7 @@ def without_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in schema.split(", ")])
 
     texts = _packed_texts(docs)
-    found = repeated(docs, texts).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "mask")).alias("own"))
-    found = found.withColumnsRenamed({"doc_id": "own_id", "text_key": "own_key"})
+    found = _gathered(repeated(docs, texts)).withColumnsRenamed({"doc_id": "own_id", "text_key": "own_key"})
     met = texts.join(found, F.expr("doc_id <=> own_id and text_key = own_key"), "left").select("doc_id", "text_key", "packed", "own")
     return met.mapInArrow(run, schema)
 

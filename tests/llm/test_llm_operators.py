@@ -165,6 +165,14 @@ def test_components(spark):
     assert {n: root(n) for n in parent if n != root(n)} == got
 
 
+def test_copies_of_a_row_share_one_list_of_stretches(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(None, text)] * 30 + [(1, text)] * 30 + [(2, text)], "doc_id long, text string")
+    lists = {r.doc_id: r.own for r in substring._gathered(substring.repeated(docs, substring._packed_texts(docs))).collect()}
+    assert set(lists) == {None, 1, 2} and len(lists[None]) == len(lists[1]) == len(lists[2]) and len({tuple(x) for x in lists[1]}) == len(lists[1])
+    assert [r.n_removed for r in substring.without_repeats(docs).collect()] == [60] * 61
+
+
 # --- packing ---
 
 
