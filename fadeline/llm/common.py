@@ -15,26 +15,57 @@ from pyspark.sql import functions as F
 STEP_BYTES = 1_000_000
 #: Distinct words whose hashes a worker remembers before it starts afresh.
 MEMO_WORDS = 100_000
-#: Where scratch tables go if the session names no folder (tests on one machine).
+#: Where scratch tables go if a session on one machine names no folder.
 LOCAL_SCRATCH = "/tmp/fadeline-scratch"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir, else a local one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
+    """This application's own folder below the shared one that the session names in spark.checkpoint.dir.
+
+    Only a session whose executors all run on this machine (master local) may leave that setting out.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(shared or LOCAL_SCRATCH).rstrip('/')}/fadeline/{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet under the shared scratch folder and read it back: cuts lineage, survives executors."""
-    path = f"{scratch_dir(df.sparkSession)}/fadeline/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as Parquet under the shared scratch folder and read it back: cuts lineage, survives executors.
+
+    The folder goes when the application ends, or earlier by `discard` and `clear_scratch`.
+    """
+    spark, folder = df.sparkSession, scratch_dir(df.sparkSession)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if folder not in _to_delete:
+        _to_delete.add(folder)
+        own, files = _files(spark, folder)
+        files.deleteOnExit(own)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+_to_delete: set[str] = set()
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own, own.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing still to be computed reads."""
+    for df in tables:
+        own, files = _files(df.sparkSession, df.scratch_path)
+        files.delete(own, True)
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables of this session's folder; for when no result that reads them is still to be computed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/fadeline")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all scratch tables of this application; for when no result that reads them is still to be computed."""
+    own, files = _files(spark, scratch_dir(spark))
+    files.delete(own, True)
 
 
 def session_partitions(spark: SparkSession) -> int:
