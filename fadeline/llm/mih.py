@@ -21,9 +21,16 @@ BITS, SUBSTRINGS, SAMPLE, ROUNDS = 64, 4, 4096, 30
 WIDTH = BITS // SUBSTRINGS
 #: First radius inside a part, and the share of the sample's pairs of a cosine that its radius must take in.
 FIRST, COVER = 3, 0.98
+#: More than the rounding of a cosine of unit vectors.
+ROUNDING = 1e-9
 _FLIPS = [np.flatnonzero(np.bitwise_count(np.arange(1 << WIDTH, dtype=np.uint32)) == r).astype(np.int64) for r in range(WIDTH + 1)]
 
 
+def ranged(x: np.ndarray) -> np.ndarray:
+    """Each row over a power of two, so that its largest component is from 1/2 to 1: no square overflows, no cosine changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
@@ -89,56 +96,71 @@ class Index:
         return np.concatenate(found)
 
 
-def near_search(query: np.ndarray, query_id: int, code: np.uint64, index: Index, ids: np.ndarray, x: np.ndarray, k: int, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, cosines) of the query's k nearest found."""
-    probed = np.zeros(len(ids), bool)
-    best_ids, best = ids[:0], np.zeros(0)
-    ranked = ids == query_id  # never its own candidate
+def near_search(query: np.ndarray, query_id: int, code: np.uint64, index: Index, ids: np.ndarray, x: np.ndarray, k: int, radii: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Places of the query's nearest found, by cosines of unit vectors: the k best and all that rounding could put among them.
+
+    `seen` is a mask of all places that is False before and after.
+    """
+    touched, waiting, apart = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    best_at, best = np.zeros(0, np.int64), np.zeros(0)
     for r in range(WIDTH + 1):
-        probed[index.probe(code, r)] = True
+        new = index.probe(code, r)
+        new = np.unique(new[~seen[new]])
+        seen[new] = True
+        touched.append(new)
+        new = new[ids[new] != query_id]  # never its own candidate
+        waiting, apart = np.concatenate((waiting, new)), np.concatenate((apart, np.bitwise_count(index.code[new] ^ code).astype(np.int64)))
         radius = SUBSTRINGS * r + SUBSTRINGS - 1
         if r < FIRST:
             continue
-        own = np.flatnonzero(probed & ~ranked)
-        own = own[np.bitwise_count(index.code[own] ^ code) <= radius]
-        ranked[own] = True
-        best_ids, best = np.concatenate((best_ids, ids[own])), np.concatenate((best, x[own] @ query))
-        keep = best_of(best_ids, best, k)
-        best_ids, best = best_ids[keep], best[keep]
-        if len(best) >= k and radius >= radii[min(100, max(0, math.floor(100 * best[-1])))]:
+        own, waiting, apart = waiting[apart <= radius], waiting[apart > radius], apart[apart > radius]
+        best_at, best = np.concatenate((best_at, own)), np.concatenate((best, x[own] @ query))
+        if len(best) > k:
+            keep = best >= np.partition(best, len(best) - k)[len(best) - k] - ROUNDING
+            best_at, best = best_at[keep], best[keep]
+        if len(best) >= k and radius >= radii[min(100, max(0, math.floor(100 * best.min())))]:
             break
-    return best_ids, best
+    seen[np.concatenate(touched)] = False
+    return best_at
+
+
+def cosines(query: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Cosine of the query and each row, all sums in the order of the components: equal vectors score equally wherever they lie."""
+    total = lambda a: np.cumsum(a, axis=1)[:, -1]
+    return total(v * query) / (np.sqrt(total(v * v)) * np.sqrt(total(query[None, :] * query)))
 
 
 def nearest(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found by cosine, nearest first, ties to smaller ids.
 
     `is_query` is a condition on the id column. Rows with a null id or a vector that is null, zero, or holds
-    null or non-finite components take no part; shorter vectors end in zeros; rows that share a query's
-    id are not its candidates. Every other row is indexed; fewer than k: all of them.
+    null or non-finite components take no part; shorter vectors end in zeros; fewer candidates than k: all.
+    Every other row is indexed, repeated or not, and every row that the condition picks is a query of its
+    own with ranks from 1; rows that share a query's id are not its candidates. Codes and radii only choose
+    candidates: scores are those of the vectors as given, in doubles.
     """
-    top = F.array_max(F.transform("vec", lambda x: F.abs(x)))
-    own = usable(vectors, id_col, vec_col).filter(top > 0)
-    own = own.select("id", F.transform("vec", lambda x: x / top).alias("vec"))  # as long as it likes: no square overflows
+    own = usable(vectors, id_col, vec_col).filter(F.exists("vec", lambda x: x != 0))
     asked = own.filter(is_query(F.col("id")))
     stats = own.agg(F.count("*").alias("n"), F.sum(is_query(F.col("id")).cast("int")).alias("q"), F.max(F.size("vec")).alias("dim")).first()
     dim = stats.dim or 1
     drawn = own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()  # SAMPLE rows, to learn the rotation from
-    sample = unit(matrix([r.vec for r in drawn], dim)) if drawn else np.zeros((0, dim))
+    sample = unit(ranged(matrix([r.vec for r in drawn], dim))) if drawn else np.zeros((0, dim))
     rotation = learn_rotation(sample)
     radii = learn_radii(sample, rotation)
 
     def tables(x: np.ndarray) -> list[np.ndarray]:
-        x = unit(x)
-        return [x, codes(x, rotation)]
+        x = ranged(x)
+        return [x, codes(unit(x), rotation)]
 
     def kernel(query_ids, query_side, ids, side):
-        x, q = (np.frombuffer(s[0]).reshape(-1, dim) for s in (side, query_side))
+        v, q = (np.frombuffer(s[0]).reshape(-1, dim) for s in (side, query_side))
         code, own_code = (np.frombuffer(s[1], np.uint64) for s in (side, query_side))
-        index, out = Index(code), []
-        for number, query, own in zip(query_ids, q, own_code, strict=True):
-            found, score = near_search(query, number, own, index, ids, x, k, radii)
-            out.append((np.full(len(found), number), found, score))
+        x, ask, index, seen, out = unit(v), unit(q), Index(code), np.zeros(len(ids), bool), []
+        for number, (query_id, query, own) in enumerate(zip(query_ids, q, own_code, strict=True)):
+            at = near_search(ask[number], query_id, own, index, ids, x, k, radii, seen)
+            score = cosines(query, v[at])
+            keep = best_of(ids[at], score, k)
+            out.append((np.full(len(keep), number), ids[at[keep]], score[keep]))
         return [np.concatenate(c) for c in zip(*out, strict=True)]
 
     return search(own, asked, dim, stats.n, stats.q or 0, tables, tables, kernel, k, "double")

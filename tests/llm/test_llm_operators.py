@@ -1,8 +1,10 @@
 """Operators against plain versions of what they compute."""
 
 import collections
+import fractions
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -316,17 +318,60 @@ def test_exact_top_k_against_all_products(spark):
 def test_pivots_stop_early():
     rng = np.random.default_rng(9)
     centres = rng.standard_normal((20, 8)) * 300
-    v = np.floor(np.repeat(centres, 200, axis=0) + rng.standard_normal((4000, 8)))
+    v = np.floor(np.repeat(centres, 200, axis=0) + rng.standard_normal((4000, 8))) / 64
     norm = np.sqrt((v * v).sum(axis=1)).max()
     pivots = topk.spread_pivots(topk.lifted(v[::4], norm))
     query = v[5]
-    least = np.abs(topk.distances(topk.lifted(v, norm), pivots) - topk.distances(np.append(query, 0)[None, :], pivots)).max(axis=1)
-    reach = query @ query + norm**2
-    bound = np.floor((reach - least**2) / 2 + 1e-6 * reach)
-    ids, scores, n = topk.pivot_search(query, 5, bound, np.arange(len(v)), v, 10)
+    far = topk.distances(topk.lifted(v, norm), pivots)
+    bound = topk.upper_bounds(query, topk.distances(np.append(query, 0)[None, :], pivots)[0], np.ascontiguousarray(far.T), norm)
     products = v @ query
+    assert (bound >= products).all()
+    ids, scores, n = topk.pivot_search(bound, 5, np.arange(len(v)), lambda at: 4096 * (v[at] @ query), lambda p: p / 4096, 10)
     products[5] = -np.inf
-    assert scores.tolist() == np.sort(products)[::-1][:10].tolist() and n < len(v)
+    assert scores.tolist() == (4096 * np.sort(products)[::-1][:10]).tolist() and n < len(v)
+
+
+def exact_floor(x):
+    return math.floor(fractions.Fraction(x) * 64)
+
+
+def plain_top_k(rows, k, every):
+    """(query row, rank, vec_id, score) over Python's whole numbers."""
+    whole = [(i, [exact_floor(x) for x in v]) for i, v in rows]
+    out = collections.Counter()
+    for i, q in whole:
+        if i % every == 0:
+            got = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in whole if j != i)[:k]
+            out.update((i, r + 1, j, -s if -(2**63) <= -s < 2**63 else None) for r, (s, j) in enumerate(got))
+    return out
+
+
+@pytest.mark.parametrize("largest", [1.0, 1e5, 2e6, 1e9, 1e30, 1.7e308])
+def test_top_k_is_exact_at_any_size(spark, largest):
+    """Components from whole 64ths to the largest double beside small and zero ones, ties, repeated rows and repeated queries."""
+    rng = random.Random(str(largest))
+    size = lambda: rng.choice((largest, largest, largest / 1e3, 1.0, 1 / 64, 0.0)) * rng.uniform(-1, 1)
+    rows = [(k, [size() for _ in range(rng.choice((5, 5, 3)))]) for k in range(150)]
+    rows += [(200, [largest, 0.0, 0.0]), (200, [0.0, largest]), (200, [largest, 0.0, 0.0]), (201, [1.0]), (201, [1.0]), (202, [0.0] * 5), (203, rows[7][1]), (204, rows[7][1]), (220, [0.0])]
+    got = topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), lambda c: c % 20 == 0, 9).collect()
+    assert collections.Counter(tuple(r) for r in got) == plain_top_k(rows, 9, 20)
+
+
+def test_products_past_doubles_are_whole(spark):
+    rows = [(0, [1.0]), (20, [64_000_001.0, 3.0]), (1, [3_000_001.0, 1 / 64]), (2, [3_000_001.0, 2 / 64]), (3, [2.0e6]), (4, [1.5e6])]
+    got = {(r.query_id, r.vec_id): (r.rank, r.score) for r in topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: c % 20 == 0, 5).collect()}
+    assert got[0, 3] == (4, 64 * 128_000_000) and got[0, 4] == (5, 64 * 96_000_000)
+    assert got[20, 2][1] - got[20, 1][1] == 192 and got[20, 2][1] > 2**53 and got[20, 2][0] == 1 + (got[20, 2][1] < got[20, 0][1])
+
+
+def test_equal_vectors_score_equally_whatever_the_width(spark):
+    rng = np.random.default_rng(19)
+    for dim in (7, 48, 63):
+        v = rng.standard_normal(dim)
+        rows = [(k, [float(x) for x in (v if k % 3 else rng.standard_normal(dim))]) for k in range(900)] + [(50, [float(x) for x in -v])]
+        got = mih.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), lambda c: c == 50, 4).collect()
+        own = [r for r in sorted(got, key=lambda r: r.rank) if r.score > 0.999]
+        assert [r.vec_id for r in own] == [1, 2, 4, 5] and len({r.score for r in own}) == 1 and len(got) == 8  # two rows of id 50: two queries
 
 
 def test_multi_index_hashing_recall(spark):
