@@ -1,8 +1,9 @@
 """Best-fit packing of token sequences: bounded-space online best-fit over a bitset of free spaces.
 
 Every task packs the documents of its own partition as they come, so that texts never move. A fixed
-number of bins stays open; the pieces of bins that are still open when a task ends are packed again
-with those of other tasks, fewest bins first, in a second and much smaller round.
+number of bins stays open, and when one more is needed the fullest closes. The pieces of bins that are
+still open when a task ends are dealt to fewer tasks and packed again in the same way, in a second and
+much smaller round.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from pyspark.sql import functions as F
 from .common import column, materialise, texts_of
 
 CAPACITY, END_ID = 2048, 0
-#: Bins that a task of the first round holds open.
+#: Bins that a task holds open, in either round.
 OPEN_BINS = 1024
 #: Tokens that one task of the second round packs.
-ROUND_TOKENS = 16_000_000
+ROUND_TOKENS = 64_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: The byte-level alphabet shows these bytes as themselves and the others from U+0100 on.
@@ -32,10 +33,10 @@ _encoders: dict[str, object] = {}
 
 
 def encoder(path: str):
-    """text -> ids by the tokenizer file at `path`; special tokens' strings count as ordinary text.
+    """text -> ids by the tokenizer file at `path`, added tokens found in the text included, none put around it.
 
-    Byte-level BPE files whose ids are ranks run in tiktoken, which gives the same ids faster; any
-    other file runs in tokenizers.
+    Byte-level BPE files whose ids are ranks run in tiktoken, which gives the same ids faster; texts that
+    hold an added token's string, and any other file, run in tokenizers.
     """
     if path not in _encoders:
         _encoders[path] = _ranked(path) or _general(path)
@@ -46,7 +47,6 @@ def _general(path: str):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     return lambda text: own.encode(text, add_special_tokens=False).ids
 
 
@@ -66,7 +66,8 @@ def _ranked(path: str):
     merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
     if merged != sorted(merged):
         return None
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    plain, whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, _general(path)
+    return lambda text: (whole if any(x in text for x in special) else plain)(text)
 
 
 class OpenBins:
@@ -164,7 +165,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_bins: i
     def second(batches):
         from pyspark import TaskContext
 
-        base, bins = (1 << 62) + (TaskContext.get().partitionId() << 34), OpenBins(capacity, 1 << 62)
+        base, bins = (1 << 62) + (TaskContext.get().partitionId() << 34), OpenBins(capacity, open_bins)
         for batch in batches:
             rows: list[tuple] = []
             for item in zip(*(c.to_pylist() for c in batch.columns[:-2]), strict=True):
@@ -176,7 +177,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_bins: i
     placed = materialise(texts.mapInArrow(first, schema), "packed")
     left = placed.filter("sequence_id is null")
     tokens = left.agg(F.sum("length")).first()[0] or 0
-    again = left.repartition(1 + tokens // ROUND_TOKENS).sortWithinPartitions(F.desc("length")).mapInArrow(second, schema)
+    again = left.repartition(1 + tokens // ROUND_TOKENS).mapInArrow(second, schema)
     return placed.filter("sequence_id is not null").union(again)
 
 

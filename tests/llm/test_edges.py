@@ -60,6 +60,11 @@ def test_odd_rows_and_clashing_columns(name, docs, labels):
     assert sorted(plain, key=repr) == sorted(clash, key=repr)
     if name != "packing":
         assert len(plain) == len(ROWS)
+    else:
+        ends = {}
+        for r in sorted(run(docs).collect(), key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == ends.get(r.sequence_id, 0) and r.offset + r.length <= packing.CAPACITY
+            ends[r.sequence_id] = r.offset + r.length
     assert run(docs.limit(0)).collect() == []
 
 

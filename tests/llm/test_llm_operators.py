@@ -196,10 +196,9 @@ def test_packing_is_whole_and_tight(spark):
 
     rng = random.Random(7)
     path = public_tokenizers.path("byte_bpe_50k.json")
-    texts = [" ".join(words(rng, rng.choice((0, 1, 30, 60, 120, 250, 1500)))) for _ in range(300)] + [None, "", "é😀<|endoftext|>x"]
+    texts = [" ".join(words(rng, rng.choice((0, 1, 30, 60, 120, 250, 1500)))) for _ in range(300)] + [None, "", "é😀<|endoftext|>x", "hi <|endoftext|> there<|endoftext|>", "<|endoftext|>"]
     rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), path, keep_ids=True).collect()
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     pieces = collections.defaultdict(dict)
     for r in rows:
         pieces[r.doc_id][r.piece] = r
@@ -220,7 +219,42 @@ def test_packing_is_whole_and_tight(spark):
     assert len(sequences) <= -(-sum(r.length for r in rows) // 2048) * 1.03 + 1
 
 
-@given(st.text(max_size=80))
+def plain_bounded_best_fit(items, capacity, most):
+    """(closed, open): lists of items; the fullest bin that takes an item gets it, of equally full ones the one touched last."""
+    bins, closed = [], []
+    for length, name in items:
+        fits = [b for b in bins if sum(n for n, _ in b) + length <= capacity]
+        full = lambda b: (sum(n for n, _ in b), bins.index(b))
+        if fits:
+            own = max(fits, key=full)
+            bins.remove(own)
+        else:
+            if len(bins) == most:
+                closed.append(max(bins, key=full))
+                bins.remove(closed[-1])
+            own = []
+        own.append((length, name))
+        (closed if sum(n for n, _ in own) == capacity else bins).append(own)
+    return closed, sorted(bins, key=lambda b: (capacity - sum(n for n, _ in b), bins.index(b)))
+
+
+@pytest.mark.parametrize("most", [3, 1000])
+def test_packing_against_plain_best_fit(spark, most):
+    rng = random.Random(18)
+    texts = [" ".join(words(rng, rng.choice((0, 1, 3, 9, 14, 20, 70)))) for _ in range(250)]
+    path, capacity = public_tokenizers.path("byte_bpe_50k.json"), 64
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1).sortWithinPartitions("doc_id"), path, capacity, most).collect()
+    items = [(n, (k, j)) for k, t in enumerate(texts) for j, (_, n) in enumerate(packing.pieces_of(len(packing.encoder(path)(t)) + 1, capacity))]
+    closed, left = plain_bounded_best_fit(items, capacity, most)
+    again, rest = plain_bounded_best_fit([i for b in left for i in b], capacity, most)
+    want = {tuple(b) for b in closed + again + rest}
+    got = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.offset):
+        got[r.sequence_id].append((r.length, (r.doc_id, r.piece)))
+    assert {tuple(b) for b in got.values()} == want and (most > 3 or len(closed) > 20)
+
+
+@given(st.text(max_size=80) | st.lists(st.sampled_from(["<|endoftext|>", "<|", "a", " ", "é"]), max_size=9).map("".join))
 @settings(max_examples=150, deadline=None)
 def test_fast_and_general_encoders_agree(text):
     path = public_tokenizers.path("byte_bpe_50k.json")
