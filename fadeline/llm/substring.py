@@ -18,10 +18,11 @@ import hashlib
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WordHashes, column, hashed_words, materialise, mix, row_key, slices, steps, texts_of
+from .common import WordHashes, column, discard, hashed_words, materialise, mix, row_key, slices, steps, texts_of
 
 WINDOW, GRAM = 35, 10
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -92,56 +93,63 @@ class Stretches:
     @staticmethod
     def _least(grams: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
         """Where the first least gram of grams[p : p + width] is, for each p of `at`."""
-        bits = _U(max(1, int(len(grams)).bit_length()))
-        best = grams >> bits << bits | np.arange(len(grams), dtype=np.uint64)
-        have = 1
+        best, place, have = grams, np.arange(len(grams)), 1
         while have * 2 <= width:
-            best = np.minimum(best[:-have], best[have:]) if len(best) > have else best[:0]
+            a, b = best[:-have], best[have:]
+            right = b < a  # not if equal: the first one counts
+            best, place = np.where(right, b, a), np.where(right, place[have:], place[:-have])
             have *= 2
         if not len(at):
             return np.zeros(0, np.int64)
-        return (np.minimum(best[at], best[at + width - have]) & ((_U(1) << bits) - _U(1))).astype(np.int64)
+        end = at + width - have
+        return np.where(best[end] < best[at], place[end], place[at])
 
 
-def _own(docs: DataFrame) -> DataFrame:
-    return docs.select(*row_key(F.col("doc_id"), F.col("text")), F.col("text").cast("binary").alias("text"))
-
-
-def _packed_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, packed): texts compressed for the shuffle."""
+def packed_texts(docs: DataFrame, *carried: Column) -> DataFrame:
+    """(row, doc_id, text_key, carried..., packed): rows numbered, texts compressed; written, so that numbers and texts stay as they are."""
+    own = docs.select(*row_key(F.col("doc_id"), F.col("text")), *carried, F.col("text").cast("binary").alias("text"))
+    own = own.select(F.monotonically_increasing_id().alias("row"), "*")
+    names = [*own.columns[:-1], "packed"]
 
     def run(batches):
         import pyarrow as pa
 
         tool = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([tool.compress(t or b"") for t in texts_of(batch)], pa.binary())], names=["doc_id", "text_key", "packed"])
+            packed = pa.array([None if t is None else tool.compress(t) for t in texts_of(batch)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=names)
 
-    return _own(docs).mapInArrow(run, "doc_id long, text_key long, packed binary")
+    schema = T.StructType([*own.schema.fields[:-1], T.StructField("packed", T.BinaryType())])
+    return materialise(own.mapInArrow(run, schema), "texts")
 
 
-def _pairs(batch):
+def unpacked(batch, tool):
+    """The texts of a batch, a few at a time; None counts as empty."""
     for part in slices(batch):
-        yield from zip(column(part, "packed"), column(part, "own"), strict=True)
+        yield from (t and tool.decompress(t) for t in column(part, "packed"))
 
 
-def stretches(docs: DataFrame) -> DataFrame:
-    """(seed, stretch, doc_id, text_key, start, n): every stretch of windows of every text."""
+def stretches(texts: DataFrame) -> DataFrame:
+    """(seed, stretch, row, start, n): every stretch of windows of every text."""
 
     def run(batches):
         import pyarrow as pa
 
-        memo = WordHashes()
+        memo, tool = WordHashes(), zstandard.ZstdDecompressor()
         for batch in batches:
-            ids, keys = batch.column(0), batch.column(1)
-            for at, part in steps(texts_of(batch)):
+            rows = batch.column(0)
+            for at, part in steps(unpacked(batch, tool)):
                 _, hashes, starts = hashed_words(part, memo)
                 s = Stretches(hashes, starts)
-                row = pa.array(s.text + at)
-                arrays = [pa.array(s.seed.view(np.int64)), pa.array(s.stretch.view(np.int64)), ids.take(row), keys.take(row), pa.array(s.start.astype(np.int32)), pa.array(s.n.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["seed", "stretch", "doc_id", "text_key", "start", "n"])
+                arrays = [pa.array(s.seed.view(np.int64)), pa.array(s.stretch.view(np.int64)), rows.take(pa.array(s.text + at)), pa.array(s.start.astype(np.int32)), pa.array(s.n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["seed", "stretch", "row", "start", "n"])
+
+    return texts.select("row", "packed").mapInArrow(run, "seed long, stretch long, row long, start int, n int")
 
-    return _own(docs).mapInArrow(run, "seed long, stretch long, doc_id long, text_key long, start int, n int")
+
+def _pairs(batch):
+    for part in slices(batch):
+        yield from zip(column(part, "packed"), column(part, "own"), strict=True)
 
 
 def _windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -156,39 +164,48 @@ def _windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             for packed, own in _pairs(batch):
                 _, hashes, starts = hashed_words([tool.decompress(packed)], memo)
                 s = Stretches(hashes, starts)
-                place = {int(a): k for k, a in enumerate(s.start)}
+                place = {pair: k for k, pair in enumerate(zip(s.seed.view(np.int64).tolist(), s.stretch.view(np.int64).tolist(), strict=True))}
                 for x in own:
-                    k = place[x["start"]]
+                    k = place[x["seed"], x["stretch"]]
                     rows.append((np.full(s.n[k], x["seed"]), np.full(s.n[k], x["stretch"]), np.arange(s.n[k]), s.windows(k).view(np.int64), np.full(s.n[k], x["times"])))
             columns = [np.concatenate(c) for c in zip(*rows, strict=True)] or [np.zeros(0, np.int64)] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["seed", "stretch", "k", "window", "times"])
 
-    own = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "seed", "stretch", "times")).alias("own"))
-    own = own.withColumnsRenamed({"doc_id": "own_id", "text_key": "own_key"})
-    met = texts.join(own, F.expr("doc_id <=> own_id and text_key = own_key")).select("packed", "own")
-    return met.mapInArrow(run, "seed long, stretch long, k long, window long, times long")
+    own = wanted.groupBy("row").agg(F.collect_list(F.struct("seed", "stretch", "times")).alias("own"))
+    return texts.select("row", "packed").join(own, "row").select("packed", "own").mapInArrow(run, "seed long, stretch long, k long, window long, times long")
 
 
-def repeated(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, text_key, start, mask): bit k of mask says that the window at word start + k occurs elsewhere."""
-    seeds = materialise(stretches(docs), "stretches")
+def repeated(texts: DataFrame) -> DataFrame:
+    """(row, start, mask): bit k of mask says that the window at word start + k occurs elsewhere."""
+    seeds = materialise(stretches(texts), "stretches")
     again = seeds.groupBy("seed").agg(F.count("*").alias("times"), F.min("stretch").alias("a"), F.max("stretch").alias("b"))
-    # tables of repeats are written before they are joined: an aggregate right below a join would tie the
-    # join to its partitions, and the rows of a hot seed could then not be split over tasks
+    # what is joined is written first, and what a join gives as well where an aggregate follows: either would
+    # tie the join to partitions by its key, and the rows of a hot seed could then not be split over tasks
     again = materialise(again.filter("times > 1").select("seed", "a", (F.col("a") != F.col("b")).alias("mixed")), "again")
-    mixed = seeds.drop("n").join(again.filter("mixed").select("seed"), "seed")
-    distinct = mixed.groupBy("seed", "stretch").agg(F.count("*").alias("times"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "start")).alias("at"))
-    windows = materialise(_windows(texts, distinct.select("seed", "stretch", "times", "at.doc_id", "at.text_key", "at.start")), "windows")
+    mixed = materialise(seeds.select("seed", "stretch", "row").join(again.filter("mixed").select("seed"), "seed"), "mixed")
+    windows = materialise(_windows(texts, mixed.groupBy("seed", "stretch").agg(F.count("*").alias("times"), F.min("row").alias("row"))), "windows")
+    discard(mixed)
     twice = windows.groupBy("seed", "window").agg(F.sum("times").alias("all")).filter("all > 1").select("seed", "window")
     masks = windows.join(materialise(twice, "twice"), ["seed", "window"]).groupBy("seed", "stretch").agg(F.bit_or(F.expr("shiftleft(1L, cast(k as int))")).alias("mask"))
     whole = again.filter("not mixed").select("seed", F.col("a").alias("stretch"), F.lit(None).cast("long").alias("mask"))  # all windows
     found = seeds.join(materialise(whole.union(masks), "masks"), ["seed", "stretch"])
-    return found.select("doc_id", "text_key", "start", F.coalesce("mask", F.expr("shiftleft(1L, n)") - 1).alias("mask"))
+    return found.select("row", "start", F.coalesce("mask", F.expr("shiftleft(1L, n)") - 1).alias("mask"))
+
+
+def _removed(words: list[bytes], own: list | None) -> np.ndarray:
+    """Which words a repeated window covers."""
+    edge = np.zeros(len(words) + 1, np.int64)
+    for x in own or ():
+        at = x["start"] + np.flatnonzero(np.unpackbits(np.array([x["mask"]], "<u8").view(np.uint8), bitorder="little"))
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + WINDOW, -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
-def _gathered(found: DataFrame) -> DataFrame:
-    """(doc_id, text_key, own): the distinct stretches of each text, so that copies of a row add nothing to its list."""
-    return found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "mask")).alias("own"))
+def _met(texts: DataFrame) -> DataFrame:
+    """texts plus `own`, the repeated windows of each."""
+    found = repeated(texts).groupBy("row").agg(F.collect_list(F.struct("start", "mask")).alias("own"))
+    return texts.join(found, "row", "left").drop("row")
 
 
 def without_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
@@ -208,23 +225,47 @@ def without_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
         for batch in batches:
             rows = []
             for packed, own in _pairs(batch):
-                words = tool.decompress(packed).split()
-                edge = np.zeros(len(words) + 1, np.int64)
-                for x in own or ():
-                    at = x["start"] + np.flatnonzero(np.unpackbits(np.array([x["mask"]], "<u8").view(np.uint8), bitorder="little"))
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + WINDOW, -1)
-                gone = np.cumsum(edge[:-1]) > 0
+                words = tool.decompress(packed).split() if packed else []
+                gone = _removed(words, own)
                 kept = b" ".join(w for w, out in zip(words, gone.tolist(), strict=True) if not out) if own else b" ".join(words)
                 rows.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "replace")] * keep_text))
             columns = list(zip(*rows, strict=True)) or [()] * (3 + keep_text)
             arrays = [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.string(), pa.string()], strict=False))]
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in schema.split(", ")])
 
-    texts = _packed_texts(docs)
-    found = _gathered(repeated(docs, texts)).withColumnsRenamed({"doc_id": "own_id", "text_key": "own_key"})
-    met = texts.join(found, F.expr("doc_id <=> own_id and text_key = own_key"), "left").select("doc_id", "text_key", "packed", "own")
-    return met.mapInArrow(run, schema)
+    return _met(packed_texts(docs)).mapInArrow(run, schema)
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the words of repeated windows removed from `text`, and n_chars, if there is one, set anew for the texts that changed.
+
+    Rules are those of without_repeats; a text that holds no repeat, null ones included, stays as it is. Keeps
+    every row and all columns, which travel with the text.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    texts = packed_texts(docs, F.struct(*(F.col(f"`{c}`") for c in others)).alias("doc")).drop("doc_id", "text_key")
+
+    def run(batches):
+        import pyarrow as pa
+
+        tool = zstandard.ZstdDecompressor()
+        for batch in batches:
+            rows = []
+            for packed, own in _pairs(batch):
+                text = packed and tool.decompress(packed)
+                if own:
+                    words = text.split()
+                    text = b" ".join(w for w, out in zip(words, _removed(words, own).tolist(), strict=True) if not out)
+                rows.append((None if text is None else text.decode(), bool(own)))
+            texts, changed = zip(*rows, strict=True) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(changed, pa.bool_())], names=["doc", "text", "changed"])
+
+    schema = T.StructType([texts.schema["doc"], T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType())])
+    out = _met(texts).mapInArrow(run, schema)
+    value = {c: F.col(f"doc.`{c}`") for c in others} | {"text": F.col("text")}
+    if "n_chars" in value:
+        value["n_chars"] = F.when(F.col("changed"), F.length("text")).otherwise(value["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(value[c].alias(c) for c in docs.columns))
 
 
 def op5_substring(spark, sf_dir: str) -> DataFrame:

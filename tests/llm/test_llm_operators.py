@@ -167,12 +167,29 @@ def test_components(spark):
     assert {n: root(n) for n in parent if n != root(n)} == got
 
 
-def test_copies_of_a_row_share_one_list_of_stretches(spark):
+def test_repeated_rows_and_ids_are_rows_of_their_own(spark):
     text = " ".join(f"w{k}" for k in range(60))
-    docs = spark.createDataFrame([(None, text)] * 30 + [(1, text)] * 30 + [(2, text)], "doc_id long, text string")
-    lists = {r.doc_id: r.own for r in substring._gathered(substring.repeated(docs, substring._packed_texts(docs))).collect()}
-    assert set(lists) == {None, 1, 2} and len(lists[None]) == len(lists[1]) == len(lists[2]) and len({tuple(x) for x in lists[1]}) == len(lists[1])
-    assert [r.n_removed for r in substring.without_repeats(docs).collect()] == [60] * 61
+    docs = spark.createDataFrame([(None, text)] * 2000 + [(1, text)] * 30 + [(1, text + " end"), (2, "a b")], "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in substring.without_repeats(docs).collect())
+    assert got == {(None, 60, 60): 2000, (1, 60, 60): 30, (1, 61, 60): 1, (2, 2, 0): 1}
+
+
+def test_one_seed_in_most_rows(spark):
+    """A passage in nine of ten rows, between words of each row's own: its windows repeat, those at its ends stand in stretches of their own."""
+    rng = random.Random(20)
+    passage = words(rng, 50, 10**6)
+    texts = [" ".join([*words(rng, 20, 10**6), *passage, *words(rng, 20, 10**6)]) if k % 10 else " ".join(words(rng, 60, 10**6)) for k in range(1500)]
+    rows = substring.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == dict(enumerate(removed(texts)))
+
+
+def test_the_first_least_gram_counts_whatever_lies_beside():
+    rng = np.random.default_rng(21)
+    grams = rng.integers(0, 5, 300).astype(np.uint64)  # ties in every window
+    for width in (1, 2, 7, 26, 32):
+        at = np.arange(len(grams) - width + 1)
+        want = [p + int(np.argmin(grams[p : p + width])) for p in at]
+        assert substring.Stretches._least(grams, width, at).tolist() == want
 
 
 # --- packing ---
