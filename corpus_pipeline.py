@@ -8,14 +8,13 @@ documents. Null texts count as empty; repeated rows, null ids and empty tables p
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from fadeline.llm.common import carried, materialise, restored
+from fadeline.llm.common import materialise
 from fadeline.llm.packing import pack
 from fadeline.llm.pii import redact
 from fadeline.llm.quality import filter_quality
 from fadeline.llm.simhash import keep_one
-from fadeline.llm.substring import without_repeats
+from fadeline.llm.substring import remove_repeats
 
 #: No SQL for run(): the first stage is a trained model, the last a packing in the order of arrival.
 ORACLE_SQL = None
@@ -33,12 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without words of repeated 35-word windows; texts that hold none stay as they are."""
-    found = without_repeats(docs).select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), "n_removed", F.col("text").alias("kept"))
-    found = found.filter("n_removed > 0").dropDuplicates(["own_id", "own_key"])
-    met = carried(docs).join(found, F.expr("id <=> own_id and key = own_key"), "left")
-    changed = F.col("n_removed").isNotNull()
-    text = F.when(changed, F.col("kept")).otherwise(F.col("doc.text"))
-    return restored(met, docs, text=text, n_chars=F.when(changed, F.length("kept")).otherwise(F.col("doc.n_chars")).cast("long"))
+    return remove_repeats(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
