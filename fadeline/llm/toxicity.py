@@ -3,7 +3,8 @@
 The labels give one flag. The chain's categories are drawn from it and from the words that mark it
 in the training rows: `dense` (flagged, with several distinct marked words), `repeated` (flagged, with
 several hits) and last `toxic`, the flag itself. While training, the probabilities that a later model
-sees come from models that did not see the row (out of fold); in scoring from the final models.
+sees come from models that did not see the row (out of fold), nor were the marked words of their targets
+chosen by its flag; in scoring from the final models.
 """
 
 from __future__ import annotations
@@ -92,20 +93,25 @@ def _probability(model: Ftrl, row: np.ndarray, extra: np.ndarray) -> float:
     return float(sigmoid(w[0] + w[1 : 1 + len(extra)] @ extra + w[1 + len(extra) :].sum()))
 
 
-def fit_chain(rows: list[np.ndarray], hits: np.ndarray, flags: np.ndarray, folds: np.ndarray) -> np.ndarray:
-    """Weights (category, feature) of the final models, learnt in the order of CATEGORIES."""
+def targets_of(rows: list[np.ndarray], hits: list[np.ndarray], flags: np.ndarray, seen: np.ndarray) -> dict[str, np.ndarray]:
+    """Targets of each category, by the words that mark the flag in the rows that are `seen` only."""
     marks = np.zeros(SIZE, bool)
-    marks[marked_words(rows, flags)] = True
+    marks[marked_words([r for r, s in zip(rows, seen, strict=True) if s], flags[seen])] = True
     distinct = np.array([marks[r].sum() for r in rows])
     repeats = np.array([marks[h].any(axis=1).sum() for h in hits])
-    targets = {"dense": flags * (distinct >= DENSE_WORDS), "repeated": flags * (repeats >= REPEATED_HITS), "toxic": flags}
+    return {"dense": flags * (distinct >= DENSE_WORDS), "repeated": flags * (repeats >= REPEATED_HITS), "toxic": flags}
+
+
+def fit_chain(rows: list[np.ndarray], hits: list[np.ndarray], flags: np.ndarray, folds: np.ndarray) -> np.ndarray:
+    """Weights (category, feature) of the final models, learnt in the order of CATEGORIES."""
+    targets = targets_of(rows, hits, flags, np.ones(len(rows), bool))
+    apart = {fold: targets_of(rows, hits, flags, folds != fold) for fold in range(FOLDS)}
     extra, weights, everyone = np.zeros((len(rows), 0)), [], np.arange(len(rows))
     for name in CATEGORIES:
-        y = targets[name].astype(float)
-        weights.append(_fit(rows, extra, y, everyone).weights())
+        weights.append(_fit(rows, extra, targets[name], everyone).weights())
         out_of_fold = np.zeros(len(rows))
         for fold in range(FOLDS if name != CATEGORIES[-1] else 0):
-            model = _fit(rows, extra, y, everyone[folds != fold])
+            model = _fit(rows, extra, apart[fold][name], everyone[folds != fold])
             for k in everyone[folds == fold]:
                 out_of_fold[k] = _probability(model, rows[k], extra[k])
         extra = np.concatenate((extra, out_of_fold[:, None]), axis=1)

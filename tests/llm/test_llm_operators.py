@@ -18,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fadeline.llm import graph, mih, packing, pii, quality, simhash, spm, substring, topk, toxicity, urls
+from fadeline.llm import ftrl, graph, mih, packing, pii, quality, simhash, spm, substring, topk, toxicity, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -545,6 +545,96 @@ def test_labelled_sample_holds_its_bound_for_repeated_ids(spark):
     assert len(drawn[0]) == 10 and drawn[0] == drawn[1] and len({k for k, _ in drawn[0]}) == 10
 
 
+def plain_ftrl(examples, alpha, l1, l2, beta=1.0):
+    """Weights by the published per-coordinate rule, one coordinate at a time; examples are ({coordinate: value}, label)."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    w = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for x, y in examples:
+        at = {i: w(i) for i in x}
+        p = 1 / (1 + math.exp(-sum(at[i] * v for i, v in x.items())))
+        for i, v in x.items():
+            g = (p - y) * v
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * at[i]
+            n[i] += g * g
+    return {i: w(i) for i in list(z)}
+
+
+def test_ftrl_against_the_plain_rule():
+    rng = random.Random(22)
+    examples = [({i: rng.uniform(-1, 2) for i in rng.sample(range(40), 6)}, rng.choice((0.0, 1.0, 0.3))) for _ in range(300)]
+    model = ftrl.Ftrl(40, alpha=0.5, l1=0.3, l2=0.2)
+    for x, y in examples:
+        model.learn(np.array(list(x)), np.array(list(x.values())), y)
+    want = plain_ftrl(examples, 0.5, 0.3, 0.2)
+    assert model.weights().tolist() == pytest.approx([want[i] for i in range(40)], abs=1e-6) and 0 in want.values()
+
+
+def test_quality_training_against_the_plain_rule(spark):
+    rng = random.Random(23)
+    rows = [(k, " ".join(words(rng, 12, 30) if k % 3 else ["BAD!", *words(rng, 6, 30)])) for k in range(90)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(k % 3 > 0)) for k, _ in rows], "doc_id long, quality int")
+    drawn = sorted((k for k, _ in rows if zlib.crc32(str(k).encode()) % 5), key=lambda k: xxhash.xxh3_64_intdigest(str(k)))
+    vectors = {k: dict(zip(i.tolist(), x.tolist(), strict=True)) for k, (i, x) in zip(drawn, quality.sparse_rows([rows[k][1].encode() for k in drawn], quality._Tokens()), strict=True)}
+    want = plain_ftrl([(vectors[k], float(k % 3 > 0)) for epoch in range(quality.EPOCHS) for k in drawn[:: -1 if epoch % 2 else 1]], 0.3, 0.02, 0.1)
+    got = quality.train(docs, labels)
+    assert {i: got[i] for i in want} == pytest.approx(want, abs=1e-5) and np.flatnonzero(got).size == sum(w != 0 for w in want.values())
+
+
+def plain_chain(rows, flags, folds):
+    """The chain over bare words as sets and lists: a weight per (category, name)."""
+    def marks(seen):
+        have = [collections.Counter(w for k in seen if flags[k] == f for w in set(itertools.chain(*rows[k]))) for f in (0, 1)]
+        n = [sum(flags[k] == f for k in seen) for f in (0, 1)]
+        return {w for w, c in have[1].items() if c >= toxicity.MARK_ROWS and (c + 0.5) / (n[1] + 1) >= toxicity.MARK_RATIO * (have[0][w] + 0.5) / (n[0] + 1)}
+
+    def targets(seen):
+        m = marks(seen)
+        return {"dense": [f * (len(m & set(itertools.chain(*r))) >= toxicity.DENSE_WORDS) for r, f in zip(rows, flags)],
+                "repeated": [f * (sum(bool(m & set(word)) for word in r) >= toxicity.REPEATED_HITS) for r, f in zip(rows, flags)], "toxic": flags}
+
+    def vector(k):
+        return {"bias": 1.0, **{f"p{c}": p for c, p in enumerate(earlier[k])}, **{w: 1.0 for word in rows[k] for w in word}}
+
+    def fit(y, seen):
+        return plain_ftrl([(vector(k), float(y[k])) for e in range(toxicity.EPOCHS) for k in seen[:: -1 if e % 2 else 1]], 2.0, 6.0, 0.01)
+
+    every, earlier, weights = list(range(len(rows))), [[] for _ in rows], []
+    for name in toxicity.CATEGORIES:
+        weights.append(fit(targets(every)[name], every))
+        out = {}
+        for fold in range(toxicity.FOLDS):
+            seen = [k for k in every if folds[k] != fold]
+            w = fit(targets(seen)[name], seen)
+            out |= {k: 1 / (1 + math.exp(-sum(w.get(i, 0) * v for i, v in vector(k).items()))) for k in every if folds[k] == fold}
+        for k in every:
+            earlier[k].append(out[k])
+    return weights
+
+
+def test_chain_against_a_plain_one():
+    rng = random.Random(24)
+    flags = [int(k % 3 == 0) for k in range(240)]
+    texts = [" ".join([*words(rng, 8, 60), *(rng.choice(("vile", "foul", "nasty")) for _ in range(rng.randrange(1, 4) if f else k % 40 == 1))]) for k, f in enumerate(flags)]
+    index, doc = toxicity.word_features([t.encode() for t in texts], toxicity._Words())
+    hits = [index[doc == k] for k in range(len(texts))]
+    folds = np.array([rng.randrange(toxicity.FOLDS) for _ in texts])
+    got = toxicity.fit_chain([toxicity._present(h) for h in hits], hits, np.array(flags, float), folds)
+    want = plain_chain([[tuple(int(i) for i in w if i) for w in h] for h in hits], flags, folds.tolist())
+    place = {"bias": 0, "p0": 1, "p1": 2}
+    for own, plain in zip(got, want, strict=True):
+        assert {i: own[place.get(i, i)] for i in plain} == pytest.approx(plain, abs=1e-3)
+    assert all(any(w.values()) for w in want)
+
+
+def test_marks_of_a_fold_do_not_see_its_flags():
+    rows, flags = [np.array([9]) for _ in range(8)] + [np.array([11])] * 8, np.array([1.0] * 8 + [0.0] * 8)
+    hits = [r[:, None] for r in rows]
+    seen = np.array(([True] * 6 + [False] * 2) * 2)
+    changed = np.where(seen, flags, 1 - flags)
+    a, b = (toxicity.targets_of(rows, [np.repeat(h, 2, axis=0) for h in hits], f, seen) for f in (flags, changed))
+    assert a["repeated"][seen].tolist() == b["repeated"][seen].tolist() and a["repeated"].sum() == 8
+
+
 def test_batch_scores_equal_sparse_dot_products():
     rng, weights = random.Random(14), np.random.default_rng(15).standard_normal(quality.SIZE).astype(np.float32)
     texts = [" ".join(words(rng, n, 20)).encode() for n in (0, 1, 2, 3, 50)]
