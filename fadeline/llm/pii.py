@@ -12,11 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, materialise, restored, row_key
+from ..functions.arrays import let
+from .common import discard, materialise, row_key
 
 KINDS = ("email", "ip", "card", "phone")
 #: Marks of the contexts: two words before, one before, one after.
 CONTEXTS = ("2<", "1<", "1>")
+#: Code points at either side of a span that its contexts are read from. A word that is not whole in them is no context.
+CONTEXT = 256
 #: Rounds of scoring; what a pattern needs to count: distinct known instances of one kind, and their share of the known.
 ROUNDS, LEAST_SEEDS, LEAST_SCORE = 3, 5, 0.9
 
@@ -30,31 +33,69 @@ EXPRESSIONS = {
     "card": r"(?>[0-9](?:[\x20-]?[0-9]){11})(?>(?:[\x20-]?[0-9]){1,500})*",  # 12 digits or more: shorter ones fail anyway
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What may be an identifier of another form: words of letters and digits with six digits or more.
-IDENTIFIER = r"(?<![A-Za-z0-9])(?=(?:[A-Za-z./-]{0,40}[0-9]){6})[A-Za-z0-9]++(?:[./-][A-Za-z0-9]++){0,8}"
+#: What may be an identifier of another form: a whole run of letters, digits and . / - that holds six digits or more.
+IDENTIFIER = r"(?<![A-Za-z0-9./-])(?=(?:[A-Za-z./-]*+[0-9]){6})[A-Za-z0-9./-]++"
 #: What a text must hold for its expression to be tried.
 _NEEDS = {"email": "@", "phone": "+"}
 
 
+EMPTY = "cast(array() as array<struct<start: int, end: int, kind: string, value: string>>)"
+
+
+def _scan(a: Column, op) -> Column:
+    """op over each prefix of the array, by doubling: n log n steps and no array that grows element by element."""
+    far = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    step = lambda acc, k: F.transform(acc, lambda x, i: F.when(i >= far(k), op(x, F.get(acc, i - far(k)))).otherwise(x))
+    rounds = lambda v: F.sequence(F.lit(0), F.ceil(F.log2(F.size(v).cast("double"))).cast("int") - 1)
+    return let(a, lambda v: F.when(F.size(v) > 1, F.aggregate(rounds(v), v, step)).otherwise(v))
+
+
 def _spans(text: Column, kind: str, expression: str) -> Column:
     """array<struct<start,end,kind,value>> of the matches; positions in code points, end exclusive.
 
     The pieces between the matches give the positions: each match starts where the pieces and matches
     before it end.
     """
-    empty = F.expr("cast(array() as array<struct<start: int, end: int, kind: string, value: string>>)")
-    found = F.regexp_extract_all(text, F.lit(expression), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
 
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["piece"])
-        end = begin + F.length(pair["value"])
-        own = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(own)).alias("spans"))
+    def placed(found: Column) -> Column:
+        lengths = F.zip_with(F.slice(F.split(text, expression, -1), 1, F.size(found)), found, lambda piece, value: F.length(piece) + F.length(value))
+        own = lambda end, value: F.struct((end - F.length(value)).alias("start"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value"))
+        return F.when(F.size(found) > 0, F.zip_with(_scan(lengths, lambda a, b: a + b), found, own)).otherwise(F.expr(EMPTY))
 
-    pairs = F.zip_with(F.slice(F.split(text, expression, -1), 1, F.size(found)), found, lambda p, v: F.struct(p.alias("piece"), v.alias("value")))
     needed = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike("[0-9]")
-    return F.when(needed & (F.size(found) > 0), F.aggregate(pairs, start, step, lambda s: s["spans"])).otherwise(empty)
+    return F.when(needed, let(F.regexp_extract_all(text, F.lit(expression), F.lit(0)), placed)).otherwise(F.expr(EMPTY))
+
+
+def _trimmed(spans: Column) -> Column:
+    """Spans without the . / - at their ends."""
+
+    def one(s: Column) -> Column:
+        marks = F.lit("./-")
+        start, end = s["start"] + F.length(s["value"]) - F.length(F.ltrim(s["value"], marks)), s["end"] - F.length(s["value"]) + F.length(F.rtrim(s["value"], marks))
+        return F.struct(start.alias("start"), end.alias("end"), s["kind"].alias("kind"), F.trim(s["value"], marks).alias("value"))
+
+    return F.transform(spans, one)
+
+
+def _apart(others: Column, base: Column) -> Column:
+    """The spans of `others` that overlap none of `base`: in order of start, no end before reaches them and no start after lies in them."""
+    last = F.lit(2**31 - 1)
+    marked = lambda spans, own: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(own).alias("own"), s["value"].alias("value")))
+
+    def free(every: Column) -> Column:
+        ends = _scan(F.transform(every, lambda s: F.when(s["own"], F.lit(0)).otherwise(s["end"])), F.greatest)
+        starts = F.reverse(_scan(F.reverse(F.transform(every, lambda s: F.when(s["own"], last).otherwise(s["start"]))), F.least))
+        kept = let(ends, lambda e: let(starts, lambda b: F.filter(every, lambda s, i: s["own"] & (F.get(e, i) <= s["start"]) & (F.get(b, i) >= s["end"]))))
+        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("kind"), s["value"].alias("value")))
+
+    every = F.array_sort(F.concat(marked(base, False), marked(others, True)))
+    return F.when((F.size(others) == 0) | (F.size(base) == 0), others).otherwise(let(every, free))
+
+
+def _chunked(text: Column, body) -> Column:
+    """body(part), where part(start, end) is text from start to end at a cost that does not depend on where it lies."""
+    part = lambda chunks: lambda start, end: F.when(end > start, F.substring(F.array_join(F.slice(chunks, F.shiftright(start, 8) + 1, F.shiftright(end - 1, 8) - F.shiftright(start, 8) + 1), ""), F.pmod(start, F.lit(256)) + 1, end - start)).otherwise("")
+    return let(F.regexp_extract_all(text, F.lit("(?s).{1,256}"), F.lit(0)), lambda chunks: body(part(chunks)))
 
 
 def _digits(value: Column) -> Column:
@@ -89,15 +130,23 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _contexts(text: Column, start: Column, end: Column) -> Column:
-    """The two words before a span, the one before and the one after, as far as there are any; folded: lower case, digits as 0."""
-    fold = lambda c: F.lower(F.regexp_replace(c, "[0-9]", "0"))
-    before = fold(F.substring(text, F.greatest(start - 60, F.lit(0)) + 1, F.least(start, F.lit(60))))
-    after = fold(F.substring(text, end + 1, F.lit(60)))
-    two = F.regexp_replace(F.regexp_extract(before, r"(\S+\s+\S+)\s*$", 1), r"\s+", " ")
-    found = F.array(two, F.regexp_extract(before, r"(\S+)\s*$", 1), F.regexp_extract(after, r"^\s*(\S+)", 1))
-    marked = F.transform(found, lambda words, k: F.when(words != "", F.concat(F.element_at(F.array(*map(F.lit, CONTEXTS)), k + 1), words)))
-    return F.filter(marked, lambda p: p.isNotNull())
+def _contexts(part, start: Column, end: Column) -> Column:
+    """The two words before a span, the one before and the one after, as far as there are any; folded: lower case, digits as 0.
+
+    Words are runs without white space, so that punctuation is part of a context.
+    """
+    fold = lambda c: F.lower(F.translate(c, "123456789", "000000000"))
+    far = F.lit(CONTEXT)
+    before = F.when(start > far, part(start - far, start)).otherwise(F.concat(F.lit(" "), part(F.lit(0), start)))
+    after = let(part(end, end + far), lambda c: F.when(F.length(c) < far, F.concat(c, F.lit(" "))).otherwise(c))
+
+    def found(before: Column, after: Column) -> Column:
+        two = F.regexp_replace(F.regexp_extract(before, r"(?<=\s)(\S++\s++\S++)\s*+$", 1), r"\s+", " ")
+        words = F.array(two, F.regexp_extract(before, r"(?<=\s)(\S++)\s*+$", 1), F.regexp_extract(after, r"^\s*+(\S++)(?=\s)", 1))
+        marked = F.transform(words, lambda w, k: F.when(w != "", F.concat(F.element_at(F.array(*map(F.lit, CONTEXTS)), k + 1), w)))
+        return F.filter(marked, lambda p: p.isNotNull())
+
+    return let(fold(before), lambda b: let(fold(after), lambda a: found(b, a)))
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -106,8 +155,7 @@ def spans(docs: DataFrame) -> DataFrame:
     for kind, expression in EXPRESSIONS.items():
         docs = docs.withColumn(f"_{kind}", _spans(text, kind, expression))
     docs = docs.withColumn("base", _sorted(F.filter(F.concat(*(F.col(f"_{k}") for k in KINDS)), _valid))).drop(*(f"_{k}" for k in KINDS))
-    free = F.filter(_spans(text, "", IDENTIFIER), lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return docs.withColumn("others", free)
+    return docs.withColumn("others", let(_trimmed(_spans(text, "", IDENTIFIER)), lambda others: let(F.col("base"), lambda base: _apart(others, base))))
 
 
 def discovered(instances: DataFrame) -> DataFrame:
@@ -121,7 +169,7 @@ def discovered(instances: DataFrame) -> DataFrame:
     edges = materialise(instances.select(F.explode("patterns").alias("pattern"), "value", "kind").distinct(), "pattern-instances")
     seeds = edges.filter("kind is not null").select("pattern", "value", "kind", F.lit(1.0).alias("score"))
     unknown = edges.filter("kind is null").select("pattern", "value")
-    known, patterns = seeds, None
+    known, patterns, old = seeds, None, []
     for _ in range(ROUNDS):
         scored = known.groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.sum((F.col("score") >= LEAST_SCORE).cast("int")).alias("seeds"))
         kinds = F.collect_list(F.struct("kind", "mass", "seeds")).alias("kinds")  # at most one entry a kind
@@ -129,6 +177,8 @@ def discovered(instances: DataFrame) -> DataFrame:
         scored = scored.select("pattern", "n", F.inline("kinds")).withColumn("confidence", F.col("mass") / (F.col("n") + 1))
         patterns = scored.filter((F.col("seeds") >= LEAST_SEEDS) & (F.col("mass") >= LEAST_SCORE * F.col("n"))).select("pattern", "kind", "confidence")
         patterns = materialise(patterns, "patterns")  # cuts lineage, and lets a frequent pattern's instances be split over tasks
+        discard(*old)
+        old = [patterns]
         new = unknown.join(patterns, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
         new = unknown.join(new.filter(F.col("score") >= LEAST_SEEDS / (LEAST_SEEDS + 1)), "value").select("pattern", "value", "kind", "score")
         known = seeds.unionByName(new)
@@ -136,51 +186,57 @@ def discovered(instances: DataFrame) -> DataFrame:
     return found.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
-    """Every row of docs as (row, doc_id, text_key, base, spans): base spans, and all spans with the added ones.
+def find_pii(docs: DataFrame, *carried: Column) -> DataFrame:
+    """Every row of docs as (row, doc_id, text_key, carried..., base, spans): base spans, and all spans with the added ones.
 
     Spans are structs (start, order, end, kind, value) in order of start and kind; null and empty texts
-    have none. Rows are told apart by their place, so that null and repeated doc_ids and wholly repeated
-    rows do no harm; other columns are not looked at.
+    have none. Rows are told apart by a number of their own, so that null and repeated doc_ids and wholly
+    repeated rows do no harm; other columns are not looked at. A text with very many spans costs in
+    proportion to its length, and to their number times its logarithm.
     """
-    own = docs.select(*row_key(F.col("doc_id"), F.col("text")), "text").withColumn("row", F.monotonically_increasing_id())
-    found = spans(own)
-    parts = materialise(found.select("row", "doc_id", "text_key", "base", _candidates()), "pii")
+    own = docs.select(*row_key(F.col("doc_id"), F.col("text")), *carried, "text").withColumn("row", F.monotonically_increasing_id())
+    names = [c for c in own.columns if c not in ("text", "row")]
+    parts = materialise(spans(own).select("row", *names, "base", _candidates()), "pii")
     added = discovered(parts.select("row", F.inline("candidates")))
     added = added.groupBy("row").agg(F.collect_list(F.struct("start", F.col("end"), "kind", F.lit("").alias("value"))).alias("added"))
+    added = materialise(added, "added")
     every = F.when(F.col("added").isNull(), F.col("base")).otherwise(_sorted(F.concat(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))), F.col("added"))))
-    return parts.drop("candidates").join(added, "row", "left").select("row", "doc_id", "text_key", "base", every.alias("spans"))
+    return parts.drop("candidates").join(added, "row", "left").select("row", *names, "base", every.alias("spans"))
 
 
 def _candidates() -> Column:
     text = F.coalesce(F.col("text"), F.lit(""))
 
-    def slim(column: Column, kind) -> Column:
-        one = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind(s).alias("kind"), F.lower(s["value"]).alias("value"), _contexts(text, s["start"], s["end"]).alias("patterns"))
+    def slim(column: Column, kind, part) -> Column:
+        one = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind(s).alias("kind"), F.lower(s["value"]).alias("value"), _contexts(part, s["start"], s["end"]).alias("patterns"))
         return F.transform(column, one)
 
-    own = F.concat(slim(F.col("base"), lambda s: s["kind"]), slim(F.col("others"), lambda s: F.lit(None).cast("string")))
-    return F.filter(own, lambda s: F.size(s["patterns"]) > 0).alias("candidates")
+    own = _chunked(text, lambda part: F.concat(slim(F.col("base"), lambda s: s["kind"], part), slim(F.col("others"), lambda s: F.lit(None).cast("string"), part)))
+    none = F.expr("cast(array() as array<struct<start: int, end: int, kind: string, value: string, patterns: array<string>>>)")
+    return F.when(F.size("base") + F.size("others") > 0, F.filter(own, lambda s: F.size(s["patterns"]) > 0)).otherwise(none).alias("candidates")
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span of its texts replaced by <kind>, n_chars of those texts set anew. Keeps all columns."""
-    found = find_pii(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), "spans")
-    found = found.groupBy("own_id", "own_key").agg(F.first("spans").alias("spans"))  # repeated rows have equal spans
-    place = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
+    """docs with every span of its texts replaced by <kind>, n_chars of those texts set anew. Keeps all rows and columns.
+
+    Of spans that overlap the one that starts first gives the name, and all that they cover goes.
+    """
+    found = find_pii(docs, F.struct("*").alias("doc"))
     text = F.col("doc.text")
 
-    def step(state: Column, s: Column) -> Column:
-        piece = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        put = F.struct(s["end"].alias("at"), F.concat(state["parts"], F.array(piece, F.concat(F.lit("<"), s["kind"], F.lit(">")))).alias("parts"))
-        inside = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["parts"].alias("parts"))
-        return F.when(s["start"] >= state["at"], put).otherwise(inside)
-
-    whole = F.aggregate("spans", place, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    met = carried(docs).join(found, F.expr("id <=> own_id and key = own_key"), "left")
-    new = F.when(F.col("spans").isNull(), text).otherwise(whole)
-    changed = {"text": new} | ({"n_chars": F.when(F.col("spans").isNull(), F.col("doc.n_chars")).otherwise(F.length(new)).cast("long")} if "n_chars" in docs.columns else {})
-    return restored(met, docs, **changed)
+    def put(spans: Column, ends: Column, part) -> Column:
+        at = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        pieces = F.transform(spans, lambda s, i: F.when(s["start"] >= at(i), F.concat(part(at(i), s["start"]), F.lit("<"), s["kind"], F.lit(">"))).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), part(F.element_at(ends, -1), F.length(text)))
+
+    ends = lambda spans: _scan(F.transform(spans, lambda s: s["end"]), F.greatest)
+    whole = let(F.col("spans"), lambda s: let(ends(s), lambda e: _chunked(text, lambda part: put(s, e, part))))
+    any_ = F.size("spans") > 0
+    out = found.withColumn("new", F.when(any_, whole).otherwise(text))
+    value = {c: F.col(f"doc.`{c}`") for c in docs.columns} | {"text": F.col("new")}
+    if "n_chars" in value:
+        value["n_chars"] = F.when(any_, F.length("new")).otherwise(value["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(value[c].alias(c) for c in docs.columns))
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:

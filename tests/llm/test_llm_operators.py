@@ -508,6 +508,91 @@ def test_unseen_identifiers_do_not_count_against_a_cue(spark):
     assert got[200] == ["phone"] and got[201] == ["phone"] and got[202] == []
 
 
+def test_a_text_with_very_many_spans(spark):
+    text = " ".join(f"{k % 250}.{k % 7}.{k % 9}.1 é{k:07d}" for k in range(12_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.find_pii(docs).select(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])).alias("base")).first()
+    assert row.base == [f"{kind}:{a}:{b}" for a, b, kind in base_spans(text)]
+    assert pii.redact(docs).first().text == re.sub(r"[0-9]+\.[0-9]\.[0-9]\.1", "<ip>", text)
+
+
+def test_unseen_spans_keep_apart_from_base_ones(spark):
+    rng = random.Random(25)
+    rows = []
+    for k in range(200):
+        cuts = lambda n: [(a, a + rng.randrange(1, 9)) for a in sorted(rng.sample(range(60), n))]
+        rows.append((k, cuts(rng.randrange(6)), cuts(rng.randrange(6))))
+    kind = "array<struct<start: int, end: int>>"
+    full = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("kind"), F.lit("v").alias("value")))
+    got = spark.createDataFrame(rows, f"k int, base {kind}, others {kind}").select("k", pii._apart(full("others"), full("base")).alias("free")).collect()
+    for r in got:
+        _, base, others = rows[r.k]
+        assert [(s.start, s.end) for s in r.free] == sorted(o for o in others if not any(b[0] < o[1] and o[0] < b[1] for b in base))
+
+
+def plain_discovery(instances):
+    """{(row, start, end): kind} by the same graph, over dicts; instances as discovered() takes them."""
+    edges = {(p, v, kind) for _, _, _, kind, v, ps in instances for p in ps}
+    seeds = {(p, v, kind): 1.0 for p, v, kind in edges if kind}
+    unknown = {(p, v) for p, v, kind in edges if not kind}
+    known, patterns = seeds, {}
+    for _ in range(pii.ROUNDS):
+        mass, least = collections.Counter(), collections.Counter()
+        for (p, _, kind), score in known.items():
+            mass[p, kind] += score
+            least[p, kind] += score >= pii.LEAST_SCORE
+        total = collections.Counter()
+        for (p, _), m in mass.items():
+            total[p] += m
+        patterns = {(p, kind): m / (total[p] + 1) for (p, kind), m in mass.items() if least[p, kind] >= pii.LEAST_SEEDS and m >= pii.LEAST_SCORE * total[p]}
+        doubt = collections.defaultdict(lambda: 1.0)
+        for p, v in unknown:
+            for (q, kind), c in patterns.items():
+                if p == q:
+                    doubt[v, kind] *= 1 - c
+        new = {(v, kind): 1 - d for (v, kind), d in doubt.items() if 1 - d >= pii.LEAST_SEEDS / (pii.LEAST_SEEDS + 1)}
+        known = seeds | {(p, v, kind): s for p, v in unknown for (w, kind), s in new.items() if v == w}
+    out = {}
+    for row, start, end, kind, _, ps in instances:
+        best = max(((c, k) for p in ps for (q, k), c in patterns.items() if p == q), default=None)
+        if not kind and best:
+            out[row, start, end] = best[1]
+    return out
+
+
+def test_graph_scores_against_plain_ones(spark):
+    """Patterns that count at once, only through what others discover, only mixed, and not at all."""
+    rng = random.Random(26)
+    rows = []
+    for k in range(900):
+        kind = rng.choice((None, None, *pii.KINDS))
+        own = {f"p{rng.randrange(6)}{kind or rng.choice(pii.KINDS)}" for _ in range(rng.randrange(1, 3))} | ({f"mixed{rng.randrange(9)}"} if rng.random() < 0.3 else set())
+        rows.append((k, 0, 5, kind, f"v{rng.randrange(400)}{kind}", sorted(own)))
+    rows += [(1000 + k, 0, 5, "email", f"seed{k}", ["first"]) for k in range(9)]
+    rows += [(2000 + k, 0, 5, None, f"unseen{k}", ["first", "second"]) for k in range(7)] + [(3000, 0, 5, None, "far", ["second"]), (3001, 0, 5, None, "farther", ["third"])]
+    table = spark.createDataFrame(rows, "row long, start int, end int, kind string, value string, patterns array<string>")
+    got = {(r.row, r.start, r.end): r.kind for r in pii.discovered(table).collect()}
+    want = plain_discovery(rows)
+    assert got == want and got[3000, 0, 5] == "email" and (3001, 0, 5) not in got and len({k for k in got.values()}) == 4
+
+
+def test_discovery_on_a_corpus_of_cues(spark):
+    """Unseen forms planted behind cues of each kind, and numbers without a cue: all of the former are found, none of the latter."""
+    rng = random.Random(27)
+    seen = {"email": lambda k: f"user{k}@mail{k % 5}.net", "ip": lambda k: f"10.{k % 200}.{k % 7}.{k % 250}", "phone": lambda k: f"+1 555 {1_000_000 + 7919 * k % 8_000_000}"}
+    other = {"email": lambda k: f"user{100_000 + k}.mail.net", "ip": lambda k: f"10-{k}-{k % 99}-2001", "phone": lambda k: f"555-{2_000_000 + k}"}
+    cue = {"email": "write to:", "ip": "host addr=", "phone": "call (tel.)"}
+    rows, planted = [], {}
+    for k in range(600):
+        kind = rng.choice(list(seen))
+        own = other[kind](k) if k % 3 == 0 else seen[kind](k)
+        rows.append((k, " ".join([*words(rng, 8, 10**6), cue[kind], own, *words(rng, 8, 10**6)])))
+        planted |= {k: kind} if k % 3 == 0 else {}
+    rows += [(1000 + k, " ".join([*words(rng, 8, 10**6), f"{3_000_000 + k}", *words(rng, 8, 10**6)])) for k in range(200)]
+    found = {r.doc_id: r.spans[0].kind for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.spans and not r.base}
+    assert found == planted
+
+
 # --- classifiers ---
 
 
