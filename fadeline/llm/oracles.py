@@ -14,25 +14,24 @@ def _rule(what: str) -> str:
     return f"CASE {' '.join(cases)} END"
 
 
-def _walk(name: str, src: str, dst: str, seeds: str) -> str:
-    steps = [f"{name}_s AS (SELECT {src} AS src, {dst} AS dst, n / sum(n) OVER (PARTITION BY {src}) AS w FROM edges)", f"{name}_0 AS (SELECT host, 1.0 AS score FROM {seeds})"]
-    for k in range(ROUNDS):
-        steps.append(f"{name}_{k + 1} AS (SELECT host, sum(score) AS score FROM (SELECT s.dst AS host, s.w * r.score * {DAMPING} AS score FROM {name}_s s JOIN {name}_{k} r ON s.src = r.host UNION ALL SELECT host, 1.0 FROM {seeds}) GROUP BY host)")
-    return ", ".join(steps)
-
-
 _LINK = urls._LINK.replace("'", "''")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-OP1 = f"""WITH p AS (SELECT page_id, html, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+OP1 = f"""WITH RECURSIVE p AS (SELECT page_id, html, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, html, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
 r AS (SELECT page_id, host, path, {_rule("rule")} AS rule, {_rule("verdict")} AS ruling FROM h),
 l AS (SELECT host AS src, translate(unnest(regexp_extract_all(coalesce(html, ''), '{_LINK}', 1)), '{_UPPER}', '{_LOWER}') AS dst FROM h),
 edges AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
 hosts AS (SELECT host, count(*) AS n, count(*) FILTER (ruling = 'allow') AS a, count(*) FILTER (ruling = 'block') AS b FROM r WHERE host <> '' GROUP BY host),
 good AS (SELECT host FROM hosts WHERE a > 0 AND b = 0), bad AS (SELECT host FROM hosts WHERE b = n),
-{_walk("t", "src", "dst", "good")}, {_walk("d", "dst", "src", "bad")},
+steps AS (SELECT walk, src, dst, n / sum(n) OVER (PARTITION BY walk, src) AS w FROM (SELECT 'trust' AS walk, src, dst, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges)),
+seeds AS (SELECT 'trust' AS walk, host FROM good UNION ALL SELECT 'distrust', host FROM bad), sizes AS (SELECT walk, count(*) AS n FROM seeds GROUP BY walk),
+walks AS (SELECT 0 AS k, walk, host, CAST(1.0 AS DOUBLE) AS score FROM seeds UNION ALL (
+ WITH moved AS (SELECT v.walk, s.dst AS host, sum(s.w * v.score) * {DAMPING} AS score FROM steps s JOIN walks v ON v.walk = s.walk AND v.host = s.src GROUP BY v.walk, s.dst),
+ back AS (SELECT z.walk, 1 + ({DAMPING} * (SELECT sum(score) FROM walks v WHERE v.walk = z.walk) - coalesce((SELECT sum(score) FROM moved m WHERE m.walk = z.walk), 0)) / z.n AS score FROM sizes z),
+ every AS (SELECT walk, host, score FROM moved UNION ALL SELECT walk, host, score FROM seeds JOIN back USING (walk))
+ SELECT (SELECT max(k) FROM walks) + 1, walk, host, sum(score) FROM every WHERE (SELECT max(k) FROM walks) < {ROUNDS} GROUP BY walk, host)),
 s AS (SELECT page_id, r.host, path, rule, ruling, CASE WHEN (SELECT count(*) FROM edges) > 0 THEN coalesce(t.score, 0.0) ELSE 0.0 END AS trust, CASE WHEN (SELECT count(*) FROM edges) > 0 THEN coalesce(d.score, 0.0) ELSE 0.0 END AS distrust
-FROM r LEFT JOIN t_{ROUNDS} t ON t.host = r.host LEFT JOIN d_{ROUNDS} d ON d.host = r.host)
+FROM r LEFT JOIN walks t ON t.host = r.host AND t.walk = 'trust' AND t.k = {ROUNDS} LEFT JOIN walks d ON d.host = r.host AND d.walk = 'distrust' AND d.k = {ROUNDS})
 SELECT page_id, host, path, rule, coalesce(ruling, CASE WHEN distrust >= {LEAST_DISTRUST} AND distrust > {MARGIN} * trust THEN 'block' ELSE 'allow' END) AS verdict, CAST(trust AS DOUBLE) AS trust, CAST(distrust AS DOUBLE) AS distrust FROM s"""
 
 OP3 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

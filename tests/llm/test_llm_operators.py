@@ -19,6 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fadeline.llm import ftrl, graph, mih, packing, pii, quality, simhash, spm, substring, topk, toxicity, urls
+from fadeline.llm.queries import ORACLE_SQL
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -747,21 +748,80 @@ def test_toxicity_chain(spark):
 # --- URLs ---
 
 
-def test_propagation_against_power_iteration(spark):
-    rng = random.Random(17)
-    edges = sorted({(rng.randrange(12), rng.randrange(12)) for _ in range(40)} - {(k, k) for k in range(12)})
-    n = {e: rng.randrange(1, 4) for e in edges}
-    out = collections.Counter()
-    for (a, _), k in n.items():
+def plain_walk(edges, seeds, rounds):
+    """{host: score} by power iteration; edges are {(src, dst): n}."""
+    out, score = collections.Counter(), dict.fromkeys(seeds, 1.0)
+    for (a, _), k in edges.items():
         out[a] += k
-    score = base = {0: 1.0, 5: 1.0}
-    for _ in range(urls.ROUNDS):
-        new = collections.Counter(base)
-        for (a, b), k in n.items():
+    for _ in range(rounds):
+        new = collections.Counter()
+        for (a, b), k in edges.items():
             new[b] += urls.DAMPING * score.get(a, 0) * k / out[a]
+        lost = urls.DAMPING * sum(v for h, v in score.items() if h not in out)
+        for h in seeds:
+            new[h] += 1 + lost / len(seeds)
         score = dict(new)
-    table = spark.createDataFrame([(f"h{a}", f"h{b}", k) for (a, b), k in n.items()], "src string, dst string, n long")
-    seeds = spark.createDataFrame([("h0", 1.0), ("h5", 1.0)], "host string, share double")
-    got = {r.host: r.score for r in urls.propagate(table, seeds).collect()}
-    for k, v in score.items():
-        assert got.get(f"h{k}", 0) == pytest.approx(v)
+    return score
+
+
+def test_propagation_against_power_iteration(spark):
+    """Two walks at once, over hosts without links and a seed that nothing touches; what the last round leaves is within the tolerance."""
+    rng = random.Random(17)
+    edges = {(f"h{a}", f"h{b}"): rng.randrange(1, 4) for a, b in sorted({(rng.randrange(12), rng.randrange(16)) for _ in range(40)}) if a != b}
+    back = {(b, a): n for (a, b), n in edges.items()}
+    seeds = {"trust": ["h0", "h5", "alone"], "distrust": ["h3"]}
+    table = spark.createDataFrame([(w, a, b, n) for w, e in (("trust", edges), ("distrust", back)) for (a, b), n in e.items()], "walk string, src string, dst string, n long")
+    got = {(r.walk, r.host): r.score for r in urls.propagate(table, spark.createDataFrame([(w, h) for w, hs in seeds.items() for h in hs], "walk string, host string")).collect()}
+    for walk, e in (("trust", edges), ("distrust", back)):
+        want, settled = plain_walk(e, seeds[walk], urls.ROUNDS), plain_walk(e, seeds[walk], 400)
+        assert {h: s for (w, h), s in got.items() if w == walk} == pytest.approx(want)
+        assert sum(abs(settled[h] - want.get(h, 0)) for h in settled) <= urls.TOLERANCE * sum(settled.values())
+
+
+def web(rng, n):
+    """Pages of n hosts: some ruled wholly, some in part; links mostly to hosts near by, so that blocked and trusted parts form."""
+    host = lambda k: f"s{k}.{('com', 'example.com', 'zz', 'yy')[k % 4]}"
+    rows = []
+    for k in range(n):
+        for j in range(rng.randrange(1, 4)):
+            path = {0: "/en/", 1: "/en/7"}.get(k % 4, "/a/") if k % 5 == 0 else "/a/"
+            to = [host((k + rng.choice((-8, -4, 4, 8, rng.randrange(n)))) % n) for _ in range(rng.randrange(4))]
+            rows.append((len(rows), f"http://{host(k)}{path}{j}", " ".join(f'<a href="//{h}/x">' for h in to)))
+    return rows
+
+
+def test_verdicts_of_a_web_against_a_plain_version_and_sql(spark):
+    import duckdb
+
+    rows = web(random.Random(28), 400)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.judge(pages).collect()}
+    host = {i: u.split("/")[2] for i, u, _ in rows}
+    ruling = {i: r.verdict if r.rule else None for i, r in got.items()}  # rules have a test of their own
+    edges = collections.Counter((host[i], d) for i, _, h in rows for d in re.findall(r'href="//([^/]+)/', h) if d != host[i])
+    by_host = collections.defaultdict(list)
+    for i, h in host.items():
+        by_host[h].append(ruling[i])
+    trust = plain_walk(edges, [h for h, r in by_host.items() if "allow" in r and "block" not in r], urls.ROUNDS)
+    distrust = plain_walk({(b, a): n for (a, b), n in edges.items()}, [h for h, r in by_host.items() if set(r) == {"block"}], urls.ROUNDS)
+    for i, r in got.items():
+        t, d = trust.get(host[i], 0), distrust.get(host[i], 0)
+        assert (r.trust, r.distrust) == pytest.approx((t, d))
+        if ruling[i] is None and abs(d - t) > 1e-9 and abs(d - urls.LEAST_DISTRUST) > 1e-9:
+            assert r.verdict == ("block" if d >= urls.LEAST_DISTRUST and d > urls.MARGIN * t else "allow")
+    free = [r.verdict for r in got.values() if r.rule is None]
+    assert min(free.count("block"), free.count("allow")) > 50
+    db = duckdb.connect()
+    db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    db.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    names = ("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+    for row in db.execute(f"SELECT {', '.join(names)} FROM ({ORACLE_SQL['op1_urls']})").fetchall():
+        own = got[row[0]]
+        assert tuple(own[c] for c in names[:5]) == row[:5] and (own.trust, own.distrust) == pytest.approx(row[5:])
+
+
+def test_very_long_urls_and_pages(spark):
+    long = "x" * 500_000
+    rows = [(1, f"http://{long}.org/es/{long}?q", f"<a href='http://b.zz/{long}'>" * 3), (2, f"{long}", long), (3, "http://" + "a." * 200_000 + "net/de/", f"{'href= ' * 50_000}")]
+    got = {r.page_id: (len(r.host), len(r.path), r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: (500_004, 500_004, "org/es/", "block"), 2: (0, 0, None, "allow"), 3: (400_003, 4, "net/de/", "block")}
