@@ -35,7 +35,16 @@ DATASETS = (
     ("Stanford_", "Stanford_2"),
     ("MICH_MCForm", "MICH"),
     ("MICH_", "MICH_EXP"),
-    *((name, name) for name in ("Tongji", "CALB", "CALCE", "HNEI", "HUST", "MATR", "RWTH", "SDU", "SNL", "XJTU")),
+    ("Tongji", "Tongji"),
+    ("CALB", "CALB"),
+    ("CALCE", "CALCE"),
+    ("HNEI", "HNEI"),
+    ("HUST", "HUST"),
+    ("MATR", "MATR"),
+    ("RWTH", "RWTH"),
+    ("SDU", "SDU"),
+    ("SNL", "SNL"),
+    ("XJTU", "XJTU"),
 )
 
 
@@ -96,6 +105,16 @@ def listed(text: Column, kind: str = "string") -> Column:
     return items if kind == "string" else F.transform(items, lambda x: x.cast(kind))
 
 
+def reasons(*checks: tuple[Column, Column | str]) -> Column:
+    """Texts of the checks that fail, given as (fails, text), joined by `; `; empty if none does. A check that is null does not fail."""
+    return F.concat_ws("; ", *(F.when(fails, text if isinstance(text, Column) else F.lit(text)) for fails, text in checks))
+
+
+def status(why: Column) -> Column:
+    """`used` without a reason, `skipped` with one."""
+    return F.when(why == "", "used").otherwise("skipped")
+
+
 def markers_in(texts: list[Column], markers: tuple[str, ...]) -> Column:
     """Sorted list of the markers that some of the texts contain, whatever their case."""
     low = [F.lower(F.coalesce(t, F.lit(""))) for t in texts]

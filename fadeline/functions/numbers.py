@@ -81,8 +81,8 @@ def soh_band(x: Column) -> Column:
 
 
 def clip_low(z: Column) -> Column:
-    """z, at least 0; null for NaN."""
-    return F.when(~F.isnan(z), F.greatest(z, F.lit(0.0)))
+    """z, at least 0; null for NaN and null."""
+    return F.when(z.isNotNull() & ~F.isnan(z), F.greatest(z, F.lit(0.0)))
 
 
 def row_mean(*columns: Column) -> Column:

@@ -1,35 +1,42 @@
-"""Anomaly scores: robust z of residual and slope (and a latent score, if given) against the validation part."""
+"""Anomaly scores: robust z of residual and slope (and a latent score, if given) against the validation part.
+
+Medians, deviations and the threshold are exact and are found when an operator is called, by passes that
+leave a few numbers each; what they are applied to stays lazy.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import clip_low, finite, row_mean
+from ..functions.numbers import clip_low, row_mean
+from ..session import checkpointed
+from .quantiles import quantiles
 from .windows import slope
 
 TO_SIGMA, GUARD, QUANTILE = 1.4826, 1e-8, 0.975
 
 
-def centre_and_spread(reference: DataFrame, *columns: str) -> DataFrame:
-    """One row of <column>_median and <column>_mad over finite values: a pass for the medians, one for the deviations."""
-    medians = reference.agg(*(F.median(finite(F.col(c))).alias(f"{c}_median") for c in columns))
-    apart = reference.crossJoin(F.broadcast(medians))  # one row
-    mads = apart.agg(*(F.median(F.abs(finite(F.col(c)) - F.col(f"{c}_median"))).alias(f"{c}_mad") for c in columns))
-    return medians.crossJoin(F.broadcast(mads))
+def centre_and_spread(reference: DataFrame, *columns: str) -> dict[str, tuple[float | None, float | None]]:
+    """column -> (median, median absolute deviation) of its finite values."""
+    medians = quantiles(reference, {c: (F.col(c), 0.5) for c in columns})
+    mads = quantiles(reference, {c: (F.abs(F.col(c) - F.lit(medians[c])), 0.5) for c in columns})
+    return {c: (medians[c], mads[c]) for c in columns}
+
+
+def scaled(rows: DataFrame, fitted: dict[str, tuple[float | None, float | None]]) -> DataFrame:
+    """rows with <column>_z: (x - median) / (1.4826 * (MAD + 1e-8))."""
+    return rows.withColumns({f"{c}_z": (F.col(c) - F.lit(median)) / (TO_SIGMA * (F.lit(mad) + GUARD)) for c, (median, mad) in fitted.items()})
 
 
 def robust_z(rows: DataFrame, reference: DataFrame, *columns: str) -> DataFrame:
-    """rows with <column>_z: (x - median) / (1.4826 * (MAD + 1e-8)) by the reference's statistics."""
-    out = rows.crossJoin(F.broadcast(centre_and_spread(reference, *columns)))  # one row
-    for c in columns:
-        out = out.withColumn(f"{c}_z", (F.col(c) - F.col(f"{c}_median")) / (TO_SIGMA * (F.col(f"{c}_mad") + GUARD)))
-    return out.drop(*(f"{c}_{s}" for c in columns for s in ("median", "mad")))
+    """rows with <column>_z by the reference's median and deviation."""
+    return scaled(rows, centre_and_spread(reference, *columns))
 
 
 def quantile(rows: DataFrame, column: str, q: float = QUANTILE) -> DataFrame:
     """One row: the linearly interpolated quantile of the finite values."""
-    return rows.agg(F.percentile(finite(F.col(column)), F.lit(q)).alias("threshold"))
+    return rows.sparkSession.createDataFrame([(quantiles(rows, {column: (F.col(column), q)})[column],)], "threshold double")
 
 
 def anomaly_flags(test: DataFrame, validation: DataFrame, key: str = "cell_id", order: str = "target_cycle", residual: str = "residual", latent: str | None = None) -> DataFrame:
@@ -39,7 +46,8 @@ def anomaly_flags(test: DataFrame, validation: DataFrame, key: str = "cell_id",
     left out of the mean.
     """
     scores = [residual, "slope", *([latent] if latent else [])]
-    val, own = slope(validation, key, order, residual), slope(test, key, order, residual)
-    scored = lambda rows: robust_z(rows, val, *scores).withColumn("anomaly_score", row_mean(*(clip_low(F.col(f"{c}_z")) for c in scores)))
-    limit = quantile(scored(val), "anomaly_score")
-    return scored(own).crossJoin(F.broadcast(limit)).withColumn("is_anomaly", F.coalesce(F.col("anomaly_score") > F.col("threshold"), F.lit(False)))
+    val = checkpointed(slope(validation, key, order, residual).select(*scores))
+    fitted = centre_and_spread(val, *scores)
+    scored = lambda rows: scaled(rows, fitted).withColumn("anomaly_score", row_mean(*(clip_low(F.col(f"{c}_z")) for c in scores)))
+    limit = quantiles(scored(val), {"limit": (F.col("anomaly_score"), QUANTILE)})["limit"]
+    return scored(slope(test, key, order, residual)).withColumn("threshold", F.lit(limit)).withColumn("is_anomaly", F.coalesce(F.col("anomaly_score") > F.col("threshold"), F.lit(False)))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels
@@ -12,8 +15,9 @@ LIION = ("CALB", "CALCE", "HNEI", "HUST", "ISU_ILCC", "MATR", "MICH", "MICH_EXP"
 EXCLUDED = ("NA-ion", "ZN-coin")
 # What marks outputs of tuned configurations in a path or name.
 TUNED_MARKERS = ("tuned", "optuna", "tuning_outputs", "optimization_outputs", "refine", "adaptive", "successive", "locked_test", "final_hybrid", "final_delta_hybrid")
-#: Tokens of a header that tell of test metrics.
-TEST_TOKENS = ("test",)
+# What a header that speaks of a metric holds, and the one key about tests that a selection must have.
+METRIC_TOKENS = ("mae", "rmse", "mape", "r2", "skill", "metric")
+HONEST = "test_metrics_used"
 
 
 def _listed(items: Column) -> Column:
@@ -80,16 +84,68 @@ def completeness(rows: DataFrame, by: tuple[str, ...], column: str, expected: in
     return rows.groupBy(*by).agg(F.count_distinct(column).alias("n")).withColumn("complete", F.col("n") == expected)
 
 
+def validate_outputs(
+    files: DataFrame, prefix: str, splits: DataFrame, fitted: DataFrame, selected: DataFrame, headers: DataFrame, results: DataFrame, horizons: list[int], baseline: str = "persistence"
+) -> DataFrame:
+    """(check, violations, examples): what a validation run must hold, a row for each check; 0 violations if it does.
+
+    files (path): all of one dataset, by prefix of the name. splits (run, key, split): no key in two splits of
+    a run. fitted (name, fitted_split, key, split): normalisers, fitted on train, whose keys are in no other split
+    of theirs. selected (key, value): the chosen model's fields, with test_metrics_used false and no other that
+    begins with test_. headers (column): no test metrics. results (model, horizon): the baseline at every
+    horizon. Null keys are left out. Examples are the first three in order.
+    """
+    name = labels.name_of(F.col("path"))
+    mixed = splits.filter("key is not null and split is not null").groupBy("run", "key").agg(F.count_distinct("split").alias("n")).filter("n > 1")
+    own = fitted.filter(F.col("key").isNotNull())
+    shared = own.groupBy("name", "key").agg(F.count_if(F.col("split") == "train").alias("a"), F.count_if(F.col("split") != "train").alias("b")).filter("a > 0 and b > 0")
+    said = selected.filter(F.col("key") == HONEST).agg(F.count_if(F.lower(F.col("value").cast("string")) == "false").alias("n")).filter("n = 0")
+    wanted = results.sparkSession.createDataFrame([(h,) for h in horizons], "horizon long")
+    have = results.filter(F.col("model") == baseline).select(F.col("horizon").cast("long").alias("horizon")).distinct()
+    found = {
+        "one dataset": files.filter(~F.coalesce(name.startswith(prefix), F.lit(False))).select(name.alias("x")),
+        "splits are disjoint": mixed.select(F.concat_ws("/", "run", "key").alias("x")),
+        "normalisers are fitted on train": fitted.filter(~F.coalesce(F.col("fitted_split") == "train", F.lit(False))).select(F.col("name").alias("x")).distinct(),
+        "normaliser keys are train's alone": shared.select(F.concat_ws("/", "name", "key").alias("x")),
+        "test_metrics_used is false": said.select(F.lit(HONEST).alias("x")),
+        "no test field is selected": selected.filter(F.lower("key").startswith("test_") & (F.col("key") != HONEST)).select(F.col("key").alias("x")),
+        "no test metric in headers": test_metric_columns(headers).select(F.col("column").alias("x")),
+        "baseline at every horizon": wanted.join(have, "horizon", "left_anti").select(F.col("horizon").alias("x")),
+    }
+    checks = files.sparkSession.createDataFrame([(c,) for c in found], "check string")
+    rows = reduce(DataFrame.unionByName, (df.select(F.lit(c).alias("check"), F.col("x").cast("string").alias("x")) for c, df in found.items()))
+    first = rows.withColumn("place", F.row_number().over(W.partitionBy("check").orderBy("x"))).filter("place <= 3").groupBy("check").agg(F.array_join(F.sort_array(F.collect_list("x")), ", ").alias("examples"))
+    counts = rows.groupBy("check").agg(F.count("*").alias("violations"))
+    return checks.join(counts, "check", "left").join(first, "check", "left").select("check", F.coalesce("violations", F.lit(0)).alias("violations"), F.coalesce("examples", F.lit("")).alias("examples"))
+
+
 def empty_splits(rows: DataFrame, name: str = "split", required: tuple[str, ...] = ("train", "val", "test")) -> list[str]:
     """Names of the required splits without a row. An action over a small aggregate."""
-    seen = {r[0] for r in rows.select(name).distinct().collect()}
-    return [s for s in required if s not in seen]
+    return [r[0] for r in without_rows(rows, (), name, required).orderBy(name).collect()]
+
+
+def without_rows(rows: DataFrame, by: tuple[str, ...], name: str = "split", required: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
+    """(by, split): the required splits that a group has no row of; without groups, that the table has none of."""
+    wanted = rows.sparkSession.createDataFrame([(s,) for s in required], f"{name} string")
+    every = rows.select(*by).distinct().crossJoin(F.broadcast(wanted)) if by else wanted  # a few names
+    seen = rows.select(*by, name).distinct()
+    return every.join(seen, [every[c].eqNullSafe(seen[c]) for c in (*by, name)], "left_anti")
 
 
-def test_columns(columns: list[str], tokens: tuple[str, ...] = TEST_TOKENS) -> list[str]:
-    """Columns of a validation output that speak of test metrics, by the words of their names."""
-    words = lambda c: c.lower().replace("-", "_").replace(" ", "_").split("_")
-    return [c for c in columns if any(t in words(c) for t in tokens)]
+def is_test_metric(column: Column) -> Column:
+    """Whether a header names a metric of a test: it holds `test` and the name of a metric, in any case."""
+    low = F.lower(column)
+    return F.contains(low, F.lit("test")) & F.exists(F.array(*map(F.lit, METRIC_TOKENS)), lambda t: F.contains(low, t))
+
+
+def test_metric_columns(headers: DataFrame, column: str = "column") -> DataFrame:
+    """The rows of a table of headers that name test metrics."""
+    return headers.filter(is_test_metric(F.col(column)))
+
+
+def test_columns(columns: list[str]) -> list[str]:
+    """Those of the columns of a validation output that name test metrics."""
+    return [c for c in columns if "test" in c.lower() and any(t in c.lower() for t in METRIC_TOKENS)]
 
 
 def reconstruction_violations(rows: DataFrame, pred: str = "pred", baseline: str = "baseline", delta: str = "pred_delta", tolerance: float = 1e-6) -> DataFrame:
@@ -97,7 +153,12 @@ def reconstruction_violations(rows: DataFrame, pred: str = "pred", baseline: str
     return rows.filter(F.abs(F.col(pred) - (F.col(baseline) + F.col(delta))) > tolerance)
 
 
+def dishonest(configs: DataFrame, flag: str = HONEST) -> DataFrame:
+    """Rows of locked configurations that do not say that no test metric was used to choose them; null counts as not saying."""
+    return configs.filter(~F.coalesce(~F.col(flag), F.lit(False)))
+
+
 def check_locked(config: dict) -> None:
     """Raise unless a locked configuration says that no test metric was used to choose it."""
-    if config.get("test_metrics_used") is not False:
+    if config.get(HONEST) is not False:
         raise ValueError("a locked configuration must state test_metrics_used: false")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
+from ..session import checkpointed
+from .quantiles import quantiles
 
 GUARD, EOL, WITHIN = 1e-8, 0.8, 0.15
 
@@ -50,9 +52,9 @@ def strict_regression_metrics(rows: DataFrame, by: tuple[str, ...] = (), actual:
 
 
 def accuracy_within(rows: DataFrame, share: float = WITHIN, by: tuple[str, ...] = (), actual: str = "actual", pred: str = "pred") -> DataFrame:
-    """(n, MAPE_percent, accuracy): share of predictions within `share` of the actual value. No finite filter."""
+    """(n, MAPE_percent, accuracy): share of predictions within `share` of the actual value. No finite filter; pairs with a null side do not count."""
     ape = percent_error(F.col(actual).cast("double"), F.col(pred).cast("double"))
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), (F.avg(ape) * 100).alias("MAPE_percent"), F.avg((ape <= share).cast("double")).alias("accuracy"))
+    return rows.groupBy(*by).agg(F.count(ape).alias("n"), (F.avg(ape) * 100).alias("MAPE_percent"), F.avg((ape <= share).cast("double")).alias("accuracy"))
 
 
 def crossings(rows: DataFrame, by: tuple[str, ...], threshold: float = EOL, cell: str = "cell_id", cycle: str = "target_cycle", actual: str = "actual", pred: str = "pred") -> DataFrame:
@@ -71,21 +73,27 @@ def eol_error(rows: DataFrame, by: tuple[str, ...] = (), threshold: float = EOL,
 def group_metrics(rows: DataFrame, groups: tuple[str, ...], cell: str = "cell_id", cycle: str = "target_cycle", actual: str = "actual", pred: str = "pred", threshold: float = EOL) -> DataFrame:
     """The same metrics for several independent groupings, null groups kept: group_by, group_value, n_samples, n_cells, cycle range, metrics.
 
-    The labels are stacked, so that each sample meets each grouping once and all are one aggregate.
+    The labels are stacked, so that each sample meets each grouping once; sums and crossings are taken by
+    grouping and cell, and those few rows by grouping. Squares are of differences to the threshold, near
+    which the values lie, so that their sums do not cancel.
     """
     label = F.explode(F.array(*(F.struct(F.lit(g).alias("group_by"), F.col(g).cast("string").alias("group_value")) for g in groups)))
     stacked = rows.select(cell, cycle, actual, pred, label.alias("g")).select("*", "g.*").drop("g")
     good = finite(F.col(actual)).isNotNull() & finite(F.col(pred)).isNotNull()
     y, p = F.when(good, F.col(actual).cast("double")), F.when(good, F.col(pred).cast("double"))
-    spread = F.var_pop(y) * F.count(y)
+    first = lambda c: F.min(F.when((F.col(c) <= threshold) & ~F.isnan(F.col(c).cast("double")), F.col(cycle)))
+    sums = {"n": F.count(y), "e2": F.sum((p - y) * (p - y)), "e1": F.sum(F.abs(p - y)), "ape": F.sum(percent_error(y, p)), "y1": F.sum(y - threshold), "y2": F.sum((y - threshold) * (y - threshold))}
     keys = ("group_by", "group_value")
-    out = stacked.groupBy(*keys).agg(
-        F.count("*").alias("n_samples"), F.count_distinct(cell).alias("n_cells"), F.min(cycle).alias("target_cycle_min"), F.max(cycle).alias("target_cycle_max"),
-        F.sqrt(F.avg((p - y) * (p - y))).alias("RMSE"), F.avg(F.abs(p - y)).alias("MAE"), (F.avg(percent_error(y, p)) * 100).alias("MAPE_percent"),
-        F.when(spread > 0, 1 - F.sum((p - y) * (p - y)) / spread).alias("R2"),
+    cells = stacked.groupBy(*keys, cell).agg(F.count("*").alias("all"), F.min(cycle).alias("from"), F.max(cycle).alias("to"), *(c.alias(k) for k, c in sums.items()), first(actual).alias("a"), first(pred).alias("p"))
+    total = {k: F.sum(k) for k in sums}
+    spread = total["y2"] - total["y1"] * total["y1"] / total["n"]
+    some = lambda c: F.when(total["n"] > 0, c)
+    apart = F.when(F.col(cell).isNotNull(), F.abs(F.col("p") - F.col("a")))
+    return cells.groupBy(*keys).agg(
+        F.sum("all").alias("n_samples"), F.count(cell).alias("n_cells"), F.min("from").alias("target_cycle_min"), F.max("to").alias("target_cycle_max"),
+        some(F.sqrt(total["e2"] / total["n"])).alias("RMSE"), some(total["e1"] / total["n"]).alias("MAE"), some(total["ape"] / total["n"] * 100).alias("MAPE_percent"),
+        some(F.when(spread > 0, 1 - total["e2"] / spread)).alias("R2"), F.avg(apart).alias("EOL_Error_cycles"),
     )
-    eol = eol_error(stacked, keys, threshold, cell, cycle, actual, pred).select(*(F.col(k).alias(f"_{k}") for k in keys), "EOL_Error_cycles")
-    return out.join(eol, F.expr("group_by = _group_by and group_value <=> _group_value"), "left").drop("_group_by", "_group_value")
 
 
 def cell_metrics(rows: DataFrame, by: tuple[str, ...] = ("cell_id",), actual: str = "actual", pred: str = "pred") -> DataFrame:
@@ -96,11 +104,15 @@ def cell_metrics(rows: DataFrame, by: tuple[str, ...] = ("cell_id",), actual: st
 
 
 def paired_improvement(rows: DataFrame, reference: DataFrame, key: tuple[str, ...], actual: str = "actual", pred: str = "pred") -> DataFrame:
-    """(n, mean_gain, median_gain, improved): how much smaller the absolute errors are than the reference model's on the same samples."""
+    """(n, mean_gain, median_gain, improved): how much smaller the absolute errors are than the reference model's on the same samples.
+
+    The median is exact and found when this is called.
+    """
     error = F.abs(F.col(pred).cast("double") - F.col(actual).cast("double"))
     pairs = rows.select(*key, error.alias("error")).join(reference.select(*key, error.alias("ref_error")), list(key))
-    gain = F.col("ref_error") - F.col("error")
-    return pairs.agg(F.count("*").alias("n"), F.avg(gain).alias("mean_gain"), F.median(gain).alias("median_gain"), F.avg((gain > 0).cast("double")).alias("improved"))
+    gains = checkpointed(pairs.select((F.col("ref_error") - F.col("error")).alias("gain")))
+    middle = quantiles(gains, {"gain": (F.col("gain"), 0.5)})["gain"]
+    return gains.agg(F.count("*").alias("n"), F.avg("gain").alias("mean_gain"), F.lit(middle).cast("double").alias("median_gain"), F.avg((F.col("gain") > 0).cast("double")).alias("improved"))
 
 
 def delta_summary(rows: DataFrame, baseline: str = "baseline", delta: str = "pred_delta", pred: str = "pred", actual_delta: str = "actual_delta") -> DataFrame:

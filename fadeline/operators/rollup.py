@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import average_rank, finite, improvement, improvement_percent, skill
+from .ranking import best
 
 FUNCTIONS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
@@ -20,6 +21,24 @@ def first_known(column: str, order: str) -> Column:
     return F.min_by(column, F.when(F.col(column).isNotNull(), F.col(order)))
 
 
+def with_counts(rows: DataFrame, by: tuple[str, ...], columns: tuple[str, ...], part: str) -> DataFrame:
+    """(by, n_trials, n_<part>, <column>_mean...): means of finite values with the rows and distinct parts behind them, in one aggregate."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n_trials"), F.count_distinct(part).alias(f"n_{part}"), *(F.avg(finite(F.col(c))).alias(f"{c}_mean") for c in columns))
+
+
+def most_frequent(rows: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, column, n): the commonest value that is not null, of several the least; values are counted first."""
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"))
+    if by:
+        return best(counts, by, [F.desc("n"), column])
+    return counts.orderBy(F.desc("n"), column).limit(1)
+
+
+def finite_means(rows: DataFrame, by: tuple[str, ...], *columns: str) -> DataFrame:
+    """(by, <column>): means that leave NaN, infinite and missing values out; null if none is left."""
+    return rows.groupBy(*by).agg(*(F.avg(finite(F.col(c))).alias(c) for c in columns))
+
+
 def by_seed(rows: DataFrame, keys: tuple[str, ...], sums: tuple[str, ...] = (), means: tuple[str, ...] = (), firsts: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
     """Level 1: one row per key (stage, seed, horizon, model ...). Rows with a null key are left out."""
     own = rows.dropna(subset=list(keys))

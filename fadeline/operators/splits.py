@@ -55,8 +55,18 @@ def segment_ranges(split: DataFrame, key: str = "file", cycle: str = "target_cyc
 
 
 def manifest(samples: DataFrame, split: str = "split", horizon: str = "horizon", key: str = "file") -> DataFrame:
-    """(split, horizon, n, keys): samples and their distinct sorted keys."""
-    return samples.groupBy(split, horizon).agg(F.count("*").alias("n"), F.sort_array(F.collect_set(key)).alias("keys"))
+    """(split, horizon, key, n): the keys of each split with their samples, a row each, so that a split may hold any number."""
+    return samples.groupBy(split, horizon, key).agg(F.count("*").alias("n"))
+
+
+def manifest_sizes(samples: DataFrame, split: str = "split", horizon: str = "horizon", key: str = "file") -> DataFrame:
+    """(split, horizon, n, n_keys): samples and distinct keys of each split."""
+    return manifest(samples, split, horizon, key).groupBy(split, horizon).agg(F.sum("n").alias("n"), F.count(key).alias("n_keys"))
+
+
+def labels_by_split(samples: DataFrame, *columns: str, split: str = "split") -> DataFrame:
+    """(split, <column>s...): the distinct values of label columns in each split, sorted. Labels (domains, conditions) are few."""
+    return samples.groupBy(split).agg(*(F.sort_array(F.collect_set(c)).alias(f"{c}s") for c in columns))
 
 
 def _sizes(n: int, val: float, test: float) -> tuple[int, int, int]:
@@ -116,7 +126,7 @@ def by_battery(ids: list[str], seed: int, val: float = 0.2, test: float = 0.2) -
 
 
 def assign(samples: DataFrame, assignment: dict[str, str], key: str = "file") -> DataFrame:
-    """samples with `split`; the few names of the assignment travel as a literal map. Unassigned rows are left out."""
+    """samples with `split`; the few names of the assignment are a table that is joined. Unassigned rows are left out."""
     if not assignment:
         return samples.withColumn("split", F.lit(None).cast("string")).limit(0)
     table = samples.sparkSession.createDataFrame(list(assignment.items()), f"{key} string, split string")

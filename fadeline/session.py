@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "fadeline", cores: int | None = None, **conf: str) -> SparkSession:
@@ -27,3 +27,23 @@ def session(app: str = "fadeline", cores: int | None = None, **conf: str) -> Spa
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+#: Where a session on one machine that names no checkpoint folder keeps what it must write.
+LOCAL_FOLDER = "/tmp/fadeline-checkpoint"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; only a session on one machine may leave it out."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or LOCAL_FOLDER).rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once and written to the shared folder: what reads it does not compute it again, nor lose it with an executor."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
