@@ -98,14 +98,31 @@ def first_given(*values):
 
 
 def config_hash(config: dict[str, Column] | dict) -> Column | str:
-    """First ten hex digits of the SHA-1 of the JSON with sorted keys; of columns (numbers or plain strings), as a column."""
+    """First ten hex digits of the SHA-1 of the JSON with sorted keys; of columns (whole numbers, booleans or strings), as a column.
+
+    Strings are escaped as JSON in ASCII is, also beyond the basic plane.
+    """
     if not any(isinstance(v, Column) for v in config.values()):
         return hashlib.sha1(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:10]
-    quoted = lambda c: F.when(F.typeof(c) == "string", F.concat(F.lit('"'), c.cast("string"), F.lit('"'))).otherwise(c.cast("string"))
+    quoted = lambda c: F.coalesce(F.when(F.typeof(c) == "string", F.concat(F.lit('"'), _escaped(c.cast("string")), F.lit('"'))).otherwise(c.cast("string")), F.lit("null"))
     parts = [x for k in sorted(config) for x in (F.lit(f'{"{" if k == min(config) else ", "}"{k}": '), quoted(config[k]))]
     return F.substring(F.sha1(F.concat(*parts, F.lit("}"))), 1, 10)
 
 
+def _escaped(text: Column) -> Column:
+    """Text as it stands between the quotes of ASCII JSON."""
+    short = {"\\": r"\\", '"': r"\"", "\n": r"\n", "\r": r"\r", "\t": r"\t", "\b": r"\b", "\f": r"\f"}
+    for c, shown in short.items():
+        text = F.replace(text, F.lit(c), F.lit(shown))
+
+    def one(c: Column) -> Column:
+        units = F.lower(F.hex(F.encode(c, "UTF-16BE")))  # four digits a unit, two units beyond the basic plane
+        return F.concat(F.lit("\\u"), F.left(units, F.lit(4)), F.when(F.length(units) > 4, F.concat(F.lit("\\u"), F.right(units, F.lit(4)))).otherwise(""))
+
+    odd = text.rlike(r"[^\x20-\x7e]")
+    return F.when(odd, F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c.rlike(r"^[\x20-\x7e]$"), c).otherwise(one(c))), "")).otherwise(text)
+
+
 def mean_std(values: Iterable[float]) -> tuple[float, float]:
     """Mean and sample deviation over finite values: none gives infinities, one a deviation of 0."""
     kept = [v for v in values if v is not None and math.isfinite(v)]
@@ -150,12 +167,15 @@ def confirm(candidates: list[dict], seeds: list[int], score: Callable[[dict, int
     return sorted(out, key=lambda r: (not r["gain"] > 0, r["score"]))
 
 
-def run_trials(plan_rows: DataFrame, completed: DataFrame, key: list[str], trial: Callable[[dict], dict], workers: int = 1, keep_going: bool = True) -> list[dict]:
+def run_trials(plan_rows: DataFrame, completed: DataFrame, key: list[str], trial: Callable[[dict], dict], workers: int = 1, keep_going: bool = True, force: bool = False, dry: bool = False) -> list[dict]:
     """Run the trials of a plan that are not completed, each in a driver thread; every row gets a status.
 
     The plan is a small table. Results come back in the plan's order; a failed trial has its error as reason.
+    With `force` completed ones run again; a `dry` run runs none and gives them the status planned.
     """
-    todo = [r.asDict() for r in sets.pending(plan_rows, completed, key).orderBy(*key).collect()]
+    todo = [r.asDict() for r in (plan_rows if force else sets.pending(plan_rows, completed, key)).orderBy(*key).collect()]
+    if dry:
+        return [{**row, "status": "planned", "reason": None} for row in todo]
 
     def one(row: dict) -> dict:
         try:

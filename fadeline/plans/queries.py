@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import sinks
 from ..functions import arrays, labels, numbers
 from ..operators import anomaly, audit, metrics, normalize, projections, ranking, rollup, selection, sets, splits, windows
+from ..sources import cells
 from . import experiments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +48,12 @@ def sequence(read) -> DataFrame:
     return e.select("file", F.col("file").alias("cell_id"), "ord", F.col("ord").alias("cycle_number"), "soh", "kind")
 
 
+def gapped(read) -> DataFrame:
+    """The sequences without every seventh cycle: cycle numbers keep their gaps, places do not."""
+    kept = sequence(read).filter(F.col("cycle_number") % 7 != F.col("file") % 7)
+    return kept.withColumn("ord", F.row_number().over(W.partitionBy("file").orderBy("cycle_number")))
+
+
 def predictions(read, horizon: int = HORIZON) -> DataFrame:
     """(cell_id, target_cycle, input_end_cycle, actual, pred, baseline, kind, cohort) of the persistence baseline."""
     p = windows.persistence(sequence(read), LOOKBACK, horizon)
@@ -89,16 +97,17 @@ def history_array(read):
 
 
 @query(f"""WITH {SEQ} SELECT a.file, h.horizon, a.cycle_number + h.horizon AS target_cycle, round(a.soh, 6) AS current, round(b.soh, 6) AS target
-FROM seq a CROSS JOIN (VALUES (CAST(5 AS BIGINT)), (10), (40)) h(horizon) JOIN seq b ON b.file = a.file AND b.cycle_number = a.cycle_number + h.horizon WHERE a.cycle_number = {LOOKBACK}""")
+FROM seq a CROSS JOIN (VALUES (CAST(5 AS BIGINT)), (10), (40)) h(horizon) JOIN seq b ON b.file = a.file AND b.cycle_number = a.cycle_number + h.horizon WHERE a.cycle_number = {LOOKBACK} AND a.cycle_number % 7 <> a.file % 7 AND b.cycle_number % 7 <> b.file % 7""")
 def fixed_origin_horizon(read):
-    s = sequence(read)
+    """Every seventh cycle is missing, so that numbers and places differ."""
+    s = gapped(read)
     horizons = s.sparkSession.createDataFrame([(5,), (10,), (40,)], "horizon int")
     return windows.fixed_origin_samples(s, LOOKBACK, horizons)
 
 
-@query(f"""WITH {SEQ} SELECT CAST(b.cycle_number - {LOOKBACK} AS BIGINT) AS horizon, count(*) AS n, round(avg(abs(b.soh - a.soh)), 6) AS mae FROM seq a JOIN seq b ON a.file = b.file AND b.cycle_number IN (30, 40) WHERE a.cycle_number = {LOOKBACK} GROUP BY 1""")
+@query(f"""WITH {SEQ} SELECT CAST(b.cycle_number - {LOOKBACK} AS BIGINT) AS horizon, count(*) AS n, round(avg(abs(b.soh - a.soh)), 6) AS mae FROM seq a JOIN seq b ON a.file = b.file AND b.cycle_number IN (30, 40) WHERE a.cycle_number = {LOOKBACK} AND a.cycle_number % 7 <> a.file % 7 AND b.cycle_number % 7 <> b.file % 7 GROUP BY 1""")
 def fixed_origin_persistence(read):
-    s = sequence(read)
+    s = gapped(read)
     horizons = s.sparkSession.createDataFrame([(10,), (20,)], "horizon int")
     p = windows.fixed_origin_persistence(windows.fixed_origin_samples(s, LOOKBACK, horizons))
     return metrics.regression_metrics(p, ("horizon",), "target", "pred").select("horizon", "n", F.col("MAE").alias("mae"))
@@ -129,9 +138,9 @@ def slope_score(read):
     return windows.slope(sequence(read), "file", "cycle_number", "soh").select("file", "cycle_number", "slope")
 
 
-@query(f"WITH {SEQ} SELECT cell_id, min(CASE WHEN soh <= {EOL_VALUE} THEN cycle_number END) AS crossing FROM seq GROUP BY cell_id")
+@query(f"WITH {SEQ} SELECT cell_id, min(CASE WHEN soh <= {EOL_VALUE} THEN cycle_number END) AS crossing FROM seq WHERE cycle_number % 7 <> file % 7 GROUP BY cell_id")
 def first_crossing(read):
-    return windows.first_crossing(sequence(read), EOL_VALUE, "soh", cycle="cycle_number")
+    return windows.first_crossing(gapped(read), EOL_VALUE, "soh", cycle="cycle_number")
 
 
 # --- targets and scores ----------------------------------------------------------------------------
@@ -224,7 +233,7 @@ def split_report(read):
 @query(f"WITH {_segments_sql(GAP)} SELECT segment AS split, {HORIZON}::BIGINT AS horizon, count(*) AS n, count(DISTINCT file) AS n_files FROM segments WHERE segment IS NOT NULL GROUP BY 1")
 def split_manifest(read):
     s = splits.chronological(_samples(read), gap=GAP).filter("segment is not null").select("file", F.col("segment").alias("split"), F.lit(HORIZON).alias("horizon"))
-    return splits.manifest(s).select("split", "horizon", "n", F.size("keys").alias("n_files"))
+    return splits.manifest_sizes(s).withColumnRenamed("n_keys", "n_files")
 
 
 @query("SELECT CASE WHEN doc_id % 10 < 6 THEN 'train' WHEN doc_id % 10 < 8 THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM documents GROUP BY 1")
@@ -303,38 +312,49 @@ def feature_rows(read):
 
 # --- labels ----------------------------------------------------------------------------------------
 
-# File names that try each rule.
-FILES = (
-    "a/CALB_0_B182-1.pkl", "CALCE_CX2_37.pkl", "HNEI_18650_a.pkl", "MICH_MCForm1.pkl", "MICH_1_b.pkl", "SNL_18650_LFP_a.pkl", "UL-PUR_N15_c.pkl", "HUST_1-10.pkl", "ISU-ILCC_G10C1.pkl", "x/y/MATR_b1c2.pkl",
-    "NA-ion_27_3_1.pkl", "RWTH_001.pkl", "SDU_Battery_12.pkl", "Stanford_Nova_Regular_Ref_1.pkl", "Stanford_Nova_Regular_1.pkl", "Tongji1_CY25-05_x_1.pkl", "XJTU_2C_battery-1.pkl", "ZN-coin_202_1_Batch-2.pkl", "foo_a.pkl", "foo_bar.pkl", "foo_12345.pkl", "plain",
+# Beginnings of the public datasets' file names, and others.
+BEGINNINGS = (
+    "CALB_0_B182", "CALCE_CX2", "HNEI_18650", "MICH_MCForm1", "MICH_1", "SNL_18650_LFP", "UL-PUR_N15", "HUST", "ISU-ILCC", "MATR", "NA-ion_27_3", "RWTH", "SDU_Battery", "Stanford_Nova_Regular_Ref",
+    "Stanford_Nova_Regular", "Tongji1_CY25-05", "XJTU_2C", "ZN-coin_202", "foo", "bar_baz",
 )
-FILES_SQL = "f AS (SELECT unnest([" + ", ".join(f"'{x}'" for x in FILES) + "]) AS path), s AS (SELECT path, regexp_replace(path, '^.*/', '') AS name, regexp_replace(regexp_replace(path, '^.*/', ''), '(.)\\.[^.]*$', '\\1') AS stem FROM f)"
+# Endings with the number in place of #, and the folder of each file.
+ENDINGS = ("-#.pkl", "_#.pkl", "_a.pkl", "_1-#.pkl", "_b#c2.pkl", "_battery-#.pkl", "_#_Batch-2.pkl", "_x_#.pkl", "", "_#.tar.pkl")
+_LISTS = f"{list(BEGINNINGS)}[1 + p_partkey % {len(BEGINNINGS)}] || replace({list(ENDINGS)}[1 + (p_partkey // {len(BEGINNINGS)}) % {len(ENDINGS)}], '#', CAST(p_size AS VARCHAR))"
+FILES_SQL = f"f AS (SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN 'a/b.c/' ELSE '' END || {_LISTS} AS path FROM part), s AS (SELECT k, path, regexp_replace(path, '^.*/', '') AS name, regexp_replace(regexp_replace(path, '^.*/', ''), '(.)\\.[^.]*$', '\\1') AS stem FROM f)"
 
 
-def _files(read) -> DataFrame:
-    return read("region").sparkSession.createDataFrame([(x,) for x in FILES], "path string")
+def part_files(read) -> DataFrame:
+    """(k, path): a file name for every part, out of each pair of beginning and ending in turn."""
+    at = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    ending = F.replace(at(ENDINGS, F.floor(k / len(BEGINNINGS))), F.lit("#"), size)
+    return read("part").select(k.alias("k"), F.concat(F.when(F.col("p_size") % 2 == 0, "a/b.c/").otherwise(""), at(BEGINNINGS, k), ending).alias("path"))
 
 
-@query(f"WITH {FILES_SQL} SELECT path, CASE " + " ".join(f"WHEN regexp_matches(stem, '{p}') THEN regexp_extract(stem, '{p}', 1)" for p in labels.CONDITIONS) + " WHEN regexp_matches(stem, '^.*_([a-z]|[0-9]{1,4}|battery-[0-9]+)$') THEN regexp_replace(stem, '_[^_]*$', '') ELSE stem END AS condition FROM s")
+@query(f"WITH {FILES_SQL} SELECT k, path, CASE " + " ".join(f"WHEN regexp_matches(stem, '{p}') THEN regexp_extract(stem, '{p}', 1)" for p in labels.CONDITIONS) + " WHEN regexp_matches(stem, '^.*_([a-z]|[0-9]{1,4}|battery-[0-9]+)$') THEN regexp_replace(stem, '_[^_]*$', '') ELSE stem END AS condition FROM s")
 def condition_label(read):
-    return _files(read).select("path", labels.condition(F.col("path")).alias("condition"))
+    return part_files(read).select("k", "path", labels.condition(F.col("path")).alias("condition"))
 
 
-@query(f"WITH {FILES_SQL} SELECT path, CASE WHEN starts_with(stem, 'Tongji') THEN 'Tongji' ELSE split_part(stem, '_', 1) END AS domain FROM s")
+@query(f"WITH {FILES_SQL} SELECT k, CASE WHEN starts_with(stem, 'Tongji') THEN 'Tongji' ELSE split_part(stem, '_', 1) END AS domain FROM s")
 def domain_label(read):
-    return _files(read).select("path", labels.domain(F.col("path")).alias("domain"))
+    return part_files(read).select("k", labels.domain(F.col("path")).alias("domain"))
+
 
+_KNOWN = " ".join(f"WHEN starts_with(s.name, '{p}') THEN '{d}'" for p, d in labels.DATASETS)
 
-@query(f"WITH {FILES_SQL} SELECT path, CASE " + " ".join(f"WHEN starts_with(name, '{p}') THEN '{d}'" for p, d in labels.DATASETS) + " ELSE CASE WHEN starts_with(stem, 'Tongji') THEN 'Tongji' ELSE split_part(stem, '_', 1) END END AS dataset FROM s")
+
+@query(f"WITH {FILES_SQL} SELECT k, CASE {_KNOWN} ELSE CASE WHEN starts_with(stem, 'Tongji') THEN 'Tongji' ELSE split_part(stem, '_', 1) END END AS dataset FROM s")
 def dataset_label(read):
-    return _files(read).select("path", labels.dataset(F.col("path")).alias("dataset"))
+    return part_files(read).select("k", labels.dataset(F.col("path")).alias("dataset"))
 
 
-@query(f"WITH {FILES_SQL}, m AS (SELECT 'foo_a.pkl' AS name, 'mapped' AS dataset) SELECT s.path, coalesce(m.dataset, CASE " + " ".join(f"WHEN starts_with(s.name, '{p}') THEN '{d}'" for p, d in labels.DATASETS) + " ELSE 'unknown' END) AS dataset FROM s LEFT JOIN m ON m.name = s.name")
+@query(f"WITH {FILES_SQL}, m AS (SELECT DISTINCT name, 'mapped' AS dataset FROM s WHERE starts_with(name, 'foo')) SELECT k, coalesce(m.dataset, CASE {_KNOWN} ELSE 'unknown' END) AS dataset FROM s LEFT JOIN m ON m.name = s.name")
 def dataset_by_manifest(read):
-    files = _files(read).withColumn("name", labels.name_of(F.col("path")))
-    names = files.sparkSession.createDataFrame([("foo_a.pkl", "mapped")], "name string, mapped string")
-    return files.join(F.broadcast(names), "name", "left").select("path", F.coalesce("mapped", labels.dataset(F.col("path"), F.lit("unknown"))).alias("dataset"))
+    """A manifest names the files that begin with foo."""
+    files = part_files(read).withColumn("name", labels.name_of(F.col("path")))
+    named = files.filter(F.col("name").startswith("foo")).select("name", F.lit("mapped").alias("mapped")).distinct()
+    return files.join(named, "name", "left").select("k", F.coalesce("mapped", labels.dataset(F.col("path"), F.lit("unknown"))).alias("dataset"))
 
 
 @query("""SELECT p_partkey, coalesce(nullif(regexp_replace(lower(regexp_replace(regexp_replace(trim(replace(p_name || ' v1.5 (x)', '.', 'p')), '[^A-Za-z0-9_.-]+', '_', 'g'), '_+', '_', 'g')), '^_+|_+$', '', 'g'), ''), 'item') AS slug,
@@ -407,10 +427,23 @@ def paired_improvement(read):
     return metrics.paired_improvement(p.select(*keys, "actual", F.col("mean5").alias("pred")), p.select(*keys, "actual", "pred"), keys)
 
 
-@query(f"WITH {PRED} SELECT count(*) AS n, round(avg(actual - baseline), 6) AS actual_delta_mean, 0.0 AS pred_delta_mean, round(stddev_samp(actual - baseline), 6) AS actual_delta_std, 0.0 AS pred_delta_std, 0.0 AS reconstruction_error FROM pred")
+CHANGED = f"{PRED}, ch AS (SELECT *, (cell_id % 7 - 3) / 10.0 AS pred_delta, baseline + (cell_id % 7 - 3) / 10.0 + CASE WHEN target_cycle % 11 = 0 THEN 0.25 ELSE 0 END AS moved FROM pred)"
+
+
+def changed_predictions(read) -> DataFrame:
+    """Predicted changes by cell; at every eleventh cycle the prediction is off from baseline + change."""
+    p = predictions(read).withColumn("pred_delta", (F.col("cell_id") % 7 - 3) / 10.0)
+    return p.withColumn("pred", F.col("baseline") + F.col("pred_delta") + F.when(F.col("target_cycle") % 11 == 0, 0.25).otherwise(0.0))
+
+
+@query(f"WITH {CHANGED} SELECT count(*) AS n, round(avg(actual - baseline), 6) AS actual_delta_mean, round(avg(pred_delta), 6) AS pred_delta_mean, round(stddev_samp(actual - baseline), 6) AS actual_delta_std, round(stddev_samp(pred_delta), 6) AS pred_delta_std, round(max(abs(moved - (baseline + pred_delta))), 6) AS reconstruction_error FROM ch")
 def delta_summary(read):
-    p = predictions(read).withColumn("actual_delta", F.col("actual") - F.col("baseline")).withColumn("pred_delta", F.col("pred") - F.col("baseline"))
-    return metrics.delta_summary(p)
+    return metrics.delta_summary(changed_predictions(read).withColumn("actual_delta", F.col("actual") - F.col("baseline")))
+
+
+@query(f"WITH {CHANGED} SELECT cell_id, target_cycle FROM ch WHERE abs(moved - (baseline + pred_delta)) > 1e-6")
+def reconstruction_violations(read):
+    return audit.reconstruction_violations(changed_predictions(read)).select("cell_id", "target_cycle")
 
 
 # --- roll-ups --------------------------------------------------------------------------------------
@@ -491,7 +524,7 @@ def orders(read):
 
 @query(f"WITH {ORD} SELECT o_orderkey, round(rank() OVER (PARTITION BY o_orderpriority ORDER BY price) + (count(*) OVER (PARTITION BY o_orderpriority, price) - 1) / 2.0, 6) AS rnk FROM o")
 def avg_rank(read):
-    return orders(read).select("o_orderkey", numbers.average_rank(F.col("price"), "o_orderpriority").alias("rnk"))
+    return ranking.average_rank_by_ranges(orders(read), ("o_orderpriority",), "price", "rnk").select("o_orderkey", "rnk")
 
 
 @query(f"WITH {BASE}, r AS (SELECT horizon, model, row_number() OVER (PARTITION BY horizon ORDER BY rmse, mae, model) AS rnk FROM m) SELECT horizon, model, rnk, rnk = 1 AS is_best FROM r")
@@ -507,7 +540,7 @@ def mean_of_ranks(read):
 
 @query(f"WITH {ORD} SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY price DESC, o_orderkey) AS place FROM o")
 def cumcount(read):
-    return ranking.numbered(orders(read), ("o_orderpriority",), [F.desc("price"), "o_orderkey"]).select("o_orderkey", "place")
+    return ranking.numbered_by_ranges(orders(read), ("o_orderpriority",), [F.desc("price"), "o_orderkey"]).select("o_orderkey", "place")
 
 
 @query(f"WITH {ORD}, r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY price DESC, o_orderkey) AS place FROM o) SELECT o_orderpriority, o_orderkey, place FROM r WHERE place <= 7")
@@ -532,10 +565,11 @@ def distinct_topk(read):
     return ranking.distinct_top(orders(read), "price", [F.desc("price"), "o_orderkey"], 9).select("price", "o_orderkey")
 
 
-@query(f"WITH {BASE}, g AS (SELECT m.horizon, model, bmae - mae AS gain FROM m JOIN b ON m.horizon = b.horizon) SELECT horizon, model, row_number() OVER (PARTITION BY horizon ORDER BY (gain > 0) DESC, model) AS place FROM g")
+@query(f"WITH {BASE}, g AS (SELECT m.horizon, model, bmae - mae AS gain FROM m JOIN b ON m.horizon = b.horizon), r AS (SELECT *, row_number() OVER (ORDER BY (gain > 0) DESC, horizon, model) AS place FROM g) SELECT horizon, model, place FROM r WHERE place <= 30")
 def winners_first(read):
-    g = rollup.against_baseline(by_model(read), ("horizon",), "mae", 0)
-    return ranking.numbered(g, ("horizon",), [(F.col("gain") > 0).desc(), "model"]).select("horizon", "model", "place")
+    """The first 30 of all, those that gain on the baseline before the others."""
+    g = ranking.winners_first(rollup.against_baseline(by_model(read), ("horizon",), "mae", 0), "gain", ["horizon", "model"]).limit(30)
+    return ranking.ranked_together(g, [(F.col("gain") > 0).desc(), F.col("horizon"), F.col("model")], "place").select("horizon", "model", "place")
 
 
 @query("SELECT o_orderpriority, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
@@ -639,15 +673,29 @@ def completeness_check(read):
     return audit.completeness(trials(read), ("model",), "horizon", 7)
 
 
-@query("""SELECT CASE WHEN c.name = 'clean' THEN '' WHEN c.name = 'dirty' THEN 'split uses excluded datasets: NA-ion; split uses datasets outside the policy: NA-ion; files stand in several splits outside condition-gap mode; file-level split has overlapping files; no test files' ELSE 'condition-gap split needs a gap of 20, has 5' END AS failures, c.name, c.name = 'clean' AS policy_ok FROM (VALUES ('clean'), ('dirty'), ('gapped')) c(name)""")
+POLICY = f"""{FILES_SQL}, d AS (SELECT s.*, CASE {_KNOWN} ELSE 'unknown' END AS dataset, k // 40 AS run, k % 3 AS sp FROM s),
+m AS (SELECT *, run % 6 AS kind, CASE WHEN run % 6 = 5 AND k % 40 = 7 THEN 1 ELSE 0 END AS twice FROM d),
+x AS (SELECT run, kind, name, dataset, sp FROM m WHERE NOT (kind = 4 AND sp = 2) UNION ALL SELECT run, kind, name, dataset, (sp + 1) % 3 FROM m WHERE twice = 1 OR kind IN (1, 2) AND k % 40 = 3),
+u AS (SELECT DISTINCT run, kind, name, dataset, sp FROM x),
+a AS (SELECT run, any_value(kind) AS kind, count(*) > count(DISTINCT name) AS again, count(*) FILTER (sp = 2) AS n_test,
+ string_agg(DISTINCT dataset, ', ' ORDER BY dataset) FILTER (dataset IN {audit.EXCLUDED}) AS excluded, string_agg(DISTINCT dataset, ', ' ORDER BY dataset) FILTER (dataset NOT IN {audit.LIION}) AS outside FROM u GROUP BY run)"""
+
+
+@query(f"""WITH {POLICY} SELECT run, concat_ws('; ', CASE WHEN excluded IS NOT NULL THEN 'split uses excluded datasets: ' || excluded END, CASE WHEN outside IS NOT NULL THEN 'split uses datasets outside the policy: ' || outside END,
+CASE WHEN again AND kind = 1 THEN 'condition-gap split needs a gap of 20, has 5' END, CASE WHEN again AND kind = 2 THEN 'condition-gap split takes 20 cycles at most, has 30' END, CASE WHEN again AND kind NOT IN (1, 2) THEN 'files stand in several splits outside condition-gap mode' END,
+CASE WHEN kind = 3 THEN 'chronological-within-file is no final split policy' END, CASE WHEN again AND kind IN (0, 4, 5) THEN 'file-level split has overlapping files' END, CASE WHEN n_test = 0 THEN 'no test files' END) AS failures,
+excluded IS NULL AND outside IS NULL AND NOT again AND kind <> 3 AND n_test > 0 AS policy_ok FROM a""")
 def policy_audit(read):
-    rows = [
-        ("clean", "file-level", 0, 20, ["MATR_b1c1.pkl"], ["CALB_0-1.pkl"], ["HUST_1-1.pkl"]),
-        ("dirty", "file-level", 0, 20, ["NA-ion_1_1_1.pkl", "MATR_b1c1.pkl"], ["MATR_b1c1.pkl"], []),
-        ("gapped", "condition-gap-within-file", 5, 20, ["MATR_b1c1.pkl"], ["MATR_b1c1.pkl"], ["MATR_b1c1.pkl"]),
-    ]
-    table = read("region").sparkSession.createDataFrame(rows, "name string, split_mode string, split_gap int, early_cycle int, train_files array<string>, val_files array<string>, test_files array<string>")
-    return audit.split_policy(table).select("name", F.array_join("failures", "; ").alias("failures"), "policy_ok")
+    """Runs of forty files each under policies in turn, some with a file in two splits, some without test files."""
+    f = part_files(read).select("k", labels.name_of(F.col("path")).alias("name"), F.floor(F.col("k") / 40).alias("run"), (F.col("k") % 3).alias("sp"))
+    f = f.withColumn("kind", F.col("run") % 6)
+    twice = f.filter("kind = 5 and k % 40 = 7 or kind in (1, 2) and k % 40 = 3").withColumn("sp", (F.col("sp") + 1) % 3)
+    every = f.filter("not (kind = 4 and sp = 2)").unionByName(twice)
+    of = lambda n: F.collect_set(F.when(F.col("sp") == n, F.col("name")))
+    runs = every.groupBy("run", "kind").agg(of(0).alias("train_files"), of(1).alias("val_files"), of(2).alias("test_files"))
+    mode = F.when(F.col("kind").isin(1, 2), "condition-gap-within-file").when(F.col("kind") == 3, "chronological-within-file").when(F.col("kind") == 5, "battery").otherwise("file-level")
+    runs = runs.withColumns({"split_mode": mode, "split_gap": F.when(F.col("kind") == 1, 5).otherwise(20), "early_cycle": F.when(F.col("kind") == 2, 30).otherwise(20)})
+    return audit.split_policy(runs).select("run", F.array_join("failures", "; ").alias("failures"), "policy_ok")
 
 
 @query("SELECT source AS dataset, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE source NOT IN ('src0', 'src1', 'src2') GROUP BY 1")
@@ -666,15 +714,24 @@ def marker_detection(read):
 # --- JSON and hashes -------------------------------------------------------------------------------
 
 
-@query("SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, '{\"event_id\":' || event_id || ',\"k\":' || (props->>'$.k') || '}' AS line FROM events")
+@query("""SELECT '{"event_id":' || event_id || ',"k":' || coalesce(props->>'$.k', 'null') || ',"share":' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE '0.5' END || '}' AS line FROM events""")
 def json_metric_rows(read):
-    e = read("events").select("event_id", F.from_json("props", "k long").alias("p"))
-    return e.select("event_id", F.col("p.k").alias("k"), F.to_json(F.struct("event_id", F.col("p.k").alias("k"))).alias("line"))
+    """NaN becomes null, and missing fields stay as null."""
+    e = read("events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.when(F.col("event_id") % 3 == 0, float("nan")).otherwise(0.5).alias("share"))
+    return sinks.json_rows(e)
 
 
-@query("""SELECT p_partkey, left(sha1('{"brand": "' || p_brand || '", "size": ' || p_size || '}'), 10) AS hash FROM part""")
+@query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CASE WHEN l_linenumber = 1 OR l_quantity > 40 THEN NULL ELSE round(l_discount, 6) END AS share FROM lineitem")
+def finite_columns(read):
+    odd = F.when(F.col("l_linenumber") == 1, float("nan")).when(F.col("l_quantity") > 40, float("inf")).otherwise(F.col("l_discount").cast("double"))
+    return sinks.finite_columns(read("lineitem").select("l_orderkey", "l_linenumber", odd.alias("share")))
+
+
+@query("""SELECT p_partkey, left(sha1('{"brand": "' || p_brand || CASE p_size % 3 WHEN 0 THEN '\\"\\\\' WHEN 1 THEN '\\u00e9\\ud83d\\ude00\\n' ELSE '' END || '", "size": ' || p_size || '}'), 10) AS hash FROM part""")
 def config_hash(read):
-    return read("part").select("p_partkey", experiments.config_hash({"size": F.col("p_size"), "brand": F.col("p_brand")}).alias("hash"))
+    """Quotes, backslashes, line ends and characters beyond ASCII are escaped as JSON has them."""
+    odd = F.when(F.col("p_size") % 3 == 0, '"\\').when(F.col("p_size") % 3 == 1, "é😀\n").otherwise("")
+    return read("part").select("p_partkey", experiments.config_hash({"size": F.col("p_size"), "brand": F.concat("p_brand", odd)}).alias("hash"))
 
 
 # --- projections, filters, selection ----------------------------------------------------------------
@@ -688,19 +745,24 @@ def projected_columns(read):
     return projections.known_first(projections.without(out.withColumnRenamed("c_mktsegment", "segment"), "c_nationkey"), ("name", "seed"))
 
 
-@query("SELECT page_id, url FROM pages WHERE regexp_matches(regexp_extract(url, '([^/]*)$', 1), '[0-9]') AND NOT regexp_matches(regexp_extract(url, '([^/]*)$', 1), 'html|page') ORDER BY url, page_id LIMIT 25")
+@query("SELECT url FROM pages WHERE regexp_matches(regexp_extract(url, '([^/]*)$', 1), '[0-9]') AND NOT regexp_matches(regexp_extract(url, '([^/]*)$', 1), 'html|page') ORDER BY url LIMIT 25")
 def file_filter(read):
     """Include and exclude by name, then the first 25 by path."""
-    name = labels.name_of(F.col("url"))
-    kept = read("pages").filter(name.rlike("[0-9]") & ~name.rlike("html|page"))
-    return kept.orderBy("url", "page_id").limit(25).select("page_id", "url")
+    files = read("pages").select(F.col("url").alias("path"), labels.name_of(F.col("url")).alias("name"))
+    return cells.chosen_files(files, "[0-9]", "html|page", 25).select(F.col("path").alias("url"))
+
+
+@query(f"WITH {FILES_SQL} SELECT k, starts_with(name, 'MATR') AS own FROM s")
+def prefix_partition(read):
+    own, others = cells.dataset_files(part_files(read).withColumn("name", labels.name_of(F.col("path"))), "MATR")
+    return sets.union_all(own.select("k", F.lit(True).alias("own")), others.select("k", F.lit(False).alias("own")))
 
 
 @query(f"WITH {SEQ}, c AS (SELECT file, count(*) AS n, min(soh) AS low, max(soh) AS high FROM seq GROUP BY file) SELECT file, concat_ws('; ', CASE WHEN n < 60 THEN 'needs 60 cycles, has ' || n END, CASE WHEN low > 2 THEN 'never low' END, CASE WHEN high < 200 THEN 'never high' END) AS reason, CASE WHEN n < 60 OR low > 2 OR high < 200 THEN 'skipped' ELSE 'used' END AS status FROM c")
 def status_reasons(read):
     c = sequence(read).groupBy("file").agg(F.count("*").alias("n"), F.min("soh").alias("low"), F.max("soh").alias("high"))
-    reason = F.concat_ws("; ", F.when(F.col("n") < 60, F.concat(F.lit("needs 60 cycles, has "), F.col("n").cast("string"))), F.when(F.col("low") > 2, "never low"), F.when(F.col("high") < 200, "never high"))
-    return c.select("file", reason.alias("reason"), F.when(reason == "", "used").otherwise("skipped").alias("status"))
+    why = labels.reasons((F.col("n") < 60, F.concat(F.lit("needs 60 cycles, has "), F.col("n").cast("string"))), (F.col("low") > 2, "never low"), (F.col("high") < 200, "never high"))
+    return c.select("file", why.alias("reason"), labels.status(why).alias("status"))
 
 
 def metric_files(l: DataFrame) -> DataFrame:
@@ -711,26 +773,16 @@ def metric_files(l: DataFrame) -> DataFrame:
     return rows.withColumn("policy_ok", F.lit(True)).withColumn("R2", F.lit(None).cast("double"))
 
 
-@query("WITH r AS (SELECT CASE WHEN l_suppkey % 4 = 0 THEN 'persistence' ELSE 'm' || (l_suppkey % 4) END AS model, 'runs/' || CASE WHEN l_partkey % 5 = 0 THEN 'Tuned_' ELSE '' END || l_orderkey AS path, avg(l_tax) AS RMSE, avg(l_discount) AS MAE FROM lineitem WHERE l_orderkey < 400 GROUP BY 1, 2), k AS (SELECT path, string_agg(model, ',' ORDER BY model) FILTER (model <> 'persistence') AS learned_models, count(*) FILTER (model <> 'persistence') AS n FROM r GROUP BY path) SELECT model, r.path, learned_models FROM r JOIN k ON r.path = k.path WHERE model <> 'persistence' AND n >= 2 AND NOT starts_with(r.path, 'runs/Tuned')")
-def selection_candidates(read):
-    return selection.candidates(metric_files(read("lineitem").filter("l_orderkey < 400")), drop_tuned=True, drop_single=True).select("model", "path", "learned_models")
+METRIC_FILES = "r AS (SELECT CASE WHEN l_suppkey % 4 = 0 THEN 'persistence' ELSE 'm' || (l_suppkey % 4) END AS model, 'runs/' || CASE WHEN l_partkey % 5 = 0 THEN 'Tuned_' ELSE '' END || l_orderkey AS path, avg(l_tax) AS RMSE, avg(l_discount) AS MAE FROM lineitem GROUP BY 1, 2)"
 
 
-@query("WITH r AS (SELECT CASE WHEN l_suppkey % 4 = 0 THEN 'persistence' ELSE 'm' || (l_suppkey % 4) END AS model, 'runs/' || CASE WHEN l_partkey % 5 = 0 THEN 'Tuned_' ELSE '' END || l_orderkey AS path, avg(l_tax) AS RMSE, avg(l_discount) AS MAE FROM lineitem WHERE l_orderkey < 400 GROUP BY 1, 2) SELECT model, path, row_number() OVER (ORDER BY round(RMSE, 9), round(MAE, 9), model, path) AS place FROM r WHERE model <> 'persistence'")
-def global_test_rank(read):
-    rows = selection.candidates(metric_files(read("lineitem").filter("l_orderkey < 400"))).withColumns({c: F.round(c, 9) for c in ("RMSE", "MAE")})
-    return selection.by_test_metrics(rows, "path").select("model", "path", F.col("rank").alias("place"))
-
-
-@query("WITH r AS (SELECT CASE WHEN l_suppkey % 4 = 0 THEN 'persistence' ELSE 'm' || (l_suppkey % 4) END AS model, 'runs/' || CASE WHEN l_partkey % 5 = 0 THEN 'Tuned_' ELSE '' END || l_orderkey AS path, avg(l_tax) AS RMSE, avg(l_discount) AS MAE FROM lineitem GROUP BY 1, 2), k AS (SELECT path, string_agg(model, ',' ORDER BY model) FILTER (model <> 'persistence') AS learned_models, count(*) FILTER (model <> 'persistence') AS n FROM r GROUP BY path) SELECT model, r.path, learned_models FROM r JOIN k ON r.path = k.path WHERE model <> 'persistence' AND n >= 2 AND NOT starts_with(r.path, 'runs/Tuned')")
-def selection_candidates_whole(read):
-    """selection_candidates over every order."""
+@query(f"WITH {METRIC_FILES}, k AS (SELECT path, string_agg(model, ',' ORDER BY model) FILTER (model <> 'persistence') AS learned_models, count(*) FILTER (model <> 'persistence') AS n FROM r GROUP BY path) SELECT model, r.path, learned_models FROM r JOIN k ON r.path = k.path WHERE model <> 'persistence' AND n >= 2 AND NOT starts_with(r.path, 'runs/Tuned')")
+def selection_candidates(read):
     return selection.candidates(metric_files(read("lineitem")), drop_tuned=True, drop_single=True).select("model", "path", "learned_models")
 
 
-@query("WITH r AS (SELECT CASE WHEN l_suppkey % 4 = 0 THEN 'persistence' ELSE 'm' || (l_suppkey % 4) END AS model, 'runs/' || CASE WHEN l_partkey % 5 = 0 THEN 'Tuned_' ELSE '' END || l_orderkey AS path, avg(l_tax) AS RMSE, avg(l_discount) AS MAE FROM lineitem GROUP BY 1, 2) SELECT model, path, row_number() OVER (ORDER BY round(RMSE, 9), round(MAE, 9), model, path) AS place FROM r WHERE model <> 'persistence'")
-def global_test_rank_whole(read):
-    """global_test_rank over every order."""
+@query(f"WITH {METRIC_FILES} SELECT model, path, row_number() OVER (ORDER BY round(RMSE, 9), round(MAE, 9), model, path) AS place FROM r WHERE model <> 'persistence'")
+def global_test_rank(read):
     rows = selection.candidates(metric_files(read("lineitem"))).withColumns({c: F.round(c, 9) for c in ("RMSE", "MAE")})
     return selection.by_test_metrics(rows, "path").select("model", "path", F.col("rank").alias("place"))
 
@@ -753,6 +805,7 @@ def best_per_horizon(read):
     return selection.per_horizon(validation_summary(read)).select("horizon", "model", F.col("MAE_mean").alias("mae"))
 
 
-@query("SELECT dataset, n, status FROM (VALUES ('CALB', 1::BIGINT, 'allowed'), ('MATR', 1, 'allowed'), ('NA-ion', 1, 'excluded'), ('RWTH', 1, 'unexpected'), ('HUST', 1, 'unexpected'), ('unknown', 4, 'unexpected'), ('SNL', 1, 'allowed'), ('MICH', 1, 'unexpected'), ('MICH_EXP', 1, 'unexpected'), ('UL_PUR', 1, 'unexpected'), ('ISU_ILCC', 1, 'unexpected'), ('SDU', 1, 'unexpected'), ('Stanford', 1, 'unexpected'), ('Stanford_2', 1, 'unexpected'), ('Tongji', 1, 'unexpected'), ('XJTU', 1, 'unexpected'), ('ZN-coin', 1, 'excluded'), ('HNEI', 1, 'unexpected'), ('CALCE', 1, 'unexpected')) t(dataset, n, status)")
+@query(f"""WITH {FILES_SQL}, d AS (SELECT CASE {_KNOWN} ELSE 'unknown' END AS dataset FROM s), n AS (SELECT dataset, count(*) AS n FROM d GROUP BY 1), e AS (SELECT unnest(['CALB', 'MATR', 'SNL', 'ABSENT']) AS dataset)
+SELECT coalesce(n.dataset, e.dataset) AS dataset, coalesce(n, 0) AS n, CASE WHEN n.dataset IS NULL THEN 'missing' WHEN n.dataset IN {audit.EXCLUDED} THEN 'excluded' WHEN e.dataset IS NULL THEN 'unexpected' ELSE 'allowed' END AS status FROM n FULL JOIN e ON n.dataset = e.dataset""")
 def file_inventory(read):
-    return audit.inventory(_files(read), ["CALB", "MATR", "SNL"])
+    return audit.inventory(part_files(read), ["CALB", "MATR", "SNL", "ABSENT"])

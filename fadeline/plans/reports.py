@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .. import sinks
 
 
@@ -28,6 +30,35 @@ def before_after_report(rows: list[dict], metric: str = "RMSE") -> str:
     return sinks.report("Before and after", [(metric, sinks.markdown_table(rows, ["horizon", f"before_{metric}", f"after_{metric}", f"{metric}_gain", f"{metric}_gain_percent"]))])
 
 
+def filled(template: str, config: dict, tables: dict[str, str] | None = None) -> str:
+    """A report template with {name} filled from the configuration and {table:name} from texts; a name without a value stays visible."""
+    values = {k: sinks.markdown_cell(v) if not isinstance(v, (list, tuple)) else ", ".join(map(sinks.markdown_cell, v)) for k, v in config.items()}
+    found = values | {f"table:{k}": v.rstrip() for k, v in (tables or {}).items()}
+    return re.sub(r"\{((?:table:)?\w+)\}", lambda m: found.get(m[1], m[0]), template)
+
+
+def command(program: list[str], options: dict) -> list[str]:
+    """Arguments of a run: --name value for each option in order, names with - for _; True is the name alone, None, False and empty texts nothing."""
+    out = list(program)
+    for name, value in options.items():
+        flag = f"--{name.replace('_', '-')}"
+        if value is True:
+            out.append(flag)
+        elif isinstance(value, (list, tuple)):
+            out += [flag, ",".join(map(str, value))] if value else []
+        elif value is not None and value is not False and value != "":
+            out += [flag, str(value)]
+    return out
+
+
+def trial_command(program: list[str], model: str, seed: int, config: dict, run: dict) -> list[str]:
+    """The command of one trial: what the run fixes, then model and seed, then the configuration; options that its split mode does not use are left out."""
+    mode = run.get("split_mode")
+    unused = {k for k, needed in (("split_gap", "condition-gap-within-file"), ("eval_domain", "same-domain-eval")) if mode != needed}
+    kept = {k: v for k, v in run.items() if k not in unused and not (k == "max_files" and not v)}
+    return command(program, {**kept, "models": model, "seed": seed, **{k: v for k, v in config.items() if k != "name"}})
+
+
 def command_file(commands: list[list[str]], kind: str = "ps1") -> str:
     """Commands one per line for PowerShell, or as a JSON list."""
     return sinks.json_text(commands) if kind == "json" else "\n".join(sinks.command_text(c) for c in commands) + "\n"

@@ -7,7 +7,7 @@ import math
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.numbers import finite
@@ -46,6 +46,16 @@ def append_facts(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def write_normaliser(fitted: DataFrame, split: DataFrame, path: str) -> None:
+    """Normalisation constants beside the keys of the split that they were fitted on: <path>/normaliser and <path>/split, Parquet each."""
+    fitted.write.mode("overwrite").parquet(f"{path}/normaliser")
+    split.write.mode("overwrite").parquet(f"{path}/split")
+
+
+def read_normaliser(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/normaliser"), spark.read.parquet(f"{path}/split")
+
+
 def jsonable(value):
     """Plain JSON data: keys as text, non-finite numbers as null, library scalars as their own."""
     if isinstance(value, dict):

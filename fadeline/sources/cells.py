@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
 import pickle
 from collections.abc import Iterator
@@ -11,13 +12,22 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import LEAST_POINTS, capacity_soh, features
 from ..functions.labels import name_of
+from ..operators.ranking import duplicates
 from ..schemas import CELL_FILE
 
 SUFFIX = ".pkl"
+#: Cycles of a file that are listed as wrong, and files that a split needs.
+ERRORS, LEAST_USABLE = 5, 3
 
 
 def find_files(spark: SparkSession, root: str, pattern: str = f"*{SUFFIX}", recursive: bool = True) -> DataFrame:
-    """(path, name, length) of the files below root, or of root itself if it is one, sorted by path; contents are not read."""
+    """(path, name, length) of the files below root, or of root itself if it is one, sorted by path; contents are not read.
+
+    A root that is a file of another kind raises.
+    """
+    own = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if own.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(own).isFile() and not fnmatch.fnmatch(own.getName(), pattern):
+        raise ValueError(f"{root} is no {pattern} file")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).load(root)
     return files.select("path", name_of(F.col("path")).alias("name"), "length").orderBy("path")
 
@@ -37,6 +47,14 @@ def split_by_prefix(files: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame
     return files.filter(own), files.filter(~own)
 
 
+def dataset_files(files: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
+    """split_by_prefix, raising if the dataset has no file."""
+    own, others = split_by_prefix(files, prefix)
+    if own.isEmpty():
+        raise ValueError(f"no file begins with {prefix}")
+    return own, others
+
+
 class _Plain(pickle.Unpickler):
     """Reads containers, numbers, strings and numeric arrays only."""
 
@@ -89,10 +107,11 @@ def write_cells(cells: DataFrame, path: str) -> None:
 
 
 def fixed_origin_records(cells: DataFrame, lookback: int, horizons: list[int], length: int) -> DataFrame:
-    """One row per file for fixed-origin samples: file, cell_id, status, reason, n_features, origin_soh, targets (map horizon -> soh).
+    """One row per file for fixed-origin samples: file, cell_id, status, reason, n_features, origin_soh, targets (map horizon -> soh), n_cycles, errors.
 
     Labels come from every cycle, features from cycles 1..lookback alone. A file is used if it has all
     of those features, a label at the origin and one at a horizon; otherwise its reasons are listed.
+    errors holds the first ERRORS cycles, in their order, that gave no feature where one is needed, or no label.
     """
     from ..functions.arrays import reference_capacity
 
@@ -102,17 +121,30 @@ def fixed_origin_records(cells: DataFrame, lookback: int, horizons: list[int], l
     early = number.between(1, lookback)
     feature = F.when(early, features(F.col("c.voltage_in_V"), F.col("c.current_in_A"), length, order="IV"))
     soh = capacity_soh(F.col("c.discharge_capacity_in_Ah"), F.col("reference"))
-    rows = rows.select("file", "cell_id", number.alias("number"), feature.isNotNull().alias("has_feature"), soh.alias("soh"))
+    rows = rows.select("file", "cell_id", "position", number.alias("number"), early.alias("early"), feature.isNotNull().alias("has_feature"), soh.alias("soh"))
+    wrong = F.concat_ws(" and ", F.when(F.col("early") & ~F.col("has_feature"), F.lit("no feature")), F.when(F.col("soh").isNull(), F.lit("no label")))
+    error = F.when(F.col("position").isNotNull() & (wrong != ""), F.struct(F.col("number"), F.concat(F.lit("cycle "), F.col("number").cast("string"), F.lit(": "), wrong).alias("text")))
+    errors = F.transform(F.slice(F.array_sort(F.collect_list(error)), 1, ERRORS), lambda e: e["text"])
     wanted = F.array(*(F.lit(h) for h in horizons))
     targets = F.map_from_entries(F.collect_list(F.when(F.array_contains(wanted, F.col("number") - lookback) & F.col("soh").isNotNull(), F.struct(F.col("number") - lookback, "soh"))))
-    out = rows.groupBy("file", "cell_id").agg(F.count_distinct(F.when(F.col("has_feature"), F.col("number"))).alias("n_features"), F.max(F.when(F.col("number") == lookback, F.col("soh"))).alias("origin_soh"), targets.alias("targets"))
+    out = rows.groupBy("file", "cell_id").agg(F.count_distinct(F.when(F.col("has_feature"), F.col("number"))).alias("n_features"), F.max(F.when(F.col("number") == lookback, F.col("soh"))).alias("origin_soh"), targets.alias("targets"), F.count("position").alias("n_cycles"), errors.alias("errors"))
     reasons = F.concat_ws("; ", F.when(F.col("n_features") < lookback, F.concat(F.lit(f"needs features of {lookback} cycles, has "), F.col("n_features").cast("string"))), F.when(F.col("origin_soh").isNull(), F.lit(f"no label at cycle {lookback}")), F.when(F.size("targets") == 0, F.lit("no label at any horizon")))
     return out.withColumn("reason", reasons).withColumn("status", F.when(reasons == "", "used").otherwise("skipped"))
 
 
+def check_records(records: DataFrame, least: int = LEAST_USABLE) -> None:
+    """Raise for files of one name, or for fewer than `least` that can be used."""
+    used = records.filter("status = 'used'")
+    again = [r["file"] for r in duplicates(used, "file").orderBy("file").limit(20).collect()]
+    if again:
+        raise ValueError(f"duplicate ids: {', '.join(again)}")
+    if (n := used.limit(least).count()) < least:
+        raise ValueError(f"needs {least} usable files, has {n}")
+
+
 def manifest_counts(records: DataFrame) -> DataFrame:
     """(horizon, n): usable files with a target, per horizon."""
     return records.filter("status = 'used'").select(F.explode("targets").alias("horizon", "soh")).groupBy("horizon").agg(F.count("*").alias("n"))
 
 
-__all__ = ["LEAST_POINTS", "chosen_files", "find_files", "fixed_origin_records", "import_pickles", "manifest_counts", "read_cells", "read_plain", "split_by_prefix", "write_cells"]
+__all__ = ["LEAST_POINTS", "check_records", "chosen_files", "dataset_files", "find_files", "fixed_origin_records", "import_pickles", "manifest_counts", "read_cells", "read_plain", "split_by_prefix", "write_cells"]

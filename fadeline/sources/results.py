@@ -29,17 +29,22 @@ def keyed_strings(spark: SparkSession, path: str, key: str = "model") -> dict[st
 
 
 def find_metrics(spark: SparkSession, roots: list[str], exclude: str | None = None) -> DataFrame:
-    """Metric rows below the roots with path and folder; files below `exclude` are left out. Columns that a file lacks are null."""
+    """Metric rows below the roots with path and folder, in order of path; files below `exclude` are left out. Columns that a file lacks are null.
+
+    A root that is given twice, or lies below another, counts once.
+    """
+    tidy = sorted({r.rstrip("/") for r in roots})
+    roots = [r for r in tidy if not any(r.startswith(other + "/") for other in tidy)]
     reader = spark.read.option("header", True).option("recursiveFileLookup", "true").option("pathGlobFilter", METRIC_FILE).option("enforceSchema", "false")
     rows = reader.schema(METRICS).csv(roots).select("*", F.col("_metadata.file_path").alias("path"))
     if exclude:
         rows = rows.filter(~F.contains("path", F.lit(exclude.rstrip("/") + "/")))
-    return rows.withColumn("folder", parent_of(F.col("path")))
+    return rows.withColumn("folder", parent_of(F.col("path"))).orderBy("path")
 
 
 def sidecars(spark: SparkSession, roots: list[str], schema) -> DataFrame:
     """(folder, info) of the JSON documents that stand beside metric files."""
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", "true").option("pathGlobFilter", SIDECAR).text(roots)
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", SIDECAR).text(roots, wholetext=True)
     return text.select(parent_of(F.col("_metadata.file_path")).alias("folder"), F.from_json("value", schema).alias("info"))
 
 
@@ -50,7 +55,7 @@ def with_sidecars(metric_rows: DataFrame, info: DataFrame) -> DataFrame:
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(file, dataset) of a manifest document; a malformed one gives no rows."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     items = F.coalesce(F.from_json("value", "array<struct<file:string,dataset:string>>"), F.from_json("value", "struct<files:array<struct<file:string,dataset:string>>>")["files"])
     return text.select(F.inline(items)).filter("file is not null")
 

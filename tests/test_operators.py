@@ -333,6 +333,8 @@ def test_scenarios_and_configs(spark):
     assert experiments.first_given(None, 0, 5) == 0
     config = {"b": 1, "a": "x"}
     assert one(spark.range(1).select(experiments.config_hash({"b": F.lit(1), "a": F.lit("x")})))[0] == experiments.config_hash(config)
+    odd = {"a": 'q"\\ \n\r\t\b\f\x00\x7f é 日 😀', "b": None, "c": True}
+    assert one(spark.range(1).select(experiments.config_hash({"a": F.lit(odd["a"]), "b": F.lit(None), "c": F.lit(True)})))[0] == experiments.config_hash(odd)
 
 
 def test_searches(spark):
@@ -378,24 +380,105 @@ def test_texts_of_sinks(spark, tmp_path):
 
 
 def test_presets():
-    from fadeline.plans.presets import OWN, presets
+    from fadeline.plans.presets import CATALOGUE, presets
 
-    assert [len(presets(m)) for m in OWN] == [29, 33, 36]
-    assert all(len({experiments.config_hash(c) for c in presets(m)}) == len(presets(m)) for m in OWN)
-    assert [len(presets(m, "smoke")) for m in OWN] == [1, 1, 1] and presets("cpmlp_cpdsconv_fusion", "quick")[2]["dropout"] == 0.15
+    assert [len(presets(m)) for m in CATALOGUE] == [29, 33, 36]
+    assert all(len({experiments.config_hash(c) for c in presets(m)}) == len(presets(m)) for m in CATALOGUE)
+    assert [len(presets(m, "smoke")) for m in CATALOGUE] == [1, 1, 1]
+    assert [c["name"] for c in presets("cpmlp_cpdsconv_fusion", "quick")] == ["base", "drop015", "lr5e4", "dsconv96", "wide_lowdrop", "mlp_strong_dsconv48", "compact_low_lr", "zero_init_lr5e4", "zero_init_scale10"]
 
 
-def test_search():
+def test_search(tmp_path):
     from fadeline.plans import search
 
     space = {"size_preset": ["small", "large"], "lr": (1e-5, 1e-1), "dropout": [0.1, 0.2, 0.3]}
     score = lambda c: abs(math.log10(c["lr"]) + 3) + c["dropout"] + (c["model_hidden"] == 128)
     trials = search.study(space, score, 40, seed=1)
-    assert len(trials) == 40 and min(t[1] for t in trials) < 0.5
-    late, early = [t[1] for t in trials[20:]], [t[1] for t in trials[:10]]
-    assert sum(late) / len(late) < sum(early) / len(early)
-    assert len(search.study(space, score, 12, done=trials[:10])) == 12
-    assert search.should_stop([[1.0, 1.0]] * 3, [1.0, 2.0]) and not search.should_stop([[1.0]] * 3, [1.0, 2.0])
+    values = [t["value"] for t in trials]
+    assert len(trials) == 40 and search.best_trial(trials)["value"] == min(values) < 0.5
+    assert sum(values[20:]) / 20 < sum(values[:10]) / 10
+    assert search.should_stop([[1.0, 1.0]] * 3, [1.0, 2.0]) and not search.should_stop([[1.0]] * 3, [1.0, 2.0]) and not search.should_stop([[1.0, 1.0]] * 3, [2.0])
+
+
+def test_studies_resume_and_prune(tmp_path):
+    from fadeline.plans import search
+
+    space, calls = {"x": (0.1, 10.0)}, []
+
+    def steps(c):
+        for k in range(4):
+            calls.append(c["x"])
+            yield abs(c["x"] - 1) + k * 0.0
+
+    store = str(tmp_path / "study.jsonl")
+    whole = search.study(space, steps, 25, seed=3, prune=True)
+    search.study(space, steps, 9, seed=3, store=store, prune=True)
+    calls.clear()
+    assert search.study(space, steps, 25, seed=3, store=store, prune=True) == whole and len(set(calls)) == 16
+    pruned = [t for t in whole if t["state"] == "pruned"]
+    assert pruned and all(len(t["steps"]) == 2 and t["value"] is None for t in pruned) and search.best_trial(whole)["state"] == "complete"
+
+    def fails(c):
+        raise RuntimeError("no")
+
+    assert [(t["state"], t["reason"]) for t in search.study(space, fails, 2)] == [("failed", "no")] * 2
+    with pytest.raises(ValueError):
+        search.best_trial(search.study(space, lambda c: math.inf, 2))
+
+
+@pytest.mark.parametrize("largest", [1, 7, 10_000])
+def test_quantiles_of_whole_tables(spark, largest):
+    from fadeline.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate((rng.standard_normal(400), np.full(300, 0.25), [7.0] * 3, rng.standard_normal(57) * 1e6))
+    rows = spark.createDataFrame([(float(v), float(-v)) for v in x] + [(NAN, math.inf), (None, None)], "a double, b double").repartition(5)
+    for q in (0.0, 0.31, 0.5, 0.975, 1.0):
+        got = quantiles(rows, {"a": (F.col("a"), q), "b": (F.col("b"), q), "none": (F.lit(None).cast("double"), q)}, largest)
+        assert got["a"] == pytest.approx(np.quantile(x, q)) and got["b"] == pytest.approx(np.quantile(-x, q)) and got["none"] is None
+
+
+def test_ranges_count_as_windows_do(spark):
+    from fadeline.functions.numbers import average_rank
+    from fadeline.operators import ranking
+
+    rows = spark.createDataFrame([(k % 3 if k % 7 else None, k, [1.0, 2.0, NAN, None, 0.5][k % 5]) for k in range(400)], "g int, k int, x double").repartition(6)
+    got = {r.k: r.place for r in ranking.numbered_by_ranges(rows, ("g",), [F.desc("k")]).collect()}
+    assert got == {r.k: r.place for r in ranking.numbered(rows, ("g",), [F.desc("k")]).collect()} and len(got) == 400
+    got = {r.k: r.r for r in ranking.average_rank_by_ranges(rows, ("g",), "x", "r").collect()}
+    assert got == {r.k: r.r for r in rows.withColumn("r", average_rank(F.col("x"), "g")).collect()}
+
+
+def test_normaliser_of_large_values(spark):
+    from fadeline.operators import normalize
+
+    rows = spark.createDataFrame([([1e9 - 1, 1e9 + 1],), ([1e9],)], "v array<double>")
+    (got,) = normalize.fit_channels(rows, {"v": "v"}).collect()
+    assert got["mean"] == 1e9 and got["std"] == pytest.approx((2 / 3) ** 0.5)
+
+
+def test_command_and_templates():
+    from fadeline.plans import reports
+
+    assert reports.command(["x"], {"a_b": 1, "on": True, "off": False, "none": None, "empty": "", "many": [1, 2]}) == ["x", "--a-b", "1", "--on", "--many", "1,2"]
+    assert "--split-gap" in reports.trial_command(["x"], "m", 1, {}, {"split_mode": "condition-gap-within-file", "split_gap": 20})
+    assert reports.filled("# {name}\n{table:top}\n{unknown} {horizons}", {"name": "N", "horizons": [1, 2]}, {"top": "| a |\n"}) == "# N\n| a |\n{unknown} 1, 2"
+
+
+def test_what_sources_refuse(spark, tmp_path):
+    from fadeline.sources import cells
+
+    (tmp_path / "x.csv").write_text("a")
+    with pytest.raises(ValueError):
+        cells.find_files(spark, str(tmp_path / "x.csv"))
+    with pytest.raises(ValueError):
+        cells.dataset_files(spark.createDataFrame([("CALB.pkl",)], "name string"), "MATR")
+    used = lambda *names: spark.createDataFrame([(n, "used") for n in names] + [("z", "skipped")], "file string, status string")
+    cells.check_records(used("a", "b", "c"))
+    with pytest.raises(ValueError, match="duplicate ids: a"):
+        cells.check_records(used("a", "a", "b", "c"))
+    with pytest.raises(ValueError, match="needs 3 usable files, has 2"):
+        cells.check_records(used("a", "b"))
 
 
 def test_reports():

@@ -57,8 +57,8 @@ def test_metric_discovery(spark, tmp_path):
         folder.mkdir()
         lines = ["model,val_RMSE,val_MAE,val_MAPE_percent,val_R2,val_EOL_Error_cycles,RMSE,MAE,MAPE_percent,R2,EOL_Error_cycles"] + [f"{m},1,1,1,1,1,0.5,0.25,1,1,1" for m in models]
         (folder / results.METRIC_FILE).write_text("\n".join(lines) + "\n")
-    (tmp_path / "a" / results.SIDECAR).write_text(json.dumps({"split_mode": "file-level", "horizon": 10}))
-    (tmp_path / "manifest.json").write_text(json.dumps([{"file": "x.pkl", "dataset": "MATR"}]))
+    (tmp_path / "a" / results.SIDECAR).write_text(json.dumps({"split_mode": "file-level", "horizon": 10}, indent=2))
+    (tmp_path / "manifest.json").write_text(json.dumps([{"file": "x.pkl", "dataset": "MATR"}], indent=2))
     (tmp_path / "broken.json").write_text("{")
     rows = results.find_metrics(spark, [str(tmp_path)], exclude=f"{tmp_path}/skip")
     assert sorted((r.folder.rpartition("/")[2], r.model, r.RMSE) for r in rows.collect()) == [("a", "cpmlp", 0.5), ("a", "persistence", 0.5), ("b", "cpmlp", 0.5)]
