@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import windows
+from ..operators import metrics, windows
 
 # Names of the models in their usual order.
 MODEL_ORDER = (
@@ -45,3 +46,9 @@ def predict(name: str, samples: DataFrame, lookback: int | None = None, horizon:
             raise ValueError("persistence needs the look-back and horizon")
         return windows.persistence(samples, lookback, horizon)
     raise ValueError(f"{name} has no runtime here: register a function or pass its predictions")
+
+
+def evaluate(name: str, samples: DataFrame, by: tuple[str, ...] = ("seed", "horizon"), actual: str = "actual", **how) -> DataFrame:
+    """(by, model, n, RMSE, MAE, MAPE_percent, R2) of one predictor for each run of samples, such as (seed, horizon); a table without a finite pair raises when run."""
+    scored = metrics.strict_regression_metrics(predict(name, samples, **how), by, actual, "pred")
+    return scored.select(*by, F.lit(name).alias("model"), "n", "RMSE", "MAE", "MAPE_percent", "R2")

@@ -18,7 +18,7 @@ from ..schemas import CELL_FILE
 from ..session import shared_folder
 from ..sources import cells, results
 from . import experiments, predict, reports, search
-from .queries import BASE, FILES_SQL, LOOKBACK, PRED, TRIALS, Z, by_model, part_files, predictions, query, trials
+from .queries import BASE, FILES_SQL, LOOKBACK, PRED, REG, TRIALS, Z, by_model, part_files, predictions, query, trials
 
 
 def _new_path(spark: SparkSession, name: str) -> str:
@@ -318,6 +318,23 @@ def external_predictions(read):
     return predict.predict("cpmlp", p.drop("pred"), external=elsewhere).select("cell_id", "target_cycle", "actual", "pred")
 
 
+@query(f"WITH {PRED}, e AS (SELECT cell_id % 4 AS seed, target_cycle % 2 AS horizon, actual, actual + cell_id % 5 / 10.0 AS pred FROM pred) SELECT seed, horizon, 'shifted' AS model, {REG} FROM e GROUP BY seed, horizon")
+def predictor_evaluation(read):
+    """A registered function on Arrow batches, evaluated for each (seed, horizon)."""
+
+    def shift(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            yield from table.append_column("pred", pc.add(table["actual"], table["off"])).to_batches()
+
+    p = predictions(read).select((F.col("cell_id") % 4).alias("seed"), (F.col("target_cycle") % 2).alias("horizon"), "actual", (F.col("cell_id") % 5 / 10.0).cast("double").alias("off"))
+    predict.register("shifted", shift, "seed long, horizon long, actual double, off double, pred double")
+    return predict.evaluate("shifted", p.select(F.col("seed").cast("long").alias("seed"), F.col("horizon").cast("long").alias("horizon"), "actual", "off"))
+
+
 @query(f"""WITH {PRED}, r AS (SELECT cell_id, target_cycle, abs(actual - pred) AS residual, coalesce(abs(actual - pred) - lag(abs(actual - pred)) OVER (PARTITION BY cell_id ORDER BY target_cycle), 0) AS slope, CASE WHEN target_cycle % 3 = 0 THEN NULL ELSE actual % 7 END AS latent FROM pred),
 a AS (SELECT residual AS x FROM r WHERE cell_id % 2 = 0), b AS (SELECT slope AS x FROM r WHERE cell_id % 2 = 0), c AS (SELECT latent AS x FROM r WHERE cell_id % 2 = 0 AND latent IS NOT NULL), {Z.format(n='za', t='a')}, {Z.format(n='zb', t='b')}, {Z.format(n='zc', t='c')},
 z AS (SELECT cell_id, target_cycle, greatest((residual - za.med) / (1.4826 * (za.mad + 1e-8)), 0) AS u, greatest((slope - zb.med) / (1.4826 * (zb.mad + 1e-8)), 0) AS v, CASE WHEN latent IS NOT NULL THEN greatest((latent - zc.med) / (1.4826 * (zc.mad + 1e-8)), 0) END AS w FROM r, za, zb, zc),
