@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialise, texts_of
+from .common import column, frugal, materialise, texts_of
 
 CAPACITY, END_ID = 2048, 0
 #: Bins that a task holds open, in either round.
@@ -66,8 +66,16 @@ def _ranked(path: str):
     merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
     if merged != sorted(merged):
         return None
-    plain, whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, _general(path)
-    return lambda text: (whole if any(x in text for x in special) else plain)(text)
+    plain, whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, []
+
+    def encode(text: str) -> list[int]:
+        if not any(x in text for x in special):
+            return plain(text)
+        if not whole:
+            whole.append(_general(path))  # large, and hardly ever needed
+        return whole[0](text)
+
+    return encode
 
 
 class OpenBins:
@@ -174,10 +182,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_bins: i
         yield _batch([*_placed(bins.rest(), base)], keep_ids)
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    placed = materialise(texts.mapInArrow(first, schema), "packed")
+    placed = materialise(texts.mapInArrow(frugal(first), schema), "packed")
     left = placed.filter("sequence_id is null")
     tokens = left.agg(F.sum("length")).first()[0] or 0
-    again = left.repartition(1 + tokens // ROUND_TOKENS).mapInArrow(second, schema)
+    again = left.repartition(1 + tokens // ROUND_TOKENS).mapInArrow(frugal(second), schema)
     return placed.filter("sequence_id is not null").union(again)
 
 

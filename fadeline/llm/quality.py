@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_WORDS, column, mix, row_key, steps, texts_of
+from .common import MEMO_WORDS, column, frugal, mix, row_key, steps, texts_of
 from .ftrl import Ftrl, sigmoid
 
 #: Hash space of the features; feature 0 is the bias.
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
             yield pa.RecordBatch.from_arrays([pa.array([model.weights().tobytes()])], names=["weights"])
 
     drawn = labelled_sample(docs, labels, label, most)
-    got = drawn.repartition(1).mapInArrow(learn, "weights binary").collect()
+    got = drawn.repartition(1).mapInArrow(frugal(learn), "weights binary").collect()
     return np.frombuffer(got[0][0], np.float32) if got else np.zeros(SIZE, np.float32)
 
 
@@ -144,7 +144,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(got or [np.zeros(0)]))], names=["doc_id", "text_key", "score"])
 
     own = docs.select(*row_key(F.col("doc_id"), F.col("text")), F.col("text").cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id long, text_key long, score double")
+    return own.mapInArrow(frugal(run), "doc_id long, text_key long, score double")
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -159,7 +159,7 @@ def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
             got = [scores(part, shared.value, memo) for _, part in steps(texts_of(batch))]
             yield batch.filter(pa.array(np.concatenate(got or [np.zeros(0)]) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

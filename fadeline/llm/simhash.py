@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, materialise, restored, row_key, session_partitions, steps, texts_of
+from .common import carried, frugal, materialise, restored, row_key, session_partitions, steps, texts_of
 from .graph import components
 
 SEED, SHINGLE_WORDS, DISTANCE = 42, 4, 4
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([ids, keys, pa.array(fps.view(np.int64))], names=["doc_id", "text_key", "fp"])
 
     own = docs.select(*row_key(F.col(id_col), F.col(text_col)), F.col(text_col).cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id long, text_key long, fp long")
+    return own.mapInArrow(frugal(run), "doc_id long, text_key long, fp long")
 
 
 def bucket_keys(fp: np.ndarray, depth: int = 2) -> np.ndarray:
@@ -200,7 +200,7 @@ def links(distinct_fps: DataFrame, depth: int = 2) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
     dealt = dealt.repartition(session_partitions(spark), "key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(frugal(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, column, discard, hashed_words, materialise, mix, row_key, slices, steps, texts_of
+from .common import WordHashes, column, discard, frugal, hashed_words, materialise, mix, row_key, slices, steps, texts_of
 
 WINDOW, GRAM = 35, 10
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -120,7 +120,7 @@ def packed_texts(docs: DataFrame, *carried: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=names)
 
     schema = T.StructType([*own.schema.fields[:-1], T.StructField("packed", T.BinaryType())])
-    return materialise(own.mapInArrow(run, schema), "texts")
+    return materialise(own.mapInArrow(frugal(run), schema), "texts")
 
 
 def unpacked(batch, tool):
@@ -144,7 +144,7 @@ def stretches(texts: DataFrame) -> DataFrame:
                 arrays = [pa.array(s.seed.view(np.int64)), pa.array(s.stretch.view(np.int64)), rows.take(pa.array(s.text + at)), pa.array(s.start.astype(np.int32)), pa.array(s.n.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["seed", "stretch", "row", "start", "n"])
 
-    return texts.select("row", "packed").mapInArrow(run, "seed long, stretch long, row long, start int, n int")
+    return texts.select("row", "packed").mapInArrow(frugal(run), "seed long, stretch long, row long, start int, n int")
 
 
 def _pairs(batch):
@@ -172,7 +172,7 @@ def _windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["seed", "stretch", "k", "window", "times"])
 
     own = wanted.groupBy("row").agg(F.collect_list(F.struct("seed", "stretch", "times")).alias("own"))
-    return texts.select("row", "packed").join(own, "row").select("packed", "own").mapInArrow(run, "seed long, stretch long, k long, window long, times long")
+    return texts.select("row", "packed").join(own, "row").select("packed", "own").mapInArrow(frugal(run), "seed long, stretch long, k long, window long, times long")
 
 
 def repeated(texts: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def without_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
             arrays = [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.string(), pa.string()], strict=False))]
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in schema.split(", ")])
 
-    return _met(packed_texts(docs)).mapInArrow(run, schema)
+    return _met(packed_texts(docs)).mapInArrow(frugal(run), schema)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(changed, pa.bool_())], names=["doc", "text", "changed"])
 
     schema = T.StructType([texts.schema["doc"], T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType())])
-    out = _met(texts).mapInArrow(run, schema)
+    out = _met(texts).mapInArrow(frugal(run), schema)
     value = {c: F.col(f"doc.`{c}`") for c in others} | {"text": F.col("text")}
     if "n_chars" in value:
         value["n_chars"] = F.when(F.col("changed"), F.length("text")).otherwise(value["n_chars"]).cast(docs.schema["n_chars"].dataType)
