@@ -22,6 +22,8 @@ from .blocks import best_of, exponent, matrix, search, usable
 PIVOTS, SAMPLE = 32, 2048
 #: Vectors evaluated in the first step of a query; each step doubles.
 FIRST_STEP = 64
+#: Where a step takes this part of a shard or more, one pass over the shard is cheaper than picking its vectors out.
+ALL_FROM = 16
 #: Below it products are exact in doubles, in 64 bits; above in Python's whole numbers.
 DOUBLES, LONGS = 2.0**52, 2.0**62
 
@@ -54,9 +56,10 @@ def rounding(norm: float, dim: int) -> float:
 
 def upper_bounds(query: np.ndarray, away: np.ndarray, far: np.ndarray, norm: float) -> np.ndarray:
     """At least the product of the query and each vector, of which `away` and `far` (pivot, vector) are the distances to the pivots."""
-    least = np.zeros(far.shape[1])
+    least, gap = np.zeros((2, far.shape[1]))
     for column, a in zip(far, away, strict=True):
-        np.maximum(least, np.abs(column - a), out=least)
+        np.abs(np.subtract(column, a, out=gap), out=gap)
+        np.maximum(least, gap, out=least)
     off = rounding(norm, len(query))
     least = np.maximum(least - 2 * np.sqrt(off), 0)  # a square that is off by `off` puts its root off by no more than sqrt(off)
     return (float(query @ query) + norm * norm - least * least) / 2 + 2 * off
@@ -78,7 +81,7 @@ def pivot_search(bound: np.ndarray, query_id: int, ids: np.ndarray, product, sha
 
     product(places) gives exact products; share(product) puts one on the bounds' scale.
     """
-    order = np.argsort(-bound, kind="stable")
+    order = np.argsort(-bound)  # equal bounds in any order: `best_of` settles ties, and a bound that ties the k-th best is evaluated
     order = order[ids[order] != query_id]
     best_ids, best, at, step = ids[:0], None, 0, FIRST_STEP
     while at < len(order):
@@ -102,7 +105,16 @@ def norm_of(v: np.ndarray) -> tuple[float, int]:
 def exact_products(query: np.ndarray, v: np.ndarray, reach: float):
     """places -> exact products of whole numbers, given that none of them, nor a part of its sum, is beyond `reach`."""
     if reach < DOUBLES:
-        return lambda at: 4096.0 * (v[at] @ query)
+        every = []
+
+        def product(at):
+            if len(at) * ALL_FROM < len(v):
+                return 4096.0 * (v[at] @ query)
+            if not every:
+                every.append(4096.0 * (v @ query))
+            return every[0][at]
+
+        return product
     if reach < LONGS:  # a norm that is not zero is 1/64 or more, so that the components fit as well
         own = (64 * query).astype(np.int64)
         return lambda at: (64 * v[at]).astype(np.int64) @ own
