@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import sinks
 from ..functions import arrays, labels, numbers
-from ..operators import anomaly, audit, metrics, normalize, projections, ranking, rollup, selection, sets, splits, windows
+from ..operators import anomaly, audit, isolation, metrics, normalize, projections, ranking, rollup, selection, sets, splits, windows
 from ..sources import cells
 from . import experiments
 
@@ -23,14 +23,16 @@ ORACLE: dict[str, str] = {}
 LOOKBACK, HORIZON, EOL_VALUE, GAP = 20, 10, 20.0, 5
 
 
-def query(sql: str):
-    """Register the function under its name, with the SQL of the same result."""
+def query(sql: str | None):
+    """Register the function under its name, with the SQL of the same result where SQL can express it."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return tidy(f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet")))
 
-        QUERIES[f.__name__], ORACLE[f.__name__] = run, sql
+        QUERIES[f.__name__] = run
+        if sql is not None:
+            ORACLE[f.__name__] = sql
         return run
 
     return add
@@ -652,6 +654,13 @@ def anomaly_flags(read):
     return out.select("cell_id", "target_cycle", "anomaly_score", "is_anomaly")
 
 
+@query(None)
+def isolation_scores(read):
+    """Every vector against a forest of those with even ids."""
+    e = read("embeddings").select("vec_id", "embedding")
+    return isolation.with_latent(e, e.filter("vec_id % 2 = 0"), "embedding", ["vec_id"]).select("vec_id", "latent_score")
+
+
 # --- audits ----------------------------------------------------------------------------------------
 
 SPLIT = "sp AS (SELECT doc_id AS file, source AS condition, CASE WHEN doc_id % 10 < 6 THEN 'train' WHEN doc_id % 10 < 8 THEN 'val' ELSE 'test' END AS split FROM documents)"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fadeline import sinks
 from fadeline.functions import arrays, labels, numbers
-from fadeline.operators import anomaly, audit, metrics, normalize, ranking, rollup, sets, splits, windows
+from fadeline.operators import anomaly, audit, isolation, metrics, normalize, ranking, rollup, sets, splits, windows
 from fadeline.plans import experiments, predict
 
 NAN = float("nan")
@@ -212,6 +212,62 @@ def test_anomalies(spark):
     assert [r.is_anomaly for r in flags][-1] is True and sum(r.is_anomaly for r in flags) <= 2
 
 
+def plain_isolation(row, forest, sample):
+    """One row's score: down each tree by hand."""
+    depths = []
+    for feature, cut, left, right, depth in forest:
+        node = 0
+        while left[node] != node:
+            node = left[node] if row[feature[node]] <= cut[node] else right[node]
+        depths.append(depth[node])
+    usual = 2 * (math.log(sample - 1) + 0.5772156649015329) - 2 * (sample - 1) / sample
+    return 2 ** (-sum(depths) / len(depths) / usual)
+
+
+def test_isolation_trees():
+    rng = np.random.default_rng(3)
+    x = np.concatenate((rng.standard_normal((120, 3)), np.zeros((80, 3)), [[1e308, -1e308, 0.0]]))
+    feature, cut, left, right, depth = tree = isolation.grow(x, rng)
+    held = {}
+    for k, row in enumerate(x):
+        node, level = 0, 0
+        while left[node] != node:
+            node, level = (left[node] if row[feature[node]] <= cut[node] else right[node]), level + 1
+        held.setdefault((int(node), level), []).append(k)
+    assert sum(map(len, held.values())) == len(x) and len({node for node, _ in held}) == (left == np.arange(len(left))).sum()
+    for (node, level), rows in held.items():  # a leaf holds one row, equal rows, or is as deep as trees go
+        assert level <= 8 and (len(rows) == 1 or level == 8 or (x[rows] == x[rows[0]]).all())
+        assert depth[node] == pytest.approx(level + float(isolation.expected_depth(len(rows))))
+    forest = [tree, isolation.grow(x, rng)]
+    got = isolation.walk(x, forest, float(isolation.expected_depth(len(x))))
+    assert got == pytest.approx([plain_isolation(row, forest, len(x)) for row in x])
+    assert [float(isolation.expected_depth(n)) for n in (0, 1, 2)] == [0, 0, 1]
+
+
+def test_isolation_scores(spark):
+    rng = np.random.default_rng(5)
+    vecs = rng.standard_normal((400, 4)).tolist()
+    rows = [(k, v, "c") for k, v in enumerate(vecs)] + [(1000 + k, [40.0 + k, -40.0, 40.0, -40.0], "far") for k in range(3)]
+    rows += [(2000, None, "x"), (2001, [], "x"), (2002, [1.0, None, 0.0, 0.0], "x"), (2003, [NAN, 0.0, 0.0, 0.0], "x"), (2004, [1.0], "x"), (0, vecs[0], "c")]
+    df = spark.createDataFrame(rows, "id long, v array<double>, latent string")
+    reference = df.filter("latent = 'c'")
+    got = isolation.with_latent(df, reference, "v", ["id"], trees=50).select("id", "latent", "latent_score").collect()
+    assert len(got) == len(rows)
+    assert all((r.latent_score is None) == (r.latent == "x") for r in got)
+    ordered = sorted((r for r in got if r.latent != "x"), key=lambda r: -r.latent_score)
+    assert {r.id for r in ordered[:3]} == {1000, 1001, 1002} and ordered[3].latent_score < ordered[2].latent_score
+    again = isolation.with_latent(df.repartition(5), reference.repartition(3), "v", ["id"], trees=50).select("id", "latent", "latent_score").collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    drawn = isolation.with_latent(df, reference, "v", ["id"], trees=20, sample=16, pool=64).filter("latent = 'far'").agg(F.min("latent_score")).first()[0]
+    assert drawn > 0.6
+    assert isolation.with_latent(df, reference.limit(0), "v", ["id"]).filter("latent_score is not null").isEmpty()
+    one_row = isolation.with_latent(df, reference.filter("id = 7"), "v", ["id"], trees=3).filter("latent = 'far'").collect()
+    assert [r.latent_score for r in one_row] == [1.0] * 3
+    scored = df.filter("latent <> 'x'").select(F.lit("cell").alias("cell_id"), F.monotonically_increasing_id().alias("target_cycle"), F.lit(0.1).alias("residual"), "v", "id")
+    flags = anomaly.anomaly_flags(isolation.with_latent(scored, reference, "v", ["id"], trees=50), isolation.with_latent(scored.filter("id < 1000"), reference, "v", ["id"], trees=50), latent="latent_score")
+    assert {r.id for r in flags.filter("is_anomaly").collect()} >= {1000, 1001, 1002}
+
+
 def test_normalisation_counts_windows(spark):
     n, lookback, horizon = 12, 4, 2
     values = [float(k * k) for k in range(n)]
