@@ -90,10 +90,11 @@ def search(vectors: DataFrame, queries: DataFrame, dim: int, n: int, n_queries:
 
     def run(table):
         import pyarrow as pa
+        import pyarrow.compute as pc  # a worker that has only imported pyarrow has no pa.compute
 
         sides = []
         for side in (True, False):
-            part = table.filter(pa.compute.equal(table.column("is_query"), side))
+            part = table.filter(pc.equal(table.column("is_query"), side))
             joined = [b"".join(part.column(c).to_pylist()) for c in ("tags", "ids", "t0", "t1")]
             sides.append((np.frombuffer(joined[0], np.int64), np.frombuffer(joined[1], np.int64), joined[2:]))
         (tags, query_ids, query_side), (_, ids, side) = sides
