@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .interactions import op11_interactions
 from .mih import op4_nearest
 from .oracles import ORACLE_SQL
 from .packing import op8_packing
 from .pii import op6_pii
 from .quality import op10_quality
+from .resample import op12_resample
 from .simhash import op9_simhash
 from .spm import op2_sentencepiece
 from .substring import op5_substring
+from .tokenfiles import op13_token_files
 from .topk import op3_topk
 from .toxicity import op7_toxicity
 from .urls import op1_urls
@@ -29,6 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
+    "op11_interactions": op11_interactions,
+    "op12_resample": op12_resample,
+    "op13_token_files": op13_token_files,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
