@@ -1,4 +1,8 @@
-"""Train, validation and test: chronological and gapped splits in the engine, seeded shuffles of few names on the driver."""
+"""Train, validation and test: chronological and gapped splits, seeded permutations of keys, whole groups and domains.
+
+`permuted` and what builds on it run in the engine for any number of keys. `shuffled_assignment` and its kin give the
+shuffle of Python's own generator for a few names on the driver, where an assignment must be that of an earlier run.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+from .ranking import numbered_by_ranges, ranked_together, running_total
+
 SPLITS = ("train", "val", "test")
 
 
@@ -32,10 +39,22 @@ def chronological(samples: DataFrame, val: float = 0.15, test: float = 0.15, gap
     """
     w = W.partitionBy(key)
     out = samples.withColumn("place", F.row_number().over(w.orderBy(*order))).withColumn("n", F.count("*").over(w).cast("int"))
+    return out.withColumn("segment", _segment(val, test, gap)).drop("place", "n")
+
+
+def chronological_by_ranges(samples: DataFrame, val: float = 0.15, test: float = 0.15, gap: int = 0, key: str = "file", order: tuple[str, ...] = ("target_cycle", "input_end_cycle")) -> DataFrame:
+    """`chronological` for files that hold a large share of all samples: places are counted by ranges, sizes joined back."""
+    laid = checkpointed(numbered_by_ranges(samples, (key,), list(order)))
+    sizes = laid.groupBy(F.col(key).alias("_of")).agg(F.count("*").cast("int").alias("n"))
+    met = laid.join(sizes, F.col(key).eqNullSafe(F.col("_of"))).drop("_of")
+    return met.withColumn("segment", _segment(val, test, gap)).drop("place", "n")
+
+
+def _segment(val: float, test: float, gap: int) -> Column:
+    """The segment of a sample at `place` of `n`."""
     n_train, n_val, _ = counts(F.col("n"), val, test, gap)
     at = F.col("place")
-    segment = F.when(n_train.isNull(), None).when(at <= n_train, "train").when(at <= n_train + gap, "gap_train_val").when(at <= n_train + gap + n_val, "val").when(at <= n_train + 2 * gap + n_val, "gap_val_test").otherwise("test")
-    return out.withColumn("segment", segment).drop("place", "n")
+    return F.when(n_train.isNull(), None).when(at <= n_train, "train").when(at <= n_train + gap, "gap_train_val").when(at <= n_train + gap + n_val, "val").when(at <= n_train + 2 * gap + n_val, "gap_val_test").otherwise("test")
 
 
 def split_report(split: DataFrame, gap: int = 0, key: str = "file", cycle: str = "target_cycle") -> DataFrame:
@@ -133,6 +152,81 @@ def assign(samples: DataFrame, assignment: dict[str, str], key: str = "file") ->
     return samples.join(table, key)
 
 
+def permuted(keys: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:
+    """(key, place): distinct keys, not null, in a pseudo-random order of the seed, from 1: by the SHA-256 of seed and key.
+
+    The order depends on seed and keys alone, not on how the keys lie; a subset keeps its order. Sorted by ranges.
+    """
+    own = keys.select(key).filter(F.col(key).isNotNull()).distinct()
+    own = own.withColumn("_hash", F.sha2(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string")), 256))
+    return ranked_together(own, [F.col("_hash"), F.col(key)], name).drop("_hash")
+
+
+def _by_place(n: int, val: float, test: float) -> Column:
+    n_train, n_val, _ = _sizes(n, val, test)
+    return F.when(F.col("place") <= n_train, SPLITS[0]).when(F.col("place") <= n_train + n_val, SPLITS[1]).otherwise(SPLITS[2])
+
+
+def random_split(keys: DataFrame, key: str, seed: int, val: float = 0.15, test: float = 0.15, least: int = 3) -> DataFrame:
+    """(key, split) of distinct keys: the permutation cut at the rounded sizes. Raises for fewer than `least` keys."""
+    laid = permuted(keys, key, seed)
+    n = laid.count()
+    if n < least:
+        raise ValueError(f"needs {least} keys, has {n}")
+    return laid.select(key, _by_place(n, val, test).alias("split"))
+
+
+def group_split(rows: DataFrame, key: str, group: str, seed: int, val: float = 0.15, test: float = 0.15) -> DataFrame:
+    """(key, group, split): whole groups, three at least, are split by their number; keys go with their group."""
+    groups = random_split(rows, group, seed, val, test)
+    return rows.select(key, group).dropna().distinct().join(groups, group).select(key, group, "split")
+
+
+def quota_split(rows: DataFrame, key: str, group: str, seed: int, val: float = 0.15, test: float = 0.15) -> DataFrame:
+    """(key, group, split): whole groups, dealt by size. In permuted order groups fill test, then val, up to their share of keys; the others train.
+
+    A split overshoots its share by less than its last group. Raises if nothing is left for one of the splits.
+    """
+    own = rows.select(key, group).dropna().distinct()
+    sizes = own.groupBy(group).agg(F.count("*").alias("n")).join(permuted(rows, group, seed), group)
+    laid = running_total(sizes, (), ["place"], F.col("n"), "upto")
+    total = own.count()
+    n_test, n_val = max(1, round(total * test)), max(1, round(total * val))
+    # what a group finds before it decides: val begins where test has ended, with whole groups
+    before = F.col("upto") - F.col("n")
+    tested = laid.filter(before < n_test).agg(F.max("upto")).first()[0] or 0
+    dealt = laid.withColumn("split", F.when(before < n_test, SPLITS[2]).when(before < tested + n_val, SPLITS[1]).otherwise(SPLITS[0])).select(group, "split")
+    if lacking := set(SPLITS) - {r[0] for r in dealt.select("split").distinct().collect()}:
+        raise ValueError(f"no group is left for {', '.join(sorted(lacking))}")
+    return own.join(dealt, group).select(key, group, "split")
+
+
+def domain_split(rows: DataFrame, key: str, domain: str, seed: int, held_out: str | None = None) -> DataFrame:
+    """(key, domain, split): one domain is held out and its permuted keys are halved into val and test, the larger half; all others train.
+
+    Without a name (its case does not matter), the domain with most keys is held out, of several the first in
+    permuted order. Raises if it has fewer than two keys, or no other is left.
+    """
+    own = rows.select(key, domain).dropna().distinct()
+    sizes = own.groupBy(domain).agg(F.count("*").alias("n"))
+    if held_out is None:
+        first = sizes.orderBy(F.desc("n"), F.sha2(F.concat(F.lit(f"{seed}/"), F.col(domain).cast("string")), 256), domain).first()
+    else:
+        first = sizes.filter(F.lower(F.col(domain).cast("string")) == held_out.lower()).orderBy(domain).first()
+    if first is None or first["n"] < 2 or sizes.filter(F.col(domain) != first[domain]).isEmpty():
+        raise ValueError("the domain held out needs two keys, and others must be left to train on")
+    out = F.col(domain) == F.lit(first[domain])
+    half = max(1, first["n"] // 2)
+    places = permuted(own.filter(out), key, seed).withColumn("split", F.when(F.col("place") <= half, SPLITS[1]).otherwise(SPLITS[2])).drop("place")
+    tested = own.filter(out).join(places, key)
+    return own.filter(~out).withColumn("split", F.lit(SPLITS[0])).unionByName(tested.select(key, domain, "split"))
+
+
+def battery_split(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """(key, split): 60/20/20 of distinct keys."""
+    return random_split(rows, key, seed, 0.2, 0.2)
+
+
 def overlaps(split: DataFrame, key: str = "file", name: str = "split") -> DataFrame:
     """(key, splits): the keys that stand in several splits; empty if the split is clean."""
     seen = split.filter(F.col(name).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_set(name)).alias("splits"))

@@ -1,15 +1,23 @@
 """Samples out of sequences: positional windows, fixed-origin look-ups, persistence baselines, crossings.
 
 A sequence has the columns file, ord (position among usable cycles), cycle_number and soh; all
-operators share one partitioning by file, so that a chain of them shuffles once.
+operators share one partitioning by file, so that a chain of them shuffles once. Where one file may hold a
+large share of all rows, `in_blocks` runs the same operators over blocks of each file that overlap by what a window sees.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import numbered_by_ranges
+
+#: Rows of a file that one block holds, but for what it sees of its neighbours.
+BLOCK = 1 << 16
+
 
 def _by(key: str, order: str):
     return W.partitionBy(key).orderBy(order)
@@ -74,3 +82,22 @@ def first_crossing(rows: DataFrame, threshold: float, value: str, key: str = "ce
     """(key, crossing): the first cycle at which the value is at or below the threshold; null if none. Null keys are left out."""
     at = F.when((F.col(value) <= threshold) & ~F.isnan(value), F.col(cycle))
     return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(at).alias("crossing"))
+
+
+def in_blocks(seq: DataFrame, run: Callable[[DataFrame, str], DataFrame], before: int, after: int, key: str = "file", order: str = "ord", block: int = BLOCK) -> DataFrame:
+    """run(seq, key) for operators that see at most `before` rows back and `after` ahead of a row, with every file cut into blocks.
+
+    A block is given to run as a file of its own, under another key column that it must group by, and holds the rows
+    that its windows see of its neighbours; of its results those for its own rows stay. run must keep the columns of seq
+    and return a row for its own row only. Places are counted by ranges, so that no task holds a whole file.
+    """
+    if block <= max(before, after):
+        raise ValueError("a block is larger than what a row sees")
+    laid = numbered_by_ranges(seq, (key,), [order], "_place").withColumn("_place", F.col("_place") - 1)
+    own = F.floor(F.col("_place") / block).cast("long")
+    inside = F.col("_place") % block
+    copies = F.array(own, F.when(inside >= block - before, own + 1), F.when(inside < after, own - 1))
+    dealt = laid.withColumn("_own", own).withColumn("_block", F.explode(F.filter(copies, lambda b: b >= 0)))
+    dealt = dealt.withColumn("_key", F.struct(F.col(key).alias("key"), F.col("_block").alias("block")))
+    out = run(dealt, "_key")
+    return out.filter("_own = _block").drop("_place", "_own", "_block", "_key")

@@ -30,7 +30,7 @@ def _new_path(spark: SparkSession, name: str) -> str:
 CELLS = f"""ev AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n, CAST(CAST(value AS FLOAT) AS DOUBLE) AS top FROM events),
 ref AS (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 100 ELSE avg(top) FILTER (n <= 5 AND event_id % 17 <> 0) END AS reference FROM ev GROUP BY user_id),
 cy AS (SELECT ev.*, event_id % 13 <> 0 AS has_feature, CASE WHEN event_id % 17 <> 0 AND top / reference > 0 AND top / reference < 1.5 THEN top / reference END AS soh FROM ev JOIN ref USING (user_id)),
-er AS (SELECT user_id, string_agg('cycle ' || n || ': ' || w, '|' ORDER BY n) FILTER (pl <= 5) AS errors FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n) AS pl FROM (SELECT user_id, n, concat_ws(' and ', CASE WHEN n <= {LOOKBACK} AND NOT has_feature THEN 'no feature' END, CASE WHEN soh IS NULL THEN 'no label' END) AS w FROM cy) WHERE w <> '') GROUP BY user_id),
+er AS (SELECT user_id, {", ".join(f"string_agg('cycle ' || n || ': no {w}', '|' ORDER BY n) FILTER ({c} AND {c}_pl <= 5) AS {k}_errors" for k, w, c in (("feature", "feature", "no_f"), ("soh", "label", "no_l")))} FROM (SELECT user_id, n, no_f, no_l, sum(CAST(no_f AS INT)) OVER w AS no_f_pl, sum(CAST(no_l AS INT)) OVER w AS no_l_pl FROM (SELECT user_id, n, n <= {LOOKBACK} AND NOT has_feature AS no_f, soh IS NULL AS no_l FROM cy) WINDOW w AS (PARTITION BY user_id ORDER BY n)) GROUP BY user_id),
 rec AS (SELECT user_id, count(*) AS n_cycles, count(*) FILTER (n <= {LOOKBACK} AND has_feature) AS n_features, max(CASE WHEN n = {LOOKBACK} THEN soh END) AS origin_soh, count(soh) FILTER (n - {LOOKBACK} IN (5, 10, 40)) AS n_targets FROM cy GROUP BY user_id),
 rs AS (SELECT *, concat_ws('; ', CASE WHEN n_features < {LOOKBACK} THEN 'needs features of {LOOKBACK} cycles, has ' || n_features END, CASE WHEN origin_soh IS NULL THEN 'no label at cycle {LOOKBACK}' END, CASE WHEN n_targets = 0 THEN 'no label at any horizon' END) AS reason FROM rec)"""
 
@@ -52,10 +52,10 @@ def _records(read) -> DataFrame:
     return cells.fixed_origin_records(cell_table(read), LOOKBACK, [5, 10, 40], 8)
 
 
-@query(f"WITH {CELLS} SELECT 'MATR_b1c' || user_id || '.pkl' AS file, n_cycles, n_features, round(origin_soh, 6) AS origin_soh, n_targets, reason, CASE WHEN reason = '' THEN 'used' ELSE 'skipped' END AS status, coalesce(errors, '') AS errors FROM rs LEFT JOIN er USING (user_id)")
+@query(f"WITH {CELLS} SELECT 'MATR_b1c' || user_id || '.pkl' AS file, n_cycles, n_features, round(origin_soh, 6) AS origin_soh, n_targets, reason, CASE WHEN reason = '' THEN 'used' ELSE 'skipped' END AS status, coalesce(feature_errors, '') AS feature_errors, coalesce(soh_errors, '') AS soh_errors FROM rs LEFT JOIN er USING (user_id)")
 def fixed_origin_records(read):
     r = _records(read)
-    return r.select("file", "n_cycles", "n_features", "origin_soh", F.size("targets").alias("n_targets"), "reason", "status", F.array_join("errors", "|").alias("errors"))
+    return r.select("file", "n_cycles", "n_features", "origin_soh", F.size("targets").alias("n_targets"), "reason", "status", *(F.array_join(c, "|").alias(c) for c in ("feature_errors", "soh_errors")))
 
 
 @query(f"WITH {CELLS} SELECT n - {LOOKBACK} AS horizon, count(*) AS n FROM cy JOIN rs USING (user_id) WHERE reason = '' AND soh IS NOT NULL AND n - {LOOKBACK} IN (5, 10, 40) GROUP BY 1")
@@ -164,15 +164,14 @@ def normaliser_files(read):
 # --- splits of names -------------------------------------------------------------------------------
 
 
-def _nations(read) -> dict[str, str]:
-    """nation -> region: 25 at any size."""
-    met = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return {r.n_name: r.r_name for r in met.select("n_name", "r_name").orderBy("n_name").collect()}
+def _nations(read) -> DataFrame:
+    """(file, region): nations and their regions."""
+    return read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("file"), F.col("r_name").alias("region"))
 
 
-def _split_counts(read, assignment: dict[str, str]) -> DataFrame:
+def _split_counts(read, assignment: DataFrame) -> DataFrame:
     rows = read("nation").select(F.col("n_name").alias("file"), "n_regionkey")
-    return splits.assign(rows, assignment).groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("file").alias("n_files"), F.count_distinct("n_regionkey").alias("n_regions"))
+    return rows.join(assignment.select("file", "split"), "file").groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("file").alias("n_files"), F.count_distinct("n_regionkey").alias("n_regions"))
 
 
 def _sizes_sql(share: float) -> str:
@@ -182,23 +181,23 @@ def _sizes_sql(share: float) -> str:
 
 @query(f"WITH c AS (SELECT count(*) AS n FROM nation) SELECT split, n, n AS n_files FROM ({_sizes_sql(0.15)} FROM c)")
 def file_split(read):
-    return _split_counts(read, splits.by_file(list(_nations(read)), 42)).drop("n_regions")
+    return _split_counts(read, splits.random_split(_nations(read), "file", 42)).drop("n_regions")
 
 
 @query(f"WITH c AS (SELECT count(*) AS n FROM nation) SELECT split, n, n AS n_files FROM ({_sizes_sql(0.2)} FROM c)")
 def battery_split(read):
-    return _split_counts(read, splits.by_battery(list(_nations(read)), 42)).drop("n_regions")
+    return _split_counts(read, splits.battery_split(_nations(read), "file", 42)).drop("n_regions")
 
 
 @query(f"WITH c AS (SELECT count(DISTINCT n_regionkey) AS n FROM nation), e AS (SELECT count(*) / count(DISTINCT n_regionkey) AS each FROM nation) SELECT split, CAST(n * each AS BIGINT) AS n, CAST(n * each AS BIGINT) AS n_files, n AS n_regions FROM ({_sizes_sql(0.15)} FROM c), e")
 def condition_split(read):
     """Regions go whole, and all have equally many nations."""
-    return _split_counts(read, splits.by_condition(_nations(read), 42))
+    return _split_counts(read, splits.group_split(_nations(read), "file", "region", 42))
 
 
 @query("WITH c AS (SELECT count(*) AS n, count(*) FILTER (r_name = 'ASIA') AS own, count(DISTINCT n_regionkey) AS r FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT unnest(['train', 'val', 'test']) AS split, unnest([n - own, own // 2, own - own // 2]) AS n, unnest([n - own, own // 2, own - own // 2]) AS n_files, unnest([r - 1, 1, 1]) AS n_regions FROM c")
 def domain_split(read):
-    return _split_counts(read, splits.by_domain(_nations(read), 42, "asia"))
+    return _split_counts(read, splits.domain_split(_nations(read), "file", "region", 42, "asia"))
 
 
 @query("SELECT c_custkey, CASE WHEN n_regionkey = 1 THEN 'a' ELSE 'b' END AS part FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey IN (1, 3)")

@@ -7,7 +7,8 @@ import io
 import pickle
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import LEAST_POINTS, capacity_soh, features
@@ -58,7 +59,7 @@ def dataset_files(files: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
 class _Plain(pickle.Unpickler):
     """Reads containers, numbers, strings and numeric arrays only."""
 
-    ALLOWED = {("numpy", "ndarray"), ("numpy", "dtype"), ("numpy.core.multiarray", "_reconstruct"), ("numpy._core.multiarray", "_reconstruct"), ("numpy.core.multiarray", "scalar"), ("numpy._core.multiarray", "scalar"), ("_codecs", "encode")}
+    ALLOWED = {("numpy", "ndarray"), ("numpy", "dtype"), ("numpy.core.multiarray", "_reconstruct"), ("numpy._core.multiarray", "_reconstruct"), ("numpy.core.multiarray", "scalar"), ("numpy._core.multiarray", "scalar"), ("_codecs", "encode"), ("numpy.core.numeric", "_frombuffer"), ("numpy._core.numeric", "_frombuffer")}
 
     def find_class(self, module: str, name: str):
         if (module, name) in self.ALLOWED:
@@ -74,7 +75,8 @@ def read_plain(data: bytes) -> dict:
     return out
 
 
-def _row(name: str, cell: dict) -> tuple:
+def cell_row(name: str, cell: dict) -> tuple:
+    """CELL_FILE values of one unpickled cell; a missing id is the file's stem."""
     curve = lambda c, key: [float(x) for x in (c.get(key) if c.get(key) is not None else [])]
     cycles = [(None if c.get("cycle_number") is None else int(c["cycle_number"]), *(curve(c, k) for k in ("voltage_in_V", "current_in_A", "discharge_capacity_in_Ah"))) for c in cell.get("cycle_data") or []]
     nominal = cell.get("nominal_capacity_in_Ah")
@@ -89,7 +91,7 @@ def import_pickles(spark: SparkSession, root: str) -> DataFrame:
         import pandas as pd
 
         for frame in frames:
-            yield pd.DataFrame([_row(path.rpartition("/")[2], read_plain(content)) for path, content in zip(frame["path"], frame["content"], strict=True)], columns=CELL_FILE.names)
+            yield pd.DataFrame([cell_row(path.rpartition("/")[2], read_plain(content)) for path, content in zip(frame["path"], frame["content"], strict=True)], columns=CELL_FILE.names)
 
     return files.select("path", "content").mapInPandas(run, CELL_FILE)
 
@@ -107,27 +109,39 @@ def write_cells(cells: DataFrame, path: str) -> None:
 
 
 def fixed_origin_records(cells: DataFrame, lookback: int, horizons: list[int], length: int) -> DataFrame:
-    """One row per file for fixed-origin samples: file, cell_id, status, reason, n_features, origin_soh, targets (map horizon -> soh), n_cycles, errors.
+    """One row per file for fixed-origin samples: file, cell_id, status, reason, n_features, origin_soh, targets (map horizon -> soh), n_cycles, feature_errors, soh_errors.
 
-    Labels come from every cycle, features from cycles 1..lookback alone. A file is used if it has all
-    of those features, a label at the origin and one at a horizon; otherwise its reasons are listed.
-    errors holds the first ERRORS cycles, in their order, that gave no feature where one is needed, or no label.
+    Cycles are ordered by number, those without one last, and then counted from 1. Labels come from every
+    cycle, features from cycles 1..lookback alone; of cycles that share a number the last in order that has a
+    label counts. A file is used if it has all of those features, a label at the origin and one at a horizon;
+    otherwise its reasons are listed. Each list of errors holds the first ERRORS cycles, in their order, that
+    gave no feature where one is needed, or no label.
     """
     from ..functions.arrays import reference_capacity
 
-    rows = cells.select("file", F.coalesce("cell_id", F.regexp_extract("file", r"^(.*?)(\.[^.]*)?$", 1)).alias("cell_id"), "nominal_capacity_in_Ah", F.posexplode_outer("cycle_data").alias("position", "c"))
-    rows = rows.withColumn("reference", reference_capacity(F.col("nominal_capacity_in_Ah"), F.col("c.discharge_capacity_in_Ah"), F.col("position"), "file"))
-    number = F.coalesce("c.cycle_number", F.col("position") + 1)
+    horizons = sorted(set(horizons))
+    rows = cells.select("file", F.coalesce("cell_id", F.regexp_extract("file", r"^(.*?)(\.[^.]*)?$", 1)).alias("cell_id"), "nominal_capacity_in_Ah", F.size("cycle_data").alias("n"), F.posexplode_outer("cycle_data").alias("at", "c"))
+    order = W.partitionBy("file").orderBy(F.coalesce("c.cycle_number", "n"), "at")
+    rows = rows.withColumn("place", F.when(F.col("at").isNotNull(), F.row_number().over(order) - 1))
+    rows = rows.withColumn("reference", reference_capacity(F.col("nominal_capacity_in_Ah"), F.col("c.discharge_capacity_in_Ah"), F.col("place"), "file"))
+    number = F.coalesce("c.cycle_number", F.col("place") + 1)
     early = number.between(1, lookback)
     feature = F.when(early, features(F.col("c.voltage_in_V"), F.col("c.current_in_A"), length, order="IV"))
     soh = capacity_soh(F.col("c.discharge_capacity_in_Ah"), F.col("reference"))
-    rows = rows.select("file", "cell_id", "position", number.alias("number"), early.alias("early"), feature.isNotNull().alias("has_feature"), soh.alias("soh"))
-    wrong = F.concat_ws(" and ", F.when(F.col("early") & ~F.col("has_feature"), F.lit("no feature")), F.when(F.col("soh").isNull(), F.lit("no label")))
-    error = F.when(F.col("position").isNotNull() & (wrong != ""), F.struct(F.col("number"), F.concat(F.lit("cycle "), F.col("number").cast("string"), F.lit(": "), wrong).alias("text")))
-    errors = F.transform(F.slice(F.array_sort(F.collect_list(error)), 1, ERRORS), lambda e: e["text"])
-    wanted = F.array(*(F.lit(h) for h in horizons))
-    targets = F.map_from_entries(F.collect_list(F.when(F.array_contains(wanted, F.col("number") - lookback) & F.col("soh").isNotNull(), F.struct(F.col("number") - lookback, "soh"))))
-    out = rows.groupBy("file", "cell_id").agg(F.count_distinct(F.when(F.col("has_feature"), F.col("number"))).alias("n_features"), F.max(F.when(F.col("number") == lookback, F.col("soh"))).alias("origin_soh"), targets.alias("targets"), F.count("position").alias("n_cycles"), errors.alias("errors"))
+    rows = rows.select("file", "cell_id", "place", number.alias("number"), early.alias("early"), feature.isNotNull().alias("has_feature"), soh.alias("soh"))
+    there = F.col("place").isNotNull()
+
+    def first_wrong(test: Column, what: str) -> Column:
+        error = F.when(there & test, F.struct("place", F.concat(F.lit("cycle "), F.col("number").cast("string"), F.lit(f": {what}")).alias("text")))
+        return F.transform(F.slice(F.array_sort(F.collect_list(error)), 1, ERRORS), lambda e: e["text"])
+
+    label_at = lambda n: F.max_by("soh", F.when((F.col("number") == n) & F.col("soh").isNotNull(), F.col("place")))
+    out = rows.groupBy("file", "cell_id").agg(
+        F.count_distinct(F.when(F.col("has_feature"), F.col("number"))).alias("n_features"), label_at(lookback).alias("origin_soh"), *(label_at(lookback + h).alias(f"_{h}") for h in horizons), F.count("place").alias("n_cycles"),
+        first_wrong(F.col("early") & ~F.col("has_feature"), "no feature").alias("feature_errors"), first_wrong(F.col("soh").isNull(), "no label").alias("soh_errors"),
+    )
+    targets = F.map_filter(F.map_from_arrays(F.array(*(F.lit(h) for h in horizons)), F.array(*(F.col(f"_{h}") for h in horizons))), lambda _, v: v.isNotNull())
+    out = out.withColumn("targets", targets).drop(*(f"_{h}" for h in horizons))
     reasons = F.concat_ws("; ", F.when(F.col("n_features") < lookback, F.concat(F.lit(f"needs features of {lookback} cycles, has "), F.col("n_features").cast("string"))), F.when(F.col("origin_soh").isNull(), F.lit(f"no label at cycle {lookback}")), F.when(F.size("targets") == 0, F.lit("no label at any horizon")))
     return out.withColumn("reason", reasons).withColumn("status", F.when(reasons == "", "used").otherwise("skipped"))
 

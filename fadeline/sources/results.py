@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import parent_of
 from ..schemas import METRICS
+from .tables import read_tables
 
 METRIC_FILE, SIDECAR = "model_comparison_metrics.csv", "split_info.json"
 
@@ -19,7 +20,7 @@ def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def csv_columns(spark: SparkSession, path: str) -> list[str]:
-    """The header alone."""
+    """The header of one file alone; `tables.headers` reads those of many, in parallel."""
     return spark.read.option("header", True).csv(path).columns
 
 
@@ -28,17 +29,12 @@ def keyed_strings(spark: SparkSession, path: str, key: str = "model") -> dict[st
     return {r[key]: r.asDict() for r in spark.read.option("header", True).csv(path).coalesce(1).collect()}
 
 
-def find_metrics(spark: SparkSession, roots: list[str], exclude: str | None = None) -> DataFrame:
+def find_metrics(spark: SparkSession, roots: list[str], exclude: str | None = None, name: str = METRIC_FILE) -> DataFrame:
     """Metric rows below the roots with path and folder, in order of path; files below `exclude` are left out. Columns that a file lacks are null.
 
-    A root that is given twice, or lies below another, counts once.
+    A root that is given twice, or lies below another, counts once. `extras` holds further columns as text.
     """
-    tidy = sorted({r.rstrip("/") for r in roots})
-    roots = [r for r in tidy if not any(r.startswith(other + "/") for other in tidy)]
-    reader = spark.read.option("header", True).option("recursiveFileLookup", "true").option("pathGlobFilter", METRIC_FILE).option("enforceSchema", "false")
-    rows = reader.schema(METRICS).csv(roots).select("*", F.col("_metadata.file_path").alias("path"))
-    if exclude:
-        rows = rows.filter(~F.contains("path", F.lit(exclude.rstrip("/") + "/")))
+    rows = read_tables(spark, roots, METRICS, name, exclude)
     return rows.withColumn("folder", parent_of(F.col("path"))).orderBy("path")
 
 
