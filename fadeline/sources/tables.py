@@ -80,7 +80,7 @@ def read_tables(spark: SparkSession, roots: Iterable[str], known: T.StructType,
     for header, paths in groups.collect():
         # columns by place: names may clash in case, repeat or be empty
         own = T.StructType([T.StructField(f"c{k}", types.get(c, T.StringType())) for k, c in enumerate(header)])
-        rows = spark.read.schema(own).option("header", True).csv([_plain(p) for p in paths])
+        rows = spark.read.schema(own).option("header", True).option("multiLine", any("\n" in c or "\r" in c for c in header)).csv([_plain(p) for p in paths])
         place = {c: k for k, c in reversed(list(enumerate(header)))}
         others = {c: k for k, c in enumerate(header) if c not in types}
         extras = F.map_from_arrays(F.array(*map(F.lit, others)), F.array(*(F.col(f"c{k}") for k in others.values()))) if others else F.create_map().cast("map<string,string>")
