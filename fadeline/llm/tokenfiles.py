@@ -32,15 +32,17 @@ END_ID = 2
 PART_BYTES, FILE_IDS, FILE_DOCS = 64 << 20, 1 << 28, 1 << 20
 #: Bytes of ids that a reader or writer holds at a time; a longer document is held whole.
 STEP_BYTES = 8 << 20
-#: Pieces of text whose ids a worker remembers, those of the generation before not counted; words that the library sees in one call.
-MEMO_PIECES, TOGETHER = 300_000, 4096
+#: Bytes of text that are encoded together.
+TEXT_BYTES = 2 << 20
+#: Words whose ids a worker remembers, those of the generation before not counted; words that the library sees in one call.
+MEMO_WORDS, TOGETHER = 250_000, 4096
 
 #: Fixed value: the word pattern of lower-cased word BPE files. No match of it holds white space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-_LETTER, _DIGIT, _MARK, _ODD, _LINE = range(5)
+_LETTER, _DIGIT, _MARK, _ODD, _SPACE = range(5)
 #: Classes of bytes in pieces that part into words as WORD_PATTERN says: letters of ASCII and Latin-1 (led by 0xC3), digits, marks. Others are odd.
-_CLASS = np.array([_LETTER if chr(b).isalpha() and b < 128 or b == 0xC3 else _DIGIT if 48 <= b <= 57 else _LINE if b == 10 else _MARK if 33 <= b < 127 and chr(b) not in "'<>|" else _ODD for b in range(256)], np.uint8)
+_CLASS = np.array([_SPACE if b in b" \t\n\v\f\r" else _LETTER if chr(b).isalpha() and b < 128 or b == 0xC3 else _DIGIT if 48 <= b <= 57 else _MARK if 33 <= b < 127 and chr(b) not in "'<>|" else _ODD for b in range(256)], np.uint8)
 
 MANIFEST = "part int, number int, file string, n_docs long, n_ids long"
 
@@ -55,38 +57,43 @@ def parts_at_space(spec: dict) -> bool:
     return split and then and plain and not any(set(t["content"]) & set(" \t\n\r\v\f") for t in spec.get("added_tokens", []))
 
 
-def _classes(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of the pieces, a line each, classes of the bytes)."""
-    data = np.frombuffer(b"\n".join(pieces), np.uint8)
+def _classes(data: np.ndarray) -> np.ndarray:
     kind = _CLASS[data]
     led = np.flatnonzero(data[:-1] == 0xC3) + 1
     kind[led] = np.where((data[led] != 0x97) & (data[led] != 0xB7), _LETTER, _ODD)
-    return data, kind
+    return kind
 
 
-def odd_ones(pieces: list[bytes]) -> np.ndarray:
-    """Which pieces hold other bytes than words_of takes."""
-    out = np.zeros(len(pieces), bool)
-    data, kind = _classes(pieces)
-    out[np.searchsorted(np.flatnonzero(data == 10), np.flatnonzero(kind == _ODD))] = True
-    return out
+def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The words of texts end to end, in small letters, and how many each text has: runs of letters, single digits, runs of marks.
 
-
-def words_of(pieces: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """The words of pieces end to end, in small letters, and how many each piece has: runs of letters, single digits, runs of marks."""
-    data, kind = _classes([p for p in b"\n".join(pieces).decode().lower().encode().split(b"\n") if p])
-    inside = (kind[1:] != _LINE) & (kind[:-1] != _LINE)
+    A piece between white space that holds an odd byte stays one word, as it is.
+    """
+    data = np.frombuffer(b"\n".join(texts), np.uint8)
+    kind = _classes(data)
+    begins = kind != _SPACE
+    begins[1:] &= kind[:-1] == _SPACE
+    plain = np.ones(len(data), bool)
+    if len(odd := np.flatnonzero(kind == _ODD)):
+        piece = np.cumsum(begins, dtype=np.int32)
+        bad = np.zeros(int(piece[-1]) + 1, bool)
+        bad[piece[odd]] = True
+        plain = ~bad[piece]
+    inside = (kind[1:] != _SPACE) & (kind[:-1] != _SPACE) & plain[1:]
     cuts = np.flatnonzero(inside & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))) + 1
-    counts = np.ones(len(pieces), np.int64)
-    np.add.at(counts, np.searchsorted(np.flatnonzero(kind == _LINE), cuts), 1)
-    return np.insert(data, cuts, 32).tobytes().split(), counts
+    large = (data >= 65) & (data <= 90)
+    large[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)
+    small = data + ((large & plain).view(np.uint8) << 5)
+    begins[cuts] = True
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    counts = np.diff(np.searchsorted(np.flatnonzero(begins), ends), prepend=0)
+    return np.insert(small, cuts, 32).tobytes().split(), counts
 
 
 class Encoder:
     """Texts -> their ids as bytes, by the tokenizers library, added tokens found in a text included, none put around it.
 
-    Where the file allows, the library sees each different piece between white space once. Plain pieces part into words
-    that many share, which it sees many in one call: it marks where each ends.
+    Where the file allows, the library sees each different word once, plain ones many in one call: it marks where each ends.
     """
 
     def __init__(self, path: str) -> None:
@@ -96,50 +103,50 @@ class Encoder:
             spec = json.load(f)
         self.own = Tokenizer.from_file(path)
         self.kind = id_type(spec)
-        self.by_piece = parts_at_space(spec)
+        self.by_word = parts_at_space(spec)
         self.ends = np.zeros(max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))]) + 1, bool)
         if suffix := spec["model"].get("end_of_word_suffix"):
             self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
-        self.words: dict[bytes, bytes] = {}
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def _ids(self, text: bytes) -> np.ndarray:
         return np.array(self.own.encode(text.decode(), add_special_tokens=False).ids, self.kind)
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Remember the ids of pieces that are not yet known."""
-        odd = odd_ones(pieces)
-        for piece in itertools.compress(pieces, odd):
-            self.young[piece] = self._ids(piece).tobytes()
-        plain = list(itertools.compress(pieces, ~odd))
-        words, counts = words_of(plain)
-        new = list(set(words) - self.words.keys())
-        for at in range(0, len(new), TOGETHER):
-            ids = self._ids(b" ".join(new[at : at + TOGETHER]))
-            last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            data, size = ids.tobytes(), ids.itemsize
-            self.words.update((w, data[a * size : b * size]) for w, a, b in zip(new[at : at + TOGETHER], [0, *last[:-1]], last, strict=True))
-        own = list(map(self.words.__getitem__, words))
-        data, ends = b"".join(own), np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
-        ends = ends[np.cumsum(counts) - 1].tolist()
-        self.young.update((p, data[a:b]) for p, a, b in zip(plain, [0, *ends[:-1]], ends, strict=False))
-        if len(self.words) >= MEMO_PIECES:
-            self.words.clear()
+    def _learn(self, words: list[bytes]) -> None:
+        """Remember the ids of words that are not yet known."""
+        size = self.kind.itemsize
+        for at in range(0, len(words), TOGETHER):
+            own = words[at : at + TOGETHER]
+            line = np.frombuffer(b"\n".join(own), np.uint8)
+            odd = np.zeros(len(own), bool)
+            odd[np.searchsorted(np.flatnonzero(line == 10), np.flatnonzero(_classes(line) == _ODD))] = True
+            self.young.update((w, self._ids(w).tobytes()) for w in itertools.compress(own, odd))
+            own = list(itertools.compress(own, ~odd))
+            ids = self._ids(b" ".join(own))
+            last, data = (np.flatnonzero(self.ends[ids]) + 1).tolist(), ids.tobytes()
+            self.young.update((w, data[a * size : b * size]) for w, a, b in zip(own, [0, *last[:-1]], last, strict=len(own) > 0))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if not self.by_piece:
+        if not self.by_word:
             return [self._ids(t).tobytes() for t in texts]
-        split = [t.split() for t in texts]
-        new = set(itertools.chain.from_iterable(split)) - self.young.keys()
-        known = new & self.old.keys()
-        self.young.update((p, self.old[p]) for p in known)
-        self._learn(list(new - known))
-        out = [b"".join(map(self.young.__getitem__, words)) for words in split]
-        if len(self.young) >= MEMO_PIECES:  # what is used stays for as many pieces again
-            self.old = {p: i for p, i in self.young.items() if len(p) <= 64}
+        words, counts = words_of(texts)
+        own = list(map(self.young.get, words, itertools.repeat(b"")))
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        if missing := np.flatnonzero(sizes == 0).tolist():
+            new = {words[k] for k in missing} - self.young.keys()
+            known = new & self.old.keys()
+            self.young.update((w, self.old[w]) for w in known)
+            self._learn(list(new - known))
+            for k in missing:
+                own[k] = self.young[words[k]]
+                sizes[k] = len(own[k])
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        data = b"".join(own)
+        if len(self.young) >= MEMO_WORDS:  # what is used stays for as many words again
+            self.old = {w: i for w, i in self.young.items() if len(w) <= 64}
             self.young = {}
-        return out
+        return [data[a:b] for a, b in itertools.pairwise(ends)]
 
 
 def id_type(spec: dict) -> np.dtype:
@@ -163,7 +170,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str =
         end = np.array([end_id], encode.kind).tobytes()
         for batch in batches:
             docs = column(batch, "doc_id")
-            for at, texts in steps(texts_of(batch), STEP_BYTES):
+            for at, texts in steps(texts_of(batch), TEXT_BYTES):
                 ids = [own + end for own in encode(texts)]
                 columns = [pa.array(docs[at : at + len(ids)], pa.int64()), pa.array(np.arange(place, place + len(ids))), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "ids"])
