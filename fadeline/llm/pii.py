@@ -18,8 +18,8 @@ from .common import discard, materialise, row_key
 KINDS = ("email", "ip", "card", "phone")
 #: Marks of the contexts: two words before, one before, one after.
 CONTEXTS = ("2<", "1<", "1>")
-#: Code points at either side of a span that its contexts are read from. A word that is not whole in them is no context.
-CONTEXT = 256
+#: Code points at either side of a span that its contexts are first read from, and then, where a word is not whole in them, from more, at last from all.
+CONTEXT = (256, 4096, 65536)
 #: Rounds of scoring; what a pattern needs to count: distinct known instances of one kind, and their share of the known.
 ROUNDS, LEAST_SEEDS, LEAST_SCORE = 3, 5, 0.9
 
@@ -33,8 +33,12 @@ EXPRESSIONS = {
     "card": r"(?>[0-9](?:[\x20-]?[0-9]){11})(?>(?:[\x20-]?[0-9]){1,500})*",  # 12 digits or more: shorter ones fail anyway
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What may be an identifier of another form: a whole run of letters, digits and . / - that holds six digits or more.
-IDENTIFIER = r"(?<![A-Za-z0-9./-])(?=(?:[A-Za-z./-]*+[0-9]){6})[A-Za-z0-9./-]++"
+#: What may be an identifier of another form: a spelt address (one at two dot three), or a whole run of letters, digits and . / - that holds three digits or two parts with a dot between.
+_AT, _DOT = (rf"(?:\s?[\[(]{w}[\])]\s?|\s{w}\s)" for w in ("at", "dot"))
+IDENTIFIER = (
+    rf"(?<![A-Za-z0-9./-])(?i:{_LOCAL}++{_AT}{_LABEL}++(?>(?:{_DOT}{_LABEL}++){{1,500}})+"
+    r"|(?=(?:[A-Za-z./-]*+[0-9]){3})[A-Za-z0-9./-]++|(?=[A-Za-z0-9-]++\.[A-Za-z0-9-])(?=[0-9.-]*+[A-Za-z])[A-Za-z0-9.-]++(?!/))"
+)
 #: What a text must hold for its expression to be tried.
 _NEEDS = {"email": "@", "phone": "+"}
 
@@ -62,7 +66,7 @@ def _spans(text: Column, kind: str, expression: str) -> Column:
         own = lambda end, value: F.struct((end - F.length(value)).alias("start"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value"))
         return F.when(F.size(found) > 0, F.zip_with(_scan(lengths, lambda a, b: a + b), found, own)).otherwise(F.expr(EMPTY))
 
-    needed = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike("[0-9]")
+    needed = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike("[0-9]" if kind else r"[0-9]|[A-Za-z]\.[A-Za-z]|(?i:\bdot\b)")
     return F.when(needed, let(F.regexp_extract_all(text, F.lit(expression), F.lit(0)), placed)).otherwise(F.expr(EMPTY))
 
 
@@ -130,19 +134,34 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _contexts(part, start: Column, end: Column) -> Column:
+def _contexts(text: Column, part, start: Column, end: Column) -> Column:
     """The two words before a span, the one before and the one after, as far as there are any; folded: lower case, digits as 0.
 
     Words are runs without white space, so that punctuation is part of a context.
     """
     fold = lambda c: F.lower(F.translate(c, "123456789", "000000000"))
-    far = F.lit(CONTEXT)
-    before = F.when(start > far, part(start - far, start)).otherwise(F.concat(F.lit(" "), part(F.lit(0), start)))
-    after = let(part(end, end + far), lambda c: F.when(F.length(c) < far, F.concat(c, F.lit(" "))).otherwise(c))
+    two_before, one_before, one_after = r"(?<=\s)(\S++\s++\S++)\s*+$", r"(?<=\s)(\S++)\s*+$", r"^\s*+(\S++)(?=\s)"
+
+    def grown(take, whole, sizes: tuple[int, ...] = CONTEXT) -> Column:
+        """What take gives for the first of the sizes that holds the words whole, or for none: all there is. Only what stands beside long words is read again."""
+        if not sizes:
+            return take(None)
+        return let(take(sizes[0]), lambda c: F.when(whole(c, sizes[0]), c).otherwise(grown(take, whole, sizes[1:])))
+
+    def left(size: int | None) -> Column:
+        all_ = F.concat(F.lit(" "), part(F.lit(0), start))
+        return all_ if size is None else F.when(start > size, part(start - size, start)).otherwise(all_)
+
+    def right(size: int | None) -> Column:
+        all_ = F.concat(part(end, F.length(text)), F.lit(" "))
+        return all_ if size is None else F.when(end + size < F.length(text), part(end, end + size)).otherwise(all_)
+
+    before = grown(left, lambda c, size: (start <= size) | c.rlike(two_before))
+    after = grown(right, lambda c, size: (end + size >= F.length(text)) | c.rlike(one_after))
 
     def found(before: Column, after: Column) -> Column:
-        two = F.regexp_replace(F.regexp_extract(before, r"(?<=\s)(\S++\s++\S++)\s*+$", 1), r"\s+", " ")
-        words = F.array(two, F.regexp_extract(before, r"(?<=\s)(\S++)\s*+$", 1), F.regexp_extract(after, r"^\s*+(\S++)(?=\s)", 1))
+        two = F.regexp_replace(F.regexp_extract(before, two_before, 1), r"\s+", " ")
+        words = F.array(two, F.regexp_extract(before, one_before, 1), F.regexp_extract(after, one_after, 1))
         marked = F.transform(words, lambda w, k: F.when(w != "", F.concat(F.element_at(F.array(*map(F.lit, CONTEXTS)), k + 1), w)))
         return F.filter(marked, lambda p: p.isNotNull())
 
@@ -208,7 +227,7 @@ def _candidates() -> Column:
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def slim(column: Column, kind, part) -> Column:
-        one = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind(s).alias("kind"), F.lower(s["value"]).alias("value"), _contexts(part, s["start"], s["end"]).alias("patterns"))
+        one = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind(s).alias("kind"), F.lower(s["value"]).alias("value"), _contexts(text, part, s["start"], s["end"]).alias("patterns"))
         return F.transform(column, one)
 
     own = _chunked(text, lambda part: F.concat(slim(F.col("base"), lambda s: s["kind"], part), slim(F.col("others"), lambda s: F.lit(None).cast("string"), part)))
