@@ -12,6 +12,7 @@ import re
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import MEMO_WORDS, column, frugal, mix, row_key, steps, texts_of
@@ -19,8 +20,8 @@ from .ftrl import Ftrl, sigmoid
 
 #: Hash space of the features; feature 0 is the bias.
 SIZE = 1 << 18
-#: Most labelled rows that training reads, in a fixed pseudo-random order of doc_id.
-SAMPLE = 8192
+#: Most labelled rows that training reads, in a fixed pseudo-random order of doc_id, and the bytes of text after which it reads no further row.
+SAMPLE, SAMPLE_BYTES = 8192, 64 << 20
 EPOCHS, SCALE, THRESHOLD = 3, 6.0, 0.3
 #: (stream, n) of the n-grams; streams: 0 words, 1 shapes.
 GRAMS = ((0, 1), (0, 2), (1, 1), (1, 2), (1, 3))
@@ -92,11 +93,12 @@ def scores(texts: list[bytes], weights: np.ndarray, memo: dict) -> np.ndarray:
     return sigmoid(total)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """(doc_id, text, label) of at most `most` labelled training rows: crc32(doc_id as text) mod 5 is not 0.
 
     Rows without a label, or with a null one, are not drawn; of conflicting labels the larger counts, and of
-    rows that share a doc_id the one whose text has the least hash.
+    rows that share a doc_id the one whose text has the least hash. Rows are taken whole, in a fixed order, until
+    their texts have `most_bytes`: one task, which learns from them, holds no more than that and one text.
     """
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
     chosen = chosen.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -104,7 +106,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int =
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     met = own.join(F.broadcast(chosen), "doc_id")  # at most `most` pairs of numbers
     one = met.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
-    return one.select("doc_id", "least.text", "label")
+    order = W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.octet_length("text")).over(order), F.lit(0))
+    return one.select("doc_id", "least.text", "label").withColumn("before", before).filter(F.col("before") < most_bytes).drop("before")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> np.ndarray:
