@@ -223,15 +223,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs less all but one of each near-duplicate group; the smallest doc_id stays.
 
-    Of rows that share that doc_id too, the one with the smallest text_key stays, and of wholly
-    repeated rows one. Keeps the columns of docs.
+    Of rows that share that doc_id too, the one with the smallest text_key stays; of those that share the text as
+    well, the one whose columns, as JSON, have the smallest hash, and of wholly repeated rows one. Keeps the
+    columns of docs.
     """
     groups = materialise(near_duplicates(docs), "near-duplicates")
     best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))
     best = best.select(F.col("best.doc_id").alias("keep_id"), F.col("best.text_key").alias("keep_key")).distinct()
     kept = carried(docs).join(best, F.expr("id <=> keep_id and key = keep_key"), "left_semi")
     again = groups.groupBy("doc_id", "text_key").count().filter("count > 1")
-    return restored(kept if again.isEmpty() else kept.dropDuplicates(["id", "key"]), docs)
+    if not again.isEmpty():
+        kept = materialise(kept.withColumn("order", F.sha2(F.to_json("doc"), 256)), "kept")
+        least = materialise(kept.groupBy(F.col("id").alias("least_id"), F.col("key").alias("least_key")).agg(F.min("order").alias("least")), "least-of-rows")
+        kept = kept.join(least, F.expr("id <=> least_id and key = least_key and `order` = least"), "left_semi").dropDuplicates(["id", "key"])  # rows equal in all columns
+    return restored(kept, docs)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

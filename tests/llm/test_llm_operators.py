@@ -509,6 +509,23 @@ def test_unseen_identifiers_do_not_count_against_a_cue(spark):
     assert got[200] == ["phone"] and got[201] == ["phone"] and got[202] == []
 
 
+def test_cues_of_any_length_and_identifiers_of_any_shape(spark):
+    """A cue word of 304 characters, one of 70,000; after cues of e-mail what has few digits or none; the same shapes without a cue stay."""
+    long, huge = "q" * 304, "z" * 70_000
+    rows = [(k, f"see x{long} {long} +1 555 0{k * 7919 % 1_000_000:06d} end") for k in range(20)] + [(50, f"see x{long} {long} 555-01234 end")]
+    rows += [(60 + k, f"a {huge} +44 20 7946 0{k:03d}") for k in range(6)] + [(70, f"b {huge} 7946-55501")]
+    rows += [(100 + k, f"w{chr(97 + k)}x write to: name{chr(97 + k)}@mail.net soon{chr(97 + k)}") for k in range(20)]
+    shapes = ["user.mail.net", "jane at mail dot net", "jane.b [at] mail(dot)net", "u12345"]
+    rows += [(200 + k, f"then write to: {v} now") for k, v in enumerate(shapes)] + [(300 + k, f"and then {v} now") for k, v in enumerate(shapes)]
+    rows += [(400, "write to: nobody at all"), (401, "write to: 3.5 now")]
+    texts = dict(rows)
+    got = {r.doc_id: [(texts[r.doc_id][s.start : s.end], s.kind) for s in r.spans] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[50] == [("555-01234", "phone")] and got[70] == [("7946-55501", "phone")]
+    for k, v in enumerate(shapes):
+        assert got[200 + k] == [(v, "email")] and got[300 + k] == []
+    assert got[400] == [] and got[401] == []
+
+
 def test_a_text_with_very_many_spans(spark):
     text = " ".join(f"{k % 250}.{k % 7}.{k % 9}.1 é{k:07d}" for k in range(12_000))
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
@@ -624,6 +641,22 @@ def test_quality_sample_is_8192_rows(spark):
     assert quality.labelled_sample(docs, docs.select("doc_id", F.lit(1).alias("quality")), "quality").count() == 8192
 
 
+def test_labelled_sample_holds_its_bound_of_bytes(spark):
+    docs = spark.createDataFrame([(k, "wort " * 400) for k in range(300)], "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    whole = [r.doc_id for r in quality.labelled_sample(docs, labels, "quality").collect()]
+    few = [(r.doc_id, len(r.text)) for r in quality.labelled_sample(docs, labels, "quality", most_bytes=9_000).collect()]
+    assert len(whole) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(300)) and few == [(d, 2000) for d in whole[:5]]
+    assert len(quality.labelled_sample(docs, labels, "quality", most_bytes=1).collect()) == 1
+
+
+def test_one_row_stays_of_rows_that_differ_in_other_columns(spark):
+    rows = [(1, "the same text of six words", lang, src) for lang in ("en", "de", None) for src in ("a", "b")] * 2 + [(2, "the same text of six words", "en", "a"), (None, None, "x", "y"), (None, None, "x", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = [sorted(map(tuple, simhash.keep_one(d).collect()), key=repr) for d in (docs.repartition(1), docs.repartition(6), docs.orderBy(F.desc("lang"), "source"))]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2
+
+
 def test_labelled_sample_holds_its_bound_for_repeated_ids(spark):
     docs = spark.createDataFrame([(k % 40, f"text {k % 120}") for k in range(1200)], "doc_id long, text string")
     labels = spark.range(40).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
