@@ -239,3 +239,8 @@ def check_gap(policy: str, gap: int, lookbacks: list[int]) -> None:
     ok = {"search": gap >= most - 1, "experiments": gap >= most, "audit": gap >= 20 and most <= 20}[policy]
     if not ok:
         raise ValueError(f"gap {gap} is too small for look-back {most} under the {policy} policy")
+
+
+def gap_fits(policy: str, gap: Column, lookback: Column) -> Column:
+    """check_gap of columns: whether a gap fits a look-back under the policy."""
+    return {"search": gap >= lookback - 1, "experiments": gap >= lookback, "audit": (gap >= 20) & (lookback <= 20)}[policy]

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from .. import artefacts, sinks
 from ..functions import arrays
-from ..operators import anomaly, isolation, positions, splits, state, windows
-from ..sources import cellsource, configs, results, tables
-from . import experiments, rungs, training
+from ..operators import anomaly, isolation, normalize, positions, ranking, splits, state, windows
+from ..sources import cells, cellsource, configs, results, tables
+from . import experiments, reports, rungs, training
 from .queries import HORIZON, LOOKBACK, SEQ, TRIALS, query, sequence, trials
 from .source_queries import CELLS, _new_path, cell_table
 
@@ -171,8 +171,6 @@ def merged_rollup(read):
 @query("SELECT 'acctbal' AS channel, round(avg(s_acctbal), 6) AS mean, round(stddev_pop(s_acctbal) + 1e-8, 6) AS std, (SELECT count(*) FROM supplier WHERE s_suppkey % 3 = 0) AS n_keys, 20 AS lookback, 2 AS version, 0 AS damaged FROM supplier WHERE s_suppkey % 3 = 0")
 def artefact_versions(read):
     """Constants, keys and a document published twice; the newest version is read, whole."""
-    from ..operators import normalize
-
     s = read("supplier").select("s_suppkey", F.array("s_acctbal").alias("acctbal"))
     spark = s.sparkSession
     path = _new_path(spark, "artefact")
@@ -298,3 +296,145 @@ def mlp_latent_flags(read):
     score = isolation.latent_score(reference, "hidden", ["sample_id"], trees=50)
     reference, own = (t.withColumn("latent", score(F.col("hidden"))) for t in (reference, own))
     return anomaly.anomaly_flags(own, reference, latent="latent").select("cell_id", "target_cycle", "anomaly_score", "is_anomaly")
+
+
+_GRID = "e AS (SELECT s, t, avg(abs(target - (soh * s / 4.0 + before * t / 4.0))) AS error FROM b, range(5) x(s), range(5) y(t) WHERE before IS NOT NULL AND target IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"""WITH {_LAGS}, {_GRID}, one AS (SELECT 0 AS stage, s AS trial, error, s, 0 AS t FROM e WHERE t = 0), o AS (SELECT s FROM one ORDER BY error, trial LIMIT 1), two AS (SELECT 1 AS stage, t AS trial, error, e.s, t FROM e, o WHERE e.s = o.s),
+every AS (SELECT * FROM one UNION ALL SELECT * FROM two), r AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY error, trial) AS pl FROM every) SELECT stage::BIGINT AS stage, trial::BIGINT AS trial, round(error, 6) AS error, pl = 1 AS is_best, (s / 4.0)::DOUBLE AS a, (t / 4.0)::DOUBLE AS c FROM r""")
+def staged_search(read):
+    """Coordinate search over two weights, a pass per stage."""
+    w = W.partitionBy("file").orderBy("ord")
+    s = sequence(read).select("soh", F.lag("soh").over(w).alias("before"), F.lead("soh").over(w).alias("target"))
+    error = lambda p: F.abs(F.col("target") - (F.col("soh") * p("a") + F.col("before") * p("c")))
+    steps = [k / 4 for k in range(5)]
+    return rungs.staged(s.dropna(), {"a": 0.0, "c": 0.0}, [{"a": steps}, {"c": steps}], error)[1]
+
+
+@query(f"""WITH {_LAGS}, e AS (SELECT t.k AS trial, rung, avg(abs(target - (soh * t.k / 8 + before * (1 - t.k / 8)))) AS error, avg(abs(target - soh)) AS base FROM b, range(16) t(k) WHERE before IS NOT NULL AND target IS NOT NULL GROUP BY ALL),
+m AS (SELECT trial, avg(error) AS mean, stddev_samp(error) AS std, avg(base - error) AS gain FROM e GROUP BY 1), c AS (SELECT *, mean + std + CASE WHEN gain < 0 THEN 2 * abs(gain) ELSE 0 END AS score FROM m)
+SELECT trial, round(mean, 6) AS mean, round(std, 6) AS std, round(gain, 6) AS gain, round(score, 6) AS score, row_number() OVER (ORDER BY gain > 0 DESC, score, trial) AS place FROM c""")
+def confirmed_candidates(read):
+    """Sixteen weights over five groups of sequences in one pass."""
+    w = W.partitionBy("file").orderBy("ord")
+    s = sequence(read).select((F.col("file") % 5).alias("rung"), "soh", F.lag("soh").over(w).alias("before"), F.lead("soh").over(w).alias("target")).dropna()
+    error = lambda p: F.abs(F.col("target") - (F.col("soh") * p("a") + F.col("before") * (1 - p("a"))))
+    return rungs.confirmed(s, "rung", [{"a": a} for a in ALPHAS], error, F.abs(F.col("target") - F.col("soh")), weight=1.0, penalty=2.0)
+
+
+@query(None)
+def mlp_by_seed_and_horizon(read):
+    """Metrics of one flat MLP per seed and horizon."""
+    parts = []
+    for h in (HORIZON, 2 * HORIZON):
+        s = windows.sliding_samples(sequence(read), 8, h, history=("soh",))
+        current, target = F.col("soh") / 100, F.col("target") / 100
+        parts.append(s.select((F.col("file") * 1_000_000 + F.col("input_end_cycle")).alias("sample_id"), F.lit(h).alias("horizon"), F.transform("history_soh", lambda v: v / 100).alias("x"), (current - target).alias("y"), (F.col("file") % 5 == 0).alias("is_val"), current.alias("current"), target.alias("target")))
+    runs = [{"seed": s, "horizon": h} for s in (1, 2) for h in (HORIZON, 2 * HORIZON)]
+    return training.train_and_evaluate(parts[0].unionByName(parts[1]), runs, training.Net(8, 8), epochs=2, lr=0.01, huber_delta=None)
+
+
+# --- texts, files and plans of any size ----------------------------------------------------------------
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) AS place, 'python run.py --models ' || CASE WHEN regexp_matches(o_orderpriority, '^[A-Za-z0-9_./:=-]+$') THEN o_orderpriority ELSE '''' || o_orderpriority || '''' END || ' --seed ' || o_orderkey || CASE WHEN o_custkey % 2 = 0 THEN ' --zero-output-init' ELSE '' END || CASE WHEN o_custkey % 3 = 0 THEN ' --horizons ''1,' || o_custkey || '''' ELSE '' END AS line FROM orders")
+def command_lines(read):
+    """A command for every order, in the order of keys, written to text files and read back."""
+    o = read("orders").select(F.col("o_orderpriority").alias("model"), F.col("o_orderkey").alias("seed"), (F.col("o_custkey") % 2 == 0).alias("zero"), F.when(F.col("o_custkey") % 3 == 0, F.array(F.lit(1).cast("long"), "o_custkey")).alias("horizons"))
+    lines = reports.command_lines(o, ["python", "run.py"], {"models": "model", "seed": "seed", "zero_output_init": "zero", "horizons": "horizons"}, [F.col("seed")])
+    path = _new_path(o.sparkSession, "commands")
+    sinks.write_lines(lines, path)
+    return positions.as_read(o.sparkSession.read.text(path)).select((F.col("position") + 1).alias("place"), F.col("value").alias("line"))
+
+
+@query("SELECT CAST(-1 AS BIGINT) AS place, '| p_partkey | p_name | size |' AS line UNION ALL SELECT 0, '|---|---|---|' UNION ALL SELECT row_number() OVER (ORDER BY p_partkey), '| ' || p_partkey || ' | ' || p_name || ' | ' || CASE WHEN p_size % 2 = 0 THEN CAST(p_size // 2 AS VARCHAR) ELSE (p_size // 2) || '.5' END || ' |' FROM part")
+def markdown_table_lines(read):
+    """A Markdown table of every part."""
+    p = read("part").select("p_partkey", "p_name", (F.col("p_size") / 2).alias("size"))
+    return sinks.markdown_lines(p, ["p_partkey", "p_name", "absent", "size"], [F.col("p_partkey")])
+
+
+@query(f"""WITH {TRIALS}, m AS (SELECT 'm' || model || '-' || horizon AS model, avg(mae) AS mae FROM trials GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY mae, model) AS rank FROM m)
+SELECT unnest([-9, -8, -7, -6, -4, -3, -2, -1, 0])::BIGINT AS place, unnest(['# Model selection', '', '## Selected', '', '', '## Ranking', '', '| rank | model |', '|---|---|']) AS line UNION ALL SELECT -5, '`' || model || '` is selected by least error.' FROM r WHERE rank = 1 UNION ALL SELECT rank, '| ' || rank || ' | ' || model || ' |' FROM r""")
+def selection_report_lines(read):
+    """The selection report of all models and years."""
+    t = trials(read).groupBy(F.concat(F.lit("m"), F.col("model").cast("string"), F.lit("-"), F.col("horizon").cast("string")).alias("model")).agg(F.avg("mae").alias("mae"))
+    ranked = positions.ordered(t, "mae", "model", name="rank").withColumn("rank", F.col("rank") + 1)
+    return reports.selection_lines(ranked, "least error", ["rank", "model"])
+
+
+@query("SELECT p_partkey, 'brand: ' || CASE WHEN regexp_matches(p_brand, '^[A-Za-z_./][A-Za-z0-9_./ -]*$') THEN p_brand ELSE '\"' || p_brand || '\"' END || chr(10) || 'sizes:' || chr(10) || '  - ' || p_size || chr(10) || '  - 1' || chr(10) || 'flag: ' || CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'null' END || chr(10) AS text FROM part")
+def yaml_documents(read):
+    """A YAML document for every part."""
+    p = read("part").select("p_partkey", F.col("p_brand").alias("brand"), F.array(F.col("p_size").cast("int"), F.lit(1)).alias("sizes"), F.when(F.col("p_size") % 2 == 0, True).alias("flag"))
+    return sinks.yaml_documents(p, "p_partkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN o_orderkey % 7 = 0 THEN 'fails at ' || o_orderkey END AS reason, CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice / 2, 6) END AS error FROM orders WHERE o_orderkey % 4 <> 0")
+def trials_on_executors(read):
+    """A plan of all orders of which a quarter is completed; trials run in tasks, some fail, and the others go on."""
+
+    def trial(row: dict) -> dict:
+        if row["o_orderkey"] % 7 == 0:
+            raise RuntimeError(f"fails at {row['o_orderkey']}")
+        return {"error": row["o_totalprice"] / 2}
+
+    o = read("orders").select("o_orderkey", "o_totalprice")
+    done = o.filter("o_orderkey % 4 = 0").select("o_orderkey")
+    return experiments.run_on_executors(o, done, ["o_orderkey"], trial, "error double").select("o_orderkey", "status", "reason", "error")
+
+
+@query("SELECT 'MATR_b1c' || user_id || '.pkl' AS name, row_number() OVER (ORDER BY 'MATR_b1c' || user_id || '.pkl') AS place FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 10 <> 3")
+def found_files(read):
+    """Files below a folder by path, those of some names left out."""
+    table = cell_table(read)
+    spark = table.sparkSession
+    path = _new_path(spark, "found")
+    cellsource.register(spark)
+    table.write.format("cells").mode("append").save(f"{path}/deep")
+    files = cells.chosen_files(cells.find_files(spark, path), "MATR", r"3\.pkl$")
+    return positions.ordered(files.select("name"), "name", name="place").withColumn("place", F.col("place") + 1)
+
+
+@query("SELECT o_orderkey AS sample_id, 'm' || o_custkey % 3 AS model, o_totalprice AS pred FROM orders")
+def prediction_files(read):
+    """Prediction files whose names have their model."""
+    o = read("orders").select(F.col("o_orderkey").alias("sample_id"), F.concat(F.lit("m"), (F.col("o_custkey") % 3).cast("string")).alias("model"), F.col("o_totalprice").alias("pred"))
+    path = _new_path(o.sparkSession, "predictions")
+    for k in range(3):
+        sinks.write_csv(o.filter(F.col("model") == f"m{k}").drop("model"), f"{path}/m{k}_predictions.csv")
+    rows = results.predictions(o.sparkSession, f"{path}/*/*.csv", r"([^/]+?)_predictions\.csv/")
+    return rows.select(F.col("sample_id").cast("long").alias("sample_id"), "model", "pred")
+
+
+@query("SELECT l_suppkey % 8 AS run, l_linenumber AS model, count(*) AS n, CASE WHEN l_suppkey % 8 < 4 THEN 'gap-' || l_suppkey % 8 END AS split FROM lineitem GROUP BY ALL")
+def sidecar_documents(read):
+    """Metric files of eight runs, four with a document beside them that says how they were split."""
+    t = read("lineitem").groupBy((F.col("l_suppkey") % 8).alias("run"), F.col("l_linenumber").cast("string").alias("model")).agg(F.count("*").cast("double").alias("MAE"))
+    spark, path = t.sparkSession, _new_path(t.sparkSession, "runs")
+    sinks.write_csv(t, f"{path}/all")
+    for k in range(8):
+        sinks.write_csv(t.filter(F.col("run") == k).select("model", "MAE"), f"{path}/run-{k}")
+        if k < 4:
+            spark.createDataFrame([(f'{{"split": "gap-{k}"}}',)], "value string").coalesce(1).write.mode("append").text(f"{path}/run-{k}")
+    info = results.sidecars(spark, [f"{path}/run-{k}" for k in range(8)], "split string", "*.txt")
+    rows = results.find_metrics(spark, [path], exclude=f"{path}/all", name="*.csv")
+    met = results.with_sidecars(rows, info)
+    return met.select(F.regexp_extract("folder", r"run-(\d)$", 1).cast("long").alias("run"), F.col("model").cast("long").alias("model"), F.col("MAE").cast("long").alias("n"), F.col("info.split").alias("split"))
+
+
+@query("SELECT p_partkey, p_size >= 20 - 1 AS search, p_size >= 20 AS experiments, p_size >= 20 AS audit, coalesce(CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size END, CASE WHEN p_size % 2 = 0 THEN 0 END, -1) AS given FROM part")
+def gap_policies(read):
+    """Whether a gap fits under each policy; the first value given, an explicit 0 counted."""
+    size = F.col("p_size")
+    own = [splits.gap_fits(p, size, F.lit(20)).alias(p) for p in ("search", "experiments", "audit")]
+    return read("part").select("p_partkey", *own, F.coalesce(F.when(size % 3 != 0, size), F.when(size % 2 == 0, 0), F.lit(-1)).alias("given"))
+
+
+@query(f"WITH {CELLS}, u AS (SELECT 'MATR_b1c' || user_id || '.pkl' AS file FROM rs WHERE reason = '' UNION ALL SELECT 'MATR_b1c' || user_id || '.pkl' FROM rs WHERE reason = '' AND user_id % 3 = 0) SELECT file, count(*) AS n FROM u GROUP BY 1 HAVING count(*) > 1")
+def repeated_cells(read):
+    """Usable cells of a name that comes twice."""
+    used = cells.fixed_origin_records(cell_table(read), LOOKBACK, [5, 10, 40], 8).filter("status = 'used'").select("file")
+    again = used.filter(F.regexp_extract("file", r"(\d+)\.pkl$", 1).cast("long") % 3 == 0)
+    return ranking.duplicates(used.unionByName(again), "file")

@@ -12,6 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import sets
 
@@ -193,3 +194,30 @@ def table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small table of dictionaries; keys that the schema lacks are left out."""
     names = spark.createDataFrame([], schema).columns
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
+
+
+def run_on_executors(plan_rows: DataFrame, completed: DataFrame, key: list[str], trial: Callable[[dict], dict], schema: str, tasks: int | None = None, force: bool = False) -> DataFrame:
+    """(plan's columns, schema's columns, status, reason): the trials of a plan that are not completed, each run in a task where its row lies.
+
+    trial(row) gives the values of schema; an error is the row's reason, its status failed, and its values null. A plan
+    may have any number of rows. Trials may run twice if an executor is lost: they must bear that.
+    """
+    todo = plan_rows if force else sets.pending(plan_rows, completed, key)
+    todo = todo.repartition(tasks, *key) if tasks else todo
+    made = todo.sparkSession.createDataFrame([], schema).schema
+    whole = T.StructType([*todo.schema.fields, *made.fields, T.StructField("status", T.StringType()), T.StructField("reason", T.StringType())])
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                try:
+                    rows.append({**row, **trial(row), "status": "done", "reason": None})
+                except Exception as error:
+                    rows.append({**row, "status": "failed", "reason": str(error)})
+            yield pa.RecordBatch.from_pylist(rows, to_arrow_schema(whole))
+
+    return todo.mapInArrow(run, whole)

@@ -23,10 +23,18 @@ def register(name: str, predict: Callable, schema: str) -> None:
     _registered[name] = (predict, schema)
 
 
+_tables: dict[str, tuple[Callable[[DataFrame], DataFrame], list[str]]] = {}
+
+
+def register_table(name: str, predict: Callable[[DataFrame], DataFrame], needs: list[str]) -> None:
+    """A predictor as a function of a table that adds `pred`, such as a trained network; needs are the columns that it reads."""
+    _tables[name] = (predict, needs)
+
+
 def parse_models(text: str) -> list[str]:
     """Names of a comma-separated list, each once; `all` is every known one. Unknown names are an error."""
     names = list(dict.fromkeys(filter(None, (x.strip() for x in text.split(",")))))
-    known = [*MODEL_ORDER, *(n for n in _registered if n not in MODEL_ORDER)]
+    known = [*MODEL_ORDER, *(n for n in (*_registered, *_tables) if n not in MODEL_ORDER)]
     if names == ["all"]:
         return known
     if lacking := [n for n in names if n not in known]:
@@ -38,6 +46,11 @@ def predict(name: str, samples: DataFrame, lookback: int | None = None, horizon:
     """samples with `pred`: native persistence, a registered function, or an external table joined by key (never by place)."""
     if external is not None:
         return samples.join(external.select(key, "pred"), key)
+    if name in _tables:
+        function, needs = _tables[name]
+        if lacking := [c for c in needs if c not in samples.columns]:
+            raise ValueError(f"{name} needs {', '.join(lacking)}")
+        return function(samples)
     if name in _registered:
         function, schema = _registered[name]
         return samples.mapInArrow(function, schema)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from .. import sinks
 
 
@@ -62,3 +65,35 @@ def trial_command(program: list[str], model: str, seed: int, config: dict, run:
 def command_file(commands: list[list[str]], kind: str = "ps1") -> str:
     """Commands one per line for PowerShell, or as a JSON list."""
     return sinks.json_text(commands) if kind == "json" else "\n".join(sinks.command_text(c) for c in commands) + "\n"
+
+
+def command_column(plan: DataFrame, program: list[str], options: dict[str, str]) -> Column:
+    """The command line of each row of a plan, as `command` and `command_text` make it; options are names of options to columns.
+
+    A truth value is the name alone or nothing, a list is joined by commas, null and empty texts are left out.
+    """
+    kinds = dict(plan.dtypes)
+    parts: list[Column] = [F.lit(sinks.command_text(program))]
+    for name, column in options.items():
+        flag, c, kind = F.lit(f"--{name.replace('_', '-')}"), F.col(column), kinds[column]
+        if kind == "boolean":
+            parts.append(F.when(c, flag))
+        else:
+            text = F.array_join(c.cast("array<string>"), ",") if kind.startswith("array") else c.cast("string")
+            parts.append(F.when(text != "", F.concat(flag, F.lit(" "), sinks.powershell_quoted_column(text))))
+    return F.concat_ws(" ", *parts)
+
+
+def command_lines(plan: DataFrame, program: list[str], options: dict[str, str], order: list) -> DataFrame:
+    """(place, line): the commands of a plan of any number of trials, from 1 in an order without ties."""
+    from ..operators.ranking import ranked_together
+
+    return ranked_together(plan, order, "place").select("place", command_column(plan, program, options).alias("line"))
+
+
+def selection_lines(ranked: DataFrame, policy: str, columns: list[str]) -> DataFrame:
+    """(place, line): the lines of selection_report over any number of ranked rows (rank, model, ...)."""
+    best = ranked.filter("rank = 1").agg(F.min("model").alias("model"))
+    chosen = F.when(F.col("model").isNull(), "No candidate is left.").otherwise(F.concat(F.lit("`"), F.col("model"), F.lit(f"` is selected by {policy}.")))
+    heads = best.select(F.inline(F.array(*(F.struct(F.lit(p).cast("long").alias("place"), line.alias("line")) for p, line in ((-9, F.lit("# Model selection")), (-8, F.lit("")), (-7, F.lit("## Selected")), (-6, F.lit("")), (-5, chosen), (-4, F.lit("")), (-3, F.lit("## Ranking")), (-2, F.lit("")))))))
+    return heads.unionByName(sinks.markdown_lines(ranked, columns, [F.col("rank")]))

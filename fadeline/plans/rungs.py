@@ -7,9 +7,11 @@ import statistics
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numbers import finite
+from ..functions.numbers import finite, spread_score
+from .experiments import grid
 
 SCORES = "trial int, rung int, error double, score double, state string"
 
@@ -63,3 +65,34 @@ def race(samples: DataFrame, step: str, trials: list[dict], error: Callable[[Cal
             rows.append((n, k, got.get(n), scores.get(n), state))
         alive = {n: p for n, p in alive.items() if n in on}
     return spark.createDataFrame(rows, SCORES)
+
+
+def staged(samples: DataFrame, base: dict, stages: list[dict[str, list]], error: Callable[[Callable[[str], Column]], Column]) -> tuple[dict, DataFrame]:
+    """(best configuration, (stage, trial, error, is_best, <key>...)): coordinate search, each stage's grid scored in one pass over the samples.
+
+    A stage tries the grid of some keys with the rest held, and its best, the first of several, is carried on; a
+    configuration without a finite error is never the best.
+    """
+    best, rows, names = dict(base), [], list(base)
+    for number, stage in enumerate(stages):
+        tried = [best | change for change in grid(stage)]
+        got = dict(rung_errors(samples, dict(enumerate(tried)), error).collect())
+        errors = [got.get(k) if got.get(k) is not None and math.isfinite(got[k]) else math.inf for k in range(len(tried))]
+        first = min(range(len(tried)), key=lambda k: (errors[k], k))
+        rows += [(number, k, got.get(k), k == first, *(float(t[n]) for n in names)) for k, t in enumerate(tried)]
+        best = tried[first]
+    return best, samples.sparkSession.createDataFrame(rows, "stage int, trial int, error double, is_best boolean, " + ", ".join(f"`{n}` double" for n in names))
+
+
+def confirmed(samples: DataFrame, seed: str, trials: list[dict], error: Callable[[Callable[[str], Column]], Column], baseline: Column, weight: float = 1.0, penalty: float = 1.0) -> DataFrame:
+    """(trial, mean, std, gain, score, place): candidates over all seeds in one pass, those that gain on the baseline first, then by spread score.
+
+    mean and std are over the seeds' mean errors, gain is the mean of how much less they are than the baseline's.
+    """
+    literals = F.array(*(F.struct(F.lit(n).alias("trial"), *(F.lit(v).alias(k) for k, v in p.items())) for n, p in enumerate(trials)))
+    each = samples.withColumn("_base", finite(baseline)).withColumn("_trial", F.explode(literals))
+    by_seed = each.groupBy(F.col("_trial.trial").alias("trial"), seed).agg(F.avg(finite(error(lambda k: F.col(f"_trial.{k}")))).alias("error"), F.avg("_base").alias("base"))
+    own = by_seed.groupBy("trial").agg(F.avg("error").alias("mean"), F.coalesce(F.stddev_samp("error"), F.lit(0.0)).alias("std"), F.avg(F.col("base") - F.col("error")).alias("gain"))
+    own = own.withColumn("score", spread_score(F.col("mean"), F.col("std"), weight, F.col("gain"), penalty))
+    order = [F.coalesce(F.col("gain") > 0, F.lit(False)).desc(), F.asc_nulls_last("score"), F.asc("trial")]
+    return own.withColumn("place", F.row_number().over(W.orderBy(*order)))  # a row per candidate

@@ -116,23 +116,22 @@ def latest_facts(read):
 
 @query("SELECT 'n_' || n_nationkey AS file, n_name AS dataset FROM nation WHERE n_name IS NOT NULL")
 def manifest_document(read):
-    """A manifest of the nations as one JSON document, read back as rows."""
-    n = read("nation").orderBy("n_nationkey").collect()  # 25 rows at any size
-    path = _new_path(read("nation").sparkSession, "manifest")
-    text = sinks.json_text([{"file": f"n_{r.n_nationkey}", "dataset": r.n_name} for r in n])
-    spark = read("nation").sparkSession
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
-    return results.read_manifest(spark, path)
+    """A manifest of the nations as one JSON document, made by an aggregate and read back as rows."""
+    n = read("nation").select(F.concat(F.lit("n_"), F.col("n_nationkey").cast("string")).alias("file"), F.col("n_name").alias("dataset"))
+    path = _new_path(n.sparkSession, "manifest")
+    sinks.json_document(n, "file").write.text(path)
+    return results.read_manifest(n.sparkSession, path)
 
 
-@query("SELECT s_suppkey::VARCHAR AS key, s_name AS name FROM supplier WHERE s_nationkey = 7")
+@query("SELECT s_suppkey::VARCHAR AS key, s_name AS name FROM supplier")
 def keyed_strings(read):
-    """A small file as text by key."""
-    s = read("supplier").filter("s_nationkey = 7").select(F.col("s_suppkey").alias("model"), F.col("s_name").alias("name"))
+    """Files as text by key, of which some come twice: the last line counts."""
+    s = read("supplier").select(F.col("s_suppkey").alias("model"), F.col("s_name").alias("name"))
     path = _new_path(s.sparkSession, "keyed")
-    sinks.write_csv(s, path, single=True)
-    found = results.keyed_strings(s.sparkSession, path)
-    return s.sparkSession.createDataFrame([(k, v["name"]) for k, v in found.items()], "key string, name string")
+    old = s.filter("model % 3 = 0").withColumn("name", F.lit("old"))
+    lines = old.withColumn("k", F.lit(0)).unionByName(s.withColumn("k", F.lit(1)))
+    sinks.write_csv(lines.repartitionByRange(4, "k", "model").sortWithinPartitions("k", "model").drop("k"), path)
+    return results.keyed_rows(s.sparkSession, path, ["model", "name"]).withColumnRenamed("model", "key")
 
 
 @query(f"WITH {TRIALS}, h AS (SELECT model, horizon FROM trials GROUP BY ALL HAVING count(DISTINCT seed) >= 5) SELECT horizon FROM h WHERE model IN (0, 3, 5) GROUP BY horizon HAVING count(*) = 3")
@@ -372,16 +371,21 @@ def best_completed_trial(read):
 
 @query("SELECT '| r_regionkey | r_name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || replace(r_name, 'A', '\\|') || ' |' || chr(10), '' ORDER BY r_regionkey) AS text FROM region")
 def markdown_report(read):
-    rows = [r.asDict() for r in read("region").select("r_regionkey", F.replace("r_name", F.lit("A"), F.lit("|")).alias("r_name")).orderBy("r_regionkey").collect()]  # five rows at any size
-    return read("region").sparkSession.createDataFrame([(sinks.markdown_table(rows, ["r_regionkey", "absent", "r_name"]),)], "text string")
+    rows = read("region").select("r_regionkey", F.replace("r_name", F.lit("A"), F.lit("|")).alias("r_name"))
+    lines = sinks.markdown_lines(rows, ["r_regionkey", "absent", "r_name"], [F.col("r_regionkey")])
+    return _joined(lines)
+
+
+def _joined(lines) -> DataFrame:
+    """(text): the lines of a small report as one text."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda r: F.concat(r["line"], F.lit("\n")))
+    return lines.agg(F.array_join(ordered, "").alias("text"))
 
 
 @query("SELECT string_agg('python run.py --split-mode file-level --models ' || CASE WHEN n_name LIKE '% %' THEN '''' || n_name || '''' ELSE n_name END || ' --seed ' || n_nationkey || ' --lr 0.001 --zero-output-init' || chr(10), '' ORDER BY n_nationkey) AS text FROM nation")
 def trial_commands(read):
-    rows = read("nation").orderBy("n_nationkey").collect()  # 25 rows at any size
-    run = {"split_mode": "file-level", "split_gap": 20, "max_files": 0, "eval_domain": "x"}
-    commands = [reports.trial_command(["python", "run.py"], r.n_name, r.n_nationkey, {"name": "base", "lr": 0.001, "zero_output_init": True}, run) for r in rows]
-    return read("nation").sparkSession.createDataFrame([(reports.command_file(commands),)], "text string")
+    plan = read("nation").select(F.lit("file-level").alias("mode"), F.col("n_name").alias("model"), F.col("n_nationkey").alias("seed"), F.lit("0.001").alias("lr"), F.lit(True).alias("zero"), F.lit(None).cast("string").alias("absent"))
+    return _joined(reports.command_lines(plan, ["python", "run.py"], {"split_mode": "mode", "eval_domain": "absent", "models": "model", "seed": "seed", "lr": "lr", "zero_output_init": "zero"}, [F.col("seed")]))
 
 
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN 'failed' ELSE 'done' END AS status FROM nation WHERE n_nationkey NOT IN (SELECT r_regionkey FROM region)")
@@ -394,5 +398,4 @@ def resumed_trials(read):
         return {}
 
     done = read("region").select(F.col("r_regionkey").alias("n_nationkey"))
-    rows = experiments.run_trials(read("nation").select("n_nationkey"), done, ["n_nationkey"], trial, workers=4)
-    return experiments.table(done.sparkSession, rows, "n_nationkey int, status string")
+    return experiments.run_on_executors(read("nation").select("n_nationkey"), done, ["n_nationkey"], trial, "error double").select("n_nationkey", "status")

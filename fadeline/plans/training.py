@@ -323,3 +323,33 @@ def history(spark, model: Model) -> DataFrame:
     """(epoch, train_loss, val_loss, val_mae, val_rmse, lr, is_best): one row per epoch."""
     rows = [(h["epoch"], h["train_loss"], h["val_loss"], h["val_mae"], h["val_rmse"], h["lr"], h["epoch"] == model.best_epoch) for h in model.history]
     return spark.createDataFrame(rows, "epoch int, train_loss double, val_loss double, val_mae double, val_rmse double, lr double, is_best boolean")
+
+
+def register(name: str, model: Model, samples: DataFrame, x: str = "x") -> None:
+    """Make a trained network a predictor of `predict.predict(name, samples)`, for tables of these columns; it adds `pred`."""
+    from . import predict
+
+    predict.register_table(name, lambda rows: applied(rows, model, x), [c for c in samples.columns if c == x])
+
+
+def train_and_evaluate(samples: DataFrame, runs: list[dict], net: Net, by: tuple[str, ...] = ("seed", "horizon"), actual: str = "target", **options) -> DataFrame:
+    """(by, model, n, RMSE, MAE, MAPE_percent, R2, best_epoch, n_epochs) of one network per run, trained on the run's samples and scored on its validation rows.
+
+    A run names the values of `by`; those that samples have as columns select its samples, and `seed` seeds its start.
+    Outputs are changes against `current`, divided by options' scale, as in training with reconstruct.
+    """
+    from ..operators import metrics
+
+    out = None
+    for run in runs:
+        own = samples
+        for k in by:
+            own = own.filter(F.col(k) == F.lit(run[k])) if k in samples.columns else own.withColumn(k, F.lit(run[k]))
+        model = train(own, net, seed=run.get("seed", 42), reconstruct=True, **options)
+        scored = applied(own.filter("is_val"), model, name="change").withColumn("pred", F.col("current") - F.col("change") / F.lit(float(options.get("scale", 1.0))))
+        row = metrics.strict_regression_metrics(scored, by, actual, "pred").select(*by, F.lit("flatten_mlp").alias("model"), "n", "RMSE", "MAE", "MAPE_percent", "R2")
+        row = row.withColumn("best_epoch", F.lit(model.best_epoch)).withColumn("n_epochs", F.lit(len(model.history)))
+        out = row if out is None else out.unionByName(row)
+    if out is None:
+        raise ValueError("no run")
+    return out

@@ -7,7 +7,7 @@ import math
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.numbers import finite
@@ -19,14 +19,63 @@ def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_union_csv(tables: list[DataFrame], path: str) -> bool:
-    """Rows of all tables under the union of their columns in the order first seen; nothing is written without a table."""
+def write_union_csv(tables: list[DataFrame], path: str, single: bool = False) -> bool:
+    """Rows of all tables under the union of their columns in the order first seen; nothing is written without a table.
+
+    Files are as many as tasks, each with the header; `single` is for small reports that must be one file.
+    """
     if not tables:
         return False
-    write_csv(union_all(*tables), path, single=True)
+    write_csv(union_all(*tables), path, single)
     return True
 
 
+def write_lines(lines: DataFrame, path: str, place: str = "place", line: str = "line") -> None:
+    """Text files that hold the lines in the order of place, one range of places after the other by the files' names."""
+    lines.repartitionByRange(F.col(place)).sortWithinPartitions(place).select(F.col(line).alias("value")).write.mode("overwrite").text(path)
+
+
+def json_document(df: DataFrame, order: str) -> DataFrame:
+    """(value): all rows as one JSON list, in order, made by an aggregate. A document is read whole: for rows as few as a document has."""
+    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("_order"), F.struct(*df.columns).alias("row"))))
+    return finite_columns(df).agg(F.to_json(F.transform(rows, lambda r: r["row"]), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def markdown_lines(rows: DataFrame, columns: list[str], order: list) -> DataFrame:
+    """(place, line) of a Markdown table of any number of rows: head and rule at -1 and 0, then the rows from 1 in an order without ties.
+
+    Columns that the table lacks are left out; cells are written where the rows lie.
+    """
+    from .operators.ranking import ranked_together
+
+    shown = [c for c in columns if c in rows.columns]
+    laid = ranked_together(rows, order, "_place").select("_place", *shown)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            cells = [[markdown_cell(v) for v in c.to_pylist()] for c in batch.columns[1:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([f"| {' | '.join(row)} |" for row in zip(*cells, strict=True)], pa.string())], names=["place", "line"])
+
+    head = rows.sparkSession.createDataFrame([(-1, f"| {' | '.join(shown)} |"), (0, f"|{'---|' * len(shown)}")], "place long, line string")
+    return head.unionByName(laid.mapInArrow(run, "place long, line string"))
+
+
+def yaml_documents(rows: DataFrame, key: str) -> DataFrame:
+    """(key, text): every row's other columns as a YAML document, written where the row lies."""
+    others = [c for c in rows.columns if c != key]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [yaml_text({c: r[c] for c in others}) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), pa.array(texts, pa.string())], names=[key, "text"])
+
+    return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, text string")
+
+
 def finite_columns(df: DataFrame) -> DataFrame:
     """df with NaN and infinities as null."""
     return df.select(*(finite(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
@@ -127,5 +176,10 @@ def powershell_quoted(text: str) -> str:
     return text if re.fullmatch(r"[A-Za-z0-9_./:=\\-]+", text) else "'" + text.replace("'", "''") + "'"
 
 
+def powershell_quoted_column(text: Column) -> Column:
+    """powershell_quoted of a column."""
+    return F.when(text.rlike(r"\A[A-Za-z0-9_./:=\\-]+\z"), text).otherwise(F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'")))
+
+
 def command_text(parts: Iterable[str]) -> str:
     return " ".join(powershell_quoted(str(p)) for p in parts)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import parent_of
+from ..operators.positions import as_read
 from ..schemas import METRICS
 from .tables import read_tables
 
@@ -29,6 +30,13 @@ def keyed_strings(spark: SparkSession, path: str, key: str = "model") -> dict[st
     return {r[key]: r.asDict() for r in spark.read.option("header", True).csv(path).coalesce(1).collect()}
 
 
+def keyed_rows(spark: SparkSession, path: str, columns: list[str], key: str = "model") -> DataFrame:
+    """The lines of CSV files of any size as text, one per key: of repeated keys the last line counts. Lines of all files count in the order of paths."""
+    rows = as_read(spark.read.option("header", True).schema(", ".join(f"`{c}` string" for c in columns)).csv(path), "_line")
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*(c for c in columns if c != key)), "_line").alias("_last"))
+    return last.filter(F.col(key).isNotNull()).select(key, "_last.*").select(*columns)
+
+
 def find_metrics(spark: SparkSession, roots: list[str], exclude: str | None = None, name: str = METRIC_FILE) -> DataFrame:
     """Metric rows below the roots with path and folder, in order of path; files below `exclude` are left out. Columns that a file lacks are null.
 
@@ -38,9 +46,9 @@ def find_metrics(spark: SparkSession, roots: list[str], exclude: str | None = No
     return rows.withColumn("folder", parent_of(F.col("path"))).orderBy("path")
 
 
-def sidecars(spark: SparkSession, roots: list[str], schema) -> DataFrame:
+def sidecars(spark: SparkSession, roots: list[str], schema, name: str = SIDECAR) -> DataFrame:
     """(folder, info) of the JSON documents that stand beside metric files."""
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", SIDECAR).text(roots, wholetext=True)
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(roots, wholetext=True)
     return text.select(parent_of(F.col("_metadata.file_path")).alias("folder"), F.from_json("value", schema).alias("info"))
 
 
