@@ -31,19 +31,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{(shared or LOCAL_SCRATCH).rstrip('/')}/fadeline/{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet under the shared scratch folder and read it back: cuts lineage, survives executors.
-
-    The folder goes when the application ends, or earlier by `discard` and `clear_scratch`.
-    """
-    spark, folder = df.sparkSession, scratch_dir(df.sparkSession)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the scratch folder, which goes when the application ends, or earlier by `discard` and `clear_scratch`."""
+    folder = scratch_dir(spark)
     if folder not in _to_delete:
         _to_delete.add(folder)
         own, files = _files(spark, folder)
+        files.mkdirs(own)
         files.deleteOnExit(own)
-    out = spark.read.schema(df.schema).parquet(path)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet under the shared scratch folder and read it back: cuts lineage, survives executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 

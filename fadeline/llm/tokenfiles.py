@@ -16,19 +16,20 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, frugal, materialise, scratch_dir, session_partitions, steps, texts_of
+from .common import column, frugal, scratch_path, session_partitions, steps, texts_of
 from .eliasfano import EliasFano
 
 MAGIC = b"FLIDS\x00\x00\x01"
 FIELDS = np.dtype([("n_docs", "<u8"), ("n_ids", "<u8"), ("width", "<u8"), ("n_without", "<u8"), ("least", "<i8")])
 END_ID = 2
-#: Bytes of ids that a task is dealt; ids, and documents, after which it begins another file.
+#: Bytes of text that a task is dealt the ids of; ids, and documents, after which it begins another file.
 PART_BYTES, FILE_IDS, FILE_DOCS = 64 << 20, 1 << 28, 1 << 20
 #: Bytes of ids that a reader or writer holds at a time; a longer document is held whole.
 STEP_BYTES = 8 << 20
@@ -157,8 +158,8 @@ def id_type(spec: dict) -> np.dtype:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, place, ids): ids as bytes with end_id at the end; place tells rows apart that share a doc_id."""
+def encoded(docs: DataFrame, tokenizer: str, bounds: Bounds, end_id: int = END_ID) -> DataFrame:
+    """(part, doc_id, place, ids) of docs (doc_id, text): ids as bytes with end_id at the end; place tells rows apart that share a doc_id."""
 
     def run(batches):
         import pyarrow as pa
@@ -172,12 +173,40 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str =
             docs = column(batch, "doc_id")
             for at, texts in steps(texts_of(batch), TEXT_BYTES):
                 ids = [own + end for own in encode(texts)]
-                columns = [pa.array(docs[at : at + len(ids)], pa.int64()), pa.array(np.arange(place, place + len(ids))), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "ids"])
+                own, places = docs[at : at + len(ids)], np.arange(place, place + len(ids))
+                columns = [pa.array(bounds.parts(own, places), pa.int32()), pa.array(own, pa.int64()), pa.array(places), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "place", "ids"])
                 place += len(ids)
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return own.mapInArrow(frugal(run), "doc_id long, place long, ids binary")
+    return docs.mapInArrow(frugal(run), "part int, doc_id long, place long, ids binary")
+
+
+@dataclass
+class Bounds:
+    """Which of n parts, in order, a document is written by: `without` parts share those without a doc_id, `upper` has the last doc_id of each but the last of the others.
+
+    A doc_id that is the last of several parts is shared out over them.
+    """
+
+    n: int
+    without: int
+    upper: np.ndarray
+
+    @classmethod
+    def of(cls, docs: DataFrame, at_least: int) -> Bounds:
+        """Bounds of docs (doc_id, text) by the number of rows, for PART_BYTES of text a part or at_least parts: a long per part in the driver."""
+        size, rows, named = docs.agg(F.sum(F.octet_length("text")), F.count("*"), F.count("doc_id")).first()
+        n = max(at_least, -(-(size or 0) // PART_BYTES))
+        without = min(n - 1, max(1, round(n * (rows - named) / rows))) if rows > named and n > 1 else 0
+        shares = [k / (n - without) for k in range(1, n - without)]
+        upper = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * n))).first()[0] if shares and named else []
+        return cls(n, without, np.array(upper, np.int64))
+
+    def parts(self, docs: list[int | None], places: np.ndarray) -> np.ndarray:
+        named = np.array([d is not None for d in docs], bool)
+        ids = np.array([d or 0 for d in docs], np.int64)
+        low, high = np.searchsorted(self.upper, ids, "left"), np.searchsorted(self.upper, ids, "right")
+        return np.where(named, self.without + low + places % np.maximum(1, high - low), places % max(1, self.without))
 
 
 def opened(folder: str) -> tuple:
@@ -267,12 +296,13 @@ class FileReader:
 def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of every text of docs, each with end_id at its end, into a new folder that all executors share.
 
-    Order: ascending doc_id, rows without one first, rows that share one in the order in which they are read. A
-    null text counts as empty and is the end id alone; other columns are not looked at; an empty table writes
+    Order: ascending doc_id, rows without one first, rows that share one in no order of their own. A null
+    text counts as empty and is the end id alone; other columns are not looked at; an empty table writes
     an empty manifest. Texts are encoded where they lie; only ids travel.
     """
     spark = docs.sparkSession
-    rows = materialise(encoded(docs, tokenizer, end_id, id_col, text_col), "ids")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    bounds = Bounds.of(own, session_partitions(spark))
     with open(tokenizer, encoding="utf-8") as f:
         width = id_type(json.load(f)).itemsize
 
@@ -307,9 +337,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID
 
     files, root = opened(folder)
     files.create_dir(root, recursive=True)
-    size = rows.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    order = [F.asc_nulls_first("doc_id"), F.asc("place")]
-    laid = rows.repartitionByRange(max(session_partitions(spark), -(-size // PART_BYTES)), *order).sortWithinPartitions(*order)
+    laid = encoded(own, tokenizer, bounds, end_id).repartitionById(bounds.n, "part").sortWithinPartitions(F.asc_nulls_first("doc_id"), "place").drop("part")
     laid.mapInArrow(frugal(write), MANIFEST).write.parquet(f"{folder}/manifest")
 
 
@@ -346,6 +374,6 @@ def op13_token_files(spark, sf_dir: str) -> DataFrame:
     """Per document, out of the files written: doc_id, start, n_tokens, ids_crc32."""
     import public_tokenizers
 
-    folder = f"{scratch_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "token-files")
     write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), folder)
     return read_ids(spark, folder)
