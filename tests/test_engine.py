@@ -108,7 +108,7 @@ def test_tables_of_other_columns(spark, tmp_path):
     assert [(r.key, r.price, r.status) for r in rows] == [(1, 2.5, "o"), (2, None, "p"), (3, None, "q"), (4, 9.5, None), (5, None, None)]
     assert [r.extras for r in rows[:3]] == [{}, {}, {}] and rows[3].extras == {"more\nlines": "text", "KEY": "k", "": "e"}
     heads = {r.path.rpartition("/")[2]: r.header for r in tables.headers(tables.listed(spark, [str(tmp_path)], "*.csv")).collect()}
-    assert heads["z.csv"] == ["price", "key", "more\nlines", "KEY", "price", ""] and heads["empty.csv"] == [] and heads["y.csv"] == ["status", "key"]
+    assert heads["z.csv"] == ["price", "key", "more\nlines", "KEY", "price", ""] and "empty.csv" not in heads and heads["y.csv"] == ["status", "key"]
     assert tables.read_tables(spark, [f"{tmp_path}/head.csv"], known).collect() == []
 
 
@@ -236,7 +236,7 @@ def same(a, b):
     assert a.keys() == b.keys()
     for k in a:
         assert [x is None for x in a[k]] == [x is None for x in b[k]]
-        assert [x for x in a[k] if x is not None] == pytest.approx([x for x in b[k] if x is not None], rel=1e-9)
+        assert [x for x in a[k] if x is not None] == pytest.approx([x for x in b[k] if x is not None], rel=1e-7)
 
 
 @pytest.mark.parametrize("parts", [1, 2, 7])
@@ -282,7 +282,7 @@ def test_a_version_is_whole_or_absent(spark, tmp_path):
             os.remove(f"{folder}/{f}")
     with open(f"{folder}/more.parquet", "wb") as f:
         f.write(b"x")
-    assert sorted(r.fault for r in artefacts.damaged(spark, path, 2).collect()) == ["added", "missing"]
+    assert {(r.file.endswith("more.parquet"), r.fault) for r in artefacts.damaged(spark, path, 2).collect()} == {(True, "added"), (False, "missing")}
 
 
 # --- configurations ---
@@ -314,9 +314,9 @@ def test_configurations_of_three_forms(spark):
         if path == "under":  # the order of an object's keys is not kept
             own, want = ([x[1:2] + x[3:] for x in t] for t in (own, want))
         assert sorted(own, key=repr) == sorted(want, key=repr)
-    faults = lambda p: sorted((r.number, r.model, r.fault) for r in got if r.path == p and r.fault)
+    faults = lambda p: sorted(((r.number, r.model, r.fault) for r in got if r.path == p and r.fault), key=repr)
     assert {f for n, _, f in faults("faults") if n} == {"entry is no object", "no fit: lr", "no fit: model_hidden", "target_scale is not positive"}
-    assert [(m, f) for n, m, f in faults("faults") if n is None] == [] or {m for n, m, f in faults("faults") if f == "no configuration"} == set(models)
+    assert {m for n, m, f in faults("faults") if f == "no configuration"} == set(models)
     for p in ("number", "broken", "null"):
         assert [r.fault for r in got if r.path == p] == ["no document of configurations"]
     horizons = configs.by_horizon(spark.createDataFrame([("p", json.dumps({"10": {"lr": 1}, " 20": {"horizon": "20"}, "30": {"horizon": 31}, "x": {}, "40": 1, "50": {"model": "z"}}))], "path string, value string"), "cpmlp").collect()
@@ -479,3 +479,78 @@ def test_a_hot_device_is_cut_into_blocks(spark):
     assert sorted(map(tuple, slopes.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
     with pytest.raises(ValueError):
         windows.in_blocks(seq, run, 7, 3, block=5)
+
+
+# --- texts and plans of any size ---
+
+
+def test_lines_and_documents_of_any_number_of_rows(spark, tmp_path):
+    from fadeline import sinks
+    from fadeline.plans import reports
+
+    rows = [(k, f"it's {k}" if k % 3 else "a|b\nc", k / 3 if k % 2 else float("nan"), [k, 1] if k % 4 else []) for k in range(300)]
+    df = spark.createDataFrame(rows, "k int, name string, x double, list array<int>").repartition(5)
+    lines = [r.line for r in sinks.markdown_lines(df, ["k", "gone", "name", "x"], [F.col("k")]).orderBy("place").collect()]
+    assert "\n".join(lines) + "\n" == sinks.markdown_table([dict(zip(("k", "name", "x"), r, strict=False)) for r in rows], ["k", "gone", "name", "x"])
+    plan = df.withColumn("flag", F.col("k") % 2 == 0)
+    commands = reports.command_lines(plan, ["py", "a b.py"], {"the_name": "name", "flag": "flag", "list": "list"}, [F.col("k")]).orderBy("place").collect()
+    assert [r.line for r in commands] == [sinks.command_text(reports.command(["py", "a b.py"], {"the_name": n, "flag": k % 2 == 0, "list": v})) for k, n, _, v in rows]
+    sinks.write_lines(spark.createDataFrame([(r.place, str(r.place)) for r in commands], "place long, line string").repartition(4), f"{tmp_path}/lines")
+    read = positions.as_read(spark.read.text(f"{tmp_path}/lines"))
+    assert [r.value for r in read.orderBy("position").collect()] == [str(k) for k in range(1, 301)]
+    yaml = {r.k: r.text for r in sinks.yaml_documents(df.limit(50), "k").collect()}
+    assert all(text == sinks.yaml_text({"name": rows[k][1], "x": rows[k][2], "list": rows[k][3]}) for k, text in yaml.items())
+    assert json.loads(sinks.json_document(df.select("k", "x"), "k").first().value) == [{"k": k, "x": None if math.isnan(x) else x} for k, _, x, _ in rows]
+
+
+def test_the_last_line_of_a_key_counts(spark, tmp_path):
+    for name, text in (("a.csv", "model,v\nx,1\ny,2\nx,3\n"), ("b.csv", "model,v\ny,4\n,5\n")):
+        (tmp_path / name).write_text(text)
+    assert {r.model: r.v for r in results.keyed_rows(spark, str(tmp_path), ["model", "v"]).collect()} == {"x": "3", "y": "4"}
+
+
+def test_trials_run_where_their_rows_lie(spark):
+    def trial(row):
+        if row["k"] == 3:
+            raise ValueError("three")
+        return {"twice": 2 * row["k"]}
+
+    plan, done = spark.range(6).select(F.col("id").alias("k")), spark.createDataFrame([(1,)], "k long")
+    got = {r.k: (r.twice, r.status, r.reason) for r in experiments.run_on_executors(plan, done, ["k"], trial, "twice long", tasks=3).collect()}
+    assert got == {k: (2 * k, "done", None) for k in (0, 2, 4, 5)} | {3: (None, "failed", "three")}
+    assert experiments.run_on_executors(plan, done, ["k"], trial, "twice long", force=True).count() == 6
+
+
+def test_searches_in_passes_equal_the_plain_ones(spark):
+    rng = random.Random(3)
+    rows = [(k % 3, rng.random(), rng.random()) for k in range(90)]
+    df = spark.createDataFrame(rows, "seed int, x double, y double")
+    error = lambda p: F.abs(F.col("y") - p("a") * F.col("x") - p("b"))
+    plain = lambda c: statistics.fmean(abs(y - c["a"] * x - c["b"]) for _, x, y in rows)
+    best, table = rungs.staged(df, {"a": 0.0, "b": 0.0}, [{"a": [0.0, 0.5, 1.0]}, {"b": [0.0, 0.2, 0.4]}, {"a": [0.1, 0.3], "b": [0.2, 0.3]}], error)
+    want, history = experiments.staged_search({"a": 0.0, "b": 0.0}, [{"a": [0.0, 0.5, 1.0]}, {"b": [0.0, 0.2, 0.4]}, {"a": [0.1, 0.3], "b": [0.2, 0.3]}], plain)
+    assert best == want and [r.error for r in table.orderBy("stage", "trial").collect()] == pytest.approx([h["score"] for h in history])
+    trials = [{"a": 0.5, "b": 0.2}, {"a": 0.0, "b": 0.5}, {"a": 3.0, "b": 1.0}]
+    by_seed = lambda c, s: statistics.fmean(abs(y - c["a"] * x - c["b"]) for k, x, y in rows if k == s)
+    base = {s: statistics.fmean(abs(y - x) for k, x, y in rows if k == s) for s in range(3)}
+    own = experiments.confirm(trials, [0, 1, 2], lambda c, s: (by_seed(c, s), base[s] - by_seed(c, s)), 0.7, 1.5)
+    got = rungs.confirmed(df, "seed", trials, error, F.abs(F.col("y") - F.col("x")), 0.7, 1.5).orderBy("place").collect()
+    assert [trials[r.trial] for r in got] == [{"a": o["a"], "b": o["b"]} for o in own]
+    assert [x for r in got for x in (r["mean"], r["std"], r.gain, r.score)] == pytest.approx([o[k] for o in own for k in ("mean", "std", "gain", "score")])
+
+
+def test_a_trained_network_is_a_predictor(spark):
+    from fadeline.plans import predict
+
+    rows = training_rows(40)
+    df = spark.createDataFrame(rows, SAMPLES)
+    model = training.Model(training.Net(3, 4), training.Net(3, 4).start(2))
+    training.register("own_mlp", model, df)
+    assert "own_mlp" in predict.parse_models("all")
+    assert [r.pred for r in predict.predict("own_mlp", df).orderBy("sample_id").collect()] == pytest.approx([plain_forward(model.net, model.parameters.tolist(), r[1])[0] for r in rows])
+    with pytest.raises(ValueError):
+        predict.predict("own_mlp", df.drop("x"))
+    runs = [{"seed": s, "horizon": h} for s in (1, 2) for h in (5, 6)]
+    both = df.withColumn("horizon", F.lit(5)).unionByName(df.withColumn("horizon", F.lit(6)).withColumn("y", F.col("y") * 2))
+    table = training.train_and_evaluate(both, runs, training.Net(3, 4), epochs=3, huber_delta=None).collect()
+    assert sorted((r.seed, r.horizon, r.n) for r in table) == [(s, h, 14) for s in (1, 2) for h in (5, 6)] and all(r.n_epochs == 3 and r.MAE > 0 for r in table)
