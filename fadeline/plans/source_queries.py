@@ -15,14 +15,14 @@ from .. import sinks
 from ..functions import labels, numbers
 from ..operators import anomaly, audit, projections, ranking, rollup, sets, splits
 from ..schemas import CELL_FILE
-from ..session import shared_folder
+from ..session import application_folder
 from ..sources import cells, results
 from . import experiments, predict, reports, search
 from .queries import BASE, FILES_SQL, LOOKBACK, PRED, REG, TRIALS, Z, by_model, part_files, predictions, query, trials
 
 
 def _new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/fadeline-files/{name}-{uuid.uuid4().hex}"
+    return f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # --- cell files ------------------------------------------------------------------------------------

@@ -41,9 +41,36 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or LOCAL_FOLDER).rstrip("/")
 
 
+def _goes_at_end(spark: SparkSession, folder: str) -> None:
+    """Have a folder deleted when the application ends."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = own.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(own)
+    store.deleteOnExit(own)
+
+
+def application_folder(spark: SparkSession) -> str:
+    """This application's own folder for files below the shared one; it goes when the application ends."""
+    folder = f"{shared_folder(spark)}/fadeline-files/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        _goes_at_end(spark, folder)
+    return folder
+
+
+_folders: set[str] = set()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once and written to the shared folder: what reads it does not compute it again, nor lose it with an executor."""
+    """df computed once and written to the shared folder: what reads it does not compute it again, nor lose it with an executor.
+
+    Spark keeps such tables in a folder of the application's own below the shared one, and that goes when the
+    application ends.
+    """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
+    if (folder := context.getCheckpointDir()) not in _folders:
+        _folders.add(folder)
+        _goes_at_end(df.sparkSession, folder)
     return df.checkpoint()

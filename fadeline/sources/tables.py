@@ -18,7 +18,8 @@ CHUNK = 1 << 16
 def listed(spark: SparkSession, roots: Iterable[str], name: str, exclude: str | None = None) -> DataFrame:
     """(path, uri) of the files below the roots, or roots themselves, whose names fit the glob; contents are not read.
 
-    A root that is given twice, or lies below another, counts once; files below `exclude` are left out.
+    A root that is given twice, or lies below another, counts once; files below `exclude` are left out, and those
+    without a byte, as Spark's scans do.
     """
     tidy = sorted({r.rstrip("/") for r in roots})
     roots = [r for r in tidy if not any(r.startswith(other + "/") for other in tidy)]
@@ -47,7 +48,7 @@ def first_line(source, chunk: int = CHUNK) -> str:
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """(path, header) of listed files: the names in each one's first line, read where a task opens the file. An empty file has none.
+    """(path, header) of listed files: the names in each one's first line, read where a task opens the file; none if it is blank.
 
     Executors open files by pyarrow: local paths and the stores that it knows.
     """
