@@ -199,11 +199,12 @@ k AS (SELECT *, {_counts_sql(gap)} FROM c),
 segments AS (SELECT file, target_cycle, CASE WHEN n_train IS NULL THEN NULL WHEN pl <= n_train THEN 'train' WHEN pl <= n_train + {gap} THEN 'gap_train_val' WHEN pl <= n_train + {gap} + n_val THEN 'val' WHEN pl <= n_train + 2 * {gap} + n_val THEN 'gap_val_test' ELSE 'test' END AS segment FROM k)"""
 
 
-@query(f"WITH t AS (SELECT range AS n FROM range(1, 121)), a AS (SELECT n, {_counts_sql(0)} FROM t), b AS (SELECT n, {_counts_sql(GAP)} FROM t) SELECT a.n, a.n_train, a.n_val, a.n_test, b.n_train AS gap_train, b.n_val AS gap_val, b.n_test AS gap_test FROM a JOIN b ON a.n = b.n")
+@query(f"WITH t AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1), a AS (SELECT l_partkey, n, {_counts_sql(0)} FROM t), b AS (SELECT l_partkey, {_counts_sql(GAP)} FROM t) SELECT l_partkey, a.n, a.n_train, a.n_val, a.n_test, b.n_train AS gap_train, b.n_val AS gap_val, b.n_test AS gap_test FROM a JOIN b USING (l_partkey)")
 def chrono_split_counts(read):
-    n = read("region").sparkSession.range(1, 121).select(F.col("id").cast("int").alias("n"))
+    """Sizes for the line items of every part."""
+    n = read("lineitem").groupBy("l_partkey").agg(F.count("*").cast("int").alias("n"))
     plain, gapped = splits.counts(F.col("n")), splits.counts(F.col("n"), gap=GAP)
-    return n.select("n", *(c.alias(f"n_{s}") for c, s in zip(plain, splits.SPLITS, strict=True)), *(c.alias(f"gap_{s}") for c, s in zip(gapped, splits.SPLITS, strict=True)))
+    return n.select("l_partkey", "n", *(c.alias(f"n_{s}") for c, s in zip(plain, splits.SPLITS, strict=True)), *(c.alias(f"gap_{s}") for c, s in zip(gapped, splits.SPLITS, strict=True)))
 
 
 def _samples(read):

@@ -1,17 +1,20 @@
 """Data-parallel training of the flat MLP: gradient sums per task in Arrow batches, added in a tree, one step of Adam in the driver.
 
-An epoch is one full-batch step and one job: the pass that sums the gradient at the parameters just reached also
-validates them, so that stopping, the learning rate and the best state follow from Spark aggregates. What the driver
-and every task hold is a few vectors of the parameters' length, whatever the number of samples.
+With one batch an epoch is one step and one job: the pass that sums the gradient at the parameters just reached also
+validates them, so that stopping, the learning rate and the best state follow from Spark aggregates. With more, samples
+are dealt to batches by a hash and each batch is a step and a job. What the driver and every task hold is a few vectors
+of the parameters' length, whatever the number of samples.
 """
 
 from __future__ import annotations
 
 import math
+import random
+import statistics
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.isolation import usable
@@ -40,11 +43,12 @@ def _gelu_slope(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Net:
-    """inputs -> hidden, layer norm, GELU -> hidden / 2, GELU -> one number; dropout behind both GELUs."""
+    """inputs -> hidden, layer norm, GELU -> hidden / 2, GELU -> one number; dropout behind both GELUs. With zero_output the last layer starts at 0."""
 
     inputs: int
     hidden: int = 256
     dropout: float = 0.0
+    zero_output: bool = False
 
     def shapes(self) -> dict[str, tuple[int, ...]]:
         h, half = self.hidden, self.hidden // 2
@@ -68,6 +72,9 @@ class Net:
             else:
                 most = 1 / math.sqrt(fan_in[name[1]])
                 parts.append(rng.uniform(-most, most, shape))
+        if self.zero_output:
+            for p in parts[-2:]:
+                p[...] = 0.0
         return np.concatenate([p.ravel() for p in parts])
 
     def forward(self, x: np.ndarray, flat: np.ndarray, kept: tuple | None = None) -> dict[str, np.ndarray]:
@@ -244,7 +251,7 @@ def _row(pa, task: int, sums: np.ndarray, total: np.ndarray):
 
 def train(
     samples: DataFrame, net: Net, epochs: int = 50, lr: float = 1e-3, weight_decay: float = 1e-5, patience: int = 0, min_delta: float = 0.0, huber_delta: float | None = 0.02,
-    clip_grad_norm: float = 1.0, lr_patience: int = 0, lr_factor: float = 0.5, seed: int = 42, reconstruct: bool = False, scale: float = 1.0, tasks: int | None = None,
+    clip_grad_norm: float = 1.0, lr_patience: int = 0, lr_factor: float = 0.5, seed: int = 42, reconstruct: bool = False, scale: float = 1.0, tasks: int | None = None, batches: int = 1,
 ) -> Model:
     """Train on samples (sample_id long, x array<double>, y double, is_val boolean [, current, target double]).
 
@@ -254,27 +261,44 @@ def train(
     of the value rebuilt, current - output / scale. Rows whose x is null, of another length or not finite, whose y is
     null, or whose sample_id or is_val is null take no part. Without a training or a validation row it raises.
 
-    Unlike training in small batches one epoch is one step; dropout is drawn by hash, so that the result does not
-    depend on how samples are dealt to tasks beyond the rounding of sums.
+    Training rows are dealt to `batches` by a hash of sample_id and seed, and their order is drawn anew each epoch; the
+    training loss of an epoch is the mean of its steps'. Dropout is drawn by hash, so that the result does not depend on
+    how samples are dealt to tasks beyond the rounding of sums.
     """
     tasks = tasks or int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = F.col("x").cast("array<double>")
     number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in samples.columns else F.lit(0.0)
     rows = samples.filter(usable(x, net.inputs) & F.col("y").isNotNull() & ~F.isnan("y") & F.col("sample_id").isNotNull() & F.col("is_val").isNotNull())
     rows = rows.select(F.col("sample_id").cast("long").alias("sample_id"), x.alias("x"), F.col("y").cast("double").alias("y"), "is_val", number("current").alias("current"), number("target").alias("target"))
-    laid = checkpointed(rows.repartition(tasks, "sample_id"))
     loss, adam, plateau = Loss(huber_delta), Adam(lr, weight_decay, clip_grad_norm), Plateau(lr_patience, lr_factor)
-    p = net.start(seed)
-    gradient, sums = one_pass(laid, tasks, net, p, loss, 1, seed, scale)
-    if not sums["n_train"] or not sums["n_val"]:
+    p, model, best, waited = net.start(seed), Model(net, np.zeros(0)), math.inf, 0
+    one = lambda part, at, epoch, learn=True: one_pass(part, tasks, net, at, loss, epoch, seed, scale, learn)
+    if batches == 1:
+        laid = checkpointed(rows.repartition(tasks, "sample_id"))
+        gradient, sums = one(laid, p, 1)
+        counted = sums["n_train"], sums["n_val"]
+    else:
+        val = checkpointed(rows.filter("is_val").repartition(tasks, "sample_id"))
+        dealt = rows.filter("not is_val").withColumn("_batch", batch_of(batches, seed))
+        parts = [checkpointed(dealt.filter(F.col("_batch") == k).drop("_batch").repartition(tasks, "sample_id")) for k in range(batches)]
+        parts = [part for part in parts if not part.isEmpty()]
+        counted = len(parts), not val.isEmpty()
+    if not all(counted):
         raise ValueError("training needs rows to learn from and rows to validate on")
-    model, best, waited = Model(net, p), math.inf, 0
     for epoch in range(1, epochs + 1):
-        train_loss = sums["train_loss"] / sums["n_train"]
-        p = adam.step(p, gradient / sums["n_train"])
-        gradient, after = one_pass(laid, tasks, net, p, loss, epoch + 1, seed, scale, learn=epoch < epochs)
-        n = after["n_val"]
-        row = {"epoch": epoch, "train_loss": train_loss, "val_loss": after["val_loss"] / n, "val_mae": after["val_abs"] / n, "val_rmse": math.sqrt(after["val_square"] / n)}
+        if batches == 1:
+            train_loss = sums["train_loss"] / sums["n_train"]
+            p = adam.step(p, gradient / sums["n_train"])
+            gradient, sums = one(laid, p, epoch + 1, epoch < epochs)
+        else:
+            losses = []
+            for k in random.Random(f"{seed}/{epoch}").sample(range(len(parts)), len(parts)):
+                gradient, got = one(parts[k], p, epoch)
+                losses.append(got["train_loss"] / got["n_train"])
+                p = adam.step(p, gradient / got["n_train"])
+            train_loss, sums = statistics.fmean(losses), one(val, p, epoch, False)[1]
+        n = sums["n_val"]
+        row = {"epoch": epoch, "train_loss": train_loss, "val_loss": sums["val_loss"] / n, "val_mae": sums["val_abs"] / n, "val_rmse": math.sqrt(sums["val_square"] / n)}
         decides = row["val_mae"] if reconstruct else row["val_loss"]
         adam.lr = plateau.after(decides, adam.lr)
         model.history.append(row | {"lr": adam.lr})
@@ -284,10 +308,16 @@ def train(
             waited += 1
         if patience > 0 and waited >= patience:
             break
-        sums = after if epoch < epochs else sums
+    if not model.best_epoch:  # no epoch's value was finite
+        model.parameters = p
     return model
 
 
+def batch_of(batches: int, seed: int) -> Column:
+    """The batch of a sample, by a hash of its id and the seed."""
+    return F.pmod(F.crc32(F.concat(F.lit(f"{seed}/"), F.col("sample_id").cast("string"))), F.lit(batches)).cast("int")
+
+
 def applied(rows: DataFrame, model: Model, x: str = "x", name: str = "pred", layer: str | None = None, layer_name: str = "hidden") -> DataFrame:
     """rows with the network's output and, if asked for, one layer (norm, h1, a2 or h2) as an array of doubles; null where x does not fit."""
     from pyspark.sql import types as T
