@@ -286,6 +286,19 @@ def mlp_predictions(read):
     return rows.select("cell_id", "target_cycle", F.col("target").alias("actual"), (F.col("current") - F.col("change")).alias("pred"))
 
 
+@query(f"WITH {SEQ}, w AS (SELECT file, row_number() OVER v AS place, lead(soh, {HORIZON}) OVER v AS target FROM seq WINDOW v AS (PARTITION BY file ORDER BY cycle_number)) SELECT CASE WHEN file % 5 = 0 THEN 'val' ELSE 'train' END AS split, count(*) AS n, true AS same, 1 AS version FROM w WHERE place >= 8 AND target IS NOT NULL GROUP BY 1")
+def mlp_checkpoint(read):
+    """A trained network published with the split that it was trained on, read back, and held against itself on every sample."""
+    samples = training_samples(read)
+    spark, model = samples.sparkSession, _trained(read, 2)
+    path = _new_path(spark, "network")
+    split = samples.select("sample_id", F.when(F.col("is_val"), "val").otherwise("train").alias("split"))
+    number = training.save(spark, model, path, {"split": split}, {"lookback": 8, "horizon": HORIZON})
+    both = training.applied(training.applied(samples, model, name="own"), training.load(spark, path), name="read")
+    met = both.join(artefacts.table(spark, path, "split"), "sample_id")
+    return met.groupBy("split").agg(F.count("*").alias("n"), F.bool_and(F.col("own") == F.col("read")).alias("same")).withColumn("version", F.lit(number))
+
+
 @query(None)
 def mlp_latent_flags(read):
     """Anomalies by residual, slope and how odd the trained network's hidden layer is against that of other sequences."""

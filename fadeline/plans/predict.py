@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import metrics, windows
+from ..operators import metrics, positions, windows
 
 # Names of the models in their usual order.
 MODEL_ORDER = (
@@ -42,8 +42,14 @@ def parse_models(text: str) -> list[str]:
     return names
 
 
-def predict(name: str, samples: DataFrame, lookback: int | None = None, horizon: int | None = None, external: DataFrame | None = None, key: str = "sample_id") -> DataFrame:
-    """samples with `pred`: native persistence, a registered function, or an external table joined by key (never by place)."""
+def predict(name: str, samples: DataFrame, lookback: int | None = None, horizon: int | None = None, external: DataFrame | None = None, key: str = "sample_id", by_place: str | None = None) -> DataFrame:
+    """samples with `pred`: native persistence, a registered function, or an external table joined by key.
+
+    Where predictions come without a key, `by_place` names the column of both tables that `positions` gave them; tables
+    of different lengths raise.
+    """
+    if external is not None and by_place:
+        return positions.zipped(samples, external.select(by_place, "pred"), by_place)
     if external is not None:
         return samples.join(external.select(key, "pred"), key)
     if name in _tables:

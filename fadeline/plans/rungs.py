@@ -6,10 +6,11 @@ import math
 import statistics
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import artefacts
 from ..functions.numbers import finite, spread_score
 from .experiments import grid
 
@@ -40,11 +41,13 @@ def survivors(scores: dict[int, float], rung: int, startup: int = 3, warmup: int
     return sorted(t for t, s in scores.items() if s <= middle)
 
 
-def race(samples: DataFrame, step: str, trials: list[dict], error: Callable[[Callable[[str], Column]], Column], weight: float = 0.0, startup: int = 3, warmup: int = 1) -> DataFrame:
+def race(samples: DataFrame, step: str, trials: list[dict], error: Callable[[Callable[[str], Column]], Column], weight: float = 0.0, startup: int = 3, warmup: int = 1, store: str | None = None) -> DataFrame:
     """(trial, rung, error, score, state) of every rung that a trial reached; state is complete, pruned or failed at its last one, else running.
 
     The values of `step` are the rungs, in order; one job each. A rung's samples are read for the trials that are left. A
-    trial without a finite error at a rung has failed. The driver holds a number per trial and rung.
+    trial without a finite error at a rung has failed. The driver holds a number per trial and rung. With `store`, a
+    folder that outlives the application, each rung's errors are published there, and a race of the same trials that
+    begins again reads what it finds and goes on as it would have.
     """
     spark, alive = samples.sparkSession, dict(enumerate(trials))
     rungs = [r[0] for r in samples.select(step).filter(F.col(step).isNotNull()).distinct().orderBy(step).collect()]
@@ -53,7 +56,12 @@ def race(samples: DataFrame, step: str, trials: list[dict], error: Callable[[Cal
     for k, value in enumerate(rungs):
         if not alive:
             break
-        got = dict(rung_errors(samples.filter(F.col(step) == F.lit(value)), alive, error).collect())
+        got = _stored(spark, f"{store}/rung-{k}", alive) if store else None
+        if got is None:
+            got = dict(rung_errors(samples.filter(F.col(step) == F.lit(value)), alive, error).collect())
+            if store:
+                found = spark.createDataFrame([(n, repr(p), got.get(n)) for n, p in alive.items()], "trial int, parameters string, error double")
+                artefacts.publish(spark, f"{store}/rung-{k}", {"errors": found})
         failed = [n for n in alive if got.get(n) is None or not math.isfinite(got[n])]
         for n in set(alive) - set(failed):
             errors[n].append(got[n])
@@ -67,6 +75,16 @@ def race(samples: DataFrame, step: str, trials: list[dict], error: Callable[[Cal
     return spark.createDataFrame(rows, SCORES)
 
 
+def _stored(spark: SparkSession, path: str, alive: dict[int, dict]) -> dict[int, float] | None:
+    """The errors of a rung that an earlier race of these trials published, if it did."""
+    if not artefacts.versions(spark, path):
+        return None
+    rows = artefacts.table(spark, path, "errors").collect()
+    if {(r.trial, r.parameters) for r in rows} != {(n, repr(p)) for n, p in alive.items()}:
+        raise ValueError(f"{path} holds another race")
+    return {r.trial: r.error for r in rows}
+
+
 def staged(samples: DataFrame, base: dict, stages: list[dict[str, list]], error: Callable[[Callable[[str], Column]], Column]) -> tuple[dict, DataFrame]:
     """(best configuration, (stage, trial, error, is_best, <key>...)): coordinate search, each stage's grid scored in one pass over the samples.
 

@@ -36,7 +36,10 @@ rs AS (SELECT *, concat_ws('; ', CASE WHEN n_features < {LOOKBACK} THEN 'needs f
 
 
 def cell_table(read) -> DataFrame:
-    """CELL_FILE rows out of events: a user is a cell, an event a cycle; some curves are too short, odd users give no nominal capacity."""
+    """CELL_FILE rows out of events: a user is a cell, an event a cycle; some curves are too short, odd users give no nominal capacity.
+
+    A row holds a whole file, as CELL_FILE does: bounded by what a cell file holds, not by the table.
+    """
     e = read("events").withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy("ts")))
     curve = lambda x, short: F.transform(F.sequence(F.lit(1), F.when(short, 3).otherwise(6)), lambda k: (x * k / 6).cast("float"))
     top = F.transform(F.sequence(F.lit(1), F.when(F.col("event_id") % 17 == 0, 3).otherwise(6)), lambda k: F.when(k == 2, F.col("value")).otherwise(F.col("value") / 2).cast("float"))

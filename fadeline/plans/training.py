@@ -8,15 +8,17 @@ of the parameters' length, whatever the number of samples.
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import statistics
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import artefacts
 from ..operators.isolation import usable
 from ..session import checkpointed
 
@@ -355,6 +357,24 @@ def history(spark, model: Model) -> DataFrame:
     return spark.createDataFrame(rows, "epoch int, train_loss double, val_loss double, val_mae double, val_rmse double, lr double, is_best boolean")
 
 
+def save(spark, model: Model, path: str, tables: dict[str, DataFrame] | None = None, document: dict | None = None) -> int:
+    """Publish a network as an artefact: parameters, history, and what belongs to them (split, constants). The number of its version."""
+    parameters = spark.createDataFrame([(n, v.ravel().tolist()) for n, v in model.net.views(model.parameters).items()], "name string, value array<double>")
+    about = {"net": asdict(model.net), "best_epoch": model.best_epoch, "more": document or {}}
+    return artefacts.publish(spark, path, {"parameters": parameters, "history": history(spark, model), **(tables or {})}, about)
+
+
+def load(spark, path: str, version: int | None = None) -> Model:
+    """The network of an artefact; a version that is not whole raises."""
+    if hurt := artefacts.damaged(spark, path, version).limit(5).collect():
+        raise ValueError(f"{path}: {', '.join(f'{r.file} {r.fault}' for r in hurt)}")
+    about = json.loads(artefacts.document(spark, path, version).first()[0])
+    net = Net(**about["net"])
+    parts = dict(artefacts.table(spark, path, "parameters", version).collect())
+    rows = artefacts.table(spark, path, "history", version).orderBy("epoch").drop("is_best").collect()
+    return Model(net, np.concatenate([np.array(parts[n]) for n in net.shapes()]), [r.asDict() for r in rows], about["best_epoch"])
+
+
 def register(name: str, model: Model, samples: DataFrame, x: str = "x") -> None:
     """Make a trained network a predictor of `predict.predict(name, samples)`, for tables of these columns; it adds `pred`."""
     from . import predict

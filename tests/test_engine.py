@@ -346,6 +346,23 @@ def test_rungs_against_the_plain_rule(spark):
     assert [(r.state, r.error) for r in bad] == [("failed", None)]
 
 
+def test_a_race_goes_on_where_it_ended(spark, tmp_path):
+    rows = spark.createDataFrame([(k % 3, k / 60, (k * 7 % 60) / 60) for k in range(60)], "rung int, x double, y double")
+    trials, calls = [{"a": k / 4} for k in range(6)], []
+
+    def error(p):
+        calls.append(1)
+        return F.abs(F.col("y") - p("a") * F.col("x"))
+
+    key = lambda df: sorted(map(tuple, df.collect()))
+    want = key(rungs.race(rows, "rung", trials, error))
+    rungs.race(rows.filter("rung < 2"), "rung", trials, error, store=f"{tmp_path}/race")  # ends early
+    calls.clear()
+    assert key(rungs.race(rows, "rung", trials, error, store=f"{tmp_path}/race")) == want and len(calls) == 1
+    with pytest.raises(ValueError, match="another race"):
+        rungs.race(rows, "rung", trials[:4], error, store=f"{tmp_path}/race")
+
+
 # --- training ---
 
 
@@ -546,6 +563,31 @@ def test_searches_in_passes_equal_the_plain_ones(spark):
     assert [x for r in got for x in (r["mean"], r["std"], r.gain, r.score)] == pytest.approx([o[k] for o in own for k in ("mean", "std", "gain", "score")])
 
 
+def test_a_saved_network_is_the_same(spark, tmp_path):
+    df = spark.createDataFrame(training_rows(30), SAMPLES)
+    model = training.train(df, training.Net(3, 4, dropout=0.2), epochs=3)
+    path = f"{tmp_path}/net"
+    assert training.save(spark, model, path, {"split": df.select("sample_id", "is_val")}, {"gap": 20}) == 1
+    again = training.load(spark, path)
+    assert again.net == model.net and (again.parameters == model.parameters).all() and again.best_epoch == model.best_epoch
+    assert [h["val_loss"] for h in again.history] == [h["val_loss"] for h in model.history]
+    assert artefacts.table(spark, path, "split").count() == 30
+    (part,) = (f for f in os.listdir(f"{path}/v000001/content/document.json") if f.startswith("part"))
+    os.remove(f"{path}/v000001/content/document.json/{part}")
+    with pytest.raises(ValueError, match="missing"):
+        training.load(spark, path)
+
+
+def test_predictions_without_a_key_meet_by_place(spark):
+    from fadeline.plans import predict
+
+    samples = positions.ordered(spark.createDataFrame([(k, f"s{k}") for k in range(50)], "k int, name string"), "k")
+    pred = positions.ordered(spark.createDataFrame([(float(k),) for k in range(50)], "pred double").repartition(7), "pred")
+    assert all(r.pred == r.k for r in predict.predict("any", samples, external=pred, by_place="position").collect())
+    with pytest.raises(ValueError):
+        predict.predict("any", samples, external=pred.filter("position < 9"), by_place="position")
+
+
 def test_a_trained_network_is_a_predictor(spark):
     from fadeline.plans import predict
 
