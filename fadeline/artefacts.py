@@ -2,7 +2,8 @@
 
 An artefact is a folder of versions. A version is first written to a staging folder beside them, its checksums last,
 and then appears by one rename. Readers take the newest version; a writer that dies before the rename leaves all
-readers what they had. The rename must be atomic in the store, as it is in HDFS and local file systems.
+readers what they had. The rename must be atomic in the store, as it is in HDFS and local file systems. A checksum reads a
+file whole: files are those of constants, states and parameters, of less than 2 GB each.
 """
 
 from __future__ import annotations

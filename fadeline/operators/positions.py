@@ -34,14 +34,15 @@ def as_read(rows: DataFrame, name: str = "position") -> DataFrame:
 def zipped(a: DataFrame, b: DataFrame, name: str = "position") -> DataFrame:
     """The rows of two tables side by side, by a place that both have from 0 on without gaps.
 
-    Raises when it is called if one is longer than the other, or a column stands in both.
+    Raises when it is called if one is longer than the other, if places have gaps or repeats, or a column stands in both.
     """
     if again := {c.lower() for c in a.columns} & {c.lower() for c in b.columns} - {name.lower()}:
         raise ValueError(f"columns of both tables: {', '.join(sorted(again))}")
-    sizes = [t.agg(F.count("*"), F.count_distinct(name), F.min(name), F.max(name)).first() for t in (a, b)]
-    for n, different, low, high in sizes:
-        if n and (different, low, high) != (n, 0, n - 1):
-            raise ValueError(f"{name} is no place: {n} rows, {different} places from {low} to {high}")
+    at = F.col(name).cast("decimal(38,0)")
+    sizes = [t.agg(F.count("*"), F.min(name), F.max(name), F.sum(at), F.sum(at * at)).first() for t in (a, b)]  # sums tell gaps and repeats without a shuffle
+    for n, low, high, total, squares in sizes:
+        if n and (low, high, total, squares) != (0, n - 1, n * (n - 1) // 2, (n - 1) * n * (2 * n - 1) // 6):
+            raise ValueError(f"{name} is no place: {n} rows, places from {low} to {high}")
     if sizes[0][0] != sizes[1][0]:
         raise ValueError(f"tables of {sizes[0][0]} and {sizes[1][0]} rows")
     return a.join(b, name)
