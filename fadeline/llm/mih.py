@@ -134,7 +134,8 @@ def nearest(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vec_co
     """(query_id, rank, vec_id, score): each query's k nearest found by cosine, nearest first, ties to smaller ids.
 
     `is_query` is a condition on the id column. Rows with a null id or a vector that is null, zero, or holds
-    null or non-finite components take no part; shorter vectors end in zeros; fewer candidates than k: all.
+    null or non-finite components take no part; shorter vectors end in zeros (all are worked on at the widest's
+    width, a few at a time if that is large); fewer candidates than k: all.
     Every other row is indexed, repeated or not, and every row that the condition picks is a query of its
     own with ranks from 1; rows that share a query's id are not its candidates. Codes and radii only choose
     candidates: scores are those of the vectors as given, in doubles.

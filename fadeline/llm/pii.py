@@ -35,10 +35,11 @@ EXPRESSIONS = {
 }
 #: What may be an identifier of another form: a spelt address (one at two dot three), or a whole run of letters, digits and . / - that holds three digits or two parts with a dot between.
 _AT, _DOT = (rf"(?:\s?[\[(]{w}[\])]\s?|\s{w}\s)" for w in ("at", "dot"))
-IDENTIFIER = (
-    rf"(?<![A-Za-z0-9./-])(?i:{_LOCAL}++{_AT}{_LABEL}++(?>(?:{_DOT}{_LABEL}++){{1,500}})+"
-    r"|(?=(?:[A-Za-z./-]*+[0-9]){3})[A-Za-z0-9./-]++|(?=[A-Za-z0-9-]++\.[A-Za-z0-9-])(?=[0-9.-]*+[A-Za-z])[A-Za-z0-9.-]++(?!/))"
-)
+_SPELT = rf"(?i:{_LOCAL}++{_AT}{_LABEL}++(?>(?:{_DOT}{_LABEL}++){{1,500}})+)"
+_RUN = r"(?=[A-Za-z/-]*+[0-9.])(?:(?=(?:[A-Za-z./-]*+[0-9]){3})[A-Za-z0-9./-]++|(?=[A-Za-z0-9-]++\.[A-Za-z0-9-])(?=[0-9.-]*+[A-Za-z])[A-Za-z0-9.-]++(?!/))"
+IDENTIFIER, WITH_SPELT = rf"(?<![A-Za-z0-9./-]){_RUN}", rf"(?<![A-Za-z0-9./-])(?:{_SPELT}|{_RUN})"
+#: Texts that may hold a spelt address; only those are searched for one.
+_SPELLS = r"(?i:[\s\[(]dot[\s\])])"
 #: What a text must hold for its expression to be tried.
 _NEEDS = {"email": "@", "phone": "+"}
 
@@ -54,7 +55,7 @@ def _scan(a: Column, op) -> Column:
     return let(a, lambda v: F.when(F.size(v) > 1, F.aggregate(rounds(v), v, step)).otherwise(v))
 
 
-def _spans(text: Column, kind: str, expression: str) -> Column:
+def _spans(text: Column, kind: str, expression: Column) -> Column:
     """array<struct<start,end,kind,value>> of the matches; positions in code points, end exclusive.
 
     The pieces between the matches give the positions: each match starts where the pieces and matches
@@ -66,8 +67,8 @@ def _spans(text: Column, kind: str, expression: str) -> Column:
         own = lambda end, value: F.struct((end - F.length(value)).alias("start"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value"))
         return F.when(F.size(found) > 0, F.zip_with(_scan(lengths, lambda a, b: a + b), found, own)).otherwise(F.expr(EMPTY))
 
-    needed = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike("[0-9]" if kind else r"[0-9]|[A-Za-z]\.[A-Za-z]|(?i:\bdot\b)")
-    return F.when(needed, let(F.regexp_extract_all(text, F.lit(expression), F.lit(0)), placed)).otherwise(F.expr(EMPTY))
+    needed = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike("[0-9]" if kind else rf"[0-9]|[A-Za-z]\.[A-Za-z]|{_SPELLS}")
+    return F.when(needed, let(F.regexp_extract_all(text, expression, F.lit(0)), placed)).otherwise(F.expr(EMPTY))
 
 
 def _trimmed(spans: Column) -> Column:
@@ -172,9 +173,9 @@ def spans(docs: DataFrame) -> DataFrame:
     """docs plus `base` (valid base spans in order) and `others` (identifiers that overlap none of them)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     for kind, expression in EXPRESSIONS.items():
-        docs = docs.withColumn(f"_{kind}", _spans(text, kind, expression))
+        docs = docs.withColumn(f"_{kind}", _spans(text, kind, F.lit(expression)))
     docs = docs.withColumn("base", _sorted(F.filter(F.concat(*(F.col(f"_{k}") for k in KINDS)), _valid))).drop(*(f"_{k}" for k in KINDS))
-    return docs.withColumn("others", let(_trimmed(_spans(text, "", IDENTIFIER)), lambda others: let(F.col("base"), lambda base: _apart(others, base))))
+    return docs.withColumn("others", let(_trimmed(_spans(text, "", F.when(text.rlike(_SPELLS), WITH_SPELT).otherwise(IDENTIFIER))), lambda others: let(F.col("base"), lambda base: _apart(others, base))))
 
 
 def discovered(instances: DataFrame) -> DataFrame:

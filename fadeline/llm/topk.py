@@ -126,7 +126,8 @@ def exact_top_k(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", ve
     """(query_id, rank, vec_id, score): each query's k largest products of floor(64 * x), ties to smaller ids.
 
     `is_query` is a condition on the id column. Rows with a null id or a vector that is null or holds null
-    or non-finite components take no part; shorter vectors end in zeros; fewer candidates than k: all.
+    or non-finite components take no part; shorter vectors end in zeros (all are worked on at the widest's
+    width, a few at a time if that is large); fewer candidates than k: all.
     Every row is a candidate of its own, repeated or not, and every row that the condition picks is a query
     of its own with ranks from 1; rows that share a query's id are not its candidates. Products are exact
     at any size of the components, and so is the order; a product beyond 64 bits shows as a null score.

@@ -116,6 +116,15 @@ def test_vectors(spark):
         assert mih.nearest(empty, lambda c: c % 20 == 0, 3).collect() == []
 
 
+def test_one_vector_of_great_width(spark):
+    rows = [(k, [float(k % 7), 1.0]) for k in range(120)] + [(500, [1.0] + [0.0] * 200_000 + [2.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(topk.exact_top_k(v, lambda c: c == 500, 2).collect())
+    assert [(r.vec_id, r.score) for r in got] == [(6, 64 * 64 * 6), (13, 64 * 64 * 6)]
+    got = sorted(mih.nearest(v, lambda c: c == 20, 2).collect())
+    assert [r.vec_id for r in got] == [6, 13] and got[0].score == pytest.approx(1.0)
+
+
 def test_urls(spark):
     rows = [(1, "https://A.Example.com/en/7x?q", "<a href='http://bad.net/de/'>"), (2, None, None), (3, "nohost", None), (4, "http://x.org?/es/", ""), (5, "http://bad.net/de/1", None),
             (6, "http://mid.zz/a", '<a href="//bad.net/x"><a href=https://good.zz/>'), (7, "http://xcom/en/1", ""), (8, "http://com/en/", ""), (8, "http://com/en/", ""), (9, "a://B#://c", "")]
