@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import best_of, matrix, search, usable
+from .blocks import best_of, matrix, rows_of, search, usable
 
 BITS, SUBSTRINGS, SAMPLE, ROUNDS = 64, 4, 4096, 30
 WIDTH = BITS // SUBSTRINGS
@@ -38,7 +38,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 def learn_rotation(sample: np.ndarray) -> np.ndarray:
     """(dim, BITS) projections: principal directions rotated to lie near binary corners; repeated if dim < BITS."""
     dim, out, made, rng = sample.shape[1], [], 0, np.random.default_rng(7)
-    main = np.linalg.svd(sample, full_matrices=False)[2].T if len(sample) >= dim else np.eye(dim)
+    main = np.linalg.svd(sample, full_matrices=False)[2].T if len(sample) >= dim else np.eye(dim, min(dim, BITS))
     while made < BITS:
         m = min(dim, BITS - made)
         basis = main[:, :m] if m < dim else main
@@ -144,7 +144,7 @@ def nearest(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vec_co
     asked = own.filter(is_query(F.col("id")))
     stats = own.agg(F.count("*").alias("n"), F.sum(is_query(F.col("id")).cast("int")).alias("q"), F.max(F.size("vec")).alias("dim")).first()
     dim = stats.dim or 1
-    drawn = own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()  # SAMPLE rows, to learn the rotation from
+    drawn = own.orderBy(F.xxhash64("id"), "id").limit(rows_of(SAMPLE, dim)).collect()  # SAMPLE rows at most, fewer of great width, to learn the rotation from
     sample = unit(ranged(matrix([r.vec for r in drawn], dim))) if drawn else np.zeros((0, dim))
     rotation = learn_rotation(sample)
     radii = learn_radii(sample, rotation)

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import best_of, exponent, matrix, search, usable
+from .blocks import best_of, exponent, matrix, rows_of, search, usable
 
 PIVOTS, SAMPLE = 32, 2048
 #: Vectors evaluated in the first step of a query; each step doubles.
@@ -141,7 +141,7 @@ def exact_top_k(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", ve
     scaled = F.aggregate("vec", F.lit(0.0), lambda a, x: a + F.pow(F.when(F.abs(x) < 2.0**46, F.floor(x * 64).cast("double") / 64).otherwise(x) * F.lit(2.0**-e), 2))
     square = own.agg(F.max(scaled).alias("square")).first().square
     norm = float(square or 0) ** 0.5 * (1 + 1e-12)
-    drawn = own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()  # SAMPLE rows, to choose pivots from
+    drawn = own.orderBy(F.xxhash64("id"), "id").limit(rows_of(SAMPLE, dim)).collect()  # SAMPLE rows at most, fewer of great width, to choose pivots from
     pivots = spread_pivots(lifted(np.ldexp(whole(matrix([r.vec for r in drawn], dim)), -e), norm))
     bits = 2 * (e + 6) + dim.bit_length() + 1  # a product's size, its sign included
     wide = bits > 63

@@ -100,7 +100,7 @@ def test_run_is_its_stages(spark, stages):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df, got = QUERIES[name](spark, SF), db.execute(ORACLE_SQL[name])
     names = [d[0] for d in got.description]
