@@ -1,15 +1,18 @@
 """Substring deduplication by seed and extend.
 
-A window is WINDOW consecutive words of one document. Winnowing gives every window a seed: the least
-n-gram of GRAM words in it. Windows with equal words have equal seeds at equal places, so documents
-need only be joined where seeds repeat. A seed is extended both ways over all windows that it stands
-for; if the extended stretch as a whole occurs again, all of its windows do. Only where a seed occurs
-in different stretches (the ends of maximal repeats) are its windows compared one by one. The union
-of the repeated windows is the union of all maximal repeats of at least WINDOW words.
-
-Nothing is ever paired with everything that shares its seed: each step is a count by hash, combined
-before the shuffle, and a join back to the rows. A stretch is told apart by 64 bits of its seed and
-64 bits of its words.
+A window is WINDOW consecutive words of one document. Winnowing gives every window an anchor: the least
+n-gram of GRAM words in it. Windows with equal words have equal anchors at equal places, so documents
+are joined where anchors repeat. An anchor's stretch is all windows that it stands for; places with equal
+stretches form a class. Only where an anchor occurs in different stretches (the ends of repeats) are its
+windows compared one by one, once a class. Every repeated window gets one partner: the same words' place
+before it in its text, or else the first or the last place of them all; so nothing is paired with
+everything that shares its anchor, and no link is lost.
+
+Windows in turn whose partners are in turn make a seed match. Its partner's words are fetched in blocks
+of BLOCK, compared word by word and extended both ways until the words differ or a text ends; matches of
+WINDOW words or more stay. Their union is that of all maximal repeats of WINDOW words or more.
+
+Joins go by 64 bits of the anchor and 64 more of the stretch or window; words decide afterwards.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from pyspark.sql import types as T
 from .common import WordHashes, column, discard, frugal, hashed_words, materialise, mix, row_key, slices, steps, texts_of
 
 WINDOW, GRAM = 35, 10
+#: Words of a partner that are fetched together.
+BLOCK = 64
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _U = np.uint64
 
@@ -147,13 +152,17 @@ def stretches(texts: DataFrame) -> DataFrame:
     return texts.select("row", "packed").mapInArrow(frugal(run), "seed long, stretch long, row long, start int, n int")
 
 
-def _pairs(batch):
-    for part in slices(batch):
-        yield from zip(column(part, "packed"), column(part, "own"), strict=True)
+def _lists(batch, *names: str):
+    for part in slices(batch, 64):
+        yield from zip(column(part, "packed"), *(column(part, n) for n in names), strict=True)
 
 
 def _windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(seed, stretch, k, window, times): the windows one by one of the wanted stretches, each read from one text."""
+    """(seed, stretch, k, window, times, lrow, lstart, hrow, hstart): the windows one by one of the wanted classes of stretches.
+
+    Each class is read from the text of its first place; its first and last place are moved on to the window.
+    """
+    names = ["seed", "stretch", "k", "window", "times", "lrow", "lstart", "hrow", "hstart"]
 
     def run(batches):
         import pyarrow as pa
@@ -161,51 +170,206 @@ def _windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         memo, tool = WordHashes(), zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for packed, own in _pairs(batch):
+            for packed, own in _lists(batch, "own"):
                 _, hashes, starts = hashed_words([tool.decompress(packed)], memo)
                 s = Stretches(hashes, starts)
-                place = {pair: k for k, pair in enumerate(zip(s.seed.view(np.int64).tolist(), s.stretch.view(np.int64).tolist(), strict=True))}
+                at = {start: k for k, start in enumerate(s.start.tolist())}
                 for x in own:
-                    k = place[x["seed"], x["stretch"]]
-                    rows.append((np.full(s.n[k], x["seed"]), np.full(s.n[k], x["stretch"]), np.arange(s.n[k]), s.windows(k).view(np.int64), np.full(s.n[k], x["times"])))
-            columns = [np.concatenate(c) for c in zip(*rows, strict=True)] or [np.zeros(0, np.int64)] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["seed", "stretch", "k", "window", "times"])
+                    i = at[x["lstart"]]
+                    k, same = np.arange(s.n[i]), np.ones(s.n[i], np.int64)
+                    rows.append((same * x["seed"], same * x["stretch"], k, s.windows(i).view(np.int64), same * x["times"], same * x["lrow"], x["lstart"] + k, same * x["hrow"], x["hstart"] + k))
+            columns = [np.concatenate(c) for c in zip(*rows, strict=True)] or [np.zeros(0, np.int64)] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=names)
 
-    own = wanted.groupBy("row").agg(F.collect_list(F.struct("seed", "stretch", "times")).alias("own"))
-    return texts.select("row", "packed").join(own, "row").select("packed", "own").mapInArrow(frugal(run), "seed long, stretch long, k long, window long, times long")
+    own = wanted.groupBy(F.col("lrow").alias("row")).agg(F.collect_list(F.struct("seed", "stretch", "times", "lrow", "lstart", "hrow", "hstart")).alias("own"))
+    return texts.select("row", "packed").join(own, "row").select("packed", "own").mapInArrow(frugal(run), ", ".join(f"{n} long" for n in names))
 
 
 def repeated(texts: DataFrame) -> DataFrame:
-    """(row, start, mask): bit k of mask says that the window at word start + k occurs elsewhere."""
+    """(row, start, mask, lrow, lstart, hrow, hstart): bit k of mask says that the window at word start + k occurs elsewhere.
+
+    lrow, lstart + k is the first place of that window's words in row order, hrow, hstart + k the last.
+    """
     seeds = materialise(stretches(texts), "stretches")
     again = seeds.groupBy("seed").agg(F.count("*").alias("times"), F.min("stretch").alias("a"), F.max("stretch").alias("b"))
     # what is joined is written first, and what a join gives as well where an aggregate follows: either would
     # tie the join to partitions by its key, and the rows of a hot seed could then not be split over tasks
-    again = materialise(again.filter("times > 1").select("seed", "a", (F.col("a") != F.col("b")).alias("mixed")), "again")
-    mixed = materialise(seeds.select("seed", "stretch", "row").join(again.filter("mixed").select("seed"), "seed"), "mixed")
-    windows = materialise(_windows(texts, mixed.groupBy("seed", "stretch").agg(F.count("*").alias("times"), F.min("row").alias("row"))), "windows")
-    discard(mixed)
-    twice = windows.groupBy("seed", "window").agg(F.sum("times").alias("all")).filter("all > 1").select("seed", "window")
-    masks = windows.join(materialise(twice, "twice"), ["seed", "window"]).groupBy("seed", "stretch").agg(F.bit_or(F.expr("shiftleft(1L, cast(k as int))")).alias("mask"))
-    whole = again.filter("not mixed").select("seed", F.col("a").alias("stretch"), F.lit(None).cast("long").alias("mask"))  # all windows
-    found = seeds.join(materialise(whole.union(masks), "masks"), ["seed", "stretch"])
-    return found.select("row", "start", F.coalesce("mask", F.expr("shiftleft(1L, n)") - 1).alias("mask"))
-
-
-def _removed(words: list[bytes], own: list | None) -> np.ndarray:
-    """Which words a repeated window covers."""
+    again = materialise(again.filter("times > 1").select("seed", (F.col("a") != F.col("b")).alias("mixed")), "again")
+    hits = materialise(seeds.join(again, "seed"), "hits")
+    discard(seeds, again)
+    place = F.struct("row", "start")
+    classes = hits.groupBy("seed", "stretch", "n", "mixed").agg(F.count("*").alias("times"), F.min(place).alias("lo"), F.max(place).alias("hi"))
+    ends = [F.col(f"{x}.{c}").cast("long").alias(f"{x[0]}{c}") for x in ("lo", "hi") for c in ("row", "start")]
+    classes = materialise(classes.select("seed", "stretch", "n", "mixed", "times", *ends), "classes")
+    windows = materialise(_windows(texts, classes.filter("mixed")), "windows")
+    twice = windows.groupBy("seed", "window").agg(F.sum("times").alias("all"), F.min(F.struct("lrow", "lstart")).alias("lo"), F.max(F.struct("hrow", "hstart")).alias("hi"))
+    twice = materialise(twice.filter("all > 1").select("seed", "window", "lo.*", "hi.*"), "twice")
+    met = windows.select("seed", "stretch", "k", "window").join(twice, ["seed", "window"])
+    met = met.select("seed", "stretch", "k", "lrow", (F.col("lstart") - F.col("k")).alias("lstart"), "hrow", (F.col("hstart") - F.col("k")).alias("hstart"))
+    masks = met.groupBy("seed", "stretch", "lrow", "lstart", "hrow", "hstart").agg(F.bit_or(F.expr("shiftleft(1L, cast(k as int))")).alias("mask"))
+    whole = classes.filter("not mixed").select("seed", "stretch", "lrow", "lstart", "hrow", "hstart", (F.expr("shiftleft(1L, n)") - 1).alias("mask"))  # all windows
+    found = hits.select("seed", "stretch", "row", "start").join(materialise(whole.unionByName(masks), "masks"), ["seed", "stretch"])
+    return found.select("row", "start", "mask", "lrow", "lstart", "hrow", "hstart")
+
+
+def partners(row, start, mask, lrow, lstart, hrow, hstart) -> tuple[np.ndarray, ...]:
+    """Seed matches (row, start, n, prow, pstart) out of rows of `repeated`, those of a text all together.
+
+    A window's partner is the same words' place before it in its own text (so that text of a short period
+    matches itself along one diagonal), or else the first place of all, or the last, or the next in its text.
+    The n windows of a match follow one another in both texts.
+    """
+    i, k = np.nonzero(np.unpackbits(mask.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    row, t, lrow, ls, hrow, hs = row[i], start[i] + k, lrow[i], lstart[i] + k, hrow[i], hstart[i] + k
+    order = np.lexsort((t, ls, lrow, row))
+    row, t, lrow, ls, hrow, hs = (x[order] for x in (row, t, lrow, ls, hrow, hs))
+    same = (row[1:] == row[:-1]) & (lrow[1:] == lrow[:-1]) & (ls[1:] == ls[:-1])
+    prow = np.where(lrow != row, lrow, hrow)
+    pstart = np.where(lrow != row, ls, hs)
+    after = np.append(same, False) & (prow == row)
+    pstart[after] = t[np.flatnonzero(after) + 1]
+    before = np.concatenate((np.zeros(min(1, len(t)), bool), same))
+    prow[before] = row[before]
+    pstart[before] = t[np.flatnonzero(before) - 1]
+    order = np.lexsort((t, pstart - t, prow, row))
+    row, t, prow, pstart = (x[order] for x in (row, t, prow, pstart))
+    new = np.ones(len(t), bool)
+    new[1:] = (row[1:] != row[:-1]) | (prow[1:] != prow[:-1]) | (t[1:] != t[:-1] + 1) | (pstart[1:] != pstart[:-1] + 1)
+    first = np.flatnonzero(new)
+    return row[first], t[first], np.diff(np.append(first, len(t))), prow[first], pstart[first]
+
+
+def seed_matches(texts: DataFrame) -> DataFrame:
+    """(row, start, n, prow, pstart): n words at word start of a text that stand, by their hashes, at pstart of prow as well."""
+    names = ["row", "start", "mask", "lrow", "lstart", "hrow", "hstart"]
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            for part in slices(batch, 64):
+                own = part.column(1)
+                values = own.flatten()
+                row = part.column(0).take(pc.list_parent_indices(own)).to_numpy(zero_copy_only=False)
+                got = partners(row, *(values.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names[1:]))
+                got = (*got[:2], got[2] + WINDOW - 1, *got[3:])
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in got], names=["row", "start", "n", "prow", "pstart"])
+
+    own = repeated(texts).groupBy("row").agg(F.collect_list(F.struct(*names[1:])).alias("own"))
+    return materialise(own.mapInArrow(frugal(run), "row long, start long, n long, prow long, pstart long"), "matches")
+
+
+def _blocks(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(prow, block, words): BLOCK words from word block * BLOCK of a text, joined by spaces; none where the text has ended."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        tool = zstandard.ZstdDecompressor()
+        for batch in batches:
+            rows = []
+            for packed, prow, own in _lists(batch, "prow", "blocks"):
+                words = tool.decompress(packed).split()
+                rows += [(prow, b, b" ".join(words[b * BLOCK : (b + 1) * BLOCK])) for b in own if b * BLOCK < len(words)]
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.binary()], strict=True)], names=["prow", "block", "words"])
+
+    own = wanted.groupBy("prow").agg(F.collect_set("block").alias("blocks"))  # as many as a text has
+    met = texts.select(F.col("row").alias("prow"), "packed").join(own, "prow")
+    return materialise(met.mapInArrow(frugal(run), "prow long, block long, words binary"), "blocks")
+
+
+def _side_by_side(texts: DataFrame, matches: DataFrame, reach: int = 1, how: str = "left") -> DataFrame:
+    """texts plus `own`, the matches of each, and `passages`, the blocks of their partners' words, `reach` words further both ways."""
+    span = F.expr(f"sequence(greatest(0L, pstart - {reach}L) div {BLOCK}L, (pstart + n + {reach - 1}L) div {BLOCK}L)")
+    need = materialise(matches.select("row", "prow", F.explode(span).alias("block")).distinct(), "needed")
+    met = need.join(_blocks(texts, need), ["prow", "block"])
+    passages = met.groupBy("row").agg(F.collect_list(F.struct("prow", "block", "words")).alias("passages"))
+    own = matches.groupBy("row").agg(F.collect_list(F.struct("start", "n", "prow", "pstart")).alias("own"))
+    return texts.join(own.join(passages, "row"), "row", how)
+
+
+def extended(words: list[bytes], own: list, passages: list, reach: int = 1) -> set[tuple[int, int, int, int, bool]]:
+    """(start, n, prow, pstart, open) of matches compared and extended both ways over the passages at hand, n words each.
+
+    `open`: the words at hand ended before they differed or a text ended.
+    """
+    at = {(x["prow"], x["block"]): x["words"] for x in passages}
+    out = set()
+    for x in own:
+        start, n, prow, pstart = x["start"], x["n"], x["prow"], x["pstart"]
+        base, last = max(0, pstart - reach) // BLOCK, (pstart + n + reach - 1) // BLOCK
+        theirs = b" ".join(at[prow, b] for b in range(base, last + 1) if (prow, b) in at).split()
+        i = off = pstart - base * BLOCK
+        lo = start
+        while lo and i and words[lo - 1] == theirs[i - 1]:
+            lo, i = lo - 1, i - 1
+        hi, j = (start + n, off + n) if words[start : start + n] == theirs[off : off + n] else (start, off)
+        while hi < len(words) and j < len(theirs) and words[hi] == theirs[j]:
+            hi, j = hi + 1, j + 1
+        more = (lo > 0 and i == 0 and base > 0) or (hi < len(words) and j == (last + 1 - base) * BLOCK)
+        if hi - lo >= WINDOW:
+            out.add((lo, hi - lo, prow, base * BLOCK + i, more))
+    return out
+
+
+def _removed(words: list[bytes], own: list | None, passages: list | None) -> np.ndarray:
+    """Which words a match covers."""
     edge = np.zeros(len(words) + 1, np.int64)
-    for x in own or ():
-        at = x["start"] + np.flatnonzero(np.unpackbits(np.array([x["mask"]], "<u8").view(np.uint8), bitorder="little"))
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + WINDOW, -1)
+    for start, n, *_ in extended(words, own, passages or ()) if own else ():
+        edge[start] += 1
+        edge[start + n] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
 def _met(texts: DataFrame) -> DataFrame:
-    """texts plus `own`, the repeated windows of each."""
-    found = repeated(texts).groupBy("row").agg(F.collect_list(F.struct("start", "mask")).alias("own"))
-    return texts.join(found, "row", "left").drop("row")
+    """texts plus the matches of each and their partners' words.
+
+    One block further than a match is enough to remove by: each repeated window lies in a match of its own.
+    """
+    return _side_by_side(texts, seed_matches(texts)).drop("row")
+
+
+def maximal_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, start, n, other_id, other_key, other_start): matches of WINDOW words or more that end both ways in different words or at an end of a text.
+
+    The n words from word `start` of a row are those from `other_start` of another row, or of the same one
+    elsewhere. Every repeated window of every row lies in at least one match; a row is matched with one place
+    for each of them, not with all. Matches that are longer than what was fetched of their partner are
+    fetched again with twice as much. Null and short texts have none; repeated rows match each other.
+    """
+    texts = packed_texts(docs)
+    left, reach, done = seed_matches(texts), 1, []
+    while True:
+        found = materialise(_extensions(texts.select("row", "packed"), left, reach), "extended")
+        done.append(found.filter("not open").drop("open"))
+        left = found.filter("open").drop("open")
+        if left.isEmpty():
+            break
+        reach = max(BLOCK, 2 * reach)
+    every = done[0]
+    for more in done[1:]:
+        every = every.union(more)
+    name = texts.select("row", "doc_id", "text_key")
+    other = name.select(F.col("row").alias("prow"), F.col("doc_id").alias("other_id"), F.col("text_key").alias("other_key"))
+    met = every.distinct().join(name, "row").join(other, "prow")
+    return met.select("doc_id", "text_key", "start", "n", "other_id", "other_key", F.col("pstart").alias("other_start"))
+
+
+def _extensions(texts: DataFrame, matches: DataFrame, reach: int) -> DataFrame:
+    def run(batches):
+        import pyarrow as pa
+
+        tool = zstandard.ZstdDecompressor()
+        for batch in batches:
+            rows = []
+            for packed, row, own, passages in _lists(batch, "row", "own", "passages"):
+                rows += [(row, *x) for x in extended(tool.decompress(packed).split(), own, passages, reach)]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 5 else pa.bool_()) for k, c in enumerate(columns)], names=["row", "start", "n", "prow", "pstart", "open"])
+
+    return _side_by_side(texts, matches, reach, "inner").mapInArrow(frugal(run), "row long, start long, n long, prow long, pstart long, open boolean")
 
 
 def without_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
@@ -224,9 +388,9 @@ def without_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
         tool = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for packed, own in _pairs(batch):
+            for packed, own, passages in _lists(batch, "own", "passages"):
                 words = tool.decompress(packed).split() if packed else []
-                gone = _removed(words, own)
+                gone = _removed(words, own, passages)
                 kept = b" ".join(w for w, out in zip(words, gone.tolist(), strict=True) if not out) if own else b" ".join(words)
                 rows.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "replace")] * keep_text))
             columns = list(zip(*rows, strict=True)) or [()] * (3 + keep_text)
@@ -251,11 +415,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         tool = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for packed, own in _pairs(batch):
+            for packed, own, passages in _lists(batch, "own", "passages"):
                 text = packed and tool.decompress(packed)
                 if own:
                     words = text.split()
-                    text = b" ".join(w for w, out in zip(words, _removed(words, own).tolist(), strict=True) if not out)
+                    text = b" ".join(w for w, out in zip(words, _removed(words, own, passages).tolist(), strict=True) if not out)
                 rows.append((None if text is None else text.decode(), bool(own)))
             texts, changed = zip(*rows, strict=True) if rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(changed, pa.bool_())], names=["doc", "text", "changed"])
