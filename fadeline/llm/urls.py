@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialise
 
 #: The rules of the filter, as host and path.
-RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 DAMPING = 0.85
 #: The share of the seeds' mass that may be left unsettled. A round leaves DAMPING of what the one before
 #: left, exactly, as mass at hosts without links goes back to the seeds; so the rounds that it takes are known.
