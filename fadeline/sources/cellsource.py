@@ -2,10 +2,13 @@
 
 Scans are planned by bytes of files, not by their number. Files are opened by pyarrow, so that the folder may be
 local or in a store that it knows. Files are read by the restricted reader: plain data and numeric arrays only.
+What a task holds as Python objects is one cell when it writes, and files of a few bytes, or one, when it reads,
+however many rows it has.
 """
 
 from __future__ import annotations
 
+import ctypes
 import fnmatch
 import pickle
 import uuid
@@ -13,13 +16,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..schemas import CELL_FILE
 from .cells import SUFFIX, cell_row, read_plain
 
-#: Bytes of files that a task reads; a larger file is a task of its own. Rows of an Arrow batch.
-TASK_BYTES, BATCH_ROWS = 64 << 20, 16
+#: Bytes of files that a task reads; a larger file is a task of its own. Rows of an Arrow batch, and bytes of the files in it.
+TASK_BYTES, BATCH_ROWS, BATCH_BYTES = 64 << 20, 16, 1 << 20
 CURVES = ("voltage_in_V", "current_in_A", "discharge_capacity_in_Ah")
 
 
@@ -53,6 +56,15 @@ def _opened(folder: str) -> tuple:
     return pyarrow.fs.FileSystem.from_uri(folder)
 
 
+def _give_back() -> None:
+    """Return the memory of a finished task to the system: idle Python workers share an executor's memory with its JVM."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 class CellReader(DataSourceReader):
     def __init__(self, options) -> None:
         self.folder = options["path"]
@@ -78,18 +90,23 @@ class CellReader(DataSourceReader):
         schema, names = to_arrow_schema(CELL_FILE), CELL_FILE["cycle_data"].dataType.elementType.names
         store, _ = _opened(self.folder)
         rows: list[dict] = []
+        held = 0
         for path in partition.paths if partition else ():
             with store.open_input_file(path) as source:
-                try:
-                    own = cell_row(path.rpartition("/")[2], read_plain(source.read()))
-                except Exception as error:
-                    raise ValueError(f"{path}: {error}") from error
-            rows.append(dict(zip(CELL_FILE.names, (*own[:3], [dict(zip(names, c, strict=True)) for c in own[3]]), strict=True)))
-            if len(rows) >= BATCH_ROWS:
+                data = source.read()
+            if rows and (len(rows) >= BATCH_ROWS or held + len(data) > BATCH_BYTES):
                 yield pa.RecordBatch.from_pylist(rows, schema)
-                rows = []
+                rows, held = [], 0
+            try:
+                own = cell_row(path.rpartition("/")[2], read_plain(data))
+            except Exception as error:
+                raise ValueError(f"{path}: {error}") from error
+            held += len(data)
+            rows.append(dict(zip(CELL_FILE.names, (*own[:3], [dict(zip(names, c, strict=True)) for c in own[3]]), strict=True)))
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
+        del rows
+        _give_back()
 
 
 @dataclass
@@ -97,28 +114,46 @@ class Written(WriterCommitMessage):
     files: int
 
 
-class CellWriter(DataSourceWriter):
-    """One pickled file a row. Each comes by a rename, so that a task that is lost leaves no half of one, and its repetition the same file."""
+def _cell(row) -> tuple[str, dict]:
+    """The file name and the cell of a batch of one row; what is null is left out."""
+    import numpy as np
+
+    name, cell_id, nominal = (row.column(c)[0].as_py() for c in ("file", "cell_id", "nominal_capacity_in_Ah"))
+    if not name or "/" in name:
+        raise ValueError(f"{name!r} is no file name")
+    data = row.column("cycle_data").flatten()  # a struct for each cycle; none if there is no list
+    if data.null_count:
+        raise ValueError(f"{name!r} has a cycle that is null")
+    parts = {"cycle_number": [x.as_py() for x in data.field("cycle_number")]}
+    for c in CURVES:
+        parts[c] = [None if x.values is None else np.array(x.values.to_numpy(zero_copy_only=False), np.float32) for x in data.field(c)]
+    cycles = [{k: v for k, v in zip(parts, own, strict=True) if v is not None} for own in zip(*parts.values(), strict=True)]
+    cell = {"cell_id": cell_id, "nominal_capacity_in_Ah": nominal, "cycle_data": cycles}
+    return name, {k: v for k, v in cell.items() if v is not None}
+
+
+class CellWriter(DataSourceArrowWriter):
+    """One pickled file a row. Each comes by a rename, so that a task that is lost leaves no half of one, and its repetition the same file.
+
+    Rows stay in Arrow batches until they are written, one by one: a batch of them as Python objects is many times as large.
+    """
 
     def __init__(self, options) -> None:
         self.folder = options["path"]
 
     def write(self, iterator: Iterator) -> Written:
-        import numpy as np
-
         store, root = _opened(self.folder)
         store.create_dir(root, recursive=True)
         files = 0
-        for row in iterator:
-            if "/" in row["file"] or not row["file"]:
-                raise ValueError(f"{row['file']!r} is no file name")
-            cycles = [{k: v for k, v in {"cycle_number": c["cycle_number"], **{k: None if c[k] is None else np.array(c[k], np.float32) for k in CURVES}}.items() if v is not None} for c in row["cycle_data"] or []]
-            cell = {"cell_id": row["cell_id"], "nominal_capacity_in_Ah": row["nominal_capacity_in_Ah"], "cycle_data": cycles}
-            own = f"{root}/.{uuid.uuid4().hex}"
-            with store.open_output_stream(own) as out:
-                out.write(pickle.dumps({k: v for k, v in cell.items() if v is not None}, protocol=4))
-            store.move(own, f"{root}/{row['file']}")
-            files += 1
+        for batch in iterator:
+            for k in range(batch.num_rows):
+                name, cell = _cell(batch.slice(k, 1))
+                own = f"{root}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(own) as out:
+                    out.write(pickle.dumps(cell, protocol=4))
+                store.move(own, f"{root}/{name}")
+                files += 1
+        _give_back()
         return Written(files)
 
     def commit(self, messages) -> None:
