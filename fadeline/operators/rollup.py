@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import average_rank, finite, improvement, improvement_percent, skill
+from ..session import checkpointed
 from .ranking import best
 
 FUNCTIONS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
@@ -69,8 +70,10 @@ def rank_columns(rows: DataFrame, metrics: tuple[str, ...], by: tuple[str, ...]
 def against_baseline(rows: DataFrame, keys: tuple[str, ...], metric: str, baseline, model: str = "model") -> DataFrame:
     """rows with the baseline model's metric of the same keys, and gain, gain_percent, skill.
 
-    One baseline row per key at most; keys compare null-safely; without one the columns are null.
+    One baseline row per key at most; keys compare null-safely; without one the columns are null. rows are computed
+    once: a mean computed again may differ in its last digit, and the baseline would gain on itself.
     """
+    rows = checkpointed(rows)
     base = rows.filter(F.col(model) == baseline).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(metric).alias(f"baseline_{metric}"))
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     out = rows.join(base, on, "left").drop(*(f"_{k}" for k in keys))
@@ -79,7 +82,8 @@ def against_baseline(rows: DataFrame, keys: tuple[str, ...], metric: str, baseli
 
 
 def gaps(rows: DataFrame, keys: tuple[str, ...], metrics: tuple[str, ...], baseline, model: str = "model") -> DataFrame:
-    """rows with <metric>_gap (x - base) and <metric>_ratio (x / base, null at 0) against the baseline's row of the same keys."""
+    """rows with <metric>_gap (x - base) and <metric>_ratio (x / base, null at 0) against the baseline's row of the same keys; rows are computed once."""
+    rows = checkpointed(rows)
     base = rows.filter(F.col(model) == baseline).select(*(F.col(k).alias(f"_{k}") for k in keys), *(F.col(m).alias(f"_base_{m}") for m in metrics))
     out = rows.join(base, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*(f"_{k}" for k in keys))
     for m in metrics:
