@@ -186,9 +186,10 @@ def _windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def repeated(texts: DataFrame) -> DataFrame:
-    """(row, start, mask, lrow, lstart, hrow, hstart): bit k of mask says that the window at word start + k occurs elsewhere.
+    """(row, start, parts), parts of (mask, lrow, lstart, hrow, hstart): bit k of a mask says that the window at word start + k occurs elsewhere.
 
-    lrow, lstart + k is the first place of that window's words in row order, hrow, hstart + k the last.
+    lrow, lstart + k is the first place of that window's words in row order, hrow, hstart + k the last. A stretch has
+    one row of parts, at most one part for each of its windows: each place of a stretch meets one row, whatever its windows' partners.
     """
     seeds = materialise(stretches(texts), "stretches")
     again = seeds.groupBy("seed").agg(F.count("*").alias("times"), F.min("stretch").alias("a"), F.max("stretch").alias("b"))
@@ -207,13 +208,15 @@ def repeated(texts: DataFrame) -> DataFrame:
     met = windows.select("seed", "stretch", "k", "window").join(twice, ["seed", "window"])
     met = met.select("seed", "stretch", "k", "lrow", (F.col("lstart") - F.col("k")).alias("lstart"), "hrow", (F.col("hstart") - F.col("k")).alias("hstart"))
     masks = met.groupBy("seed", "stretch", "lrow", "lstart", "hrow", "hstart").agg(F.bit_or(F.expr("shiftleft(1L, cast(k as int))")).alias("mask"))
-    whole = classes.filter("not mixed").select("seed", "stretch", "lrow", "lstart", "hrow", "hstart", (F.expr("shiftleft(1L, n)") - 1).alias("mask"))  # all windows
-    found = hits.select("seed", "stretch", "row", "start").join(materialise(whole.unionByName(masks), "masks"), ["seed", "stretch"])
-    return found.select("row", "start", "mask", "lrow", "lstart", "hrow", "hstart")
+    part = F.struct("mask", "lrow", "lstart", "hrow", "hstart")
+    masks = masks.groupBy("seed", "stretch").agg(F.collect_list(part).alias("parts"))  # as many as a stretch has windows
+    whole = classes.filter("not mixed").withColumn("mask", F.expr("shiftleft(1L, n)") - 1)  # all windows
+    found = hits.select("seed", "stretch", "row", "start").join(materialise(whole.select("seed", "stretch", F.array(part).alias("parts")).unionByName(masks), "masks"), ["seed", "stretch"])
+    return found.select("row", "start", "parts")
 
 
 def partners(row, start, mask, lrow, lstart, hrow, hstart) -> tuple[np.ndarray, ...]:
-    """Seed matches (row, start, n, prow, pstart) out of rows of `repeated`, those of a text all together.
+    """Seed matches (row, start, n, prow, pstart) out of the parts of `repeated`, each with its row and start, those of a text all together.
 
     A window's partner is the same words' place before it in its own text (so that text of a short period
     matches itself along one diagonal), or else the first place of all, or the last, or the next in its text.
@@ -241,7 +244,7 @@ def partners(row, start, mask, lrow, lstart, hrow, hstart) -> tuple[np.ndarray,
 
 def seed_matches(texts: DataFrame) -> DataFrame:
     """(row, start, n, prow, pstart): n words at word start of a text that stand, by their hashes, at pstart of prow as well."""
-    names = ["row", "start", "mask", "lrow", "lstart", "hrow", "hstart"]
+    names = ["mask", "lrow", "lstart", "hrow", "hstart"]
 
     def run(batches):
         import pyarrow as pa
@@ -251,12 +254,14 @@ def seed_matches(texts: DataFrame) -> DataFrame:
             for part in slices(batch, 64):
                 own = part.column(1)
                 values = own.flatten()
-                row = part.column(0).take(pc.list_parent_indices(own)).to_numpy(zero_copy_only=False)
-                got = partners(row, *(values.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names[1:]))
+                places = values.field("parts")
+                at, each = pc.list_parent_indices(places), places.flatten()
+                ends = part.column(0).take(pc.list_parent_indices(own)).take(at), values.field("start").take(at), *(each.field(n) for n in names)
+                got = partners(*(x.to_numpy(zero_copy_only=False).astype(np.int64) for x in ends))
                 got = (*got[:2], got[2] + WINDOW - 1, *got[3:])
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in got], names=["row", "start", "n", "prow", "pstart"])
 
-    own = repeated(texts).groupBy("row").agg(F.collect_list(F.struct(*names[1:])).alias("own"))
+    own = repeated(texts).groupBy("row").agg(F.collect_list(F.struct("start", "parts")).alias("own"))
     return materialise(own.mapInArrow(frugal(run), "row long, start long, n long, prow long, pstart long"), "matches")
 
 
