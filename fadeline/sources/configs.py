@@ -16,6 +16,11 @@ from ..functions.labels import name_of
 TRUE = ("1", "true", "yes", "y")
 
 
+def _spread(documents: DataFrame) -> DataFrame:
+    """documents dealt to as many tasks as a shuffle has: a small file of short documents is one task's scan and many times its read to parse."""
+    return documents.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _kind(v: Column) -> Column:
     """ARRAY, OBJECT, or another kind of value; null for no value."""
     return F.regexp_extract(F.schema_of_variant(v), r"^(\w+)", 1)
@@ -53,7 +58,7 @@ def entries(documents: DataFrame) -> DataFrame:
 
     A document that is no JSON, or of another form, has one row with a null number.
     """
-    docs = documents.select("path", F.try_parse_json("value").alias("doc"))
+    docs = _spread(documents.select("path", "value")).select("path", F.try_parse_json("value").alias("doc"))
     kind = _kind(F.col("doc"))
     own = F.try_variant_get("doc", "$.configs", "array<variant>")
     pair = "array<struct<given: string, entry: variant>>"
@@ -109,7 +114,7 @@ def by_horizon(documents: DataFrame, model: str) -> DataFrame:
 def merged(documents: DataFrame, defaults: dict) -> DataFrame:
     """(path, name, <key>..., fault): documents of one object each over the defaults, in their types; name is the file's."""
     doc = F.col("doc")
-    rows = documents.select("path", F.try_parse_json("value").alias("doc"))
+    rows = _spread(documents.select("path", "value")).select("path", F.try_parse_json("value").alias("doc"))
     values = {k: F.when(_raw(doc, k).isNull(), F.lit(d)).otherwise(_coerced(doc, k, d)) for k, d in defaults.items()}
     rows = rows.select("path", name_of(F.col("path")).alias("name"), *(v.alias(k) for k, v in values.items()), F.when(F.coalesce(_kind(doc) != "OBJECT", F.lit(True)), "no object").alias("form"))
     return rows.withColumn("fault", F.coalesce(F.col("form"), _fault(defaults))).drop("form")
